@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, url_filters
 
 
 def queries() -> dict:
-    return {"op7_mix_sources": mixing.op7_mix_sources}
+    return {
+        "op3_url_filters": url_filters.op3_url_filters,
+        "op7_mix_sources": mixing.op7_mix_sources,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_mix_sources": mixing.SQL}
+    return {"op3_url_filters": url_filters.SQL, "op7_mix_sources": mixing.SQL}

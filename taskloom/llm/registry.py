@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filters
+from . import minhash, mixing, url_filters
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
+        "op8_minhash": minhash.op8_minhash,
         "op7_mix_sources": mixing.op7_mix_sources,
     }
 

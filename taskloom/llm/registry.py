@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, url_filters
+from . import minhash, mixing, suffix_dedup, url_filters
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
         "op8_minhash": minhash.op8_minhash,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
     }
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, suffix_dedup, url_filters
+from . import decontamination, minhash, mixing, suffix_dedup, url_filters
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
         "op8_minhash": minhash.op8_minhash,
+        "op4_decontamination": decontamination.op4_decontamination,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_filters": url_filters.SQL, "op7_mix_sources": mixing.SQL}
+    return {"op3_url_filters": url_filters.SQL, "op4_decontamination": decontamination.SQL, "op7_mix_sources": mixing.SQL}

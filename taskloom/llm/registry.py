@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontamination, minhash, mixing, suffix_dedup, url_filters
+from . import chat, decontamination, language, minhash, mixing, secrets, suffix_dedup, url_filters
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
-        "op8_minhash": minhash.op8_minhash,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op6_chat_format": chat.op6_chat_format,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_minhash": minhash.op8_minhash,
+        "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_language": language.op10_language,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_filters": url_filters.SQL, "op4_decontamination": decontamination.SQL, "op7_mix_sources": mixing.SQL}
+    return {
+        "op3_url_filters": url_filters.SQL,
+        "op4_decontamination": decontamination.SQL,
+        "op6_chat_format": chat.SQL,
+        "op7_mix_sources": mixing.SQL,
+    }

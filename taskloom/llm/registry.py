@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, language, minhash, mixing, secrets, suffix_dedup, url_filters
+from . import chat, decontamination, language, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_hash_forest": neighbours.op1_hash_forest,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, language, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
+from . import chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_hash_forest": neighbours.op1_hash_forest,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import connected_components, table, written
@@ -17,6 +18,10 @@ BANDS, PERMS_A_BAND, CACHE = 50, 3, 500_000
 #: How many standard deviations below the threshold an estimate may fall before a candidate is dropped unread.
 SIGMAS = 6.5
 SEED = 20_240_229
+#: Ids of documents that may be broadcast, 8 bytes each.
+BROADCAST_IDS = 1_000_000
+#: Links up to which one task finds the components.
+IN_ONE = 500_000
 
 
 class WordHashes(dict):
@@ -124,10 +129,14 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose whole shingle sets reach the threshold; with it in hundredths, no rounding."""
-    per_cent = round(threshold * 100)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cid, members) of the documents whose doc_id is in wanted, as a written table.
+
+    Up to BROADCAST_IDS ids are broadcast, so that texts stay where they are read; more are joined by shuffling.
+    """
+    wanted = written(wanted)
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -136,23 +145,72 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Da
                 part = f.iloc[at : at + 200]
                 yield pd.DataFrame({"cid": part["doc_id"], "members": [shingle_set(t, k, words).tobytes() for t in part["text"]]})
 
-    have = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(sets, "cid long, members binary"))
+    return written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(sets, "cid long, members binary"))
+
+
+def compared(pairs: DataFrame, have: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, na, nb, linked, apart) of pairs (a, b): set sizes, whether whole sets reach the threshold (taken
+    in hundredths, so that nothing is rounded), and the elements in one of the sets only."""
+    per_cent = round(threshold * 100)
     both = pairs.join(have.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
     both = both.join(have.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            keep = []
-            for x, y in zip(f["ma"], f["mb"], strict=True):
+            rows = []
+            for a, b, x, y in zip(f["a"], f["b"], f["ma"], f["mb"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= per_cent * (len(x) + len(y) - common))
-            yield f.loc[np.array(keep, bool), ["a", "b"]]
+                apart = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(apart)) // 2
+                rows.append((a, b, len(x), len(y), 100 * common >= per_cent * (len(x) + len(y) - common), apart.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "linked", "apart"])
+
+    return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long, na long, nb long, linked boolean, apart array<long>")
 
-    return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long").distinct()
 
+def confirmed(pairs: DataFrame, have: DataFrame, threshold: float) -> DataFrame:
+    return compared(pairs, have, threshold).where("linked").select("a", "b").distinct()
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, perms_a_band: int = PERMS_A_BAND, star_rounds: int = 3) -> DataFrame:
+
+def residual_links(family: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) across components, of members of families around one hub: those that reach the threshold, all of them.
+
+    family: (a: hub, b: member, na, nb, linked, apart). Let D be what sets a member apart
+    from the hub. Two members x, y reach the threshold if and only if what sets them apart,
+    D(x) + D(y) - 2 * common, is at most c * (size(x) + size(y)), with
+    c = (1 - threshold) / (1 + threshold): they need (D(x) + D(y) - c * (size(x) + size(y))) / 2
+    elements of D in common. Of two in different components one, x, is not linked with the
+    hub, so D(x) > c * (size(x) + size(hub)), and more than half of
+    D(y) - c * (size(y) - size(hub)) must be common. So x holds one of so many of the
+    elements of D(y) that are rarest in the family, and at the first such element enough
+    must be left of both. Edits are rare elements: few pairs are left of a group of any size.
+    """
+    c = (1 - threshold) / (1 + threshold)
+    of = component.select(F.col("node"), "component")
+    d = family.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    d = written(d.select("a", "b", "na", "nb", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca"), "apart"))
+    with_away = d.where("cb <> ca").select("a").distinct()
+    d = d.join(with_away, "a", "left_semi")
+    tokens = d.select("a", "b", "cb", "ca", "na", "nb", F.size("apart").alias("n"), F.explode("apart").alias("token"))
+    often = tokens.groupBy("a", "token").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("a", "b").orderBy("often", "token"))
+    ranked = written(tokens.join(often, ["a", "token"]).withColumn("rank", rank).where("often > 1"))
+    prefix = F.col("n") - F.greatest(F.lit(0), F.floor((F.col("n") - c * (F.col("nb") - F.col("na"))) / 2 - 1e-6))
+    rare = ranked.where(F.col("rank") <= prefix).select("a", "token", "b", "cb", F.col("n").alias("dy"), F.col("nb").alias("ny"), F.col("rank").alias("ry"))
+    away = ranked.where("cb <> ca").select("a", "token", F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("n").alias("dx"), F.col("nb").alias("nx"), F.col("rank").alias("rx"))
+    need = (F.col("dx") + F.col("dy") - c * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
+    enough = (1 + F.least(F.col("dx") - F.col("rx"), F.col("dy") - F.col("ry"))) >= need
+    met = rare.join(away, ["a", "token"]).where((F.col("cb") != F.col("cx")) & enough)
+    met = met.select("a", "b", "x").distinct()
+    sides = met.join(d.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("apart").alias("dx")), ["a", "x"])
+    sides = sides.join(d.select("a", "b", F.col("nb").alias("ny"), F.col("apart").alias("dy")), ["a", "b"])
+    between = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    per_cent = round(threshold * 100)
+    reached = (100 + per_cent) * between <= (100 - per_cent) * (F.col("nx") + F.col("ny"))
+    return sides.where(reached).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, perms_a_band: int = PERMS_A_BAND, group: int = 16, hub_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of documents linked by Jaccard similarity.
 
     Documents with the same set are one class. Under each of `bands * perms_a_band`
@@ -160,10 +218,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     `perms_a_band` permutations: six values and 50 bands miss a pair at 0.8 with a chance
     of (1 - 0.8^6)^50, 3 in 10 million. Classes that share a band are candidates, and
     links between candidates are confirmed on whole sets. A group that shares a band is
-    never expanded into all pairs: in each of `star_rounds` rounds one member, another
-    each time, is compared with those members that are not in its component yet. Only
-    pairs across components that still share a band after that are listed one by one, and
-    all of them are tested, so that no link between components is lost.
+    not expanded into all pairs: first all are compared with one member, and what one
+    component holds by then is finished. The rest of a group of up to `group` is listed in
+    pairs across components. In a larger group the member compared with is the one in most
+    large groups, a hub that is near the middle; those that stay apart from it get up to
+    `hub_rounds` hubs of their own, and pairs across the components that are left are
+    linked by residual_links, which loses none that reaches the threshold.
 
     docs: doc_id (long), text; other columns are ignored. A text that is null or has no
     words is linked with nothing. Repeated rows each get a row; rows with one doc_id count
@@ -175,26 +235,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     classes = written(classes.select("set_key", "cid", "s.*"))
     reps = classes.select("cid", "n_shingles", "sketch")
     banded = classes.select("cid", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = written(banded.join(shared, "key"))
-    none = buckets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    tested, links, component = none, none, connected_components(none)
-    for turn in range(star_rounds + 1):
-        live = buckets.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        first = F.min_by(F.struct("cid", "comp"), F.xxhash64(F.col("cid"), F.lit(turn))).alias("r")
-        split = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), first).where("lo <> hi").select("key", F.col("r.cid").alias("rep"), F.col("r.comp").alias("rep_comp"))
-        if turn < star_rounds:
-            pairs = live.join(split, "key").where("comp <> rep_comp").select(F.least("cid", "rep").alias("a"), F.greatest("cid", "rep").alias("b"))
-        else:
-            open_rows = written(live.join(split.select("key"), "key"))
-            other = open_rows.select("key", F.col("cid").alias("cid2"), F.col("comp").alias("comp2"))
-            pairs = open_rows.join(other, "key").where("comp < comp2").select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+    small, large = buckets.where(F.col("c") <= group), buckets.where(F.col("c") > group)
+    have = whole_sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), k)
+    ordered = [F.least("cid", "rep").alias("a"), F.greatest("cid", "rep").alias("b")]
+
+    score = large.groupBy("cid").agg(F.count("*").alias("score"))
+    large = written(large.join(score, "cid"))
+    hubs = written(large.groupBy("key").agg(F.max_by("cid", F.struct("score", -F.col("cid"))).alias("hub")))
+    family = large.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    family = written(compared(written(family), have, threshold))
+    stars = small.join(small.groupBy("key").agg(F.min("cid").alias("rep")), "key").where("cid <> rep").select(*ordered)
+    stars = written(stars.distinct())
+    links = family.where("linked").select("a", "b").unionByName(written(confirmed(written(likely(stars, reps, threshold)), have, threshold)))
+    tested = stars.unionByName(family.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    component = connected_components(links, in_one=IN_ONE)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+
+    for _ in range(hub_rounds):
+        hub_comp = placed(hubs.withColumnRenamed("hub", "cid")).select("key", F.col("comp").alias("hub_comp"))
+        rest = written(placed(large.select("key", "cid", "score")).join(hub_comp, "key").where("comp <> hub_comp"))
+        if rest.isEmpty():
+            break
+        split = rest.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), F.struct("score", -F.col("cid"))).alias("r"))
+        pairs = rest.join(split, "key").where("comp <> r.comp").withColumn("rep", F.col("r.cid")).select(*ordered)
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            continue
-        found = written(confirmed(written(likely(pairs, reps, threshold)), docs, k, threshold))
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        component = connected_components(links)
+            break
+        links = links.unionByName(written(confirmed(written(likely(pairs, reps, threshold)), have, threshold)))
+        tested = tested.unionByName(pairs)
+        component = connected_components(links, in_one=IN_ONE)
+    live = written(placed(small.select("key", "cid")))
+    split = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    live = live.join(split, "key")
+    other = live.select("key", F.col("cid").alias("rep"), F.col("comp").alias("comp2"))
+    pairs = live.join(other, "key").where("comp < comp2").select(*ordered).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
+    links = links.unionByName(written(confirmed(written(likely(pairs, reps, threshold)), have, threshold)))
+    links = links.unionByName(written(residual_links(family, component, threshold)))
+    component = connected_components(links, in_one=IN_ONE)
+
     named = full.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "cid"), "set_key")
     named = named.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

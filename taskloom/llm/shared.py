@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of 8 bytes that may be broadcast.
+BROADCAST_KEYS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,19 +55,52 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def without(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose column `name` is in no row of keys (null equals null).
+
+    Up to BROADCAST_KEYS keys are broadcast, so that rows stay where they are; more are joined by shuffling.
+    """
+    keys = written(keys)
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    keys = keys.select(F.col(name).alias("_key"))
+    return df.join(keys, F.col(name).eqNullSafe(F.col("_key")), "left_anti")
+
+
+def _joined_in_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    above: dict = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for f in batches:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    found = [(x, root(x)) for x in above if root(x) != x]
+    if found:
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def connected_components(edges: DataFrame, in_one: int = 0, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as edges (a, b) of one ordered type.
 
     Returns (node, component) with component the smallest node of the component; the
     smallest node itself has no row, nor has a node without an edge. Alternates
     large-star and small-star steps until the edges stand still; every step is a
     partially aggregated minimum and an equi-join that adaptive execution can split
-    where a node has very many edges. Null ends and loops are ignored; no edges give
-    no rows.
+    where a node has very many edges. Up to `in_one` edges, counted first, are joined in
+    one Python task instead. Null ends and loops are ignored; no edges give no rows.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     e = written(e.select(big.alias("a"), small.alias("b")).distinct())
+    if in_one and e.count() <= in_one:
+        e = written(e.coalesce(1).mapInPandas(_joined_in_one, e.schema))
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     last = None
     for _ in range(max_rounds):
         now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()

@@ -28,7 +28,7 @@ def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated): words of each document inside windows of the benchmark.
+    """(doc_id, rk, n_words, n_hit, items, contaminated): words of each document inside windows of the benchmark.
 
     A window is `n` consecutive words of an item, or all of a shorter item that has any.
     The tokens of the windows are ordered by how rare they are over all documents, and a
@@ -40,8 +40,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     document is judged where its text is read and only hits are shuffled.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null texts and
-    texts without words have no words and no windows. A null item_id counts as an item only
-    if it is not the only one: such ids are left out of `items`. Repeated rows each get a row.
+    texts without words have no words and no windows. Hits in items with a null
+    item_id count in n_hit, not in `items`. rk is a hash of doc_id and text. Repeated rows each
+    get a row.
     No documents give no rows; no benchmark gives no hits.
     """
     windows = written(item_windows(benchmark, n))
@@ -70,7 +71,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     counted = d.select("doc_id", "rk", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(found, "rk", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "rk", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_minhash": minhash.op8_minhash,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_language": language.op10_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,73 +52,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def find_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
-    """(doc_id, text, spans): spans (kind, start, end) in code points, end exclusive, by start and kind.
+def spans_of(text: str | None, ratio: float, encoding) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all spans of a text, sorted; encoding() gives the vocabulary."""
+    text = text or ""
+    found = base_spans(text)
+    taken = [(a, b) for a, _, b in found]
+    for m in STRING.finditer(text):
+        s = m[0].strip("._=-")
+        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or DIGEST.fullmatch(s) or identifier(s):
+            continue
+        if any(a < m.end() and m.start() < b for a, b in taken):
+            continue
+        if len(s) < ratio * len(encoding().encode_ordinary(s)):
+            at = m.start() + m[0].index(s)
+            found.append((at, 3, at + len(s)))
+    return sorted(found)
+
+
+def scanner(vocabulary_path: str = VOCABULARY, ratio: float = 2.0):
+    """A column function from a text to its spans (kind, start, end), in code points, end exclusive, by start and kind.
 
     Kinds assign, access and hex are the base forms, each leftmost and without overlap.
     Kind random is a string of 20 or more of `[A-Za-z0-9+/_=.-]` that no base span touches,
     with letters and digits, that is no digest of a known length, no UUID and no name made of
     words and numbers, and that the vocabulary cuts into so many tokens that a token has less
-    than `ratio` characters: text that is written by people has about four.
-
-    docs: doc_id, text; other columns are ignored. A null text is empty and has no spans.
-    Whole texts are read. Repeated rows each get a row. No rows give no rows. The vocabulary
-    file is read where a worker meets its first candidate.
+    than `ratio` characters: text that is written by people has about four. A null text is
+    empty and has no spans; whole texts are read. The vocabulary file is read where a worker
+    meets its first candidate.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = None
-        for f in batches:
-            out = []
-            for text in f["text"]:
-                text = text or ""
-                found = base_spans(text)
-                taken = sorted((a, b) for a, _, b in found)
-                for m in STRING.finditer(text):
-                    s = m[0].strip("._=-")
-                    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or DIGEST.fullmatch(s) or identifier(s):
-                        continue
-                    if any(a < m.end() and m.start() < b for a, b in taken):
-                        continue
-                    encoding = encoding or vocabulary(vocabulary_path)
-                    if len(s) < ratio * len(encoding.encode_ordinary(s)):
-                        at = m.start() + m[0].index(s)
-                        found.append((at, 3, at + len(s)))
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "text": f["text"], "spans": out})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, text string, spans {SPAN}")
-
-
-def redacted(docs: DataFrame, mark: str = "[secret]", **how) -> DataFrame:
-    """docs with every span of a secret in text replaced by mark, and n_chars, where there is one, counted anew.
-
-    Overlapping spans are replaced once. Columns and rows stay as they are; null texts stay null.
-    """
-    schema = docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            texts = []
-            for text, spans in zip(f["text"], f["_spans"], strict=True):
-                if spans is not None and len(spans):
-                    out, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            out += [text[at : s["start"]], mark]
-                        at = max(at, s["end"])
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-            yield f.assign(text=pd.Series(texts, index=f.index, dtype=object)).drop(columns="_spans")
-
-    key = F.xxhash64("doc_id", "text")
-    spans = find_secrets(docs, **how).where(F.size("spans") > 0).select(key.alias("_rk"), F.col("spans").alias("_spans")).dropDuplicates(["_rk"])
-    plain = docs.withColumn("_rk", key)
-    clean = plain.join(spans.select("_rk"), "_rk", "left_anti").select(*docs.columns)
-    hit = plain.join(spans, "_rk").select(*docs.columns, "_spans").mapInPandas(run, schema)
+    @F.pandas_udf(SPAN)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = cache(lambda: vocabulary(vocabulary_path))
+        for texts in batches:
+            yield pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t, ratio, encoding)] for t in texts])
+
+    return scan
+
+
+def redactor(mark: str = "[secret]", vocabulary_path: str = VOCABULARY, ratio: float = 2.0):
+    """A column function from a text to the text with mark for each run of touching or overlapping spans; null stays null."""
+
+    @F.pandas_udf("string")
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = cache(lambda: vocabulary(vocabulary_path))
+        for texts in batches:
+            yield pd.Series([t if t is None else cut(t, [(a, b) for a, _, b in spans_of(t, ratio, encoding)], mark) for t in texts], dtype=object)
+
+    return redact
+
+
+def cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at and not (out and a == at):
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def find_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
+    """(doc_id, spans): scanner() on docs (doc_id, text; other columns are ignored). Repeated rows each get a row; no rows give no rows."""
+    return docs.select("doc_id", scanner(vocabulary_path, ratio)("text").alias("spans"))
+
+
+def redacted(docs: DataFrame, mark: str = "[secret]", vocabulary_path: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
+    """docs with text redacted, and n_chars, where there is one, counted anew; all other columns and all rows stay."""
+    out = docs.withColumn("text", redactor(mark, vocabulary_path, ratio)("text"))
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType))
-    return clean.unionByName(hit)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

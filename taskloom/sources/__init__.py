@@ -1 +1,5 @@
-"""taskloom.sources"""
+"""Readers and writers."""
+
+from .tables import TABLES, read, register
+
+__all__ = ["TABLES", "read", "register"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Training takes about so many labelled documents, by a hash of their id; letters looked at together; words cached by a worker.
-TRAIN_DOCS, RUN, CACHE = 8_000, 48, 150_000
+#: Training takes about so many labelled documents, by a hash of their id; letters summed over together.
+TRAIN_DOCS, RUN = 8_000, 32
 #: Added to every piece's count; the probability of a character that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,14 +60,6 @@ class Unigrams:
             alpha.append(a)
         return alpha
 
-    def log_probability(self, run: str) -> np.ndarray:
-        """Of a run of letters, by language; longer runs are summed over stretches of RUN letters."""
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(run), RUN):
-            part = run[at : at + RUN]
-            total += np.log(np.maximum(self.forward(self.edges(START + part if not at else part))[-1], 1e-300))
-        return total
-
     def expected(self, run: str, lang: int) -> dict[str, float]:
         """Expected counts of pieces in a run under one language."""
         out: dict[str, float] = {}
@@ -89,6 +80,79 @@ class Unigrams:
         return out
 
 
+class Scorer:
+    """log_probabilities() of many runs of letters at once: the forward algorithm over arrays."""
+
+    def __init__(self, model: Unigrams):
+        rng = np.random.default_rng(5)
+        self.base, self.salt = np.uint64(int(rng.integers(1 << 40, 1 << 62)) | 1), np.uint64(int(rng.integers(1 << 40, 1 << 62)))
+        self.width, self.longest = len(model.langs), model.longest
+        names = list(model.table)
+        self.chance = np.array([model.table[p] for p in names]).reshape(len(names), self.width)
+        prefixes: dict[int, int] = {}
+        for n, name in enumerate(names):
+            h = np.uint64(0)
+            for at, c in enumerate(np.frombuffer(name.encode("utf-32-le"), np.uint32)):
+                h = self.step(h, c)
+                if at == len(name) - 1:
+                    prefixes[int(h)] = n
+                else:
+                    prefixes.setdefault(int(h), -1)
+        self.known = np.array(sorted(prefixes), np.uint64)
+        self.piece = np.array([prefixes[int(h)] for h in self.known], np.int64)
+
+    def step(self, h, c):
+        with np.errstate(over="ignore"):
+            x = (h + c.astype(np.uint64) + self.salt) * self.base
+            return x ^ (x >> np.uint64(31))
+
+    def parts(self, runs: list[str]) -> np.ndarray:
+        """Log probabilities of parts of up to RUN letters and a START, a row each."""
+        flat = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        n = np.fromiter(map(len, runs), np.int64, len(runs))
+        first = np.cumsum(n) - n
+        word = np.repeat(np.arange(len(runs)), n)
+        place = np.arange(len(flat)) - first[word]
+        alive, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
+        hits: dict[tuple[int, int], list] = {}
+        for size in range(1, self.longest + 1):
+            inside = place[alive] + size <= n[word[alive]]
+            alive, h = alive[inside], h[inside]
+            if not len(alive):
+                break
+            h = self.step(h, flat[alive + size - 1])
+            at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+            prefix = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+            got = np.where(prefix, self.piece[at], -1) if len(self.known) else np.full(len(h), -1)
+            use = got >= 0 if size > 1 else np.ones(len(got), bool)  # a single letter without a piece is unknown
+            end = place[alive[use]] + size
+            order = np.argsort(end, kind="stable")
+            ends, cuts = np.unique(end[order], return_index=True)
+            for e, rows in zip(ends, np.split(order, cuts[1:]) if len(ends) else [], strict=True):
+                hits[int(e), size] = [word[alive[use][rows]], got[use][rows]]
+            alive, h = alive[prefix], h[prefix]
+        chance = np.vstack([self.chance, np.full((1, self.width), UNKNOWN)])  # row -1
+        alpha = np.zeros((int(n.max(initial=0)) + 1, len(runs), self.width))
+        alpha[0] = 1.0
+        for e in range(1, len(alpha)):
+            for size in range(1, min(e, self.longest) + 1):
+                if (e, size) in hits:
+                    w, piece = hits[e, size]
+                    alpha[e, w] += alpha[e - size, w] * chance[piece]
+        return np.log(np.maximum(alpha[n, np.arange(len(runs))], 1e-300))
+
+    def log_probabilities(self, runs: list[str]) -> np.ndarray:
+        out = np.zeros((len(runs), self.width))
+        parts, owner = [], []
+        for i, run in enumerate(runs):
+            for at in range(0, len(run), RUN):
+                parts.append(START + run[:RUN] if not at else run[at : at + RUN])
+                owner.append(i)
+        for lo in range(0, len(parts), 20_000):
+            np.add.at(out, owner[lo : lo + 20_000], self.parts(parts[lo : lo + 20_000]))
+        return out
+
+
 def runs_of(text: str | None) -> Counter:
     """Runs of letters of a lower-cased text, counted."""
     found: Counter = Counter()
@@ -155,53 +219,51 @@ def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS,
     return model
 
 
-def identify(docs: DataFrame, model: Unigrams) -> DataFrame:
-    """(doc_id, text, lang_pred, score): the language of each whole text under a model.
+def predictor(spark: SparkSession, model: Unigrams):
+    """A column function from a text to a struct (lang_pred, score).
 
     A text's score is the product over its runs of letters of their probability, summed over
     all segmentations into pieces; languages have equal prior chances, and score is the
     chance of the one predicted, given that it is one of them. A text that is null or has no
     letter, or a model without languages, gives `und` and 0. Ties go to the first language
-    by code point. Repeated rows each get a row. No rows give no rows.
+    by code point. Whole texts count; runs are scored once for all texts worked on together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table))
+    shared = spark.sparkContext.broadcast((model.langs, model.table))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        langs, probabilities = shared.value
+        scorer = Scorer(Unigrams(langs, probabilities)) if langs else None
+        for texts in batches:
+            preds, scores, at = [], [], 0
+            while at < len(texts):
+                rows: dict[str, int] = {}
+                ids: list[int] = []
+                ends: list[int] = []
+                while at < len(texts) and len(ids) < 1_000_000:
+                    ids += [rows.setdefault(r, len(rows)) for r in LETTERS.findall((texts.iat[at] or "").lower())]
+                    ends.append(len(ids))
+                    at += 1
+                if scorer is None or not ids:
+                    preds += ["und"] * len(ends)
+                    scores += [0.0] * len(ends)
+                    continue
+                values = np.vstack([np.zeros((1, scorer.width)), np.cumsum(scorer.log_probabilities(list(rows))[ids], axis=0)])
+                totals = np.diff(values[[0, *ends]], axis=0)
+                best = totals.argmax(axis=1)
+                chance = 1.0 / np.exp(np.minimum(totals - totals.max(axis=1, keepdims=True), 0)).sum(axis=1)
+                lengths = np.diff([0, *ends])
+                preds += [langs[b] if n else "und" for b, n in zip(best, lengths, strict=True)]
+                scores += [float(c) if n else 0.0 for c, n in zip(chance, lengths, strict=True)]
+            yield pd.DataFrame({"lang_pred": preds, "score": scores})
+
+    return predict
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Unigrams(*shared.value)
-        rows: dict[str, int] = {}
-        known = np.zeros((CACHE, max(1, len(own.langs))))
-        for f in batches:
-            preds, scores = [], []
-            for text in f["text"]:
-                found = Counter((text or "").lower().split())
-                total, letters = np.zeros(max(1, len(own.langs))), False
-                items = list(found.items())
-                for lo in range(0, len(items), CACHE):
-                    part = items[lo : lo + CACHE]
-                    if len(rows) + len(part) > CACHE:
-                        rows.clear()
-                    at = np.empty(len(part), np.int64)
-                    for k, (token, _) in enumerate(part):
-                        i = rows.get(token)
-                        if i is None:
-                            i = rows[token] = len(rows)
-                            runs = LETTERS.findall(token)
-                            known[i] = sum(map(own.log_probability, runs), np.zeros(len(own.langs))) if runs and own.langs else math.nan if not runs else 0.0
-                        at[k] = i
-                    values, n = known[at], np.array([c for _, c in part], float)
-                    has = ~np.isnan(values[:, 0])
-                    letters |= bool(has.any())
-                    total += n[has] @ values[has]
-                if not letters or not own.langs:
-                    preds.append("und")
-                    scores.append(0.0)
-                else:
-                    best = int(total.argmax())
-                    preds.append(own.langs[best])
-                    scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum()))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "text": f["text"], "lang_pred": preds, "score": scores})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, lang_pred string, score double")
+def identify(docs: DataFrame, model: Unigrams) -> DataFrame:
+    """(doc_id, lang_pred, score): predictor() on docs (doc_id, text; other columns are ignored). No rows give no rows."""
+    p = docs.select("doc_id", predictor(docs.sparkSession, model)("text").alias("p"))
+    return p.select("doc_id", "p.lang_pred", "p.score")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,18 +128,23 @@ def summary(evaluated: DataFrame) -> DataFrame:
 
 
 def leaks(prompts: DataFrame, hidden: DataFrame, least: int = 20) -> DataFrame:
-    """(prompt_id, item_id): hidden texts of at least `least` characters that occur in a prompt, both without white space and case.
+    """(prompt_id, item_id): hidden texts of at least `least` characters that occur in a prompt from the beginning of a word, white space and case aside.
 
-    A hidden text that occurs whole begins at some word of the prompt, so the join is by the
-    first `least` characters of every suffix that begins a word: equality, not comparison of all with all.
+    A text of three words or more shares its first two with the prompt, one of two its
+    first, and one of a single word the beginning of one: candidates meet by equality, and
+    are then compared whole.
     """
-    norm = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    h = hidden.select("item_id", F.trim(norm(F.col("text"))).alias("h")).where(F.char_length("h") >= least).withColumn("key", F.xxhash64(F.substring("h", 1, least)))
-    p = prompts.select("prompt_id", F.trim(norm(F.col("text"))).alias("p"))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("p") - least + 1)), lambda i: (i == 1) | (F.substring("p", i - 1, F.lit(1)) == " "))
-    at = p.select("prompt_id", F.explode(F.array_distinct(F.transform(first, lambda i: F.xxhash64(F.substring("p", i, F.lit(least)))))).alias("key"))
+    norm = lambda c: F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    h = hidden.select("item_id", norm(F.col("text")).alias("h")).where(F.char_length("h") >= least).withColumn("w", F.split("h", " "))
+    first = F.when(F.size("w") >= 3, F.concat(F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1)))).when(F.size("w") == 2, F.get("w", F.lit(0))).otherwise(F.substring("h", 1, least))
+    h = h.select("item_id", "h", first.alias("key"))
+    p = prompts.select("prompt_id", norm(F.col("text")).alias("p")).withColumn("w", F.split("p", " "))
+    two = F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+    long = F.transform(F.filter("w", lambda x: F.char_length(x) >= least), lambda x: F.substring(x, 1, least))
+    at = p.select("prompt_id", F.explode(F.array_distinct(F.flatten(F.array(two, F.col("w"), long)))).alias("key"))
     pairs = at.join(h.select("item_id", "key"), "key").select("prompt_id", "item_id").distinct()
-    return pairs.join(p, "prompt_id").join(h.select("item_id", "h"), "item_id").where(F.contains("p", "h")).select("prompt_id", "item_id")
+    whole = F.startswith("p", "h") | F.contains("p", F.concat(F.lit(" "), "h"))
+    return pairs.join(p.select("prompt_id", "p"), "prompt_id").join(h.select("item_id", "h"), "item_id").where(whole).select("prompt_id", "item_id").distinct()
 
 
 def agent_events(events: DataFrame) -> DataFrame:

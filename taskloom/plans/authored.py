@@ -96,7 +96,7 @@ def p09(d: Dialect) -> str:
 def p10(d: Dialect) -> str:
     """Nation scorecard with a converted unit and a rate."""
     return f"""
-    SELECT n_name, COUNT(*) AS n_orders, {d.real(f'SUM({d.money("o_totalprice")}) / 1000')} AS thousands, {d.share("SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)", 'COUNT(*)')} AS urgent_rate
+    SELECT n_name, COUNT(*) AS n_orders, ROUND({d.real(f'SUM({d.money("o_totalprice")})')} / 1000, 6) AS thousands, {d.share("SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)", 'COUNT(*)')} AS urgent_rate
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"""
 
 

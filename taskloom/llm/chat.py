@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 # Control strings of this template and of others in use, each escaped wherever a text holds it.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -108,6 +108,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
 
+    small_batches(segments.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     s = segments.select(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv"), "seq", "segment", "loss_start", "loss_end")
     s = s.repartition("none", "conv").sortWithinPartitions("none", "conv", "seq", "segment")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import small_batches, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Training takes about so many labelled documents, by a hash of their id; letters summed over together.
@@ -172,6 +172,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS,
     Counts start from every occurrence of every piece and are sharpened by `rounds` rounds of
     expectation over all segmentations. The driver gets one number a piece and language.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     total = known.count()
     if total > train_docs:
@@ -228,6 +229,7 @@ def predictor(spark: SparkSession, model: Unigrams):
     letter, or a model without languages, gives `und` and 0. Ties go to the first language
     by code point. Whole texts count; runs are scored once for all texts worked on together.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.table))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -240,7 +242,7 @@ def predictor(spark: SparkSession, model: Unigrams):
                 rows: dict[str, int] = {}
                 ids: list[int] = []
                 ends: list[int] = []
-                while at < len(texts) and len(ids) < 1_000_000:
+                while at < len(texts) and len(ids) < 600_000:
                     ids += [rows.setdefault(r, len(rows)) for r in LETTERS.findall((texts.iat[at] or "").lower())]
                     ends.append(len(ids))
                     at += 1
@@ -248,11 +250,12 @@ def predictor(spark: SparkSession, model: Unigrams):
                     preds += ["und"] * len(ends)
                     scores += [0.0] * len(ends)
                     continue
-                values = np.vstack([np.zeros((1, scorer.width)), np.cumsum(scorer.log_probabilities(list(rows))[ids], axis=0)])
-                totals = np.diff(values[[0, *ends]], axis=0)
+                lengths = np.diff([0, *ends])
+                some = np.flatnonzero(lengths)
+                totals = np.zeros((len(ends), scorer.width))
+                totals[some] = np.add.reduceat(scorer.log_probabilities(list(rows))[ids], (np.array(ends) - lengths)[some], axis=0)
                 best = totals.argmax(axis=1)
                 chance = 1.0 / np.exp(np.minimum(totals - totals.max(axis=1, keepdims=True), 0)).sum(axis=1)
-                lengths = np.diff([0, *ends])
                 preds += [langs[b] if n else "und" for b, n in zip(best, lengths, strict=True)]
                 scores += [float(c) if n else 0.0 for c, n in zip(chance, lengths, strict=True)]
             yield pd.DataFrame({"lang_pred": preds, "score": scores})

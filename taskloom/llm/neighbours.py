@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import small_batches, table, written
 
 TREES, BITS = 32, 40
 #: The hash functions are fitted on about so many vectors.
@@ -88,6 +88,7 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, trees: int = TRE
     indexed once and answer with their k + 1 smallest ids. Repeated rows count once. No
     rows, or one, give no rows.
     """
+    small_batches(embeddings.sparkSession)
     kind = "<f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     v = embeddings.select("vec_id", "embedding", queries.alias("query")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
     v = written(v.withColumn("place", F.hash("embedding")))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern that splits text before the merges of the rank files, and the base forms.
@@ -113,11 +113,13 @@ def cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 def find_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
     """(doc_id, spans): scanner() on docs (doc_id, text; other columns are ignored). Repeated rows each get a row; no rows give no rows."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", scanner(vocabulary_path, ratio)("text").alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", vocabulary_path: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
     """docs with text redacted, and n_chars, where there is one, counted anew; all other columns and all rows stay."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", redactor(mark, vocabulary_path, ratio)("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Keys of 8 bytes that may be broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Stands for a null id where Python would turn a column with nulls into floats; below all ids.
+NO_ID = -(1 << 63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Python workers get Arrow batches of at most `size`, where the session has Spark's own default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

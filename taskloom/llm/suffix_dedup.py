@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import mixed
-from .shared import table, written
+from .shared import NO_ID, small_batches, table, written
 
 #: Places over which a synchronising minimum is taken, bytes it looks at, starts in a run of digit 2.
 SYNC, K, RUN = 200, 16, 16
@@ -178,7 +178,8 @@ def remove_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
     `depth` bytes lose nothing. Repeated rows count as texts of their own. Long texts are
     read in pieces of bounded size. No rows give no rows.
     """
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).withColumn("rk", F.xxhash64("doc_id", "raw"))
+    small_batches(docs.sparkSession)
+    d = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).withColumn("rk", F.xxhash64("doc_id", "raw"))
     cover, reps = settled(digit_one(d, depth), depth)
     for single in (False, True):
         more, reps = settled(next_digit(d, reps, depth, single), depth)
@@ -200,7 +201,8 @@ def remove_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
                 spans.append([{"a": a, "b": b} for a, b in runs])
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_bytes": [len(x) for x in f["raw"]], "spans": spans, "kept": kept})
 
-    return d.join(lists, "rk", "left").select("doc_id", "raw", "cover").mapInPandas(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
+    out = d.join(lists, "rk", "left").select("doc_id", "raw", "cover").mapInPandas(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

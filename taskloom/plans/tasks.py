@@ -453,10 +453,10 @@ def rl_holdout(spark, d):
     return trajectories.holdout(read(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 5, "7")
 
 
-@checked("SELECT c_custkey, 2::BIGINT AS n FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey % 6 IN (1, 5)")
+@checked("SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 2 ELSE 0 END::BIGINT AS n FROM customer WHERE c_mktsegment IN ('MACHINERY', 'AUTOMOBILE')")
 def rl_partition_errors(spark, d):
-    c = read(spark, d, "customer").select("c_custkey")
-    return trajectories.partition_errors(c, [c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0")], "c_custkey")
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return trajectories.partition_errors(c, [c.where("c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE')"), c.where("c_mktsegment IN ('BUILDING', 'MACHINERY')")], "c_custkey")
 
 
 @checked("SELECT c_custkey FROM customer ORDER BY sha256('s' || chr(0) || c_custkey::VARCHAR), c_custkey LIMIT 50")

@@ -5,17 +5,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table, written
+from .shared import give_back, small_batches, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Training takes about so many labelled documents, by a hash of their id; letters summed over together.
-TRAIN_DOCS, RUN = 8_000, 32
+#: Training takes about so many labelled documents, by a hash of their id; letters summed over together; runs whose scores a worker keeps.
+TRAIN_DOCS, RUN, CACHE = 8_000, 32, 120_000
 #: Added to every piece's count; the probability of a character that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -236,13 +237,16 @@ def predictor(spark: SparkSession, model: Unigrams):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, probabilities = shared.value
         scorer = Scorer(Unigrams(langs, probabilities)) if langs else None
+        rows: dict[str, int] = {}
+        values = np.zeros((0, len(langs)))
         for texts in batches:
             preds, scores, at = [], [], 0
             while at < len(texts):
-                rows: dict[str, int] = {}
+                if len(rows) > CACHE:
+                    rows, values = {}, np.zeros((0, len(langs)))
                 ids: list[int] = []
                 ends: list[int] = []
-                while at < len(texts) and len(ids) < 600_000:
+                while at < len(texts) and len(ids) < 300_000:
                     ids += [rows.setdefault(r, len(rows)) for r in LETTERS.findall((texts.iat[at] or "").lower())]
                     ends.append(len(ids))
                     at += 1
@@ -250,15 +254,18 @@ def predictor(spark: SparkSession, model: Unigrams):
                     preds += ["und"] * len(ends)
                     scores += [0.0] * len(ends)
                     continue
+                values = np.vstack([values, scorer.log_probabilities(list(islice(rows, len(values), None)))])
                 lengths = np.diff([0, *ends])
                 some = np.flatnonzero(lengths)
                 totals = np.zeros((len(ends), scorer.width))
-                totals[some] = np.add.reduceat(scorer.log_probabilities(list(rows))[ids], (np.array(ends) - lengths)[some], axis=0)
+                totals[some] = np.add.reduceat(values[ids], (np.array(ends) - lengths)[some], axis=0)
                 best = totals.argmax(axis=1)
                 chance = 1.0 / np.exp(np.minimum(totals - totals.max(axis=1, keepdims=True), 0)).sum(axis=1)
                 preds += [langs[b] if n else "und" for b, n in zip(best, lengths, strict=True)]
                 scores += [float(c) if n else 0.0 for c, n in zip(chance, lengths, strict=True)]
             yield pd.DataFrame({"lang_pred": preds, "score": scores})
+        rows.clear()
+        give_back()
 
     return predict
 

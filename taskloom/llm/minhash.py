@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import connected_components, table, written
+from .shared import NO_ID, connected_components, give_back, small_batches, table, written
 
 #: Bands, permutations a band (each gives its minimum and its maximum), and words kept in a worker's cache.
-BANDS, PERMS_A_BAND, CACHE = 50, 3, 500_000
+BANDS, PERMS_A_BAND, CACHE = 50, 3, 100_000
 #: How many standard deviations below the threshold an estimate may fall before a candidate is dropped unread.
 SIGMAS = 6.5
 SEED = 20_240_229
@@ -105,6 +105,8 @@ def signed_documents(docs: DataFrame, k: int, bands: int, perms: int) -> DataFra
                     for row, i in enumerate(full):
                         keys[i], sketch[i], names[i] = band[row].view(np.int64), small[row].tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
                 yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes.astype(np.int64), "set_key": names, "keys": keys, "sketch": sketch})
+        words.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary")
 
@@ -144,6 +146,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for at in range(0, len(f), 200):
                 part = f.iloc[at : at + 200]
                 yield pd.DataFrame({"cid": part["doc_id"], "members": [shingle_set(t, k, words).tobytes() for t in part["text"]]})
+        words.clear()
+        give_back()
 
     return written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(sets, "cid long, members binary"))
 
@@ -227,8 +231,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
 
     docs: doc_id (long), text; other columns are ignored. A text that is null or has no
     words is linked with nothing. Repeated rows each get a row; rows with one doc_id count
-    as one document. No rows give no rows.
+    as one document. A null doc_id is an id like others, below all. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
     signed = written(signed_documents(docs, k, bands, perms_a_band))
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "doc_id").alias("s"))
@@ -243,7 +249,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
 
     score = large.groupBy("cid").agg(F.count("*").alias("score"))
     large = written(large.join(score, "cid"))
-    hubs = written(large.groupBy("key").agg(F.max_by("cid", F.struct("score", -F.col("cid"))).alias("hub")))
+    best = F.struct("score", -F.col("cid"))
+    hubs = large.groupBy("key").agg(F.max_by("cid", best).alias("hub"), F.max("score").alias("hub_score"))
+    # Groups of one family have several hubs: each gives way to the best hub of any group that it is in, twice.
+    better = F.max_by("hub", F.struct("hub_score", -F.col("hub"))).alias("better")
+    parents = written(large.join(hubs, "key").groupBy("cid").agg(better).withColumnRenamed("cid", "hub"))
+    for _ in range(2):
+        hubs = hubs.join(parents, "hub").select("key", F.col("better").alias("hub"))
+    hubs = written(hubs)
     family = large.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     family = written(compared(written(family), have, threshold))
     stars = small.join(small.groupBy("key").agg(F.min("cid").alias("rep")), "key").where("cid <> rep").select(*ordered)
@@ -281,7 +294,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     named = full.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "cid"), "set_key")
     named = named.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = named.unionByName(alone)
+    ids = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
+    return out.select(ids[0], "n_shingles", ids[1], (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def give_back() -> None:
+    """In a Python worker at a partition's end: memory that is free goes back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
     """Python workers get Arrow batches of at most `size`, where the session has Spark's own default of 64 MB."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "64m") in ("67108864b", "64m", "64MB"):

@@ -20,10 +20,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is what is left of all runs
 KINDS = ("assign", "access", "hex", "random")
-#: Strings that the token-efficiency test looks at, and what it leaves out.
+#: Strings that the token-efficiency test looks at, what it leaves out, and how far above its ratio the parts of a name are.
 STRING = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha(?:1|256|384|512)-[a-z0-9+/]+=*)", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+NAME = 1.125
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -35,9 +36,11 @@ def vocabulary(path: str):
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def identifier(s: str) -> bool:
-    """Words and numbers of a name: no more than one part, or number within a part, for each four characters."""
-    return len(PART.findall(s)) * 4 <= len(s)
+def identifier(s: str, ratio: float, encoding) -> bool:
+    """Words and numbers of a name: its parts, in lower case and without what stands between them, are long in tokens of the vocabulary, a number of up to four digits being one."""
+    parts = [p.lower() for p in PART.findall(s)]
+    tokens = sum(1 if p.isdigit() and len(p) <= 4 else len(encoding().encode_ordinary(p)) for p in parts)
+    return sum(map(len, parts)) >= NAME * ratio * tokens > 0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,11 +62,9 @@ def spans_of(text: str | None, ratio: float, encoding) -> list[tuple[int, int, i
     taken = [(a, b) for a, _, b in found]
     for m in STRING.finditer(text):
         s = m[0].strip("._=-")
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or DIGEST.fullmatch(s) or identifier(s):
+        if DIGEST.fullmatch(s) or any(a < m.end() and m.start() < b for a, b in taken):
             continue
-        if any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        if len(s) < ratio * len(encoding().encode_ordinary(s)):
+        if len(s) < ratio * len(encoding().encode_ordinary(s)) and not identifier(s, ratio, encoding):
             at = m.start() + m[0].index(s)
             found.append((at, 3, at + len(s)))
     return sorted(found)
@@ -74,11 +75,13 @@ def scanner(vocabulary_path: str = VOCABULARY, ratio: float = 2.0):
 
     Kinds assign, access and hex are the base forms, each leftmost and without overlap.
     Kind random is a string of 20 or more of `[A-Za-z0-9+/_=.-]` that no base span touches,
-    with letters and digits, that is no digest of a known length, no UUID and no name made of
-    words and numbers, and that the vocabulary cuts into so many tokens that a token has less
-    than `ratio` characters: text that is written by people has about four. A null text is
-    empty and has no spans; whole texts are read. The vocabulary file is read where a worker
-    meets its first candidate.
+    that is no digest of a known length and no UUID, and that the vocabulary cuts into so many
+    tokens that a token has less than `ratio` characters: text that is written by people has
+    about four. A name is excepted: its runs of letters of one word and of digits, in lower
+    case and without the signs between them, have NAME * ratio characters a token or more,
+    where a number of up to four digits, such as a year, is one token.
+    Case, digits and the number of parts do not matter. A null text is empty and has no spans;
+    whole texts are read. The vocabulary file is read where a worker meets its first candidate.
     """
 
     @F.pandas_udf(SPAN)

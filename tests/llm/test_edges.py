@@ -115,6 +115,23 @@ def test_secrets(spark, odd, empty):
     assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("alphabet, size", [("abcdefghijklmnopqrstuvwxyz234567", 20), ("abcdefghijklmnopqrstuvwxyz234567", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 26), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20)])
+def test_secrets_random_strings(alphabet, size):
+    """Random strings of any case, with digits or without, are found wherever the ratio says so; names are not."""
+    rng = np.random.default_rng(size)
+    encoding = secrets.vocabulary(secrets.VOCABULARY)
+    for _ in range(300):
+        s = "".join(rng.choice(list(alphabet), size))
+        want = [(0, 3, size)] if len(s) < 2 * len(encoding.encode_ordinary(s)) else []
+        assert secrets.spans_of(s, 2.0, lambda: encoding) == want or secrets.base_spans(s)
+
+
+def test_secrets_names():
+    encoding = secrets.vocabulary(secrets.VOCABULARY)
+    names = "EXSLT_DYNAMIC_NAMESPACE HAVE_CURSES_RESIZETERM /usr/lib/x86_64-linux-gnu/libc.so.6 ERR_CRYPTO_JWK_UNSUPPORTED_CURVE getElementsByClassName2024 2024-01-02/2025-03-04"
+    assert secrets.spans_of(names, 2.0, lambda: encoding) == []
+
+
 def test_language(spark, odd, empty):
     model = language.train(odd)
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, model).collect()}

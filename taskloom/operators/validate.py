@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_json, identifier_words, sequence_ratio, stable_hash
 from .governed import Rejected, Result, execute
 
+#: Words, or characters of shorter texts, by which texts that may leak meet prompts; rows of keys a batch.
+KEY_WORDS, KEY_CHARS, KEY_ROWS = 3, 8, 50_000
+
 
 def search_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(query, name, score, place): how well items answer a query's words.
@@ -127,24 +132,74 @@ def summary(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(F.count("*").alias("n"), rate("exact").alias("exact_rate"), rate("semantic").alias("semantic_rate"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("tool_events").alias("tool_events"))
 
 
-def leaks(prompts: DataFrame, hidden: DataFrame, least: int = 20) -> DataFrame:
-    """(prompt_id, item_id): hidden texts of at least `least` characters that occur in a prompt from the beginning of a word, white space and case aside.
+def normalised(text: str | None) -> str:
+    """A text without white space around it and `;` at its end, other white space as one space, case folded."""
+    return re.sub(r"\s+", " ", (text or "").strip().rstrip(";")).casefold()
+
+
+def leak_key(h: str) -> tuple[str, int, str]:
+    """(kind, size, key) that every text containing h has: a text's words except first and last are whole words there."""
+    w = h.split(" ")
+    if len(w) >= 3:
+        n = min(len(w) - 2, KEY_WORDS)
+        return "words", n, max((" ".join(w[i : i + n]) for i in range(1, len(w) - n)), key=len)
+    if len(w) == 1:
+        return "inside", len(h[:KEY_CHARS]), h[:KEY_CHARS]
+    if len(w[1]) >= len(w[0]):
+        return "head", len(w[1][:KEY_CHARS]), w[1][:KEY_CHARS]
+    return "tail", len(w[0][-KEY_CHARS:]), w[0][-KEY_CHARS:]
+
 
-    A text of three words or more shares its first two with the prompt, one of two its
-    first, and one of a single word the beginning of one: candidates meet by equality, and
-    are then compared whole.
+def leak_keys(p: str, kind: str, n: int) -> set[str]:
+    """All keys of a kind and size in p: runs of n words, or n characters at the head, at the tail or anywhere inside of a word."""
+    w = p.split(" ")
+    if kind == "words":
+        return set(map(" ".join, zip(*(w[i:] for i in range(n)), strict=False)))
+    if kind == "inside":
+        return {x[i : i + n] for x in set(w) for i in range(len(x) - n + 1)}
+    return {x[:n] if kind == "head" else x[-n:] for x in set(w) if len(x) >= n}
+
+
+def leaks(prompts: DataFrame, hidden: DataFrame, least: int = 1) -> DataFrame:
+    """(prompt_id, item_id): hidden texts that occur anywhere in a prompt, both as normalised() gives them.
+
+    Texts of `least` characters or more count, by default all that are not empty then. Texts
+    of three words or more meet prompts by inner words, texts of one and two by characters
+    within a word or at its ends, of the kinds and sizes that occur; what meets by equality
+    of hashes is then compared whole.
     """
-    norm = lambda c: F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    h = hidden.select("item_id", norm(F.col("text")).alias("h")).where(F.char_length("h") >= least).withColumn("w", F.split("h", " "))
-    first = F.when(F.size("w") >= 3, F.concat(F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1)))).when(F.size("w") == 2, F.get("w", F.lit(0))).otherwise(F.substring("h", 1, least))
-    h = h.select("item_id", "h", first.alias("key"))
-    p = prompts.select("prompt_id", norm(F.col("text")).alias("p")).withColumn("w", F.split("p", " "))
-    two = F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
-    long = F.transform(F.filter("w", lambda x: F.char_length(x) >= least), lambda x: F.substring(x, 1, least))
-    at = p.select("prompt_id", F.explode(F.array_distinct(F.flatten(F.array(two, F.col("w"), long)))).alias("key"))
-    pairs = at.join(h.select("item_id", "key"), "key").select("prompt_id", "item_id").distinct()
-    whole = F.startswith("p", "h") | F.contains("p", F.concat(F.lit(" "), "h"))
-    return pairs.join(p.select("prompt_id", "p"), "prompt_id").join(h.select("item_id", "h"), "item_id").where(whole).select("prompt_id", "item_id").distinct()
+
+    @F.pandas_udf("kind string, n int, h string, key string")
+    def keyed(texts: pd.Series) -> pd.DataFrame:
+        hs = [normalised(t) for t in texts]
+        return pd.DataFrame([(*k[:2], h, k[2]) for h, k in zip(hs, map(leak_key, hs), strict=True)], columns=["kind", "n", "h", "key"])
+
+    @F.pandas_udf("boolean")
+    def inside(texts: pd.Series, hs: pd.Series) -> pd.Series:
+        return pd.Series([h in normalised(t) for t, h in zip(texts, hs, strict=True)], dtype=bool)
+
+    h = hidden.select("item_id", keyed("text").alias("k")).select("item_id", "k.*").where(F.char_length("h") >= max(least, 1))
+    kinds = [tuple(r) for r in h.select("kind", "n").distinct().collect()]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out: list = []
+            for i, text in zip(f["prompt_id"], f["text"], strict=True):
+                p = normalised(text)
+                for kind, n in kinds:
+                    out += [(i, kind, n, k) for k in leak_keys(p, kind, n)]
+                if len(out) >= KEY_ROWS:
+                    yield pd.DataFrame(out, columns=["prompt_id", "kind", "n", "key"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["prompt_id", "kind", "n", "key"])
+
+    p = prompts.select("prompt_id", "text").where(F.col("prompt_id").isNotNull())  # no join meets a null; pandas would make others doubles
+    hashed = F.xxhash64("kind", "n", "key").alias("key")
+    at = p.mapInPandas(keys, f"prompt_id {prompts.schema['prompt_id'].dataType.simpleString()}, kind string, n int, key string").select("prompt_id", hashed)
+    pairs = at.join(h.select("item_id", hashed), "key").select("prompt_id", "item_id").distinct()
+    met = pairs.join(p, "prompt_id").join(h.select("item_id", "h"), "item_id")
+    return met.where(inside("text", "h")).select("prompt_id", "item_id").distinct()
 
 
 def agent_events(events: DataFrame) -> DataFrame:

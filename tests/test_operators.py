@@ -1,5 +1,7 @@
 """Rules of operators on small made inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,21 @@ def test_leaks(spark):
     assert [tuple(r) for r in validate.leaks(p, h).collect()] == [(1, 7)]
 
 
+def test_leaks_anywhere(spark):
+    """Short texts, texts after signs or inside words and texts with a final `;`, as by containment of every one in every prompt."""
+    texts = ["SELECT a, b FROM t;", "select A ,\n b", "forty two", "x", "42", "count(*)", "Straße", "a b", "the long and winding road", " ;", "", None, "SELECT a, b FROM t ;", "antidisestablishment", "ab;c ", "road ends"]
+    prompts = ["`select a, b\tfrom t`", "(SELECT A, B FROM T", "I'm forty twofold", "xx", "n=42.", "see:count(*)!", "STRASSE", "ba bb", "the\u00a0long and winding roads end", "", None, "ab;cd", "\"SELECT a, b FROM t ;\"", "preantidisestablishmentarian", "railroad endsong", "a  b", "select a , b"]
+    p = spark.createDataFrame(list(enumerate(prompts)), "prompt_id long, text string")
+    h = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+    def norm(s):
+        return re.sub(r"\s+", " ", (s or "").strip().rstrip(";")).casefold()
+
+    want = [(i, j) for i, a in enumerate(prompts) for j, b in enumerate(texts) if norm(b) and norm(b) in norm(a)]
+    got = sorted(tuple(r) for r in validate.leaks(p, h).collect())
+    assert got == want and len(want) >= 16 and {(0, 0), (1, 0), (2, 2), (4, 4), (5, 5), (6, 6)} <= set(got)
+
+
 def test_table_selection():
     edges = [("a", "b"), ("b", "c"), ("x", "y")]
     assert catalog.table_selection(edges, {"a": False, "b": False, "c": True, "x": True, "y": False}, {}, 2) == ["c", "b"]

@@ -19,6 +19,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS, RUN, CACHE = 8_000, 32, 120_000
 #: Added to every piece's count; the probability of a character that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-7
+#: A floor is calibrated on so many training documents at least, and lies so many times as far under the median as the 5th percentile, or so far at least;
+#: a document of fewer letters than SHORT has a wider one, as its mean varies more.
+CALIBRATE, SLACK, LEAST_SLACK, SHORT = 100, 5.0, 1.5, 100
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -167,6 +170,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def training(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """About train_docs labelled documents that are not held out, by a hash of their id."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    total = known.count()
+    if total > train_docs:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(1e6 * train_docs / total))
+    return known
+
+
 def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS, rounds: int = 1) -> Unigrams:
     """Piece probabilities by language from about train_docs labelled documents that are not held out.
 
@@ -174,10 +186,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS,
     expectation over all segmentations. The driver gets one number a piece and language.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = known.count()
-    if total > train_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(1e6 * train_docs / total))
+    known = training(docs, train_docs)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -222,28 +231,30 @@ def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS,
 
 
 def predictor(spark: SparkSession, model: Unigrams):
-    """A column function from a text to a struct (lang_pred, score).
+    """A column function from a text to a struct (lang_pred, score, mean, letters).
 
     A text's score is the product over its runs of letters of their probability, summed over
     all segmentations into pieces; languages have equal prior chances, and score is the
     chance of the one predicted, given that it is one of them. A text that is null or has no
     letter, or a model without languages, gives `und` and 0. Ties go to the first language
     by code point. Whole texts count; runs are scored once for all texts worked on together.
+    mean is the log probability a letter under lang_pred, 0 for `und`: unlike score it falls
+    with texts of none of the languages. letters is their number.
     """
     small_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.table))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, mean double, letters long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, probabilities = shared.value
         scorer = Scorer(Unigrams(langs, probabilities)) if langs else None
         rows: dict[str, int] = {}
-        values = np.zeros((0, len(langs)))
+        values, sizes = np.zeros((0, len(langs))), np.zeros(0, np.int64)
         for texts in batches:
-            preds, scores, at = [], [], 0
+            preds, scores, means, letters, at = [], [], [], [], 0
             while at < len(texts):
                 if len(rows) > CACHE:
-                    rows, values = {}, np.zeros((0, len(langs)))
+                    rows, values, sizes = {}, np.zeros((0, len(langs))), np.zeros(0, np.int64)
                 ids: list[int] = []
                 ends: list[int] = []
                 while at < len(texts) and len(ids) < 300_000:
@@ -253,23 +264,52 @@ def predictor(spark: SparkSession, model: Unigrams):
                 if scorer is None or not ids:
                     preds += ["und"] * len(ends)
                     scores += [0.0] * len(ends)
+                    means += [0.0] * len(ends)
+                    letters += [0] * len(ends)
                     continue
+                sizes = np.append(sizes, np.fromiter(map(len, islice(rows, len(values), None)), np.int64))
                 values = np.vstack([values, scorer.log_probabilities(list(islice(rows, len(values), None)))])
                 lengths = np.diff([0, *ends])
                 some = np.flatnonzero(lengths)
                 totals = np.zeros((len(ends), scorer.width))
-                totals[some] = np.add.reduceat(values[ids], (np.array(ends) - lengths)[some], axis=0)
+                starts = (np.array(ends) - lengths)[some]
+                totals[some] = np.add.reduceat(values[ids], starts, axis=0)
+                n_letters = np.zeros(len(ends), np.int64)
+                n_letters[some] = np.add.reduceat(sizes[ids], starts)
                 best = totals.argmax(axis=1)
                 chance = 1.0 / np.exp(np.minimum(totals - totals.max(axis=1, keepdims=True), 0)).sum(axis=1)
                 preds += [langs[b] if n else "und" for b, n in zip(best, lengths, strict=True)]
                 scores += [float(c) if n else 0.0 for c, n in zip(chance, lengths, strict=True)]
-            yield pd.DataFrame({"lang_pred": preds, "score": scores})
+                means += (totals.max(axis=1) / np.maximum(n_letters, 1)).tolist()
+                letters += n_letters.tolist()
+            yield pd.DataFrame({"lang_pred": preds, "score": scores, "mean": means, "letters": letters})
         rows.clear()
         give_back()
 
     return predict
 
 
+def floors(docs: DataFrame, predict) -> dict[str, tuple[float, float]]:
+    """By language (median, slack) of mean of its training documents; languages with few have those of all, and with few in all none.
+
+    A text of a language has a mean of median - slack or more, see likely().
+    """
+    judged = training(docs).select("lang", predict("text").alias("p")).where("p.letters > 0").select("lang", "p.mean")
+    stats = {r[0]: r[1:] for r in judged.rollup("lang").agg(F.percentile("mean", F.lit(0.5)), F.percentile("mean", F.lit(0.05)), F.count("*")).collect()}
+    whole = stats.pop(None, (0.0, 0.0, 0))
+    used = {lang: s if s[2] >= CALIBRATE else whole for lang, s in stats.items()}
+    return {lang: (mid, max(LEAST_SLACK, SLACK * (mid - low))) for lang, (mid, low, n) in used.items() if n >= CALIBRATE}
+
+
+def likely(judged: Column, by_lang: dict[str, tuple[float, float]]) -> Column:
+    """Whether a text that predictor() judged is probable, letter by letter, in the language predicted; true where no floor is known."""
+    wider = F.sqrt(F.lit(float(SHORT)) / F.least(F.lit(SHORT), F.greatest(F.lit(1), judged["letters"])))
+    low = F.lit(True)
+    for lang, (mid, slack) in by_lang.items():
+        low = F.when(judged["lang_pred"] == lang, judged["mean"] >= F.lit(mid) - F.lit(slack) * wider).otherwise(low)
+    return low
+
+
 def identify(docs: DataFrame, model: Unigrams) -> DataFrame:
     """(doc_id, lang_pred, score): predictor() on docs (doc_id, text; other columns are ignored). No rows give no rows."""
     p = docs.select("doc_id", predictor(docs.sparkSession, model)("text").alias("p"))

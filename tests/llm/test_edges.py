@@ -206,6 +206,24 @@ def test_pipeline_stages(spark, odd, empty, tmp_path):
     assert mixed.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
 
 
+def test_pipeline_drops_unlearned_languages(spark):
+    """Texts of languages that no label names, and gibberish of letters, go; all documents of the tables with letters stay."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(4)
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 5,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 5,
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. " * 5,
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 5,
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(100)),
+    ]
+    first = docs.first().asDict()
+    more = spark.createDataFrame([tuple((first | {"doc_id": -i - 1, "text": t, "lang": None}).values()) for i, t in enumerate(other)], docs.schema)
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_pipeline_run(spark):
     """run() against its stages by brute force, on the smallest tables."""
     import duckdb

@@ -40,21 +40,24 @@ def reconstruct(events: DataFrame) -> DataFrame:
     the message with seq target and all after it, as far as they came before the event, and
     begins a message of its own. Other kinds and null kinds are ignored.
 
-    The deltas and edits of a message are folded in the order of seq, ties by kind and text;
-    a group is one message, whatever its conversation holds. Null texts are empty; null
-    roles are empty; rows of one seq are messages of their own, in the order of role and
-    text, and share what is said of their seq. A null seq sorts first. A null conv_id is a
-    conversation. No rows give no rows.
+    A message's text is that of its last edit, or its own without one, and the deltas after it,
+    joined once: the work grows with the log and not with its square. Order is seq, ties by
+    kind and text; a group is one message, whatever its conversation holds. Null texts are
+    empty; null roles are empty; rows of one seq are messages of their own, in the order of
+    role and text, and share what is said of their seq. A null seq sorts first. A null conv_id
+    is a conversation. No rows give no rows.
     """
     e = events.select("conv_id", "seq", "kind", "target", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     starts = e.where(F.col("kind").isin("message", "regenerate"))
-    later = F.array_sort(F.collect_list(F.struct("seq", "kind", "text")))
-    begin = F.struct(F.lit(False).alias("edited"), F.lit("").alias("text"))
-    step = lambda acc, x: F.when(x["kind"] == "edit", F.struct(F.lit(True).alias("edited"), x["text"].alias("text"))).otherwise(F.struct(acc["edited"].alias("edited"), F.concat(acc["text"], x["text"]).alias("text")))
-    changes = e.where(F.col("kind").isin("delta", "edit")).groupBy(F.col("conv_id").alias("c"), F.col("target").alias("s")).agg(later.alias("later"))
-    changes = changes.select("c", "s", F.aggregate("later", begin, step).alias("change"))
+    at = F.struct("seq", "text")
+    last = F.max(F.when(F.col("kind") == "edit", at)).alias("last")
+    deltas = F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", at))).alias("deltas")
+    changes = e.where(F.col("kind").isin("delta", "edit")).groupBy(F.col("conv_id").alias("c"), F.col("target").alias("s")).agg(last, deltas)
+    after_last = lambda x: F.col("last").isNull() | F.coalesce(x["seq"] > F.col("last.seq"), x["seq"].isNotNull() & F.col("last.seq").isNull())
+    added = F.array_join(F.transform(F.filter("deltas", after_last), lambda x: x["text"]), "")
+    changes = changes.select("c", "s", F.col("last.text").alias("edited"), added.alias("added"))
     m = starts.join(changes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") == F.col("s")), "left")
-    text = F.when(F.col("change.edited"), F.col("change.text")).otherwise(F.concat("text", F.coalesce("change.text", F.lit(""))))
+    text = F.concat(F.coalesce("edited", "text"), F.coalesce("added", F.lit("")))
     after = W.partitionBy("conv_id").orderBy(F.col("seq").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     gone = F.min(F.when(F.col("kind") == "regenerate", F.col("target"))).over(after) <= F.col("seq")
     m = m.select("conv_id", "seq", "kind", "target", "role", text.alias("text")).withColumn("gone", gone)
@@ -67,7 +70,7 @@ def rendered(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     A conversation's text is its segments in the order of seq; a segment of loss_role has the
     span (code points, within the segment) that is under the loss mask, others an empty one.
     A segment a row keeps a conversation of any length out of any one string. Rows of one
-    seq are ordered by segment.
+    seq are in the order of role and text, as in reconstruct().
     """
     body = escaped(F.col("text"))
     head = F.concat(F.lit(START), escaped(F.col("role")), F.lit(MID))
@@ -76,10 +79,17 @@ def rendered(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return messages.select("conv_id", "seq", F.concat(head, body, F.lit(END)).alias("segment"), start.alias("loss_start"), end.cast("long").alias("loss_end"))
 
 
+def unescaped(col: Column) -> Column:
+    """unescape() as a column."""
+    return F.when(F.contains(col, F.lit("\\")), F.regexp_replace(col, r"(?s)\\(.)", "$1")).otherwise(col)
+
+
 def read_back(segments: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from rendered segments.
 
-    Segments stream through in order; only digests and counts of the conversation at hand are held.
+    Segments stream through in the order of seq, role and text, the last two as they are
+    without escapes; only digests and counts of the conversation at hand are held. What is
+    under the loss mask is looked up in the formatted text by its span.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +121,9 @@ def read_back(segments: DataFrame) -> DataFrame:
     small_batches(segments.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     s = segments.select(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv"), "seq", "segment", "loss_start", "loss_end")
-    s = s.repartition("none", "conv").sortWithinPartitions("none", "conv", "seq", "segment")
+    role = F.expr(f"substring(segment, {len(START) + 1}, cast(loss_start AS int) - {len(START) + len(MID)})")
+    text = F.expr(f"substring(segment, cast(loss_start AS int) + 1, char_length(segment) - cast(loss_start AS int) - {len(END)})")
+    s = s.repartition("none", "conv").sortWithinPartitions("none", "conv", "seq", unescaped(role), unescaped(text))
     return s.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

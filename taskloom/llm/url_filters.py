@@ -11,7 +11,11 @@ from .shared import ascii_lower, connected_components, table, written
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: Scheme and host, path and query of an address without fragment.
+SITE = r"(?s)^([^:/?]*://[^/?]*)([^?]*)(.*)$"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Not read as HTML: comments and scripts, to their end or that of the page.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
 GOES_TO = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -35,8 +39,13 @@ def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 def node_of(url: Column) -> Column:
-    """What an address is known by in the graph: all before #."""
-    return F.regexp_extract(url, r"^[^#]*", 0)
+    """What an address is known by in the graph: all before #, with scheme and host in lower case (A-Z) and the path without `.` and `..`."""
+    u = F.regexp_extract(url, r"^[^#]*", 0)
+    site, path, rest = F.regexp_extract(u, SITE, 1), F.regexp_extract(u, SITE, 2), F.regexp_extract(u, SITE, 3)
+    climb = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).otherwise(F.concat(acc, F.lit("/"), x))
+    steps = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    plain = F.when(F.contains(path, F.lit("/.")), F.aggregate(steps, F.lit(""), climb)).when(path == "", F.lit("/")).otherwise(path)
+    return F.when(u.rlike(SITE), F.concat(ascii_lower(site), plain, rest)).otherwise(u)
 
 
 def resolved(link: Column, base: Column) -> Column:
@@ -49,9 +58,10 @@ def resolved(link: Column, base: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's address and what its canonical link or its refresh redirect names."""
-    tags = F.array(F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), GOES_TO, 1))
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(tags).alias("link")).where("link <> ''")
+    """(a, b): a page's address and what each of its canonical links and refresh redirects names; those in comments and scripts do not count."""
+    some = pages.where(F.col("url").isNotNull() & (F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))).select("url", F.regexp_replace("html", HIDDEN, " ").alias("html"))
+    named = lambda tag, at: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, at, 1))
+    found = some.select("url", F.explode(F.concat(named(CANONICAL, HREF), named(REFRESH, GOES_TO))).alias("link")).where("link <> ''")
     return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("link"), F.col("url"))).alias("b")).where("a <> b")
 
 
@@ -63,7 +73,8 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
     found in the pages' HTML, and over `redirects` (from_url, to_url). In a class with an
     address that a rule allows it is allowed, else in a class with a blocked address it is
     blocked; else, and without any link, it is allowed. Addresses that are linked to but are
-    no pages count in their classes. Fragments do not tell addresses apart.
+    no pages count in their classes. Addresses are the same that differ in the fragment, in
+    the case of scheme and host, or in `.` and `..` in the path; an empty path is `/`.
 
     pages: page_id, url, html; other columns are ignored. A null url has an empty host and
     path, no rule and no class; null html has no links. Repeated rows each get a row. No
@@ -91,14 +102,22 @@ SQL = r"""
 WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
 p AS (SELECT page_id, url, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 link AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS l
-  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-e AS (SELECT DISTINCT regexp_extract(url, '^[^#]*') AS a, regexp_extract(CASE WHEN contains(l, '://') THEN l
+  SELECT url, unnest(list_concat(
+    list_transform(regexp_extract_all(h, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(h, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS l
+  FROM (SELECT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)', ' ', 'g') AS h FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)),
+r AS (SELECT DISTINCT url, CASE WHEN contains(l, '://') THEN l
         WHEN starts_with(l, '//') THEN regexp_extract(url, '^[^:/?#]*:') || l
         WHEN starts_with(l, '/') THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || l
-        ELSE regexp_replace(regexp_extract(url, '^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)', 1), '([^/])$', '\1/') || l END, '^[^#]*') AS b FROM link WHERE l <> ''),
+        ELSE regexp_replace(regexp_extract(url, '^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)', 1), '([^/])$', '\1/') || l END AS b FROM (SELECT url, replace(l, '&amp;', '&') AS l FROM link WHERE l <> '')),
+-- known by: no fragment, lower-case scheme and host, no dot steps in the path
+part AS (SELECT raw, u, regexp_extract(u, '(?s)^([^:/?]*://[^/?]*)([^?]*)(.*)$', 1) AS s, regexp_extract(u, '(?s)^([^:/?]*://[^/?]*)([^?]*)(.*)$', 2) AS pa, regexp_extract(u, '(?s)^([^:/?]*://[^/?]*)([^?]*)(.*)$', 3) AS re
+         FROM (SELECT raw, regexp_extract(raw, '^[^#]*') AS u FROM (SELECT url AS raw FROM pages WHERE url IS NOT NULL UNION SELECT b FROM r))),
+node AS (SELECT raw, CASE WHEN s = '' THEN u ELSE translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+           || CASE WHEN contains(pa, '/.') THEN list_reduce(string_split(regexp_replace(regexp_replace(pa, '^/', ''), '(^|/)(\.\.?)$', '\1\2/'), '/'),
+                lambda acc, x: CASE WHEN x = '.' THEN acc WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END, '')
+              WHEN pa = '' THEN '/' ELSE pa END || re END AS n FROM part),
+e AS (SELECT DISTINCT x.n AS a, y.n AS b FROM r JOIN node x ON x.raw = r.url JOIN node y ON y.raw = r.b),
 sym AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 reach(a, b) AS (SELECT a, a FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
 known AS (SELECT b AS url, translate(regexp_extract(substr(b, instr(b, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -111,5 +130,5 @@ j AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGH
 b AS (SELECT *, (SELECT arg_max({'rule': rh || rp, 'verdict': verdict}, length(rh || rp)) FROM rules
                  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS r FROM j)
 SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, s.v, 'allow') AS verdict
-FROM b LEFT JOIN spread s ON s.node = regexp_extract(b.url, '^[^#]*')
+FROM b LEFT JOIN node n ON n.raw = b.url LEFT JOIN spread s ON s.node = n.n
 """

@@ -138,3 +138,57 @@ def test_op6_folds_events(spark):
     e = [(1, 0, "message", None, "user", "hi"), (1, 1, "message", None, "assistant", "He"), (1, 2, "delta", 1, None, "llo"), (1, 3, "regenerate", 1, "assistant", "Hey"), (1, 4, "delta", 3, None, "!"), (1, 5, "edit", 0, None, "hi there"), (1, 6, "message", None, "user", "bye"), (None, 0, "message", None, None, None)]
     m = chat.reconstruct(spark.createDataFrame(e, "conv_id long, seq long, kind string, target long, role string, text string")).collect()
     assert sorted((r.conv_id or 0, r.seq, r.role, r.text) for r in m) == [(0, 0, "", ""), (1, 0, "user", "hi there"), (1, 3, "assistant", "Hey!"), (1, 6, "user", "bye")]
+
+
+def test_op6_ties(spark):
+    """Rows of one turn go by role and text, escapes aside, in the query's code and in its SQL."""
+    t = [(1, 0, "user", "x"), (1, 0, "user", "x y"), (1, 0, "user", "x|>"), (1, 0, "user", "x<|"), (1, 0, "user", "x\\\\"), (1, 0, "us", "z"), (1, 0, "us<|er", "z"), (1, 0, "assistant", "[INST"), (1, 0, "assistant", "[INST]"), (2, 5, None, None), (2, 5, "user", "")]
+    got = chat.read_back(chat.rendered(chat.reconstruct(chat.turn_events(spark.createDataFrame(t, "conv_id long, turn long, role string, text string"))))).toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", t)
+    want = con.execute(chat.SQL).df()
+    same = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
+    assert rows(got[same]) == rows(want[want.conv_id > 0][same])
+
+
+def test_op6_many_deltas(spark):
+    n = 10_000
+    e = [(1, 0, "message", None, "assistant", "start ")] + [(1, i, "delta", 0, None, f"{i} ") for i in range(1, n)] + [(1, 5_000, "edit", 0, None, "new ")]
+    m = chat.reconstruct(spark.createDataFrame(e, "conv_id long, seq long, kind string, target long, role string, text string")).collect()
+    assert [r.text for r in m] == ["new " + "".join(f"{i} " for i in range(5_001, n))]
+
+
+def test_op3_made_pages(spark):
+    """Pages with links of all forms, whose classes are chains, stars and cycles: the operator against its SQL."""
+    from taskloom.llm import url_filters
+
+    rng = np.random.default_rng(8)
+    hosts = [f"{h}{i}.{t}" for i in range(25) for h, t in (("a", "net"), ("A", "net"), ("b", "com"), ("B", "COM"))] + ["c.org", "w.example.org"]
+    paths = ["/", "", "/fr/1", "/de/2", "/x/../de/3", "/es/./4", "/en/1", "/x/y", "/z?q=1", "/a/b/..", "/.."]
+
+    def address():
+        return f"{rng.choice(['http', 'HTTP', 'https'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '#f'])}"
+
+    def tag():
+        to = rng.choice([address(), rng.choice(["/de/2", "../fr/1", "y", "//e.net/x?a&amp;b"])])
+        t = rng.choice([f'<link rel="canonical" href="{to}">', f"<LINK href='{to}' rel=canonical />", f'<meta http-equiv="refresh" content="0; url={to}">', f'<link rel="stylesheet" href="{to}">'])
+        return rng.choice([t, t, t, f"<!-- {t} -->", f"<script>'{t}'</script>", f"<!-- {t}"])
+
+    t = [(i, address() if rng.random() < 0.95 else rng.choice(["", "no scheme"]), "<p>x</p>\n".join(tag() for _ in range(rng.integers(0, 3)))) for i in range(300)] + [(500, None, None), (501, "http://a.net/", None)]
+    got = url_filters.filter_urls(spark.createDataFrame(t, "page_id long, url string, html string")).select("page_id", "host", "path", "rule", "verdict").toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", t)
+    want = con.execute(url_filters.SQL).df()
+    assert (want.rule.isna() & (want.verdict == "block")).any()
+    assert rows(got) == rows(want)
+
+
+def test_op3_very_long(spark):
+    from taskloom.llm import url_filters
+
+    deep = "http://a.net/" + "x/" * 50_000
+    t = [(1, deep + "../y", "<p>" * 300_000 + '<link rel=canonical href="http://b.com/de/1">'), (2, "HTTP://A.net/" + "x/" * 49_999 + "y", "<!--" * 100_000)]
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(spark.createDataFrame(t, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}

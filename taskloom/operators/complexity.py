@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What each feature counts, in a text with white space collapsed, in either case.
+# What each feature counts, in a text with white space collapsed, in either case. CTEs have a pattern of their own, as only names that are defined count.
 FEATURES = {
-    "recursive": r"\bWITH\s+RECURSIVE\b", "join": r"\bJOIN\b", "left_join": r"\bLEFT(?:\s+OUTER)?\s+JOIN\b", "select": r"\bSELECT\b", "group_by": r"\bGROUP\s+BY\b", "having": r"\bHAVING\b", "distinct": r"\bDISTINCT\b", "case": r"\bCASE\b", "window": r"\bOVER\s*\(", "limit": r"\bLIMIT\b",
-    "window_navigation": r"\b(?:LAG|LEAD|FIRST_VALUE|LAST_VALUE|NTH_VALUE)\s*\(", "window_ranking": r"\b(?:ROW_NUMBER|RANK|DENSE_RANK|NTILE|PERCENT_RANK|CUME_DIST)\s*\(", "window_frame": r"\b(?:ROWS|RANGE|GROUPS)\s+BETWEEN\b", "set_operation": r"\b(?:UNION(?:\s+ALL)?|INTERSECT|EXCEPT)\b",
-    "exists": r"\b(?:NOT\s+)?EXISTS\s*\(", "in_subquery": r"\bIN\s*\(\s*SELECT\b", "scalar_subquery": r"\(\s*SELECT\b", "conditional_aggregate": r"\b(?:SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?CASE\b", "date_time": r"\b(?:DATE|DATETIME|JULIANDAY|STRFTIME|TIMESTAMPDIFF|DATE_TRUNC)\s*\(",
-    "json": r"\bJSON_(?:EXTRACT|EACH|ARRAY|OBJECT|TYPE)\s*\(", "string_transform": r"\b(?:SUBSTR|REPLACE|INSTR|LOWER|UPPER|TRIM|PRINTF)\s*\(", "math": r"\b(?:ABS|ROUND|POWER|SQRT|EXP|LOG|LN|SIN|COS|ACOS|RADIANS)\s*\(", "null_handling": r"\b(?:COALESCE|NULLIF|IFNULL)\s*\(",
     "cte": r"(?:\bWITH\s+(?:RECURSIVE\s+)?|,)\s*([A-Za-z_][\w$]*)\s+AS\s*\(",
+    "recursive": r"\bWITH\s+RECURSIVE\b",
+    "join": r"\bJOIN\b",
+    "left_join": r"\bLEFT(?:\s+OUTER)?\s+JOIN\b",
+    "select": r"\bSELECT\b",
+    "group_by": r"\bGROUP\s+BY\b",
+    "having": r"\bHAVING\b",
+    "distinct": r"\bDISTINCT\b",
+    "case": r"\bCASE\b",
+    "window": r"\bOVER\s*\(",
+    "window_navigation": r"\b(?:LAG|LEAD|FIRST_VALUE|LAST_VALUE|NTH_VALUE)\s*\(",
+    "window_ranking": r"\b(?:ROW_NUMBER|RANK|DENSE_RANK|NTILE|PERCENT_RANK|CUME_DIST)\s*\(",
+    "window_frame": r"\b(?:ROWS|RANGE|GROUPS)\s+BETWEEN\b",
+    "set_operation": r"\b(?:UNION(?:\s+ALL)?|INTERSECT|EXCEPT)\b",
+    "exists": r"\b(?:NOT\s+)?EXISTS\s*\(",
+    "in_subquery": r"\bIN\s*\(\s*SELECT\b",
+    "scalar_subquery": r"\(\s*SELECT\b",
+    "conditional_aggregate": r"\b(?:SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?CASE\b",
+    "date_time": r"\b(?:DATE|DATETIME|JULIANDAY|STRFTIME|TIMESTAMPDIFF|DATE_TRUNC)\s*\(",
+    "json": r"\bJSON_(?:EXTRACT|EACH|ARRAY|OBJECT|TYPE)\s*\(",
+    "string_transform": r"\b(?:SUBSTR|REPLACE|INSTR|LOWER|UPPER|TRIM|PRINTF)\s*\(",
+    "math": r"\b(?:ABS|ROUND|POWER|SQRT|EXP|LOG|LN|SIN|COS|ACOS|RADIANS)\s*\(",
+    "null_handling": r"\b(?:COALESCE|NULLIF|IFNULL)\s*\(",
+    "limit": r"\bLIMIT\b",
 }
 TOKEN = r"[A-Za-z_][\w$]*|\d+(?:\.\d+)?|<>|!=|<=|>=|\S"
 WEIGHTS = {"tokens": 0.012, "cte": 1.2, "join": 0.8, "more_selects": 1.4, "window": 2.2, "set_operation": 2.0, "exists": 1.5, "conditional_aggregate": 1.2, "case": 0.8, "date_time": 1.0, "json": 1.0, "depth": 1.2}
@@ -44,7 +63,7 @@ def profile(texts: DataFrame) -> DataFrame:
 
 
 def distribution(profiles: DataFrame, features: tuple[str, ...] = SUMMARY) -> DataFrame:
-    """(feature, least, p25, p50, p75, p90, most, mean) over all profiles."""
+    """(feature, least, p25, p50, p75, p90, most, mean) over all profiles; percentiles interpolate between ranks, see percentiles()."""
     long = profiles.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*")
     q = F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
     g = long.groupBy("feature").agg(F.min("x").alias("least"), q.alias("q"), F.max("x").alias("most"), F.avg("x").alias("mean"))

@@ -51,14 +51,17 @@ def first_per_task(sessions: DataFrame) -> DataFrame:
 def parse_sessions(events: DataFrame) -> DataFrame:
     """(session, prompt, turns) of events (session, seq, type, role, text, tool): sessions that submitted a query.
 
-    The last user message before the submission is the prompt; turns are assistant messages and tool results in order.
+    The prompt is the last user message with a text before the first submission; turns are
+    assistant messages and tool results in order. A session without either is left out.
     """
-    g = events.groupBy("session").agg(
-        F.max_by(F.when(F.col("type") == "user/message", F.col("text")), F.when(F.col("type") == "user/message", F.col("seq"))).alias("prompt"),
+    first = F.min(F.when(F.col("tool") == "sql_submit", F.col("seq"))).over(W.partitionBy("session"))
+    asked = (F.col("type") == "user/message") & F.col("text").isNotNull() & (F.col("seq") < F.col("_submitted"))
+    g = events.withColumn("_submitted", first).groupBy("session").agg(
+        F.max_by(F.when(asked, F.col("text")), F.when(asked, F.col("seq"))).alias("prompt"),
         F.sort_array(F.collect_list(F.when(F.col("type").isin("assistant/message", "tool/result"), F.struct("seq", "type", "text")))).alias("turns"),
-        F.max((F.col("tool") == "sql_submit").cast("int")).alias("submitted"),
+        F.max("_submitted").alias("submitted"),
     )
-    return g.where("submitted = 1 AND prompt IS NOT NULL").select("session", "prompt", F.transform("turns", lambda t: F.struct(t["type"].alias("type"), t["text"].alias("text"))).alias("turns"))
+    return g.where("submitted IS NOT NULL AND prompt IS NOT NULL").select("session", "prompt", F.transform("turns", lambda t: F.struct(t["type"].alias("type"), t["text"].alias("text"))).alias("turns"))
 
 
 def majority_vote(seeds: DataFrame) -> DataFrame:

@@ -148,10 +148,19 @@ def join_existence_probe(spark, d):
     return a.join(F.broadcast(b), F.lit(True))  # one row each
 
 
-@checked("SELECT count(*) AS n FROM (SELECT 1 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey LIMIT 1)")
+@checked(
+    """SELECT (SELECT count(*) FROM (SELECT 1 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_returnflag = 'R' AND b.l_returnflag <> 'R' LIMIT 1)) AS returned_and_kept,
+    (SELECT count(*) FROM (SELECT 1 FROM lineitem a JOIN part b ON a.l_partkey = b.p_partkey AND a.l_suppkey = -b.p_size LIMIT 1)) AS part_and_size,
+    (SELECT count(*) FROM (SELECT 1 FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND a.s_suppkey = b.c_custkey LIMIT 1)) AS same_key_and_nation"""
+)
 def join_composite_probe(spark, d):
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    return li.join(li.distinct(), ["l_orderkey", "l_partkey", "l_suppkey"], "left_semi").limit(1).agg(F.count("*").alias("n"))
+    """Whether two keys together meet: lines of one order and part with and without a return, never-met keys, and suppliers with a customer's number and nation."""
+    li, part = read(spark, d, "lineitem"), read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (-F.col("p_size")).cast("long").alias("l_suppkey"))
+    probe = lambda a, b, on, name: a.select(*on).join(b.select(*on), on, "left_semi").limit(1).agg(F.count("*").alias(name))
+    a = probe(li.where("l_returnflag = 'R'"), li.where("l_returnflag <> 'R'"), ["l_orderkey", "l_partkey"], "returned_and_kept")
+    b = probe(li, part, ["l_partkey", "l_suppkey"], "part_and_size")
+    c = probe(read(spark, d, "supplier").toDF("key", "name", "nation", "balance"), read(spark, d, "customer").toDF("key", "name", "nation", "balance", "segment"), ["key", "nation"], "same_key_and_nation")
+    return a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(c), F.lit(True))  # one row each
 
 
 @checked("SELECT a.r_name, b.n_name FROM (SELECT r_name, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') AS k FROM region) a JOIN (SELECT n_name, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k FROM nation) b ON substr(a.k, 1, 2) = substr(b.k, 1, 2)")
@@ -383,6 +392,6 @@ def fn_division(spark, d):
     return p.select("a", "b", compat.div(F.col("a"), F.col("b")).alias("real"), compat.int_div(F.col("a"), F.col("b")).alias("whole"))
 
 
-@checked("SELECT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, lower(trim(regexp_replace(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) AS words, CASE WHEN ends_with(p_type, 'ies') AND length(p_type) > 3 THEN regexp_replace(p_type, 'ies$', 'y') WHEN ends_with(p_type, 's') AND NOT ends_with(p_type, 'ss') AND length(p_type) > 1 THEN regexp_replace(p_type, 's$', '') ELSE p_type END AS one, sha256('7' || chr(0) || p_partkey::VARCHAR) AS ord FROM part")
+@checked("SELECT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, lower(trim(regexp_replace(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) AS words, (SELECT array_to_string(w[:-2], '') || CASE WHEN regexp_matches(w[-1], '^.+ies$') THEN regexp_replace(w[-1], 'ies$', 'y') WHEN regexp_matches(w[-1], '^.+[^s]s$') THEN regexp_replace(w[-1], 's$', '') ELSE w[-1] END FROM (SELECT string_split(lower(trim(regexp_replace(CASE p_partkey % 3 WHEN 0 THEN p_type || '_categories' WHEN 1 THEN p_type || 'Is' ELSE p_type || ' classes_boss' END, '[^A-Za-z0-9]+|([a-z0-9])([A-Z])', '\\1 \\2', 'g'))), ' ') AS w)) AS one, sha256('7' || chr(0) || p_partkey::VARCHAR) AS ord FROM part")
 def text_identifiers(spark, d):
-    return read(spark, d, "part").select("p_name", X.normalize_identifier(F.col("p_name")).alias("norm"), X.humanize(F.col("p_type")).alias("words"), X.singular(F.col("p_type")).alias("one"), X.stable_order_key("7", F.col("p_partkey")).alias("ord"))
+    return read(spark, d, "part").select("p_name", X.normalize_identifier(F.col("p_name")).alias("norm"), X.humanize(F.col("p_type")).alias("words"), X.singular(F.concat("p_type", F.when(F.col("p_partkey") % 3 == 0, "_categories").when(F.col("p_partkey") % 3 == 1, "Is").otherwise(" classes_boss"))).alias("one"), X.stable_order_key("7", F.col("p_partkey")).alias("ord"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog, complexity, curriculum, governed, trajectories, validate
-from ..sources import files, read, register
+from ..sources import TABLES, files, read, register
 from .authored import AUTHORED
-from .dialect import SPARK
+from .dialect import DUCK, SPARK
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,28 +78,41 @@ def sql_profile(spark, d):
     return p.select("id", *complexity.FEATURES, "chars", "tokens")
 
 
-@checked()
+_DEPTH = f"""m AS (SELECT id, unnest(x) AS mark, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(regexp_replace(q, {quoted(complexity.QUOTED)}, ' ', 'g'), '(?i)[()]|\\bSELECT\\b') AS x FROM c)),
+    o AS (SELECT id, mark, sum(CASE mark WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS n FROM m), dep AS (SELECT id, coalesce(max(n) FILTER (mark NOT IN ('(', ')')), 0)::INT AS depth FROM o GROUP BY id)"""
+_SCORE = " + ".join(f"""{w}::DOUBLE * {'greatest(0, "select" - 1)' if n == 'more_selects' else f'"{n}"'}""" for n, w in complexity.WEIGHTS.items())
+#: Counts, depth, score and families of the corpus, in a dialect of its own: the open parentheses are a running sum.
+PROFILED = f"""WITH c(id, q) AS (VALUES {values_of_corpus()}), f AS (SELECT id, {_COUNTS}, greatest(0, {_N('scalar_subquery')} - {_N('cte')})::INT AS scalar_subquery, len(regexp_extract_all({_FLAT}, {quoted(complexity.TOKEN)}))::INT AS tokens FROM c), {_DEPTH},
+    p AS (SELECT *, round({_SCORE}, 3) AS score, list_filter([CASE WHEN cte >= 3 THEN 'multi_stage_cte' END, CASE WHEN "window" > 0 THEN 'window' END, CASE WHEN set_operation + "exists" + in_subquery > 0 THEN 'set_or_anti_join' END, CASE WHEN scalar_subquery >= 2 OR depth >= 2 THEN 'nested_subquery' END,
+        CASE WHEN "join" >= 3 AND cte >= 2 THEN 'grain_safe_multi_fact' END, CASE WHEN date_time + window_navigation + recursive > 0 THEN 'temporal_cohort_or_sequence' END, CASE WHEN "case" >= 2 OR conditional_aggregate > 0 THEN 'nontrivial_derived_classification' END], lambda x: x IS NOT NULL) AS families FROM f JOIN dep USING (id))"""
+_BANDS = """b(band, min_score, max_score, min_tokens, max_tokens, min_families) AS (VALUES ('foundation', 0.0::DOUBLE, 11.394::DOUBLE, 24.0::DOUBLE, 231.5::DOUBLE, 0), ('core', 11.394, 16.834, 0.65::DOUBLE * 127.0::DOUBLE, 231.5, 1), ('growth', 16.834, 22.833, 127.0, 304.5, 1), ('stretch', 22.833, 32.782, 170.0, 1.25::DOUBLE * 304.5::DOUBLE, 2))"""
+
+
+@checked(PROFILED + " SELECT id, score, depth, array_to_string(families, ',') AS families FROM p")
 def sql_families(spark, d):
     return complexity.profile(complexity.corpus(spark)).select("id", "score", "depth", F.array_join("families", ",").alias("families"))
 
 
-@checked()
+@checked(PROFILED + " , l AS (" + " UNION ALL ".join(f"""SELECT '{n}' AS feature, "{n}"::DOUBLE AS x FROM p""" for n in complexity.SUMMARY) + ") SELECT feature, min(x) AS least, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.9) AS p90, max(x) AS most, avg(x) AS mean FROM l GROUP BY feature")
 def sql_distribution(spark, d):
     return complexity.distribution(complexity.profile(complexity.corpus(spark)))
 
 
-@checked()
+@checked(PROFILED + " SELECT family, count(*) AS n, count(*) / (SELECT count(*) FROM p)::DOUBLE AS share FROM (SELECT unnest(families) AS family FROM p) GROUP BY family")
 def sql_prevalence(spark, d):
     return complexity.prevalence(complexity.profile(complexity.corpus(spark)))
 
 
-@checked()
+@checked(PROFILED + " SELECT id, score >= 22.833 AS meets_score, tokens >= 231.5 AS meets_tokens, score >= 22.833 AND tokens >= 231.5 AS meets_all FROM p")
 def sql_compare_targets(spark, d):
     p = complexity.compared(complexity.profile(complexity.corpus(spark)), {"score": 22.833, "tokens": 231.5})
     return p.select("id", "meets_score", "meets_tokens", "meets_all")
 
 
-@checked()
+@checked(
+    PROFILED + f""", {_BANDS}, j AS (SELECT p.*, b.*, array_to_string(list_filter([CASE WHEN score < min_score THEN 'score_low' END, CASE WHEN score > max_score THEN 'score_high' END, CASE WHEN tokens < min_tokens THEN 'tokens_low' END, CASE WHEN tokens > max_tokens THEN 'tokens_high' END, CASE WHEN len(families) < min_families THEN 'families' END], lambda x: x IS NOT NULL), ',') AS errors
+    FROM p JOIN b ON b.band = CASE left(id, 1) WHEN 'h' THEN 'stretch' WHEN 'c' THEN 'growth' ELSE 'core' END) SELECT id, band, errors = '' AS passed, errors FROM j"""
+)
 def sql_gate(spark, d):
     p = complexity.profile(complexity.corpus(spark))
     band = F.when(F.col("id").startswith("h"), "stretch").when(F.col("id").startswith("c"), "growth").otherwise("core")
@@ -121,19 +134,31 @@ def sql_audit(spark, d):
     return t.select("sql", *[governed.audit(F.col("sql"), m)["ok"].alias(m) for m in ("strict", "relaxed", "harness")])
 
 
-_REPLIES = ["Use ```sql\nSELECT 1\n``` then\nFINAL ANSWER: SELECT 2", "FINAL ANSWER:\n```sql\nSELECT 3\n```", "```sql\nSELECT 4\n``` and ```python\nx\n```", "nothing", "```\nwith a as (select 5) select * from a\n```"]
+#: A reply for each nation, in five forms; the SQL says by form what is to be found.
+_REPLY = "CASE n_nationkey % 5 WHEN 0 THEN concat('Use ```sql\\nSELECT ', n_name, '\\n``` then\\nFINAL ANSWER: SELECT 2') WHEN 1 THEN concat('FINAL ANSWER:\\n```sql\\nSELECT ', n_name, '\\n```') WHEN 2 THEN concat('```sql\\nSELECT ', n_name, '\\n``` and ```python\\nx\\n```') WHEN 3 THEN concat('nothing of ', n_name) ELSE concat('```\\nwith a as (select ', n_name, ') select * from a\\n```') END"
 
 
-@checked()
+@checked(
+    """SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN 'SELECT 2' WHEN 1 THEN s WHEN 2 THEN 'python' || chr(10) || 'x' WHEN 4 THEN w END AS answer, CASE n_nationkey % 5 WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN 'python' || chr(10) || 'x' WHEN 4 THEN w END AS fence,
+    CASE WHEN n_nationkey % 5 < 3 THEN s WHEN n_nationkey % 5 = 4 THEN w END AS "select", CASE WHEN n_nationkey % 5 = 1 THEN s END AS answer_fence FROM (SELECT *, 'SELECT ' || n_name AS s, 'with a as (select ' || n_name || ') select * from a' AS w FROM nation)"""
+)
 def sql_extract_final(spark, d):
-    t = spark.createDataFrame(list(enumerate(_REPLIES)), "id int, reply string")
+    t = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.expr(_REPLY).alias("reply"))
     return t.select("id", *[X.final_sql(F.col("reply"), v).alias(v) for v in ("answer", "fence", "select", "answer_fence")])
 
 
-@checked()
+@checked(
+    """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN n_nationkey % 3 = 0 THEN 'f_' || n_name END AS first, CASE WHEN n_nationkey % 3 = 1 THEN '{"name": "' || n_name || '"}' END AS object,
+    CASE WHEN n_nationkey % 3 = 0 THEN '<tool' WHEN n_nationkey % 3 = 1 THEN 'so ``' ELSE left(n_name || ' is | here', 5) END || '...[truncated]' AS cut, CASE WHEN n_nationkey % 3 = 2 THEN n_name || ' is \\| here' END AS cell FROM nation"""
+)
 def text_tool_calls(spark, d):
-    t = spark.createDataFrame([(1, 'a <tool_call>{"name": "sql_exec", "arguments": {"q": "SELECT 1"}}</tool_call> b'), (2, "<tool_call>broken</tool_call>"), (3, "none")], "id int, reply string")
-    return t.select("id", F.size(X.tool_calls(F.col("reply"))).alias("n"), F.get(X.tool_calls(F.col("reply"))["name"], F.lit(0)).alias("first"), X.json_object(F.col("reply")).alias("object"), X.truncated(F.col("reply"), 5).alias("cut"), X.markdown_cell(F.col("reply")).alias("cell"))
+    """Calls, objects, cuts and cells of a text for each nation."""
+    text = """CASE n_nationkey % 3 WHEN 0 THEN concat('<tool_call>{"name": "f_', n_name, '", "arguments": {"q": 1}}</tool_call> and <tool_call> {"name": "g"} </tool_call><tool_call>broken</tool_call><tool_call>{"nameless": 1}</tool_call>')
+        WHEN 1 THEN concat('so ```json\\n{"name": "', n_name, '"}\\n```') ELSE concat(n_name, ' is | here') END"""
+    t = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.expr(text).alias("reply"))
+    calls = X.tool_calls(F.col("reply"))
+    third = F.col("id") % 3 == 2
+    return t.select("id", F.size(calls).alias("n"), F.get(calls["name"], F.lit(0)).alias("first"), F.when(F.col("id") % 3 == 1, X.json_object(F.col("reply"))).alias("object"), X.truncated(F.col("reply"), 5).alias("cut"), F.when(third, X.markdown_cell(F.col("reply"))).alias("cell"))
 
 
 @checked("SELECT n_name, lower(trim(regexp_replace(regexp_replace('SELECT * FROM ' || n_name || ' ; ', '[;\\s]+$', ''), '\\s+', ' ', 'g'))) AS norm FROM nation")
@@ -144,28 +169,37 @@ def text_normalize_sql(spark, d):
 # Governed execution
 
 
-@checked()
+_GOVERNED = ("c01", "c05", "p04", "p10")
+
+
+@checked(" UNION ALL ".join(f"SELECT '{n}' AS query, (SELECT count(*) FROM ({AUTHORED[n](DUCK)}))::INT AS n_rows, true AS replayed" for n in _GOVERNED))
 def gov_execute(spark, d):
-    """Hashes of the authored queries, each run twice behind the audit: replay must agree."""
+    """The authored queries, each run twice behind the audit: replay must agree in hashes and columns."""
     register(spark, d)
     rows = []
-    for name in ("c01", "c05", "p04", "p10"):
+    for name in _GOVERNED:
         sql = AUTHORED[name](SPARK)
         a, b = governed.execute(spark, sql), governed.execute(spark, sql)
-        rows.append((name, len(a.rows), a.unordered_sha256, a.unordered_sha256 == b.unordered_sha256))
-    return spark.createDataFrame(rows, "query string, n_rows int, result_hash string, replayed boolean")
+        rows.append((name, len(a.rows), (a.columns, a.ordered_sha256, a.unordered_sha256) == (b.columns, b.ordered_sha256, b.unordered_sha256)))
+    return spark.createDataFrame(rows, "query string, n_rows int, replayed boolean")
 
 
-@checked()
+_MUTATIONS = (("m1", "filter", "c_acctbal > 0", "c_acctbal < 0"), ("m2", "order", "DESC", "ASC"), ("m3", "limit", "LIMIT 25", "LIMIT 24"), ("m4", "case", "SELECT", "select"))
+
+
+@checked(" UNION ALL ".join(f"SELECT '{i}' AS id, '{c}' AS category, 'ok' AS status, (SELECT list(t) FROM ({AUTHORED['c01'](DUCK)}) t) <> (SELECT list(t) FROM ({AUTHORED['c01'](DUCK).replace(old, new)}) t) AS distinguished" for i, c, old, new in _MUTATIONS))
 def gov_mutations(spark, d):
     register(spark, d)
-    tests = validate.mutate(spark, AUTHORED["c01"](SPARK), [{"id": "m1", "category": "filter", "old": "c_acctbal > 0", "new": "c_acctbal < 0"}, {"id": "m2", "category": "order", "old": "DESC", "new": "ASC"}, {"id": "m3", "category": "limit", "old": "LIMIT 25", "new": "LIMIT 24"}])
+    tests = validate.mutate(spark, AUTHORED["c01"](SPARK), [dict(zip(("id", "category", "old", "new"), m, strict=True)) for m in _MUTATIONS])
     return spark.createDataFrame([(t["id"], t["category"], t["status"], t["distinguished"]) for t in tests], "id string, category string, status string, distinguished boolean")
 
 
-@checked()
+@checked(
+    """WITH h AS (SELECT sha256('{"doc_id":' || coalesce('"' || doc_id || '"', 'null') || ',"quality":' || coalesce('"' || quality || '"', 'null') || ',"toxic":' || coalesce('"' || toxic || '"', 'null') || '}') AS h FROM labels)
+    SELECT count(*) AS n_rows, sha256('doc_id,quality,toxic:' || count(*) || ':' || sum(('0x' || substr(h, 1, 12))::BIGINT) || ':' || sum(('0x' || substr(h, 13, 12))::BIGINT)) AS result_hash FROM h"""
+)
 def gov_result_hash(spark, d):
-    return governed.result_hash(read(spark, d, "lineitem"))
+    return governed.result_hash(read(spark, d, "labels"))
 
 
 @checked("SELECT 'event_type' AS \"column\", count(*) FILTER (nullif(event_type, 'error') IS NULL) AS nulls FROM events UNION ALL SELECT 'user_id', 0 FROM (SELECT 1)")
@@ -184,15 +218,15 @@ def gov_budget(spark, d):
     return governed.budgeted(read(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).cast("double").alias("cost")), 6.0)
 
 
-@checked()
+@checked("SELECT doc_id::VARCHAR AS doc_id, coalesce(CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END, 'NULL') AS text, coalesce(lang, 'NULL') AS lang FROM documents")
 def gov_clipped(spark, d):
     return governed.clipped(read(spark, d, "documents").select("doc_id", "text", "lang"), 40)
 
 
-@checked()
+@checked(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES))
 def gov_list_tables(spark, d):
-    register(spark, d)
-    return governed.list_tables(spark, ["region", "nation", "customer", "orders", "lineitem"])
+    register(spark, d, TABLES)
+    return governed.list_tables(spark, list(TABLES))
 
 
 # Curriculum
@@ -203,13 +237,18 @@ def mix_alloc(spark, d):
     return curriculum.allocate_mix(spark, 107)
 
 
-@checked()
+@checked(
+    """WITH RECURSIVE s AS (SELECT 0::BIGINT AS place, ''::VARCHAR AS band, 0 AS g, 0 AS c, 0 AS f, 0 AS t UNION ALL
+      SELECT place + 1, b, g + (b = 'growth')::INT, c + (b = 'core')::INT, f + (b = 'foundation')::INT, t + (b = 'stretch')::INT FROM (
+        SELECT *, CASE greatest(dg, dc, df, dt) WHEN dg THEN 'growth' WHEN dc THEN 'core' WHEN df THEN 'foundation' ELSE 'stretch' END AS b FROM (
+          SELECT *, CASE WHEN g < 27 THEN (place + 1) * 27 - g * 107 END AS dg, CASE WHEN c < 48 THEN (place + 1) * 48 - c * 107 END AS dc, CASE WHEN f < 21 THEN (place + 1) * 21 - f * 107 END AS df, CASE WHEN t < 11 THEN (place + 1) * 11 - t * 107 END AS dt FROM s WHERE place < 107)))
+    SELECT place, band FROM s WHERE place > 0"""
+)
 def mix_schedule(spark, d):
-    order = curriculum.band_schedule({"foundation": 21, "core": 48, "growth": 27, "stretch": 11})
-    return spark.createDataFrame(list(enumerate(order)), "place int, band string")
+    return curriculum.band_schedule(spark, {"foundation": 21, "core": 48, "growth": 27, "stretch": 11}).withColumn("place", F.col("place").cast("long"))
 
 
-@checked()
+@checked(f"WITH {_BANDS} SELECT * FROM b")
 def mix_contracts(spark, d):
     return curriculum.contracts(spark)
 
@@ -234,10 +273,16 @@ def mix_round_robin(spark, d):
     return curriculum.round_robin(read(spark, d, "part").select(F.col("p_partkey").alias("slot")), ["a", "b", "c"], 1)
 
 
-@checked()
+@checked(
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN length(p_name) < 20 THEN 'instruction is short; ' ELSE '' END || 'sql is no query; no columns; bad bounds' WHEN 2 THEN 'a column is not in the instruction' ELSE 'bad bounds' END AS errors FROM part"""
+)
 def mix_shape_errors(spark, d):
-    rows = [(1, "List all customers by c_name please", "SELECT c_name FROM customer", ["c_name"], [1, 10]), (2, "short", "DROP TABLE x", [], [5, 1]), (3, "Which nation has the most orders?", "WITH a AS (SELECT 1 AS n) SELECT n FROM a", ["order_count"], [1, 5])]
-    t = spark.createDataFrame(rows, "id int, instruction string, sql string, expected_columns array<string>, row_bounds array<int>")
+    """A proposal for each part: sound, without anything that is asked for, with a column that is not said, with bounds of one number."""
+    k = F.col("p_partkey") % 4
+    t = read(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.when(k == 1, F.col("p_name")).otherwise(F.concat(F.lit("List all parts like "), "p_name", F.lit(" by P_Name, please"))).alias("instruction"), F.when(k == 1, "DROP TABLE part").otherwise(" with a AS (SELECT 1) SELECT 1").alias("sql"),
+        F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(F.lit("p_name"), F.lit("order_count"))).otherwise(F.array(F.lit("p_name"))).alias("expected_columns"), F.when(k == 1, F.array(F.lit(5), F.lit(1))).when(k == 3, F.array(F.lit(5))).otherwise(F.array(F.lit(1), F.lit(10))).alias("row_bounds"),
+    )
     return curriculum.shape_errors(t).select("id", F.array_join("shape_errors", "; ").alias("errors"))
 
 
@@ -281,7 +326,10 @@ def cat_exact_distinct(spark, d):
     return catalog.exact_distinct(read(spark, d, "part"), "p_brand", 10)
 
 
-@checked()
+@checked(
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {dim}::DOUBLE AS dim, count({c}) AS n, count(DISTINCT {c}) AS k, count(*) AS rows FROM {t}" for t, c, dim in (("customer", "c_name", 1), ("customer", "c_nationkey", 0), ("customer", "c_acctbal", 0), ("customer", "c_mktsegment", 0), ("orders", "o_custkey", 0), ("orders", "o_orderstatus", 0), ("orders", "o_totalprice", 0), ("orders", "o_orderdate", 0), ("orders", "o_orderpriority", 0)))
+    + """), s AS (SELECT *, round(dim + (1 - k / greatest(1, rows)::DOUBLE), 6) AS score FROM c WHERE k <= 20) SELECT "table", "column", score FROM s QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY score DESC, "column") <= 3"""
+)
 def cat_distinct_candidates(spark, d):
     t = {"customer": read(spark, d, "customer"), "orders": read(spark, d, "orders")}
     p = catalog.profile(t["customer"], "customer").unionByName(catalog.profile(t["orders"], "orders"))
@@ -302,21 +350,39 @@ def cat_keys(spark, d):
     return catalog.key_choice(out)
 
 
-@checked()
+_DECLARED = "c(\"table\", position, \"column\", kind) AS (SELECT table_name, ordinal_position - 1, column_name, data_type FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'labels'))"
+_TAGGED = f"""{_DECLARED}, f AS (SELECT *, CASE WHEN kind LIKE '%INT%' OR kind LIKE 'DOUBLE%' OR kind LIKE 'DECIMAL%' THEN 'numeric' WHEN kind LIKE '%TIME%' OR kind LIKE 'DATE%' THEN 'temporal' ELSE 'text' END AS family, string_split(lower("column"), '_') AS w, regexp_matches(replace(lower("column"), '_', ''), '(id|key|code|ref)$') AS ident FROM c),
+    g AS (SELECT *, array_to_string(list_filter([CASE WHEN ident THEN 'identifier' END, CASE WHEN list_has_any(w, {list(catalog.TEMPORAL_WORDS)}) OR family = 'temporal' THEN 'temporal' END, CASE WHEN list_has_any(w, {list(catalog.MEASURE_WORDS)}) AND family = 'numeric' THEN 'measure' END,
+        CASE WHEN list_has_any(w, {list(catalog.DIMENSION_WORDS)}) THEN 'dimension' END, CASE WHEN family = 'numeric' AND NOT ident THEN 'measure_candidate' END, CASE WHEN family = 'text' AND NOT ident THEN 'dimension_candidate' END], lambda x: x IS NOT NULL), ',') AS tags FROM f)"""
+
+
+@checked(f'WITH {_TAGGED} SELECT "table", "column", family, tags FROM g')
 def cat_semantic_tags(spark, d):
     t = catalog.semantic_tags(catalog.columns_of(spark, all_tables(spark, d)))
     return t.select("table", "column", "family", F.array_join("tags", ",").alias("tags"))
 
 
-@checked()
+#: Column pairs of the tables whose names are one without the prefix; each is probed in full.
+_NAMED_ALIKE = (("customer", "c_nationkey", "nation", "n_nationkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("customer", "c_nationkey", "supplier", "s_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("nation", "n_nationkey", "supplier", "s_nationkey"))
+_PROBED = " UNION ALL ".join(
+    f"SELECT '{lt}' AS left_table, '{lc}' AS left_column, '{rt}' AS right_table, '{rc}' AS right_column, (SELECT count(DISTINCT {lc}) FROM {lt}) AS ld, (SELECT count(DISTINCT {rc}) FROM {rt}) AS rd, (SELECT count(DISTINCT {lc}) FROM {lt} WHERE {lc} IN (SELECT {rc} FROM {rt})) AS common, (SELECT count({lc}) FROM {lt}) AS ln, (SELECT count({rc}) FROM {rt}) AS rn"
+    for lt, lc, rt, rc in _NAMED_ALIKE
+)
+_EDGES = f"""pr AS ({_PROBED}), ed AS (SELECT left_table, left_column, right_table, right_column, 1.0::DOUBLE AS name_similarity, false AS explicit_foreign_key, coalesce(common / nullif(least(ld, rd), 0)::DOUBLE, 0.0) AS overlap, CASE WHEN ld = ln AND rd = rn THEN '1:1' WHEN ld = ln THEN '1:n' WHEN rd = rn THEN 'n:1' ELSE 'n:m' END AS relationship,
+    round(least(1.0, 0.45 + 0.25 * (common > 0)::INT + 0.1 * least(1.0, 2 * coalesce(common / nullif(least(ld, rd), 0)::DOUBLE, 0.0)) + 0.05 * (ld = ln OR rd = rn)::INT), 6)::DOUBLE AS confidence, (ld = ln OR rd = rn) AND common > 0 AS fits FROM pr), e AS (SELECT * EXCLUDE fits FROM ed WHERE fits AND confidence >= 0.55)"""
+
+
+@checked(f"WITH {_EDGES} SELECT * FROM e")
 def cat_join_edges(spark, d):
     return catalog.join_edges(spark, all_tables(spark, d))
 
 
-@checked()
+@checked("SELECT 'lines' AS left_table, 'lines_too' AS right_table, ['l_orderkey', 'l_partkey'] AS columns, 0.82::DOUBLE AS confidence WHERE EXISTS (SELECT 1 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND b.l_linenumber > a.l_linenumber)")
 def cat_composite_joins(spark, d):
     li = read(spark, d, "lineitem")
-    return catalog.composite_joins(spark, {"lines": li.select("l_orderkey", "l_partkey", "l_quantity"), "lines_too": li.select("l_orderkey", "l_partkey", "l_tax")})
+    first = li.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    later = li.join(first.withColumnRenamed("l_linenumber", "first"), ["l_orderkey", "l_partkey"]).where("l_linenumber > first")
+    return catalog.composite_joins(spark, {"lines": first, "lines_too": later.select("l_orderkey", "l_partkey", "l_tax"), "parts": read(spark, d, "part").select((-F.col("p_partkey")).alias("l_partkey"), F.col("p_partkey").alias("l_orderkey"))})
 
 
 @checked("SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS left_distinct, (SELECT count(DISTINCT c_custkey) FROM customer) AS right_distinct, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS common, false AS left_unique, true AS right_unique")
@@ -341,9 +407,16 @@ def cat_layers(spark, d):
     return read(spark, d, "nation").select(n.alias("n_name"), catalog.layer(n).alias("layer"))
 
 
-@checked()
+_RELATIONS = "SELECT CASE n_nationkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'main_stg' ELSE 'stg' END AS schema, concat(CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 THEN 'stg_' ELSE '' END, 'Sales_', CAST(n_regionkey AS VARCHAR(8))) AS name FROM nation"
+
+
+@checked(
+    f"""WITH r AS (SELECT DISTINCT * FROM ({_RELATIONS})), f AS (SELECT *, lower(CASE WHEN schema = 'main' THEN name ELSE regexp_replace(schema, '^main_', '') || '_' || name END) AS flat FROM r)
+    SELECT schema, name, flat || CASE WHEN rn > 1 THEN '_' || rn ELSE '' END AS flat FROM (SELECT *, row_number() OVER (PARTITION BY flat ORDER BY schema <> 'main', schema, name) AS rn FROM f)"""
+)
 def cat_flattened(spark, d):
-    return catalog.flattened(spark.createDataFrame([("main", "orders"), ("main_stg", "orders"), ("stg", "orders"), ("main", "stg_orders")], "schema string, name string"))
+    register(spark, d, ("nation",))
+    return catalog.flattened(spark.sql(_RELATIONS).distinct())
 
 
 @checked("SELECT n_regionkey AS family, arg_max(n_name, (n_nationkey % 7, n_name)) AS name, max(n_nationkey % 7)::INT AS bytes FROM nation GROUP BY n_regionkey")
@@ -351,7 +424,10 @@ def cat_representative(spark, d):
     return catalog.representative(read(spark, d, "nation").select(F.col("n_regionkey").alias("family"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 7).alias("bytes")))
 
 
-@checked()
+@checked(
+    f"""WITH {_TAGGED}, {_EDGES}, k AS (SELECT "table", string_agg("column" || ':' || family, ',' ORDER BY position) AS columns FROM g WHERE "table" <> 'labels' GROUP BY "table"), j AS (SELECT left_table, string_agg(DISTINCT left_table || '.' || left_column || '=' || right_table || '.' || right_column, ',' ORDER BY left_table || '.' || left_column || '=' || right_table || '.' || right_column) AS joins FROM e GROUP BY left_table)
+    SELECT "table", columns, coalesce(joins, '') AS joins FROM k LEFT JOIN j ON left_table = k."table" """
+)
 def cat_digest(spark, d):
     t = all_tables(spark, d)
     edges = catalog.join_edges(spark, t)
@@ -362,22 +438,30 @@ def cat_digest(spark, d):
     return g.select("table", F.array_join("columns", ",").alias("columns"), F.array_join("joins", ",").alias("joins"))
 
 
-@checked()
+@checked(f"""WITH {_DECLARED}, {_EDGES} SELECT (SELECT count(DISTINCT "table") FROM c) AS tables, (SELECT count(*) FROM c) AS columns, (SELECT sum(n)::BIGINT FROM ({' UNION ALL '.join(f'SELECT count(*) AS n FROM {t}' for t in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'labels'))})) AS rows, (SELECT count(*) FROM e) AS joins""")
 def cat_summary(spark, d):
     t = all_tables(spark, d)
-    return catalog.summary(spark, t, catalog.join_candidates(catalog.columns_of(spark, t)))
+    return catalog.summary(spark, t, catalog.join_edges(spark, t))
 
 
-@checked()
+_TYPES = {"TIMESTAMP[]": "string", "BOOLEAN": "boolean", "HUGEINT": "decimal(38,0)", "UBIGINT": "decimal(20,0)", "TINYINT": "bigint", "DOUBLE": "double", "DECIMAL(18,3)": "decimal(18,3)", "DATE": "date", "TIMESTAMP WITH TIME ZONE": "timestamp", "TIME": "string", "INTERVAL": "string", "BLOB": "binary", "STRUCT(a INTEGER)": "string", "VARCHAR": "string", "GEOMETRY": "string"}
+
+
+@checked(f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in _TYPES.items())}) t(source, target)")
 def src_type_map(spark, d):
-    names = ["TIMESTAMP[]", "BOOLEAN", "HUGEINT", "UBIGINT", "TINYINT", "DOUBLE", "DECIMAL(18,3)", "DATE", "TIMESTAMP WITH TIME ZONE", "TIME", "INTERVAL", "BLOB", "STRUCT(a INTEGER)", "VARCHAR", "GEOMETRY"]
-    return files.mapped_type(spark.createDataFrame([(n,) for n in names], "source string"))
+    return files.mapped_type(spark.createDataFrame([(n,) for n in _TYPES], "source string"))
 
 
-@checked()
+@checked("SELECT lower(n_name) AS name, 'All of ' || n_name || CASE WHEN n_nationkey % 4 = 0 THEN ', told later' ELSE '' END AS description FROM nation")
 def src_doc_blocks(spark, d):
-    rows = [("a.md", "{% docs orders %} All orders. {% enddocs %} {% docs empty %} {% enddocs %}"), ("b.md", "{% docs orders %}later{% enddocs %}{% docs empty %}now said{% enddocs %}")]
-    return files.doc_blocks(spark.createDataFrame(rows, "path string, text string"))
+    """Two files a nation: some say something in the second only, and a second saying does not count."""
+    n = read(spark, d, "nation")
+    late = F.col("n_nationkey") % 4 == 0
+    block = lambda text: F.concat(F.lit("x {% docs "), F.regexp_replace(F.lower("n_name"), "[^a-z0-9_]", "_"), F.lit(" %}\n"), text, F.lit("\n{% enddocs %} {% docs other"), F.col("n_nationkey").cast("string"), F.lit(" %} {% enddocs %}"))
+    said = F.concat(F.lit("All of "), "n_name")
+    t = n.select(F.lit("a.md").alias("path"), block(F.when(late, " ").otherwise(said)).alias("text")).unionByName(n.select(F.lit("b.md").alias("path"), block(F.concat(said, F.lit(", told later"))).alias("text")))
+    names = n.select(F.regexp_replace(F.lower("n_name"), "[^a-z0-9_]", "_").alias("key"), F.lower("n_name").alias("lower"))
+    return files.doc_blocks(t).join(names, F.col("name") == F.col("key")).select(F.col("lower").alias("name"), "description")
 
 
 # Trajectories
@@ -404,7 +488,11 @@ def traj_dedupe(spark, d):
     return trajectories.first_per_task(read(spark, d, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("path")))
 
 
-@checked()
+@checked(
+    """WITH e AS (SELECT *, role IN ('user', 'system', 'tool') AS asked FROM (SELECT conv_id, turn, coalesce(role, '') AS role, text FROM conversations)), s AS (SELECT conv_id, min(turn) FILTER (turn >= 3) AS submitted FROM e GROUP BY conv_id),
+    p AS (SELECT e.conv_id, arg_max(text, turn) AS prompt FROM e JOIN s USING (conv_id) WHERE role <> 'assistant' AND text IS NOT NULL AND turn < submitted GROUP BY e.conv_id)
+    SELECT conv_id AS session, length(prompt)::INT AS n_prompt, (SELECT count(*) FROM e WHERE e.conv_id = p.conv_id AND role = 'assistant')::INT AS n_turns FROM p"""
+)
 def traj_sessions(spark, d):
     e = read(spark, d, "conversations")
     kind = F.when(F.col("role") == "assistant", "assistant/message").otherwise("user/message")
@@ -515,10 +603,18 @@ def msg_collapsed(spark, d):
     return trajectories.collapsed_repeats(twice).select("conv_id", F.floor(F.col("turn") / 2).alias("turn"))
 
 
-@checked()
+_CALLS = "SELECT conv_id, turn, CASE WHEN turn % 5 IN (2, 3) THEN 'function_call' ELSE role END AS role, concat(CAST(turn AS VARCHAR(8)), ':', CAST(length(text) AS VARCHAR(8))) AS text FROM conversations"
+
+
+@checked(
+    f"""WITH m AS ({_CALLS}), g AS (SELECT *, coalesce(max(CASE WHEN role <> 'function_call' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn), turn) AS place FROM m),
+    h AS (SELECT conv_id, place, arg_min(role, turn) AS role, arg_min(text, turn) AS text, coalesce(string_agg(text, ',' ORDER BY turn) FILTER (role = 'function_call'), '') AS tool_calls FROM g GROUP BY conv_id, place)
+    SELECT conv_id, place AS turn, CASE role WHEN 'function_call' THEN 'assistant' ELSE role END AS role, CASE WHEN tool_calls = '' OR role NOT IN ('assistant', 'function_call') THEN text END AS text, tool_calls FROM h"""
+)
 def msg_merged_calls(spark, d):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "let me see"), (1, 2, "function_call", "f(1)"), (1, 3, "function_call", "f(2)"), (1, 4, "tool", "r"), (2, 0, "function_call", "g()")]
-    m = trajectories.merged_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    """Conversations in which some turns are calls; texts are short marks of their turn and length."""
+    register(spark, d, ("conversations",))
+    m = trajectories.merged_calls(spark.sql(_CALLS.replace("VARCHAR(8)", "STRING")))
     return m.withColumn("tool_calls", F.array_join("tool_calls", ","))
 
 
@@ -545,11 +641,11 @@ def registry_check(spark, d):
 
 
 @checked(
-    """WITH h AS (SELECT item_id, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM benchmark), p AS (SELECT doc_id AS prompt_id, trim(lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS p FROM documents)
-    SELECT prompt_id, item_id FROM p JOIN h ON contains(p, h) AND length(h) >= 20 AND (starts_with(p, h) OR contains(p, ' ' || h))"""
+    """WITH h AS (SELECT item_id, lower(regexp_replace(rtrim(trim(regexp_replace(text, '\\s+', ' ', 'g')), ';'), '\\s+$', '')) AS h FROM benchmark WHERE regexp_matches(text, '[^\\s;]')), p AS (SELECT doc_id AS prompt_id, lower(rtrim(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ';')) AS p FROM documents)
+    SELECT prompt_id, item_id FROM p JOIN h ON contains(p, h) """
 )
 def leak_audit(spark, d):
-    """Benchmark texts that occur whole in documents, from the beginning of a word."""
+    """Benchmark texts that occur whole in documents, anywhere."""
     return validate.leaks(read(spark, d, "documents").select(F.col("doc_id").alias("prompt_id"), "text"), read(spark, d, "benchmark"))
 
 
@@ -610,7 +706,7 @@ def val_degenerate(spark, d):
     return validate.degenerate(read(spark, d, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderstatus").alias("row_json")))
 
 
-@checked()
+@checked(f"SELECT 's1' AS sample_id, 'passed' AS status, 1.0::DOUBLE AS quality, (SELECT count(*) FROM ({AUTHORED['c01'](DUCK)}))::INT AS n_rows, true AS replayed")
 def val_build_sample(spark, d):
     register(spark, d)
     s = validate.build_sample(spark, {"sample_id": "s1", "template_id": "c01", "instruction": "List the customers with the largest positive balance.", "sql": AUTHORED["c01"](SPARK), "expected_columns": ["c_custkey", "c_name", "balance"], "row_bounds": [1, 25], "mutations": [{"id": "m", "category": "order", "old": "DESC", "new": "ASC"}]})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: what a storage type of a warehouse becomes; nested types first.
 TYPES = (
-    (r"\[\]$|^STRUCT|^MAP|^UNION|^JSON|^LIST", "string"), (r"^BOOL", "boolean"), (r"^U?HUGEINT", "decimal(38,0)"), (r"^UBIGINT", "decimal(20,0)"), (r"^U?(?:TINY|SMALL|BIG)?INT|^INTEGER|^UINTEGER", "bigint"),
+    (r"\[\]$|^STRUCT|^MAP|^UNION|^JSON|^LIST", "string"), (r"^BOOL", "boolean"), (r"^U?HUGEINT", "decimal(38,0)"), (r"^UBIGINT", "decimal(20,0)"), (r"^U?(?:TINY|SMALL|BIG)?INT(?!ERVAL)", "bigint"),
     (r"^FLOAT|^REAL|^DOUBLE", "double"), (r"^DECIMAL|^NUMERIC", "decimal"), (r"^DATE$", "date"), (r"^TIMESTAMP|^DATETIME", "timestamp"), (r"^BLOB|^BYTEA|^VARBINARY", "binary"), (r"^TIME|^INTERVAL|^VARCHAR|^CHAR|^TEXT|^UUID|^BIT|^ENUM", "string"),
 )
 

@@ -192,15 +192,30 @@ def probe(left: DataFrame, left_column: str, right: DataFrame, right_column: str
 
 
 def join_edges(spark: SparkSession, tables: dict[str, DataFrame], foreign_keys: set[tuple] = frozenset(), least: float = 0.55) -> DataFrame:
-    """Inferred joins with overlap, relationship and confidence; candidates are a schema's, at most 400, and each is probed by one job."""
-    found = join_candidates(columns_of(spark, {n: df.select(*simple(df)) for n, df in tables.items()})).collect()
+    """Inferred joins with overlap, relationship and confidence; candidates are a schema's, each is probed by one job.
+
+    Declared keys, (table, column, other table, other column), are candidates whatever their
+    names are, and stay whatever their values are; they count from either side.
+    """
+    every = columns_of(spark, {n: df.select(*simple(df)) for n, df in tables.items()})
+    found = [r.asDict() for r in join_candidates(every).collect()]
+    ends = lambda r: (r["left_table"], r["left_column"], r["right_table"], r["right_column"])
+    known = {ends(r) for r in found}
+    turned = [k if k[0] < k[2] else (*k[2:], *k[:2]) for k in foreign_keys]
+    declared = [k for k in turned if k[0] in tables and k[2] in tables]
+    more = [k for k in dict.fromkeys(declared) if k not in known]
+    if more:
+        words = every.select("table", "column", "words")
+        named = spark.createDataFrame(more, "left_table string, left_column string, right_table string, right_column string")
+        for side in ("left", "right"):
+            named = named.join(F.broadcast(words.toDF(f"{side}_table", f"{side}_column", f"{side}_words")), [f"{side}_table", f"{side}_column"])  # a schema's columns
+        found += [r.asDict() for r in name_similarity(named).select("left_table", "left_column", "right_table", "right_column", "name_similarity").collect()]
     parts = []
     for r in found:
-        explicit = (r.left_table, r.left_column, r.right_table, r.right_column) in foreign_keys
-        p = probe(tables[r.left_table], r.left_column, tables[r.right_table], r.right_column)
-        parts.append(p.select(*[F.lit(v).alias(k) for k, v in r.asDict().items()], F.lit(explicit).alias("explicit_foreign_key"), "*"))
+        p = probe(tables[r["left_table"]], r["left_column"], tables[r["right_table"]], r["right_column"])
+        parts.append(p.select(*[F.lit(v).alias(k) for k, v in r.items()], F.lit(ends(r) in declared).alias("explicit_foreign_key"), "*"))
     if not parts:
-        return spark.createDataFrame([], "left_table string, left_column string, right_table string, right_column string, name_similarity double, overlap double, relationship string, confidence double")
+        return spark.createDataFrame([], "left_table string, left_column string, right_table string, right_column string, name_similarity double, explicit_foreign_key boolean, overlap double, relationship string, confidence double")
     d = parts[0]
     for p in parts[1:]:
         d = d.unionByName(p)

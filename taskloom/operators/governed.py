@@ -55,19 +55,19 @@ def audit_text(sql: str, mode: str = "strict") -> list[str]:
 def is_command(spark: SparkSession, sql: str) -> bool:
     """Whether Spark's own parser takes the text for a command, which spark.sql would run at once."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    return bool(command.isInstance(plan))
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "InsertIntoStatement")]
+    return any(k.isInstance(plan) for k in kinds)
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimised plan expects to hand on, in bytes, by Spark's statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def scanned_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a query, before any pruning within them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.authored import AUTHORED
-from .plans import micro, tasks
+from .plans import micro, more, tasks
 from .plans.dialect import DUCK, SPARK, Text
 from .sources import register
 
@@ -23,9 +23,9 @@ def from_text(text: Text) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: from_text(text) for name, text in AUTHORED.items()}
-    return found | micro.QUERIES | tasks.QUERIES
+    return found | micro.QUERIES | tasks.QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: text(DUCK) for name, text in AUTHORED.items()}
-    return found | micro.SQL | tasks.SQL
+    return found | micro.SQL | tasks.SQL | more.SQL

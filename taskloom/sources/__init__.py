@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from .tables import TABLES, read, register
+from .tables import TABLES, read, register, scratch
 
-__all__ = ["TABLES", "read", "register"]
+__all__ = ["TABLES", "read", "register", "scratch"]

@@ -101,6 +101,20 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_catalog(spark: SparkSession, documents: dict[str, DataFrame], path: str) -> DataFrame:
+    """Documents (k) as JSON lines in a folder each, and a manifest (name, rows, digest) that is written last, of what is read back."""
+    parts = []
+    for name, df in documents.items():
+        write_jsonl(df, f"{path}/{name}")
+        back = spark.read.schema(df.schema).json(f"{path}/{name}")
+        parts.append(back.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("digest")))
+    manifest = parts[0]
+    for p in parts[1:]:
+        manifest = manifest.unionByName(p)
+    write_jsonl(manifest, f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One file with a header, for small results."""
     df.coalesce(1).write.mode("overwrite").option("lineSep", "\n").csv(path, header=True)

@@ -286,7 +286,7 @@ def predictor(spark: SparkSession, model: Unigrams):
         rows.clear()
         give_back()
 
-    return predict
+    return predict.asNondeterministic()  # else a condition on its result would be evaluated by a second run of it
 
 
 def floors(docs: DataFrame, predict) -> dict[str, tuple[float, float]]:

@@ -28,11 +28,16 @@ NAME = 1.125
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
-def vocabulary(path: str):
+def read_ranks(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def vocabulary(ranks_file: bytes):
+    """The encoding of a file of ranks, given its content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -81,26 +86,31 @@ def scanner(vocabulary_path: str = VOCABULARY, ratio: float = 2.0):
     case and without the signs between them, have NAME * ratio characters a token or more,
     where a number of up to four digits, such as a year, is one token.
     Case, digits and the number of parts do not matter. A null text is empty and has no spans;
-    whole texts are read. The vocabulary file is read where a worker meets its first candidate.
+    whole texts are read. The driver reads the vocabulary file, under 2 MB, and sends it to the
+    executors, which need no file of their own.
     """
+    ranks = SparkSession.active().sparkContext.broadcast(read_ranks(vocabulary_path))
 
     @F.pandas_udf(SPAN)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = cache(lambda: vocabulary(vocabulary_path))
+        encoding = cache(lambda: vocabulary(ranks.value))
         for texts in batches:
             yield pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t, ratio, encoding)] for t in texts])
+        give_back()
 
     return scan
 
 
 def redactor(mark: str = "[secret]", vocabulary_path: str = VOCABULARY, ratio: float = 2.0):
     """A column function from a text to the text with mark for each run of touching or overlapping spans; null stays null."""
+    ranks = SparkSession.active().sparkContext.broadcast(read_ranks(vocabulary_path))
 
     @F.pandas_udf("string")
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = cache(lambda: vocabulary(vocabulary_path))
+        encoding = cache(lambda: vocabulary(ranks.value))
         for texts in batches:
             yield pd.Series([t if t is None else cut(t, [(a, b) for a, _, b in spans_of(t, ratio, encoding)], mark) for t in texts], dtype=object)
+        give_back()
 
     return redact
 

@@ -21,7 +21,9 @@ SEED = 20_240_229
 #: Ids of documents that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Links up to which one task finds the components.
-IN_ONE = 500_000
+IN_ONE = 200_000
+#: Pairs for which a left side's set is sent once.
+ONCE = 1_000
 
 
 class WordHashes(dict):
@@ -131,12 +133,12 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, rows: int) -> DataFrame:
     """(cid, members) of the documents whose doc_id is in wanted, as a written table.
 
     Up to BROADCAST_IDS ids are broadcast, so that texts stay where they are read; more are joined by shuffling.
     """
-    wanted = written(wanted)
+    wanted = written(wanted, rows)
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
@@ -154,29 +156,43 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def compared(pairs: DataFrame, have: DataFrame, threshold: float) -> DataFrame:
     """(a, b, na, nb, linked, apart) of pairs (a, b): set sizes, whether whole sets reach the threshold (taken
-    in hundredths, so that nothing is rounded), and the elements in one of the sets only."""
+    in hundredths, so that nothing is rounded), and the elements in one of the sets only.
+
+    The set of a is sent once for each ONCE of its pairs, before theirs: sorted in, it is
+    held while the sets of b stream by. So a hub's set is not a part of every row, and
+    no hub's pairs are one task.
+    """
     per_cent = round(threshold * 100)
-    both = pairs.join(have.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
-    both = both.join(have.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
+    often = pairs.groupBy("a").agg(F.count("*").alias("often"))
+    salted = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("often") / ONCE)).alias("salt"))
+    right = salted.join(have.withColumnRenamed("cid", "b"), "b").select("a", "salt", F.lit(1).alias("side"), "b", "members")
+    sent = often.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("often") / ONCE) - 1)).alias("salt"))
+    left = sent.join(have.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "members")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, x = None, np.empty(0, np.uint64)
         for f in batches:
             rows = []
-            for a, b, x, y in zip(f["a"], f["b"], f["ma"], f["mb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                apart = np.setxor1d(x, y, assume_unique=True)
-                common = (len(x) + len(y) - len(apart)) // 2
-                rows.append((a, b, len(x), len(y), 100 * common >= per_cent * (len(x) + len(y) - common), apart.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "linked", "apart"])
+            for a, side, b, members in zip(f["a"], f["side"], f["b"], f["members"], strict=True):
+                y = np.frombuffer(members, np.uint64)
+                if not side:
+                    own, x = a, y
+                elif own == a:
+                    apart = np.setxor1d(x, y, assume_unique=True)
+                    common = (len(x) + len(y) - len(apart)) // 2
+                    rows.append((a, b, len(x), len(y), 100 * common >= per_cent * (len(x) + len(y) - common), apart.view(np.int64)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "linked", "apart"])
 
-    return both.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long, na long, nb long, linked boolean, apart array<long>")
+    both = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    return both.select("a", "side", "b", "members").mapInPandas(run, "a long, b long, na long, nb long, linked boolean, apart array<long>")
 
 
 def confirmed(pairs: DataFrame, have: DataFrame, threshold: float) -> DataFrame:
     return compared(pairs, have, threshold).where("linked").select("a", "b").distinct()
 
 
-def residual_links(family: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
+def residual_links(family: DataFrame, component: DataFrame, threshold: float, rows: int) -> DataFrame:
     """Links (a, b) across components, of members of families around one hub: those that reach the threshold, all of them.
 
     family: (a: hub, b: member, na, nb, linked, apart). Let D be what sets a member apart
@@ -192,15 +208,19 @@ def residual_links(family: DataFrame, component: DataFrame, threshold: float) ->
     c = (1 - threshold) / (1 + threshold)
     of = component.select(F.col("node"), "component")
     d = family.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    d = written(d.select("a", "b", "na", "nb", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca"), "apart"))
+    d = written(d.select("a", "b", "na", "nb", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca"), "apart"), rows, 4000)
     with_away = d.where("cb <> ca").select("a").distinct()
     d = d.join(with_away, "a", "left_semi")
     tokens = d.select("a", "b", "cb", "ca", "na", "nb", F.size("apart").alias("n"), F.explode("apart").alias("token"))
     often = tokens.groupBy("a", "token").agg(F.count("*").alias("often"))
     rank = F.row_number().over(W.partitionBy("a", "b").orderBy("often", "token"))
-    ranked = written(tokens.join(often, ["a", "token"]).withColumn("rank", rank).where("often > 1"))
+    ranked = written(tokens.join(often, ["a", "token"]).withColumn("rank", rank).where("often > 1"), BANDS * rows)
     prefix = F.col("n") - F.greatest(F.lit(0), F.floor((F.col("n") - c * (F.col("nb") - F.col("na"))) / 2 - 1e-6))
     rare = ranked.where(F.col("rank") <= prefix).select("a", "token", "b", "cb", F.col("n").alias("dy"), F.col("nb").alias("ny"), F.col("rank").alias("ry"))
+    # Pairs are between components: tokens that one component has to itself make none.
+    several = rare.select("a", "token", "cb").unionByName(ranked.where("cb <> ca").select("a", "token", "cb")).groupBy("a", "token")
+    several = several.agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo <> hi").select("a", "token")
+    rare = rare.join(several, ["a", "token"])
     away = ranked.where("cb <> ca").select("a", "token", F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("n").alias("dx"), F.col("nb").alias("nx"), F.col("rank").alias("rx"))
     need = (F.col("dx") + F.col("dy") - c * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
     enough = (1 + F.least(F.col("dx") - F.col("rx"), F.col("dy") - F.col("ry"))) >= need
@@ -236,60 +256,61 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
     signed = written(signed_documents(docs, k, bands, perms_a_band))
+    n = signed.count()
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.min_by(F.struct("n_shingles", "keys", "sketch"), "doc_id").alias("s"))
-    classes = written(classes.select("set_key", "cid", "s.*"))
+    classes = written(classes.select("set_key", "cid", "s.*"), n, 800)
     reps = classes.select("cid", "n_shingles", "sketch")
     banded = classes.select("cid", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = written(banded.join(shared, "key"))
+    buckets = written(banded.join(shared, "key"), bands * n)
     small, large = buckets.where(F.col("c") <= group), buckets.where(F.col("c") > group)
-    have = whole_sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), k)
+    have = whole_sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), k, n)
     ordered = [F.least("cid", "rep").alias("a"), F.greatest("cid", "rep").alias("b")]
 
     score = large.groupBy("cid").agg(F.count("*").alias("score"))
-    large = written(large.join(score, "cid"))
+    large = written(large.join(score, "cid"), bands * n)
     best = F.struct("score", -F.col("cid"))
     hubs = large.groupBy("key").agg(F.max_by("cid", best).alias("hub"), F.max("score").alias("hub_score"))
     # Groups of one family have several hubs: each gives way to the best hub of any group that it is in, twice.
     better = F.max_by("hub", F.struct("hub_score", -F.col("hub"))).alias("better")
-    parents = written(large.join(hubs, "key").groupBy("cid").agg(better).withColumnRenamed("cid", "hub"))
+    parents = written(large.join(hubs, "key").groupBy("cid").agg(better).withColumnRenamed("cid", "hub"), n)
     for _ in range(2):
         hubs = hubs.join(parents, "hub").select("key", F.col("better").alias("hub"))
-    hubs = written(hubs)
+    hubs = written(hubs, n)
     family = large.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    family = written(compared(written(family), have, threshold))
+    family = written(compared(written(family, n), have, threshold), n, 4000)
     stars = small.join(small.groupBy("key").agg(F.min("cid").alias("rep")), "key").where("cid <> rep").select(*ordered)
-    stars = written(stars.distinct())
-    links = family.where("linked").select("a", "b").unionByName(written(confirmed(written(likely(stars, reps, threshold)), have, threshold)))
+    stars = written(stars.distinct(), n)
+    links = family.where("linked").select("a", "b").unionByName(written(confirmed(written(likely(stars, reps, threshold), n), have, threshold), n))
     tested = stars.unionByName(family.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    component = connected_components(links, in_one=IN_ONE)
+    component = connected_components(links, in_one=IN_ONE, rows=n)
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
 
     for _ in range(hub_rounds):
         hub_comp = placed(hubs.withColumnRenamed("hub", "cid")).select("key", F.col("comp").alias("hub_comp"))
-        rest = written(placed(large.select("key", "cid", "score")).join(hub_comp, "key").where("comp <> hub_comp"))
+        rest = written(placed(large.select("key", "cid", "score")).join(hub_comp, "key").where("comp <> hub_comp"), n)
         if rest.isEmpty():
             break
         split = rest.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), F.struct("score", -F.col("cid"))).alias("r"))
         pairs = rest.join(split, "key").where("comp <> r.comp").withColumn("rep", F.col("r.cid")).select(*ordered)
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), n)
         if pairs.isEmpty():
             break
-        links = links.unionByName(written(confirmed(written(likely(pairs, reps, threshold)), have, threshold)))
+        links = links.unionByName(written(confirmed(written(likely(pairs, reps, threshold), n), have, threshold), n))
         tested = tested.unionByName(pairs)
-        component = connected_components(links, in_one=IN_ONE)
-    live = written(placed(small.select("key", "cid")))
+        component = connected_components(links, in_one=IN_ONE, rows=n)
+    live = written(placed(small.select("key", "cid")), bands * n)
     split = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     live = live.join(split, "key")
     other = live.select("key", F.col("cid").alias("rep"), F.col("comp").alias("comp2"))
     pairs = live.join(other, "key").where("comp < comp2").select(*ordered).distinct()
-    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-    links = links.unionByName(written(confirmed(written(likely(pairs, reps, threshold)), have, threshold)))
-    links = links.unionByName(written(residual_links(family, component, threshold)))
-    component = connected_components(links, in_one=IN_ONE)
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), n)
+    links = links.unionByName(written(confirmed(written(likely(pairs, reps, threshold), n), have, threshold), n))
+    links = links.unionByName(written(residual_links(family, component, threshold, n), n))
+    component = connected_components(links, in_one=IN_ONE, rows=n)
 
     named = full.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "cid"), "set_key")
     named = named.join(component.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))

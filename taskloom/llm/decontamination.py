@@ -46,12 +46,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     No documents give no rows; no benchmark gives no hits.
     """
     windows = written(item_windows(benchmark, n))
+    rows, n_windows = docs.count(), windows.count()
     d = docs.select("doc_id", "text").withColumn("rk", F.xxhash64("doc_id", "text"))
     counts = d.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     distinct = windows.select("window").distinct().withColumn("len", F.size(F.split("window", " ")))
     tokens = distinct.select("window", "len", F.posexplode(F.split("window", " ")).alias("off", "word"))
     rare = tokens.join(counts, "word", "left").groupBy("window", "len").agg(F.min(F.coalesce("c", F.lit(0))).alias("least"), F.min(F.struct(F.coalesce("c", F.lit(0)), "word", "off")).alias("r"))
-    prefix = written(rare.where("least > 0").select("window", "len", F.col("r.word").alias("word"), F.col("r.off").alias("off")))
+    prefix = written(rare.where("least > 0").select("window", "len", F.col("r.word").alias("word"), F.col("r.off").alias("off")), n_windows, 128)
     size = prefix.agg(F.sum(F.octet_length("window") + F.octet_length("word") + 48)).first()[0] or 0
     blocks = -(-size // BROADCAST_BYTES)
     places = d.select("rk", words(F.col("text")).alias("w")).select("rk", "w", F.posexplode("w").alias("pos", "word"))
@@ -62,7 +63,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
         found = places.join(F.broadcast(block), "word").where((start >= 0) & (start + F.col("len") <= F.size("w")))
         found = found.where(F.concat_ws(" ", F.slice("w", start + 1, F.col("len"))) == F.col("window")).select("rk", start.alias("start"), "len", "window")
         hits = found if hits is None else hits.unionByName(found)
-    hits = written(hits.distinct())
+    hits = written(hits.distinct(), 4 * rows, 128)
     covered = hits.select("rk", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
     covered = covered.groupBy("rk").agg(F.count("*").alias("n_hit"))
     items = hits.select("rk", "window").distinct().join(windows, "window").select("rk", F.col("item_id").cast("string").alias("item")).distinct()

@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights=(3.0,
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("weight", F.lit(1.0))
     d = written(d.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), "size", key.alias("key")))
     at = ["no_source", "source_key"]
-    targets = written(source_targets(d, weights, share, epochs))
+    targets = written(source_targets(d, weights, share, epochs), 1)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     buckets = F.ceil(F.col("source_rows") / float(rows_a_bucket))

@@ -157,11 +157,12 @@ def next_digit(docs: DataFrame, reps: DataFrame, depth: int, single: bool) -> Da
 def settled(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Covered bytes (rk, a, b) of the runs whose contexts agree, and one run a context where a group holds several."""
     rows = written(rows)
+    n = rows.count()
     # Written, so that the join reads it through an exchange of its own and can split a core that very many rows have.
-    many = written(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
-    live = written(rows.join(many, "core"))
+    many = written(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), n)
+    live = written(rows.join(many, "core"), n)
     one = [F.first(c).alias(c) for c in ("rk", "p", "lo", "hi")]
-    contexts = written(live.groupBy("core", "full").agg(F.count("*").alias("c"), *one))
+    contexts = written(live.groupBy("core", "full").agg(F.count("*").alias("c"), *one), n)
     agree = contexts.where("c > 1").select("core", "full")
     cover = live.join(agree, ["core", "full"]).select("rk", F.col("lo").alias("a"), (F.col("hi") + depth).alias("b"))
     mixed_groups = contexts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")

@@ -51,6 +51,38 @@ def test_near_duplicates_large_group(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_clusters_around_one_hub(spark):
+    """10,000 documents in clusters that share passages with a common middle, some apart from it and from one another: every link between clusters is found."""
+    rng = np.random.default_rng(12)
+    middle = [f"m{i}" for i in range(200)]
+    texts, cluster = [], []
+    for c in range(5):
+        own = list(middle)
+        for j in range(c * 40, c * 40 + 32 * (c > 0)):  # cluster 0 is the middle; 32 words of 200 apart is under 0.8 for two-word shingles from a third cluster on
+            own[j % 200] = f"c{c}_{j}"
+        for _ in range(2_000):
+            w = list(own)
+            for j in rng.choice(200, rng.integers(0, 6), replace=False):
+                w[j] = f"e{rng.integers(1 << 40)}"
+            texts.append(" ".join(w))
+            cluster.append(c)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d, k=2).collect()}
+    sets = [{(a, b) for a, b in zip(w, w[1:])} for w in map(str.split, texts)]
+
+    def linked(i, j):
+        both = len(sets[i] & sets[j])
+        return 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+
+    # A component holds what is linked: each member with some other one, and no two components with a link among 100 of each cluster.
+    some = [i for c in range(5) for i in [k for k in range(len(texts)) if cluster[k] == c][:100]]
+    for x, i in enumerate(some):
+        for j in some[:x]:
+            if linked(i, j):
+                assert got[i] == got[j]
+    assert 1 < len({got[i] for i in some}) < len(some)
+
+
 @pytest.mark.parametrize("in_one", [0, 1000])
 def test_components(spark, in_one):
     chain = [(i, i + 1) for i in range(40)] + [(100, 300), (300, 200), (500, 500), (None, 7)]
@@ -119,7 +151,7 @@ def test_secrets(spark, odd, empty):
 def test_secrets_random_strings(alphabet, size):
     """Random strings of any case, with digits or without, are found wherever the ratio says so; names are not."""
     rng = np.random.default_rng(size)
-    encoding = secrets.vocabulary(secrets.VOCABULARY)
+    encoding = secrets.vocabulary(secrets.read_ranks(secrets.VOCABULARY))
     for _ in range(300):
         s = "".join(rng.choice(list(alphabet), size))
         want = [(0, 3, size)] if len(s) < 2 * len(encoding.encode_ordinary(s)) else []
@@ -127,7 +159,7 @@ def test_secrets_random_strings(alphabet, size):
 
 
 def test_secrets_names():
-    encoding = secrets.vocabulary(secrets.VOCABULARY)
+    encoding = secrets.vocabulary(secrets.read_ranks(secrets.VOCABULARY))
     names = "EXSLT_DYNAMIC_NAMESPACE HAVE_CURSES_RESIZETERM /usr/lib/x86_64-linux-gnu/libc.so.6 ERR_CRYPTO_JWK_UNSUPPORTED_CURVE getElementsByClassName2024 2024-01-02/2025-03-04"
     assert secrets.spans_of(names, 2.0, lambda: encoding) == []
 

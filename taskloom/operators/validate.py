@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, identifier_words, sequence_ratio, stable_hash
-from .governed import Rejected, Result, execute
+from . import complexity
+from .governed import Deadline, Rejected, Result, audit_text, execute
 
 #: Words, or characters of shorter texts, by which texts that may leak meet prompts; rows of keys a batch.
 KEY_WORDS, KEY_CHARS, KEY_ROWS = 3, 8, 50_000
@@ -63,6 +66,34 @@ def strict_compatible(left: Column, right: Column) -> Column:
     return (left == right) | (left.isin("text", "temporal") & right.isin("text", "temporal"))
 
 
+def joins_hold(spark: SparkSession, joins: DataFrame, edges: DataFrame, composites: DataFrame, columns: DataFrame) -> DataFrame:
+    """joins with known, compatible, meets and holds: what a validated task's joins must be.
+
+    known: an edge of the graph in either direction, or both columns are of one name that a
+    composite join (left_table, right_table, columns) of their tables has. compatible: the
+    families of columns (table, column, family) fit. meets: a row of each side, read now, has
+    the same value; one semi-join a join that stops at its first row. Tables are read by name.
+    """
+    low = lambda c: F.lower(F.col(c))
+    both = composites.select(low("left_table").alias("x"), low("right_table").alias("y"), "columns")
+    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "columns")).select("x", "y", F.explode("columns").alias("k")).distinct().withColumn("part", F.lit(True))
+    kinds = columns.select(low("table").alias("t"), low("column").alias("c"), "family")
+    d = join_errors(joins, edges)
+    d = d.join(both, (low("left_table") == F.col("x")) & (low("right_table") == F.col("y")) & (low("left_column") == low("right_column")) & (low("left_column") == F.lower("k")), "left")
+    for side in ("left", "right"):
+        k = kinds.withColumnRenamed("family", f"{side}_family")
+        d = d.join(k, (low(f"{side}_table") == k["t"]) & (low(f"{side}_column") == k["c"]), "left").drop("t", "c")
+    d = d.withColumn("known", F.col("known") | F.coalesce("part", F.lit(False))).withColumn("compatible", F.coalesce(strict_compatible(F.col("left_family"), F.col("right_family")), F.lit(False)))
+    rows = []
+    for r in d.collect():  # a task's joins are a handful
+        meets = False
+        if r.compatible:
+            left, right = (spark.table(t).select(F.col(f"`{c}`").cast("string").alias("v")).where("v IS NOT NULL") for t, c in ((r.left_table, r.left_column), (r.right_table, r.right_column)))
+            meets = not left.join(right, "v", "left_semi").isEmpty()
+        rows.append((r.left_table, r.left_column, r.right_table, r.right_column, r.known, r.compatible, meets, r.known and r.compatible and meets))
+    return spark.createDataFrame(rows, "left_table string, left_column string, right_table string, right_column string, known boolean, compatible boolean, meets boolean, holds boolean")
+
+
 def mutate(spark: SparkSession, sql: str, mutations: list[dict], run: Callable[[SparkSession, str], Result] = execute) -> list[dict]:
     """Each mutation (id, category, old, new) of a text run again: it counts if its result differs, or if it does not run."""
     base, out = run(spark, sql), []
@@ -79,23 +110,56 @@ def mutate(spark: SparkSession, sql: str, mutations: list[dict], run: Callable[[
     return out
 
 
-def build_sample(spark: SparkSession, blueprint: dict) -> dict:
-    """A validated task of a blueprint: executed, gated, hashed.
+def meets_target(spark: SparkSession, sql: str, target: dict | None) -> bool:
+    """Whether a text's score and tokens lie in the target's bounds, inclusive, and it has families enough; no target is met by any."""
+    if not target:
+        return True
+    r = complexity.profile(spark.createDataFrame([("t", sql)], "id string, sql string")).select("score", "tokens", F.size("families").alias("families")).first()
+    within = [target.get(f"minimum_{k}", float("-inf")) <= r[k] <= target.get(f"maximum_{k}", float("inf")) for k in ("score", "tokens")]
+    return all(within) and r.families >= target.get("minimum_families", 0)
+
+
+def build_sample(spark: SparkSession, blueprint: dict, roles: DataFrame | None = None, joins: DataFrame | None = None) -> dict:
+    """A validated task of a blueprint: audited, executed, gated, hashed.
 
-    Gates: text, columns, bounds, not empty, not degenerate, replay and mutations; quality is the share that holds.
+    Twelve gates: its tables are there, its roles (of role_errors) and its joins (of
+    joins_hold) hold, the text is read-only, one statement and joins with predicates only, it
+    runs, has the columns expected, rows, as many as the bounds say, mutations that all run
+    and differ, and its complexity meets the target. quality is the share that holds. The
+    task passes if all do, its instruction says its columns where it has a difficulty band, its
+    rows are not all one, and a second run gives the same hash. A text that fails the audit
+    is not run.
     """
-    result, again = execute(spark, blueprint["sql"]), execute(spark, blueprint["sql"])
-    tests = mutate(spark, blueprint["sql"], blueprint.get("mutations", []))
-    low, high = blueprint["row_bounds"]
+    sql, (low, high) = blueprint["sql"], blueprint["row_bounds"]
+    faults = audit_text(sql)
+    result = again = None
+    tests: list[dict] = []
+    if not faults:
+        with contextlib.suppress(Rejected, Deadline, PySparkException):
+            result, again = execute(spark, sql), execute(spark, sql)
+            tests = mutate(spark, sql, blueprint.get("mutations", []))
+    columns, rows = (result.columns, result.rows) if result else ([], [])
     checks = {
-        "instruction": len(blueprint["instruction"].strip()) >= 20, "expected_columns": result.columns == blueprint["expected_columns"], "row_bounds": low <= len(result.rows) <= high, "not_empty": bool(result.rows),
-        "not_degenerate": len(result.rows) < 2 or len({canonical_json(r) for r in result.rows}) > 1, "replay": again.ordered_sha256 == result.ordered_sha256, "mutations": bool(tests) and all(t["distinguished"] for t in tests),
+        "catalog": all(spark.catalog.tableExists(t) for t in blueprint.get("tables", [])),
+        "roles": roles is None or roles.where(F.size("errors") > 0).isEmpty(),
+        "joins": joins is None or joins.where(~F.col("holds")).isEmpty(),
+        "read_only": not any(f == "not a query" or f.startswith("forbidden") for f in faults),
+        "one_statement": "more than one statement" not in faults,
+        "join_predicates": "join without ON" not in faults,
+        "executes": result is not None,
+        "expected_columns": columns == blueprint["expected_columns"],
+        "not_empty": bool(rows),
+        "row_bounds": low <= len(rows) <= high,
+        "mutations": bool(tests) and all(t["status"] == "ok" and t["distinguished"] for t in tests),
+        "complexity": meets_target(spark, sql, blueprint.get("complexity_target")),
     }
+    said = not blueprint.get("difficulty_band") or all(c.casefold() in blueprint["instruction"].casefold() for c in blueprint["expected_columns"])
+    sound = said and (len(rows) < 2 or len(set(map(canonical_json, rows))) > 1) and again is not None and again.ordered_sha256 == result.ordered_sha256
     sample = {
         "sample_id": blueprint["sample_id"], "template_id": blueprint["template_id"], "instruction": blueprint["instruction"],
-        "verifier": {"expected_columns": result.columns, "row_bounds": [low, high], "ordered_result_sha256": result.ordered_sha256, "unordered_result_sha256": result.unordered_sha256, "mutation_count": len(tests)},
-        "oracle": {"sql": blueprint["sql"], "rows": result.rows, "row_count": len(result.rows)}, "mutation_tests": tests,
-        "validation": {"status": "passed" if all(checks.values()) else "failed", "quality_score": round(sum(checks.values()) / len(checks), 4), "checks": checks},
+        "verifier": {"expected_columns": columns, "row_bounds": [low, high], "ordered_result_sha256": result.ordered_sha256 if result else None, "unordered_result_sha256": result.unordered_sha256 if result else None, "mutation_count": len(tests)},
+        "oracle": {"sql": sql, "rows": rows, "row_count": len(rows)}, "mutation_tests": tests,
+        "validation": {"status": "passed" if sound and all(checks.values()) else "failed", "quality_score": round(sum(checks.values()) / len(checks), 4), "checks": checks},
     }
     return sample | {"content_sha256": stable_hash(sample)}
 

@@ -694,11 +694,21 @@ def val_roles(spark, d):
     return r.select("role", "place", F.array_join("errors", ",").alias("errors"))
 
 
-@checked("SELECT * FROM (VALUES ('orders', 'o_custkey', 'customer', 'C_CustKey', true), ('orders', 'o_orderkey', 'part', 'p_partkey', false)) t(left_table, left_column, right_table, right_column, known)")
+_JOINS = (("orders", "o_custkey", "customer", "C_CustKey"), ("orders", "o_orderkey", "part", "p_partkey"), ("lineitem", "l_partkey", "part", "p_name"), ("nation", "n_name", "region", "r_name"))
+
+
+@checked(
+    "WITH j AS (SELECT * FROM (VALUES ('orders', 'o_custkey', 'customer', 'C_CustKey', true, true, (SELECT count(*) > 0 FROM orders JOIN customer ON o_custkey = c_custkey)), ('orders', 'o_orderkey', 'part', 'p_partkey', false, true, (SELECT count(*) > 0 FROM orders JOIN part ON o_orderkey = p_partkey)), ('lineitem', 'l_partkey', 'part', 'p_name', false, false, false), ('nation', 'n_name', 'region', 'r_name', false, true, (SELECT count(*) > 0 FROM nation JOIN region ON n_name = r_name)),"
+    " ('lineitem', 'l_orderkey', 'returned', 'l_orderkey', true, true, (SELECT count(*) > 0 FROM lineitem WHERE l_returnflag = 'R'))) t(left_table, left_column, right_table, right_column, known, compatible, meets)) SELECT *, known AND compatible AND meets AS holds FROM j"
+)
 def val_joins(spark, d):
+    """An edge taken from the other side, a pair that no edge has, families that do not fit, values that do not meet, and a part of a composite join."""
+    register(spark, d)
+    read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").createOrReplaceTempView("returned")
     names = "left_table string, left_column string, right_table string, right_column string"
-    j = spark.createDataFrame([("orders", "o_custkey", "customer", "C_CustKey"), ("orders", "o_orderkey", "part", "p_partkey")], names)
-    return validate.join_errors(j, spark.createDataFrame([("customer", "c_custkey", "orders", "o_custkey")], names))
+    j = spark.createDataFrame([*_JOINS, ("lineitem", "l_orderkey", "returned", "l_orderkey")], names)
+    both = spark.createDataFrame([("returned", "lineitem", ["l_orderkey", "l_partkey"])], "left_table string, right_table string, columns array<string>")
+    return validate.joins_hold(spark, j, spark.createDataFrame([("customer", "c_custkey", "orders", "o_custkey")], names), both, catalog.columns_of(spark, all_tables(spark, d) | {"returned": spark.table("returned")}))
 
 
 @checked("SELECT o_custkey AS sample_id, count(*) AS n, count(DISTINCT o_orderstatus) AS \"distinct\", count(*) > 1 AND count(DISTINCT o_orderstatus) = 1 AS degenerate FROM orders GROUP BY o_custkey")
@@ -706,8 +716,16 @@ def val_degenerate(spark, d):
     return validate.degenerate(read(spark, d, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderstatus").alias("row_json")))
 
 
-@checked(f"SELECT 's1' AS sample_id, 'passed' AS status, 1.0::DOUBLE AS quality, (SELECT count(*) FROM ({AUTHORED['c01'](DUCK)}))::INT AS n_rows, true AS replayed")
+@checked(f"""WITH n AS (SELECT count(*)::INT AS n FROM ({AUTHORED['c01'](DUCK)})) SELECT * FROM (SELECT 's1' AS sample_id, 'passed' AS status, 1.0::DOUBLE AS quality, n AS n_rows, true AS replayed FROM n UNION ALL SELECT 's2', 'failed', round(9 / 12.0::DOUBLE, 4), n, true FROM n UNION ALL SELECT 's3', 'failed', round(5 / 12.0::DOUBLE, 4), 0, false)""")
 def val_build_sample(spark, d):
+    """A sound task; one with other columns and bounds and out of its target's reach; one that is no query and has no tables."""
     register(spark, d)
-    s = validate.build_sample(spark, {"sample_id": "s1", "template_id": "c01", "instruction": "List the customers with the largest positive balance.", "sql": AUTHORED["c01"](SPARK), "expected_columns": ["c_custkey", "c_name", "balance"], "row_bounds": [1, 25], "mutations": [{"id": "m", "category": "order", "old": "DESC", "new": "ASC"}]})
-    return spark.createDataFrame([(s["sample_id"], s["validation"]["status"], s["validation"]["quality_score"], s["oracle"]["row_count"], validate.replay(spark, s))], "sample_id string, status string, quality double, n_rows int, replayed boolean")
+    sound = {"sample_id": "s1", "template_id": "c01", "tables": ["customer"], "difficulty_band": "core", "instruction": "List c_custkey, c_name and balance of the customers with the largest positive balance.", "sql": AUTHORED["c01"](SPARK), "expected_columns": ["c_custkey", "c_name", "balance"], "row_bounds": [1, 25], "mutations": [{"id": "m", "category": "order", "old": "DESC", "new": "ASC"}], "complexity_target": {"minimum_tokens": 5}}
+    off = sound | {"sample_id": "s2", "expected_columns": ["c_custkey"], "row_bounds": [100, 200], "complexity_target": {"minimum_score": 1000.0}}
+    bad = sound | {"sample_id": "s3", "sql": "DROP TABLE customer", "tables": ["no_such_table"], "complexity_target": None, "expected_columns": ["c_custkey"]}
+    rows = []
+    for b in (sound, off, bad):
+        s = validate.build_sample(spark, b)
+        ran = s["validation"]["checks"]["executes"]
+        rows.append((s["sample_id"], s["validation"]["status"], s["validation"]["quality_score"], s["oracle"]["row_count"], ran and validate.replay(spark, s)))
+    return spark.createDataFrame(rows, "sample_id string, status string, quality double, n_rows int, replayed boolean")

@@ -49,12 +49,12 @@ def test_result_hash_sees_each_row(spark):
     assert governed.result_hash(spark.createDataFrame([], "x long")).first().n_rows == 0
 
 
-def test_mix():
+def test_mix(spark):
     assert curriculum.parse_mix("core=1,growth=1") == {"foundation": 0.0, "core": 0.5, "growth": 0.5, "stretch": 0.0}
     for bad in ("x=1", "core=1,core=1", "core=-1", "core=0"):
         with pytest.raises(ValueError):
             curriculum.parse_mix(bad)
-    order = curriculum.band_schedule({"foundation": 2, "core": 4, "growth": 2, "stretch": 1})
+    order = [r.band for r in curriculum.band_schedule(spark, {"foundation": 2, "core": 4, "growth": 2, "stretch": 1}).orderBy("place").collect()]
     assert sorted(order) == ["core"] * 4 + ["foundation"] * 2 + ["growth"] * 2 + ["stretch"] and order[0] == "core"
 
 
@@ -132,3 +132,26 @@ def test_sessions(spark, tmp_path):
     (tmp_path / "a.zst").write_bytes(zstandard.ZstdCompressor().compress(b"x\ny\n"))
     (tmp_path / "b.zst").write_bytes(b"no zstd")
     assert [r.line for r in files.read_zstd_sessions(spark, str(tmp_path / "*.zst")).orderBy("line_no").collect()] == ["x", "y"]
+
+
+def test_schedule_stays_near_the_quotas(spark):
+    quotas = {"foundation": 21, "core": 48, "growth": 27, "stretch": 11}
+    order = [r.band for r in curriculum.band_schedule(spark, quotas).orderBy("place").collect()]
+    for k in range(len(order) + 1):
+        assert all(abs(order[:k].count(b) - k * q / 107) < 1 for b, q in quotas.items())
+    assert curriculum.band_schedule(spark, {}).count() == 0
+
+
+def test_json_safe():
+    from taskloom.functions.text import json_safe
+
+    got = json_safe({1: [float("nan"), -0.5, True, None], "b": (b"\x01" * 30, bytearray(b"z")), "c": {"d": float("-inf")}, "e": object})
+    assert got == {"1": [None, -0.5, True, None], "b": [{"blob_bytes": 30, "hex_preview": "01" * 24}, {"blob_bytes": 1, "hex_preview": "7a"}], "c": {"d": None}, "e": str(object)}
+
+
+def test_sessions_take_the_prompt_before_the_submission(spark):
+    from taskloom.operators import trajectories
+
+    e = [(1, 0, "user/message", "user", "first", None), (1, 1, "user/message", "user", "second", None), (1, 2, "assistant/message", "assistant", "a", "sql_submit"), (1, 3, "user/message", "user", "thanks", None), (2, 0, "user/message", "user", "never", None), (3, 0, "assistant/message", "assistant", "b", "sql_submit"), (3, 1, "user/message", "user", "late", None)]
+    got = trajectories.parse_sessions(spark.createDataFrame(e, "session long, seq long, type string, role string, text string, tool string")).collect()
+    assert [(r.session, r.prompt, [t.text for t in r.turns]) for r in got] == [(1, "second", ["a"])]

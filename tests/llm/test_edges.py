@@ -203,6 +203,8 @@ def test_neighbours(spark):
     got = sorted(tuple(r) for r in neighbours.search(d, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 2, 2.0), (0, 2, 8, 1.0), (0, 3, 20, 1.0), (0, 4, 1, 0.5), (20, 1, 2, 2.0), (20, 2, 0, 1.0), (20, 3, 8, 1.0), (20, 4, 1, 0.5)]
     assert neighbours.search(d.limit(0), F.lit(True)).count() == 0
+    twice = d.unionByName(spark.createDataFrame([(2, [3.0, 0.0], "x"), (20, [0.0, 9.0], "x")], d.schema))  # of several vectors the first in order counts
+    assert sorted(tuple(r) for r in neighbours.search(twice, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 2, 2.0), (0, 2, 8, 1.0), (0, 3, 1, 0.5), (0, 4, 20, 0.0), (20, 1, 1, 4.5), (20, 2, 0, 0.0), (20, 3, 2, 0.0), (20, 4, 8, 0.0)]
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(100)], "vec_id long, embedding array<double>")
     ties = [r.vec_id for r in neighbours.search(same, F.col("vec_id") == 5).orderBy("rank").collect()]
     assert ties == [i for i in range(21) if i != 5]

@@ -6,7 +6,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from taskloom.llm import chat, language, licenses, registry
 from taskloom.llm.suffix_dedup import brute_force
@@ -51,6 +53,32 @@ def test_op1_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_op1_prunes(spark):
+    """50,000 independent vectors, and a cluster that holds a third of all: recall is 0.9 or more, and the share of the rows that a query's prefixes hold stays under 0.2 outside the cluster."""
+    from taskloom.llm import neighbours
+
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((50_000, 64))
+    x[::3] = rng.standard_normal(64) + 0.5 * x[::3]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8)
+    asked = np.arange(7, len(x), 500)
+    got = neighbours.search(d, (F.col("vec_id") - 7) % 500 == 0).toPandas()
+    found = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
+    assert all(len(found[q]) == 20 for q in asked)
+    y = x.astype(float)
+    scores = y @ y[asked].T
+    scores[asked, np.arange(len(asked))] = -9
+    best = np.argpartition(-scores, 20, axis=0)[:20]
+    recall = np.array([len(found[q] & set(best[:, j])) / 20 for j, q in enumerate(asked)])
+    assert recall.mean() >= 0.9 and recall[asked % 3 == 0].mean() >= 0.9 and recall[asked % 3 != 0].mean() >= 0.9
+    h = neighbours.Hashes(y[: neighbours.SAMPLE], 1.0)
+    length, most, wanted = h.plan(len(x))
+    keys, p = h.keys(y) >> (h.bits * (h.depth - length)), h.probes(y[asked], length, most)
+    share = [np.mean(np.any([np.isin(keys[:, t], p[j, t]) for t in range(h.trees)], axis=0)) for j in range(len(asked))]
+    assert np.mean(np.array(share)[asked % 3 != 0]) <= 0.2
+
+
 def test_op2(spark, docs):
     got = {r.doc_id: r for r in result(spark, "op2_license_scan").itertuples()}
     assert len(got) == len(docs)

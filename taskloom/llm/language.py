@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import give_back, small_batches, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Training takes about so many labelled documents, by a hash of their id; letters summed over together; runs whose scores a worker keeps.
+#: Training takes about so many labelled documents, by a hash of their id; letters that are summed over at a time; runs whose scores a worker keeps.
 TRAIN_DOCS, RUN, CACHE = 8_000, 32, 120_000
 #: Added to every piece's count; the probability of a character that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-7
@@ -24,6 +24,8 @@ SMOOTH, UNKNOWN = 0.05, 1e-7
 CALIBRATE, SLACK, LEAST_SLACK, SHORT = 100, 5.0, 1.5, 100
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
+#: By such steps sums over long runs are kept from vanishing.
+SCALE = 1e60
 
 
 def pieces(path: str) -> list[str]:
@@ -65,22 +67,36 @@ class Unigrams:
         return alpha
 
     def expected(self, run: str, lang: int) -> dict[str, float]:
-        """Expected counts of pieces in a run under one language."""
-        out: dict[str, float] = {}
-        for at in range(0, len(run), RUN):
-            word = START + run[at : at + RUN] if not at else run[at : at + RUN]
-            edges = [[(i, piece, float(p[lang])) for i, piece, p in ends] for ends in self.edges(word)]
-            alpha = [1.0] + [0.0] * len(word)
-            for j in range(1, len(word) + 1):
-                alpha[j] = sum([alpha[i] * p for i, _, p in edges[j]])
-            beta = [0.0] * len(word) + [1.0]
-            whole = max(alpha[-1], 1e-300)
-            for j in range(len(word), 0, -1):
-                for i, piece, p in edges[j]:
-                    through = p * beta[j]
-                    beta[i] += through
-                    if piece:
-                        out[piece] = out.get(piece, 0.0) + alpha[i] * through / whole
+        """Expected counts of pieces in a run under one language, over all its segmentations."""
+        word = START + run
+        edges = [[(i, piece, float(p[lang])) for i, piece, p in ends] for ends in self.edges(word)]
+        n, out = len(word), {}
+        # A place's sums are kept as a number of about 1 and a power of SCALE, so that runs of any length stay within floats.
+        alpha, up = [1.0] + [0.0] * n, [0] * (n + 1)
+        for j in range(1, n + 1):
+            top = max(up[i] for i, _, _ in edges[j])
+            x = sum(alpha[i] * p * SCALE ** (up[i] - top) for i, _, p in edges[j])
+            while 0 < x < 1 / SCALE:
+                x, top = x * SCALE, top - 1
+            alpha[j], up[j] = x, top
+        beta, down = [0.0] * n + [1.0], [0] * (n + 1)
+        from_here: list[list] = [[] for _ in range(n + 1)]
+        for j in range(1, n + 1):
+            for i, piece, p in edges[j]:
+                from_here[i].append((j, piece, p))
+        for i in range(n - 1, -1, -1):
+            if not from_here[i]:
+                continue
+            top = max(down[j] for j, _, _ in from_here[i])
+            x = sum(p * beta[j] * SCALE ** (down[j] - top) for j, _, p in from_here[i])
+            while 0 < x < 1 / SCALE:
+                x, top = x * SCALE, top - 1
+            beta[i], down[i] = x, top
+        whole, at = max(alpha[n], 1e-300), up[n]
+        for i in range(n):
+            for j, piece, p in from_here[i]:
+                if piece and (share := alpha[i] * p * beta[j] / whole * SCALE ** (up[i] + down[j] - at)):
+                    out[piece] = out.get(piece, 0.0) + share
         return out
 
 
@@ -110,15 +126,15 @@ class Scorer:
             x = (h + c.astype(np.uint64) + self.salt) * self.base
             return x ^ (x >> np.uint64(31))
 
-    def parts(self, runs: list[str]) -> np.ndarray:
-        """Log probabilities of parts of up to RUN letters and a START, a row each."""
-        flat = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
-        n = np.fromiter(map(len, runs), np.int64, len(runs))
+    def hits(self, texts: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """By end and size of a piece the texts in which one of that size ends there, and which; -1 is a letter that is no piece."""
+        flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(n) - n
-        word = np.repeat(np.arange(len(runs)), n)
+        word = np.repeat(np.arange(len(texts)), n)
         place = np.arange(len(flat)) - first[word]
         alive, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
-        hits: dict[tuple[int, int], list] = {}
+        found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for size in range(1, self.longest + 1):
             inside = place[alive] + size <= n[word[alive]]
             alive, h = alive[inside], h[inside]
@@ -133,27 +149,47 @@ class Scorer:
             order = np.argsort(end, kind="stable")
             ends, cuts = np.unique(end[order], return_index=True)
             for e, rows in zip(ends, np.split(order, cuts[1:]) if len(ends) else [], strict=True):
-                hits[int(e), size] = [word[alive[use][rows]], got[use][rows]]
+                found[int(e), size] = word[alive[use][rows]], got[use][rows]
             alive, h = alive[prefix], h[prefix]
+        return found
+
+    def summed(self, texts: list[str]) -> np.ndarray:
+        """Log probabilities of texts, a row each: sums over all segmentations, RUN letters at a time.
+
+        Between steps the sums at the last places, as many as a piece is long, go on, divided by
+        the largest of them, whose logarithm is kept: no piece is cut and nothing vanishes.
+        """
         chance = np.vstack([self.chance, np.full((1, self.width), UNKNOWN)])  # row -1
-        alpha = np.zeros((int(n.max(initial=0)) + 1, len(runs), self.width))
-        alpha[0] = 1.0
-        for e in range(1, len(alpha)):
-            for size in range(1, min(e, self.longest) + 1):
-                if (e, size) in hits:
-                    w, piece = hits[e, size]
-                    alpha[e, w] += alpha[e - size, w] * chance[piece]
-        return np.log(np.maximum(alpha[n, np.arange(len(runs))], 1e-300))
+        out = np.zeros((len(texts), self.width))
+        live, logs, at = np.arange(len(texts)), np.zeros((len(texts), self.width)), 0
+        tail = np.ones((1, len(texts), self.width))  # the sum at place 0
+        while len(live):
+            lead = len(tail) - 1
+            subs = [texts[i][at - lead : at + RUN + 1] for i in live.tolist()]
+            n = np.fromiter(map(len, subs), np.int64, len(subs))
+            hits, most = self.hits(subs), int(n.max())
+            alpha = np.zeros((most + 1, len(live), self.width))
+            alpha[: lead + 1] = tail
+            for e in range(lead + 1, most + 1):
+                for size in range(1, min(e, self.longest) + 1):
+                    if (e, size) in hits:
+                        w, piece = hits[e, size]
+                        alpha[e, w] += alpha[e - size, w] * chance[piece]
+            at += RUN + 1
+            done = np.array([len(texts[i]) <= at for i in live.tolist()])
+            out[live[done]] = np.log(np.maximum(alpha[n[done], np.flatnonzero(done)], 1e-300)) + logs[done]
+            tail = alpha[max(0, most - self.longest + 1) :, ~done]
+            largest = np.maximum(tail.max(axis=0, initial=0.0), 1e-300)
+            live, logs, tail = live[~done], logs[~done] + np.log(largest), tail / largest
+        return out
 
     def log_probabilities(self, runs: list[str]) -> np.ndarray:
+        """Log probabilities of runs of letters, each with a START before it, a row each; runs of like length are summed together."""
         out = np.zeros((len(runs), self.width))
-        parts, owner = [], []
-        for i, run in enumerate(runs):
-            for at in range(0, len(run), RUN):
-                parts.append(START + run[:RUN] if not at else run[at : at + RUN])
-                owner.append(i)
-        for lo in range(0, len(parts), 20_000):
-            np.add.at(out, owner[lo : lo + 20_000], self.parts(parts[lo : lo + 20_000]))
+        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)) // RUN, kind="stable")
+        for lo in range(0, len(order), 20_000):
+            part = order[lo : lo + 20_000]
+            out[part] = self.summed([START + runs[i] for i in part.tolist()])
         return out
 
 

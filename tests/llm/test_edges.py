@@ -174,9 +174,9 @@ def test_language(spark, odd, empty):
 
 
 def test_licenses(spark, odd, empty):
-    d = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "a license to drive"), (3, None)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "x.\nReleased under the MIT License.\ny"), (2, "a license to drive"), (3, None), (4, "one.\n\nLicensed under the Apache\n License,  \nVersion 2.0.\ntwo")], "doc_id long, text string")
     got = {r.doc_id: [(p.paragraph, p.family) for p in r.paragraphs if p.confirmed] for r in licenses.scan_licenses(d).collect()}
-    assert got == {1: [(1, "MIT")], 2: [], 3: []}
+    assert got == {1: [(1, "MIT")], 2: [], 3: [], 4: [(2, "APACHE")]}
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 
 

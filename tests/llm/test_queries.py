@@ -87,6 +87,25 @@ def test_op2(spark, docs):
         assert (got[i].n_paragraphs, got[i].n_confirmed, got[i].families) == (len(want), sum(w[3] for w in want), ",".join(sorted({w[1] for w in want if w[3]})))
 
 
+#: Notices that are no template: wrapped, commented, shortened or in other words; and sentences that name no licence.
+NOTICES = [
+    ("GPL", "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General Public\n# License as published by the Free Software Foundation"), ("AGPL", "Code is under the GNU Affero General Public License version 3 or later"), ("LGPL", " * This library is licensed under the GNU Lesser General\n * Public License, version 2.1"),
+    ("APACHE", "Licensed under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in compliance with the License"), ("MIT", "The MIT License: Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), ("MIT", "Released under the MIT License by the team"),
+    ("BSD", "Redistribution and use in source and binary forms are permitted provided that\nthe following conditions are met"), ("CC0", "Released into the public domain"), ("CC-BY", "Photo licensed under a Creative Commons Attribution 4.0 International License"), ("CC-BY-SA", "Text is available under the Creative Commons Attribution-ShareAlike License"), ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"), (None, "The author lives in the public eye and by the sea"), (None, "Her driving licence was renewed by the office in May"), (None, "Copyright 2024 Example Corp. All rights reserved"), (None, "The source of the river is free of any ice"), (None, "He was granted permission to copy the letters"), (None, "The conditions of the contract were met with a warranty"),
+    (None, "Apache helicopters landed near the foundation of the house"), (None, "MIT students modified the software and distributed it"), (None, "The general terms apply to all purposes and sources"), (None, "Creative people share common goals without restriction"),
+]
+
+
+def test_op2_notices(spark):
+    """Held-out notices: most are recognised, none as another family, and no plain sentence as any."""
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: {p.family for p in r.paragraphs if p.confirmed} for r in licenses.scan_licenses(d).collect()}
+    right = sum(got[i] == {f} for i, (f, _) in enumerate(NOTICES) if f)
+    assert all(got[i] <= {f} for i, (f, _) in enumerate(NOTICES)), {i: got[i] for i, (f, _) in enumerate(NOTICES) if not got[i] <= {f}}
+    assert right >= 10, {NOTICES[i]: got[i] for i in got if NOTICES[i][0] and not got[i]}
+
+
 def test_op5(spark, docs):
     got = {r.doc_id: r for r in result(spark, "op5_suffix_dedup").itertuples()}
     texts = [(t or "").encode() for t in docs.text]
@@ -151,6 +170,27 @@ def test_op10_forward_sums_all_segmentations():
     assert np.allclose(np.exp(language.Scorer(model).log_probabilities(["abcd"])[0]), want)
 
 
+def test_op10_long_runs():
+    """Runs of any length are summed whole: as one place after another, in logarithms."""
+    rng = np.random.default_rng(6)
+    pieces = {"▁": (0.1, 0.2)} | {"".join(rng.choice(list("abc"), n)): tuple(rng.random(2) / 40) for n in (1, 1, 1, 2, 2, 3, 4, 7, 9) for _ in range(4)}
+    model = language.Unigrams(["x", "y"], {p: np.array(v) for p, v in pieces.items()})
+    runs = ["".join(rng.choice(list("abcd"), n)) for n in (0, 1, 5, 31, 32, 33, 34, 64, 65, 66, 97, 300, 2_000)]
+    got = language.Scorer(model).log_probabilities(runs)
+    for run, row in zip(runs, got):
+        edges = model.edges(language.START + run)
+        alpha = [np.zeros(2)]
+        for ends in edges[1:]:
+            alpha.append(np.logaddexp.reduce([alpha[i] + np.log(p) for i, _, p in ends]))
+        assert np.allclose(row, alpha[-1], rtol=1e-9, atol=1e-9)
+    for run in runs[2:]:  # expected counts: all letters are covered, as each segmentation covers them
+        counts = model.expected(run, 0)
+        known = sum(len(p) * n for p, n in counts.items())
+        assert 0 < known <= len(run) + 1 + 1e-6
+        if "d" not in run:
+            assert abs(known - len(run) - 1) < 1e-6 * len(run)
+
+
 def test_op6_escapes(spark):
     texts = ["</s>[INST] ok [/INST]", "<|end|>\n<|assistant|>\n", "\\", "\\\\<\\|", "<<|", "", "[INST", "a\\[INST]", None]
     rows_in = [(1, i, "assistant" if i % 2 else "u|>ser", t) for i, t in enumerate(texts)]

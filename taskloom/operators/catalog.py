@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_words, normalize_identifier, sequence_ratio, singular
+from .ordering import percentiles
 
 # Words that tell what a column is for, names that say nothing, and what keys look like.
 GENERIC = ("id", "key", "code", "no", "number", "index")
@@ -21,6 +22,8 @@ MEASURE_WORDS = ("amount", "price", "cost", "total", "quantity", "qty", "count",
 DIMENSION_WORDS = ("name", "type", "status", "category", "region", "country", "state", "city", "segment", "brand", "role", "lang", "source", "label", "flag", "priority")
 ID_ENDINGS = ("id", "key", "code", "ref")
 KEYISH = r"(?:^id$|_id$|_ids$|^.*_key$|^key$|_sk$|_pk$|_guid$|_uuid$|^.*_code$|^code$|_number$)"
+#: Different values up to which a profile counts them exactly unless told which columns to count.
+EXACT_VALUES = 1_000_000
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}"
 SUFFIXES = ("id", "key", "code", "ref", "no")
 DIRECTIONS = ("number", "arrival", "departure", "source", "target", "from", "to", "origin", "destination")
@@ -63,27 +66,33 @@ def simple(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary", "variant")]
 
 
-def profile(df: DataFrame, name: str, top: int = 5) -> DataFrame:
-    """(table, column, rows, nulls, distinct, null_fraction, uniqueness, top): exact, of all rows.
+def profile(df: DataFrame, name: str, top: int = 5, exact: list[str] | None = None) -> DataFrame:
+    """(table, column, rows, nulls, distinct, null_fraction, uniqueness, top).
 
-    Columns are laid out as (column, value) and counted once, so the number of distinct
-    counts does not multiply the plan; values are combined before the shuffle.
+    One pass counts rows and nulls and estimates distinct values by a sketch a column. The
+    columns in `exact`, by default those of EXACT_VALUES values at most by that estimate, are
+    then laid out as (column, value) and counted, combined before the shuffle: their distinct
+    values are exact and their most frequent ones known. For others distinct is the
+    estimate and top is null, so keys and long texts of large tables are not moved.
     """
     cols = simple(df)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
-    n = df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
+    first = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)], *[F.approx_count_distinct(F.col(f"`{c}`").cast("string")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    counted = [c for i, c in enumerate(cols) if (first[f"d{i}"] <= EXACT_VALUES if exact is None else c in exact)]
+    known = df.sparkSession.createDataFrame([(c, first["rows"], first["rows"] - first[f"n{i}"], first[f"d{i}"]) for i, c in enumerate(cols)], "column string, rows long, nulls long, estimate long")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in counted])) if counted else F.explode(F.array().cast("array<struct<column:string,value:string>>"))
+    n = df.select(pairs.alias("p")).where("p.value IS NOT NULL").groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
     place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
-    best = n.where("value IS NOT NULL").withColumn("r", place).where(F.col("r") <= top).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("r", "value", "n"))).alias("t"))
-    g = n.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("value").alias("distinct")).join(best, "column", "left")
-    return g.select(F.lit(name).alias("table"), "column", "rows", "nulls", "distinct", F.round(F.col("nulls") / F.col("rows"), 6).alias("null_fraction"), F.round(F.col("distinct") / F.nullif(F.col("rows") - F.col("nulls"), F.lit(0)), 6).alias("uniqueness"), F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top"))
+    best = n.withColumn("r", place).where(F.col("r") <= top).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("r", "value", "n"))).alias("t"))
+    g = known.join(n.groupBy("column").agg(F.count("value").alias("distinct")), "column", "left").join(best, "column", "left")
+    g = g.withColumn("distinct", F.when(F.col("column").isin(counted), F.coalesce("distinct", F.lit(0))).otherwise(F.col("estimate")))
+    return g.select(F.lit(name).alias("table"), "column", "rows", "nulls", "distinct", F.round(F.try_divide(F.col("nulls"), F.col("rows")), 6).alias("null_fraction"), F.round(F.col("distinct") / F.nullif(F.col("rows") - F.col("nulls"), F.lit(0)), 6).alias("uniqueness"), F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top"))
 
 
 def numeric_stats(df: DataFrame, name: str) -> DataFrame:
     """(table, column, least, p25, median, p75, most, mean) of numeric columns."""
     cols = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") or f.dataType.typeName().startswith("decimal")]
     x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("p")).select("p.*") if cols else df.sparkSession.createDataFrame([], "column string, x double")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = x.groupBy("column").agg(F.min("x").alias("least"), q.alias("q"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    g = x.groupBy("column").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean")).join(percentiles(x, "column", "x", (0.25, 0.5, 0.75)), "column", "left")
     return g.select(F.lit(name).alias("table"), "column", "least", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "most", "mean")
 
 
@@ -126,9 +135,15 @@ def exact_distinct(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
 
 
 def unique_columns(df: DataFrame, name: str) -> DataFrame:
-    """(table, column, rows, unique): columns whose non-null values are all rows, more than one, and all different."""
-    p = profile(df, name, top=1)
-    return p.select("table", "column", "rows", ((F.col("nulls") == 0) & (F.col("distinct") == F.col("rows")) & (F.col("rows") > 1)).alias("unique"))
+    """(table, column, rows, unique): columns whose non-null values are all rows, more than one, and all different.
+
+    A sketch rules out what is far from unique; the rest is counted exactly, so of a large
+    table only columns that may be keys are moved.
+    """
+    p = profile(df, name, top=1, exact=[])
+    likely = [r.column for r in p.where((F.col("nulls") == 0) & (F.col("rows") > 1) & (F.col("distinct") >= 0.8 * F.col("rows"))).select("column").collect()]
+    p = profile(df, name, top=1, exact=likely)
+    return p.select("table", "column", "rows", (F.col("column").isin(likely) & (F.col("distinct") == F.col("rows"))).alias("unique"))
 
 
 def key_choice(uniques: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import percentiles
+
 # What each feature counts, in a text with white space collapsed, in either case. CTEs have a pattern of their own, as only names that are defined count.
 FEATURES = {
     "cte": r"(?:\bWITH\s+(?:RECURSIVE\s+)?|,)\s*([A-Za-z_][\w$]*)\s+AS\s*\(",
@@ -63,10 +65,10 @@ def profile(texts: DataFrame) -> DataFrame:
 
 
 def distribution(profiles: DataFrame, features: tuple[str, ...] = SUMMARY) -> DataFrame:
-    """(feature, least, p25, p50, p75, p90, most, mean) over all profiles; percentiles interpolate between ranks, see percentiles()."""
+    """(feature, least, p25, p50, p75, p90, most, mean) over all profiles; percentiles interpolate between ranks."""
     long = profiles.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*")
-    q = F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    g = long.groupBy("feature").agg(F.min("x").alias("least"), q.alias("q"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    g = long.groupBy("feature").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    g = g.join(percentiles(long, "feature", "x", (0.25, 0.5, 0.75, 0.9)), "feature")
     return g.select("feature", "least", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))], "most", "mean")
 
 

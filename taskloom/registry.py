@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.ordering import ranked
 from .plans.authored import AUTHORED
 from .plans import micro, more, tasks
 from .plans.dialect import DUCK, SPARK, Text
@@ -21,8 +22,20 @@ def from_text(text: Text) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def placed(text: Text, order: list[str], dense: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose last step ranks all its rows: Spark's window would have one task for it."""
+    run = from_text(text)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return ranked(run(spark, sf_dir).drop("place"), order, "place", dense)
+
+    query.__doc__ = text.__doc__
+    return query
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: from_text(text) for name, text in AUTHORED.items()}
+    found |= {"c03": placed(AUTHORED["c03"], ["years", "spent"], True), "c09": placed(AUTHORED["c09"], ["spent"], False)}
     return found | micro.QUERIES | tasks.QUERIES | more.QUERIES
 
 

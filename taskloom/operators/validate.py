@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, identifier_words, sequence_ratio, stable_hash
+from ..sources import scratch
 from . import complexity
 from .governed import Deadline, Rejected, Result, audit_text, execute
 
@@ -201,17 +202,17 @@ def normalised(text: str | None) -> str:
     return re.sub(r"\s+", " ", (text or "").strip().rstrip(";")).casefold()
 
 
-def leak_key(h: str) -> tuple[str, int, str]:
-    """(kind, size, key) that every text containing h has: a text's words except first and last are whole words there."""
+def leak_key(h: str) -> tuple[str, int, list[str]]:
+    """(kind, size, keys), each of which every text containing h has: a text's words except first and last are whole words there."""
     w = h.split(" ")
     if len(w) >= 3:
         n = min(len(w) - 2, KEY_WORDS)
-        return "words", n, max((" ".join(w[i : i + n]) for i in range(1, len(w) - n)), key=len)
+        return "words", n, [" ".join(w[i : i + n]) for i in range(1, len(w) - n)]
     if len(w) == 1:
-        return "inside", len(h[:KEY_CHARS]), h[:KEY_CHARS]
+        return "inside", len(h[:KEY_CHARS]), [h[:KEY_CHARS]]
     if len(w[1]) >= len(w[0]):
-        return "head", len(w[1][:KEY_CHARS]), w[1][:KEY_CHARS]
-    return "tail", len(w[0][-KEY_CHARS:]), w[0][-KEY_CHARS:]
+        return "head", len(w[1][:KEY_CHARS]), [w[1][:KEY_CHARS]]
+    return "tail", len(w[0][-KEY_CHARS:]), [w[0][-KEY_CHARS:]]
 
 
 def leak_keys(p: str, kind: str, n: int) -> set[str]:
@@ -229,14 +230,15 @@ def leaks(prompts: DataFrame, hidden: DataFrame, least: int = 1) -> DataFrame:
 
     Texts of `least` characters or more count, by default all that are not empty then. Texts
     of three words or more meet prompts by inner words, texts of one and two by characters
-    within a word or at its ends, of the kinds and sizes that occur; what meets by equality
-    of hashes is then compared whole.
+    within a word or at its ends, of the kinds and sizes that occur. Of a text's inner words
+    those count that fewest prompts have, so an opening or a phrase that many share makes no
+    pairs; what meets by equality of hashes is then compared whole.
     """
 
-    @F.pandas_udf("kind string, n int, h string, key string")
+    @F.pandas_udf("kind string, n int, h string, keys array<string>")
     def keyed(texts: pd.Series) -> pd.DataFrame:
         hs = [normalised(t) for t in texts]
-        return pd.DataFrame([(*k[:2], h, k[2]) for h, k in zip(hs, map(leak_key, hs), strict=True)], columns=["kind", "n", "h", "key"])
+        return pd.DataFrame([(*k[:2], h, k[2]) for h, k in zip(hs, map(leak_key, hs), strict=True)], columns=["kind", "n", "h", "keys"])
 
     @F.pandas_udf("boolean")
     def inside(texts: pd.Series, hs: pd.Series) -> pd.Series:
@@ -260,8 +262,14 @@ def leaks(prompts: DataFrame, hidden: DataFrame, least: int = 1) -> DataFrame:
 
     p = prompts.select("prompt_id", "text").where(F.col("prompt_id").isNotNull())  # no join meets a null; pandas would make others doubles
     hashed = F.xxhash64("kind", "n", "key").alias("key")
+    asked = h.select("item_id", F.xxhash64("h").alias("own"), "kind", "n", F.explode("keys").alias("key")).select("item_id", "own", hashed).distinct()
     at = p.mapInPandas(keys, f"prompt_id {prompts.schema['prompt_id'].dataType.simpleString()}, kind string, n int, key string").select("prompt_id", hashed)
-    pairs = at.join(h.select("item_id", hashed), "key").select("prompt_id", "item_id").distinct()
+    path = scratch(prompts.sparkSession)
+    at.join(asked.select("key").distinct(), "key", "left_semi").distinct().write.parquet(path)  # only what some hidden text asks for is kept
+    at = prompts.sparkSession.read.parquet(path)
+    often = at.groupBy("key").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "key", "left").groupBy("item_id", "own").agg(F.min_by("key", F.struct(F.coalesce("often", F.lit(0)), "key")).alias("key"))
+    pairs = at.join(rarest, "key").select("prompt_id", "item_id").distinct()
     met = pairs.join(p, "prompt_id").join(h.select("item_id", "h"), "item_id")
     return met.where(inside("text", "h")).select("prompt_id", "item_id").distinct()
 

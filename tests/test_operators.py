@@ -155,3 +155,33 @@ def test_sessions_take_the_prompt_before_the_submission(spark):
     e = [(1, 0, "user/message", "user", "first", None), (1, 1, "user/message", "user", "second", None), (1, 2, "assistant/message", "assistant", "a", "sql_submit"), (1, 3, "user/message", "user", "thanks", None), (2, 0, "user/message", "user", "never", None), (3, 0, "assistant/message", "assistant", "b", "sql_submit"), (3, 1, "user/message", "user", "late", None)]
     got = trajectories.parse_sessions(spark.createDataFrame(e, "session long, seq long, type string, role string, text string, tool string")).collect()
     assert [(r.session, r.prompt, [t.text for t in r.turns]) for r in got] == [(1, "second", ["a"])]
+
+
+def test_ranks_and_percentiles(spark):
+    """Against pandas and numpy: ties, nulls, one value, groups of all sizes."""
+    import numpy as np
+    import pandas as pd
+
+    from taskloom.operators import ordering
+
+    rng = np.random.default_rng(2)
+    f = pd.DataFrame({"g": rng.integers(0, 4, 3_000), "x": rng.integers(-50, 50, 3_000).astype(float)})
+    f.loc[f.g == 3, "x"] = 7.0
+    d = spark.createDataFrame(f).repartition(7)
+    for dense in (False, True):
+        got = ordering.ranked(d, ["x"], "place", dense).toPandas()
+        want = got.x.rank(method="dense" if dense else "min", ascending=False)
+        assert len(got) == len(f) and (got.place == want).all()
+    with_null = d.unionByName(spark.createDataFrame([(0, None), (9, None)], "g long, x double"))
+    got = {r.g: r.q for r in ordering.percentiles(with_null, "g", "x", (0.0, 0.1, 0.5, 0.975, 1.0)).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(np.allclose(q, np.quantile(f.x[f.g == g], [0.0, 0.1, 0.5, 0.975, 1.0])) for g, q in got.items())
+
+
+def test_leaks_with_a_common_opening(spark):
+    """Texts that share all but one word with every prompt meet only the prompts that have it."""
+    from taskloom.operators import validate
+
+    p = spark.createDataFrame([(i, f"please look at the following question carefully number{i} and answer it") for i in range(50)], "prompt_id long, text string")
+    h = spark.createDataFrame([(7, "please look at the following question carefully number7 and answer"), (8, "following question carefully number8 and"), (8, "the following question carefully number9 and answer it"), (9, "look at the following question")], "item_id long, text string")
+    got = sorted(tuple(r) for r in validate.leaks(p, h).collect())
+    assert got == sorted([(7, 7), (8, 8), (9, 8), *((i, 9) for i in range(50))])

@@ -32,8 +32,8 @@ SAMPLE = 4096
 FACTOR, POWER = 10.0, 0.58
 #: How far from what was planned the rows of a query's prefixes may be, as a factor.
 SPREAD = 8
-#: Rows of a chunk; trees that are searched first, for a bound on what may still be an answer.
-CHUNK, FIRST = 8192, 4
+#: Rows of a chunk; trees of which the nearest prefix is searched first, for a bound on what may still be an answer.
+CHUNK, FIRST = 8192, 8
 
 
 def usable(v: Column) -> Column:
@@ -183,8 +183,8 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, trees: int = TRE
 
     A query whose prefixes hold SPREAD times as many rows as planned goes to longer ones, as
     long as they hold enough, and one whose prefixes hold a SPREADth of them to shorter ones.
-    The first trees are searched for a bound on the k-th best score; what is under it in the
-    others is not handed on.
+    The nearest prefixes of the first trees are searched for a bound on the k-th best score;
+    what is under it is not handed on.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
@@ -227,7 +227,7 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, trees: int = TRE
     rooted = lambda df, d: df if d else df.where("tree = 0")  # noqa: E731  all rows are found in one tree
 
     def taken(cids: DataFrame, d: int) -> DataFrame:
-        """(cid, tree, prefix): the prefixes of d symbols that queries take."""
+        """(cid, tree, j, prefix): the prefixes of d symbols that queries take, in each tree the nearest as number 0."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in batches:
@@ -237,9 +237,9 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, trees: int = TRE
                     yield pd.DataFrame({"cid": np.repeat(part["cid"].to_numpy(), trees), "tree": np.tile(np.arange(trees), len(part)), "p": list(p.reshape(-1, p.shape[2]))})
 
         if not d:
-            return cids.select("cid", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("prefix"))
+            return cids.select("cid", F.lit(0).alias("tree"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("prefix"))
         own = reps.join(cids, "cid", "left_semi").select("cid", "embedding")
-        return own.mapInPandas(run, "cid long, tree int, p array<long>").select("cid", "tree", F.explode("p").alias("prefix")).where("prefix >= 0")
+        return own.mapInPandas(run, "cid long, tree int, p array<long>").select("cid", "tree", F.posexplode("p").alias("j", "prefix")).where("prefix >= 0")
 
     def held(d: int) -> DataFrame:
         return rooted(index, d).groupBy("tree", prefix(d).alias("prefix")).agg(F.count("*").alias("n"))
@@ -270,7 +270,9 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, trees: int = TRE
         plans.append((d, t.join(size.where(enough), "cid", "left_semi")))
         sparse = size.where(~enough).select("cid")
 
-    def searched(which: Column, low: DataFrame | None) -> DataFrame:
+    def searched(first: bool, low: DataFrame | None) -> DataFrame:
+        which = F.col("tree") < FIRST if first else F.lit(True)
+        bounded = packs.withColumn("low", F.lit(float("-inf"))) if low is None else packs.join(low, "cid", "left").withColumn("low", F.coalesce("low", F.lit(float("-inf"))))
         out = None
         for d in sorted({d for d, _ in plans}):
             ask = None
@@ -282,23 +284,20 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, trees: int = TRE
             chunk = F.pmod(F.xxhash64("prefix"), F.lit(chunks)).alias("chunk")
             if d != length:  # few queries: only what they reach is sent
                 here = here.join(ask.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
-            stored = here.join(split, ["tree", "prefix"], "left").select("tree", chunk, F.pmod(F.xxhash64("cid"), parts).alias("part"), F.lit(0).alias("side"), "key", "cid", F.lit(None).cast("array<long>").alias("prefixes"), F.lit(0.0).alias("low"))
-            asks = ask.where(which).join(split, ["tree", "prefix"], "left").select("cid", "tree", chunk, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "prefix")
+            stored = here.join(split, ["tree", "prefix"], "left").select("tree", chunk, F.pmod(F.xxhash64("cid"), parts).alias("part"), F.lit(0).alias("side"), "key", "cid", F.lit(None).cast("array<long>").alias("prefixes"))
+            asks = (ask.where(which & (F.col("j") == 0)) if first else ask).join(split, ["tree", "prefix"], "left").select("cid", "tree", chunk, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "prefix")
             asks = asks.groupBy("cid", "tree", "chunk", "part").agg(F.collect_list("prefix").alias("prefixes"))
-            bound = asks.withColumn("low", F.lit(float("-inf"))) if low is None else asks.join(low, "cid", "left").withColumn("low", F.coalesce("low", F.lit(float("-inf"))))
-            both = stored.unionByName(bound.select("tree", "chunk", "part", F.lit(1).alias("side"), F.lit(0).cast("long").alias("key"), "cid", "prefixes", "low"))
-            both = both.join(packs, "cid").withColumn("shift", F.lit(hashes.bits * (hashes.depth - d)).cast("long") if d else F.lit(62).cast("long"))
+            both = stored.unionByName(asks.select("tree", "chunk", "part", F.lit(1).alias("side"), F.lit(0).cast("long").alias("key"), "cid", "prefixes"))
+            both = both.join(bounded, "cid").withColumn("shift", F.lit(hashes.bits * (hashes.depth - d)).cast("long") if d else F.lit(62).cast("long"))
             both = both.repartition("tree", "chunk", "part").sortWithinPartitions("tree", "chunk", "part", "side", "key", "cid")
             found = nearest(both, kind, k)
             out = found if out is None else out.unionByName(found)
         return written(out.groupBy("cid", "near").agg(F.max("score").alias("score")), n)  # a product's last bits depend on what it is computed with
 
-    near = searched(F.col("tree") < FIRST, None)
+    # No bound is above the k-th best score of all, and what reaches it is found again among all prefixes.
     nth = F.row_number().over(W.partitionBy("cid").orderBy(F.desc("score"), "near"))
-    low = near.withColumn("i", nth).where(F.col("i") == k).select("cid", F.col("score").alias("low"))
-    low = written(low, n)
-    near = near.join(low, "cid", "left").where(F.col("score") >= F.coalesce("low", F.lit(float("-inf"))) - 1e-6)
-    found = near.select("cid", "near").unionByName(searched(F.col("tree") >= FIRST, low).select("cid", "near")).distinct()
+    low = searched(True, None).withColumn("i", nth).where(F.col("i") == k).select("cid", F.col("score").alias("low"))
+    found = searched(False, written(low, n)).select("cid", "near")
     own_class = everyone.withColumn("near", F.col("cid"))
     pairs = found.unionByName(own_class)
     pairs = pairs.join(reps.select("cid", F.col("embedding").alias("x")), "cid").join(reps.select(F.col("cid").alias("near"), F.col("embedding").alias("y")), "near")

@@ -88,10 +88,15 @@ def profile(df: DataFrame, name: str, top: int = 5, exact: list[str] | None = No
     return g.select(F.lit(name).alias("table"), "column", "rows", "nulls", "distinct", F.round(F.try_divide(F.col("nulls"), F.col("rows")), 6).alias("null_fraction"), F.round(F.col("distinct") / F.nullif(F.col("rows") - F.col("nulls"), F.lit(0)), 6).alias("uniqueness"), F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top"))
 
 
-def numeric_stats(df: DataFrame, name: str) -> DataFrame:
-    """(table, column, least, p25, median, p75, most, mean) of numeric columns."""
+def numeric_stats(df: DataFrame, name: str, share: float = 0.8) -> DataFrame:
+    """(table, column, least, p25, median, p75, most, mean) of numeric columns, and of text columns of whose values `share` or more read as numbers; the others' values do not count."""
     cols = [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") or f.dataType.typeName().startswith("decimal")]
-    x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("p")).select("p.*") if cols else df.sparkSession.createDataFrame([], "column string, x double")
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    if texts:
+        read = df.agg(*[(F.count(number(c)) >= share * F.greatest(F.lit(1), F.count(F.col(f"`{c}`")))).alias(f"t{i}") for i, c in enumerate(texts)]).first()
+        cols += [c for i, c in enumerate(texts) if read[f"t{i}"]]
+    x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("x")) for c in cols])).alias("p")).select("p.*") if cols else df.sparkSession.createDataFrame([], "column string, x double")
     g = x.groupBy("column").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean")).join(percentiles(x, "column", "x", (0.25, 0.5, 0.75)), "column", "left")
     return g.select(F.lit(name).alias("table"), "column", "least", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "most", "mean")
 
@@ -113,11 +118,30 @@ def spread_sample(df: DataFrame, key: str, cap: int = 256) -> DataFrame:
     """About cap rows, evenly spread over the range of an integer key: the same rows at every run, found by equality."""
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     if lo is None or cap < 2:
-        return df.limit(max(cap, 0))
+        return df.orderBy(key).limit(max(cap, 0))
     at = sorted({int(lo + (hi - lo) * i // (cap - 1)) for i in range(cap)})
     return df.where(F.col(key).isin(at))
 
 
+def sampled(df: DataFrame, key: str, cap: int = 256) -> tuple[DataFrame, str]:
+    """A sample and how it was taken: `disabled` with a cap of none, `prefix` for a table of cap rows at most, which it holds whole, else `spread`.
+
+    Keys with gaps may give few rows: under the smaller of 32 and a third of cap the first cap
+    rows in the order of the key are added, equal rows counted once, as `spread_plus_prefix`,
+    or taken alone, as `prefix_fallback`, if the spread found none.
+    """
+    if cap < 1:
+        return df.limit(0), "disabled"
+    first = df.orderBy(key).limit(cap)
+    if df.limit(cap + 1).count() <= cap:
+        return first, "prefix"
+    spread = spread_sample(df, key, cap)
+    n = spread.count()
+    if n >= min(32, cap // 3):
+        return spread, "spread"
+    return (spread.unionByName(first).distinct(), "spread_plus_prefix") if n else (first, "prefix_fallback")
+
+
 def distinct_candidates(profiles: DataFrame, tags: DataFrame, most: int = 20, keep: int = 3) -> DataFrame:
     """(table, column, score): the columns of each table most worth listing all values of."""
     d = profiles.join(tags.select("table", "column", "tags"), ["table", "column"])

@@ -227,6 +227,37 @@ def cat_declared_key(spark, d):
     return catalog.join_edges(spark, t, {("customer", "c_nationkey", "region", "r_name")}).drop("name_similarity", "confidence")
 
 
+@checked(
+    """WITH k AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), g AS (SELECT o_orderkey * o_orderkey * 1000 AS key, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders), gk AS (SELECT min(key) AS lo, max(key) AS hi FROM g),
+    s AS (SELECT key, rn FROM g WHERE key IN (SELECT lo + (hi - lo) * i // 59 FROM gk, range(60) r(i)))
+    SELECT 'regions' AS name, 'prefix' AS mode, (SELECT count(*) FROM region) AS n UNION ALL SELECT 'orders', 'spread', (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT lo + (hi - lo) * i // 59 FROM k, range(60) r(i)))
+    UNION ALL SELECT 'gaps', 'spread_plus_prefix', (SELECT count(*) FROM (SELECT key FROM s UNION SELECT key FROM g WHERE rn <= 60)) UNION ALL SELECT 'none', 'disabled', 0"""
+)
+def cat_sample_modes(spark, d):
+    """A small table, one of dense keys, one whose keys lie apart so that the spread meets few, and no sample at all."""
+    orders = read(spark, d, "orders").select("o_orderkey")
+    gaps = orders.select((F.col("o_orderkey") * F.col("o_orderkey") * 1000).alias("key"))
+    taken = {"regions": (read(spark, d, "region"), "r_regionkey", 60), "orders": (orders, "o_orderkey", 60), "gaps": (gaps, "key", 60), "none": (orders, "o_orderkey", 0)}
+    rows = []
+    for name, (df, key, cap) in taken.items():
+        sample, mode = catalog.sampled(df, key, cap)
+        rows.append((name, mode, sample.count()))
+    return spark.createDataFrame(rows, "name string, mode string, n long")
+
+
+@checked(
+    """WITH t AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'n/a' ELSE p_size::VARCHAR END AS mostly, CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE p_size::VARCHAR END AS partly, CASE WHEN p_partkey % 4 > 0 THEN p_retailprice END AS price FROM part),
+    x AS (SELECT 'mostly' AS "column", try_cast(mostly AS DOUBLE) AS x FROM t UNION ALL SELECT 'price', price FROM t)
+    SELECT 't' AS "table", "column", min(x) AS least, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS p75, max(x) AS most, avg(x) AS mean FROM x GROUP BY "column\""""
+)
+def cat_mixed_numbers(spark, d):
+    """Numbers kept as text: a column of which nine in ten read as numbers, one of which two in three do, and a numeric one with nulls."""
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    t = read(spark, d, "part").select(F.when(k % 10 == 0, "n/a").otherwise(size).alias("mostly"), F.when(k % 3 == 0, "n/a").otherwise(size).alias("partly"), F.when(k % 4 > 0, F.col("p_retailprice")).alias("price"))
+    return catalog.numeric_stats(t, "t")
+
+
 # Complexity and curriculum
 
 

@@ -62,10 +62,15 @@ def tagged(h: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sync_runs(data: np.ndarray, starts: np.ndarray, roll: Rolling, sync: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def widths(depth: int) -> tuple[int, int, int]:
+    """(SYNC, K, RUN), smaller where depth is: what a window's first digits look at must lie inside of it."""
+    return tuple(max(1, min(x, depth // 2)) for x in (SYNC, K, RUN))
+
+
+def sync_runs(data: np.ndarray, starts: np.ndarray, roll: Rolling, sync: int, look: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Position, first and last of each run of window starts that share a synchronising position."""
-    at = np.arange(len(data) - K + 1)
-    low = (mixed(roll.of(at, at + K)) & U(0xFFFFFFFF00000000)) | at.astype(U)
+    at = np.arange(len(data) - look + 1)
+    low = (mixed(roll.of(at, at + look)) & U(0xFFFFFFFF00000000)) | at.astype(U)
     width = 1
     while width * 2 <= sync:
         low = np.minimum(low[:-width], low[width:])
@@ -79,14 +84,14 @@ def sync_runs(data: np.ndarray, starts: np.ndarray, roll: Rolling, sync: int) ->
 
 def digit_one(docs: DataFrame, depth: int) -> DataFrame:
     """(rk, p, lo, hi, core, full): runs of starts of all texts."""
-    sync = min(SYNC, depth // 2)
+    sync, look, _ = widths(depth)
 
     def flush(parts: list, roll: Rolling) -> pd.DataFrame:
         data = np.concatenate([x[2] for x in parts])
         off = np.cumsum([0, *(len(x[2]) for x in parts)])[:-1]
         starts = np.concatenate([np.arange(o, o + len(x[2]) - depth + 1) for o, x in zip(off, parts, strict=True)])
         roll.load(data)
-        p, lo, hi = sync_runs(data, starts, roll, sync)
+        p, lo, hi = sync_runs(data, starts, roll, sync, look)
         core = tagged(roll.of(p, p + depth - sync + 1), np.full(len(p), 1))
         full = tagged(roll.of(lo, hi + depth), p - lo, p - hi)
         own = np.searchsorted(off, lo, side="right") - 1
@@ -114,6 +119,7 @@ def next_digit(docs: DataFrame, reps: DataFrame, depth: int, single: bool) -> Da
     """The next digit's rows, of the same form, for the runs of starts in reps."""
     lists = reps.groupBy("rk").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("runs"))
     both = docs.select("rk", "raw").join(lists, "rk")
+    _, _, step = widths(depth)
 
     def flush(parts: list, roll: Rolling) -> pd.DataFrame:
         data = np.concatenate([x[4] for x in parts])
@@ -127,13 +133,13 @@ def next_digit(docs: DataFrame, reps: DataFrame, depth: int, single: bool) -> Da
             s = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + lo[own]
             core = tagged(roll.of(s + shift[own], s + shift[own] + depth), np.full(len(s), 3))
             return pd.DataFrame({"rk": rk[own], "p": s, "lo": s, "hi": s, "core": core, "full": core})
-        first, last = (p - hi) // RUN, (p - lo) // RUN
+        first, last = (p - hi) // step, (p - lo) // step
         n = last - first + 1
         own = np.repeat(np.arange(len(n)), n)
         m = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[own]
-        q, a, b = p[own], np.maximum(lo[own], p[own] - m * RUN - RUN + 1), np.minimum(hi[own], p[own] - m * RUN)
-        c = q - m * RUN + shift[own]
-        core = tagged(roll.of(c, c - RUN + 1 + depth), np.full(len(q), 2), m)
+        q, a, b = p[own], np.maximum(lo[own], p[own] - m * step - step + 1), np.minimum(hi[own], p[own] - m * step)
+        c = q - m * step + shift[own]
+        core = tagged(roll.of(c, c - step + 1 + depth), np.full(len(q), 2), m)
         full = tagged(roll.of(a + shift[own], b + depth + shift[own]), q - a, q - b)
         return pd.DataFrame({"rk": rk[own], "p": q, "lo": a, "hi": b, "core": core, "full": full})
 
@@ -178,7 +184,7 @@ def remove_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. A null text is empty. Texts shorter than
     `depth` bytes lose nothing. Repeated rows count as texts of their own. Long texts are
-    read in pieces of bounded size. No rows give no rows.
+    read in pieces of bounded size. No rows give no rows. depth: 1 or more.
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).withColumn("rk", F.xxhash64("doc_id", "raw"))

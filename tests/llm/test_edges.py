@@ -97,6 +97,15 @@ def test_suffix_dedup(spark, odd, empty):
     assert None in got and suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 7, 15, 16, 20, 31, 33])
+def test_suffix_dedup_small_depths(spark, depth):
+    rng = np.random.default_rng(depth)
+    texts = ["".join(rng.choice(list("ab" if depth > 6 else "abcdefghij"), rng.integers(0, 60))) for _ in range(12)] + ["a" * 50, "xyzxyzxyz" * 6]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.a, s.b) for s in r.spans] for r in suffix_dedup.remove_repeats(d, depth=depth).collect()}
+    assert [got[i] for i in range(len(texts))] == [w[0] for w in suffix_dedup.brute_force([t.encode() for t in texts], depth)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_dedup_random(spark, seed):
     rng = np.random.default_rng(seed)

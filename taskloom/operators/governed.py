@@ -140,6 +140,13 @@ def execute(spark: SparkSession, sql: str, max_rows: int = 10_000, seconds: floa
     return Result(df.columns, rows, nulls, ordered, unordered, df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), (time.monotonic() - began) * 1000)
 
 
+def submit(spark: SparkSession, sql: str, path: str, **limits) -> Result:
+    """A query's final run: executed behind the audit like any other, and its rows, in their order, stored as one Parquet file in place of what was there."""
+    result = execute(spark, sql, **limits)
+    spark.sql(re.sub(r"[;\s]+$", "", sql)).coalesce(1).write.mode("overwrite").parquet(path)
+    return result
+
+
 def result_hash(df: DataFrame, buckets: int = 4096) -> DataFrame:
     """(n_rows, result_hash): an order-free hash of a result of any size, as DataFrame operations.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import stable_order_key
+
 # Roles of stored conversations, markers of a turn's end, outcomes that may vote.
 ROLES = {"user": "human", "system": "human", "tool": "human", "assistant": "gpt"}
 TURN_END = r"(?:\s*(?:<\|im_end\|>|<\|endoftext\|>))+\s*$"
@@ -242,6 +244,20 @@ def verified(results: DataFrame) -> DataFrame:
     return results.where(F.col("exec_ok") & F.col("correct") & F.col("session_path").isNotNull())
 
 
+def gold_compared(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """results (instance_id, res_hash) with correct: there is a gold_res_hash (instance_id, gold_res_hash) and it is the same."""
+    d = results.join(gold.select("instance_id", "gold_res_hash"), "instance_id", "left")
+    return d.withColumn("correct", F.coalesce(F.col("res_hash") == F.col("gold_res_hash"), F.lit(False)))
+
+
+def flattened_tasks(batches: DataFrame, seed: str, limit: int) -> DataFrame:
+    """(source, batch, task, place): the tasks of batches (source, batch, tasks), in the order of SHA-256 of seed and source/task, the first `limit`."""
+    t = batches.select("source", "batch", F.explode("tasks").alias("task"))
+    t = t.withColumn("_key", stable_order_key(seed, F.concat_ws("/", "source", F.col("task").cast("string"))))
+    first = t.orderBy("_key", "batch").limit(limit)
+    return first.withColumn("place", F.row_number().over(W.orderBy("_key", "batch"))).drop("_key")
+
+
 def registry_errors(files: DataFrame, connections: DataFrame) -> DataFrame:
     """(database, problem): files (database) without exactly one connection (database, tables) of at least one table, and connections without a file."""
     c = connections.groupBy("database").agg(F.count("*").alias("n"), F.max("tables").alias("tables"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import os
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog, complexity, curriculum, governed, trajectories, validate
-from ..sources import files, read, register, scratch
+from ..sources import databases, files, read, register, scratch
 from .authored import AUTHORED
-from .dialect import SPARK
+from .dialect import DUCK, SPARK
 from .tasks import Query, quoted
 
 QUERIES: dict[str, Query] = {}
@@ -91,6 +92,58 @@ def src_docs_lookup(spark, d):
     return found.select(F.regexp_replace("name", "^x__", "").alias("name"), "description")
 
 
+def _file(spark, d) -> str:
+    """A SQLite file of three tables with keys; only in local mode, as scratch folders of a cluster are no mounted ones."""
+    folder = scratch(spark).removeprefix("file:")
+    os.makedirs(folder)
+    path = f"{folder}/tables.sqlite"
+    databases.write_sqlite(read(spark, d, "region"), path, "region", ("r_regionkey",))
+    databases.write_sqlite(read(spark, d, "nation"), path, "nation", ("n_nationkey",), {"n_regionkey": "region"})
+    databases.write_sqlite(read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("half"), "o_orderdate"), path, "orders", ("o_orderkey", "half"))
+    return path
+
+
+@checked("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS half, year(o_orderdate)::VARCHAR AS y FROM orders")
+def src_sqlite(spark, d):
+    """Orders through a SQLite file: written, and scanned read-only in ranges of row ids."""
+    o = databases.read_database(spark, "sqlite", _file(spark, d), "orders", 4)
+    return o.select("o_orderkey", "o_totalprice", "half", F.substring("o_orderdate", 1, 4).alias("y"))
+
+
+@checked("SELECT n_nationkey, n_name, n_regionkey, n_nationkey % 2 = 0 AS even FROM nation")
+def src_duckdb(spark, d):
+    """Nations through a DuckDB file."""
+    import duckdb
+
+    folder = scratch(spark).removeprefix("file:")
+    os.makedirs(folder)
+    path = f"{folder}/tables.duckdb"
+    con = duckdb.connect(path)
+    con.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name VARCHAR, n_regionkey INTEGER, even BOOLEAN)")
+    con.executemany("INSERT INTO nation VALUES (?, ?, ?, ?)", [(*r, r[0] % 2 == 0) for r in map(tuple, read(spark, d, "nation").collect())])
+    con.close()
+    return databases.read_database(spark, "duckdb", path, "nation", 3)
+
+
+@checked(
+    """SELECT * FROM (VALUES ('nation', 0, 'n_nationkey', 'INTEGER', 1, true, NULL), ('nation', 1, 'n_name', 'TEXT', 0, false, NULL), ('nation', 2, 'n_regionkey', 'INTEGER', 0, false, 'region.r_regionkey'), ('region', 0, 'r_regionkey', 'INTEGER', 1, true, NULL), ('region', 1, 'r_name', 'TEXT', 0, false, NULL),
+    ('orders', 0, 'o_orderkey', 'INTEGER', 1, false, NULL), ('orders', 1, 'o_totalprice', 'REAL', 0, false, NULL), ('orders', 2, 'half', 'TEXT', 2, false, NULL), ('orders', 3, 'o_orderdate', 'TEXT', 0, false, NULL)) t("table", position, "column", declared, key, "unique", "references")"""
+)
+def src_introspected(spark, d):
+    """Columns, keys and references of the file's tables."""
+    return databases.introspected(spark, "sqlite", _file(spark, d)).drop("not_null")
+
+
+@checked("SELECT 'nation' AS left_table, 'n_regionkey' AS left_column, 'region' AS right_table, 'r_regionkey' AS right_column, true AS explicit_foreign_key, 'n:1' AS relationship")
+def cat_file_joins(spark, d):
+    """Joins of the file's tables, with the keys that it declares."""
+    path = _file(spark, d)
+    known = databases.introspected(spark, "sqlite", path).where("references IS NOT NULL").collect()
+    keys = {(r.table, r.column, *r.references.split(".")) for r in known}
+    tables = {t: databases.read_database(spark, "sqlite", path, t, 2) for t in ("nation", "region")}
+    return catalog.join_edges(spark, tables, keys).drop("name_similarity", "overlap", "confidence")
+
+
 # Sinks
 
 
@@ -186,6 +239,24 @@ def gov_describe(spark, d):
     return spark.createDataFrame([(t, c, kind, len(x["rows"])) for t, x in known.items() for c, kind in x["columns"]], "table string, column string, declared string, shown int")
 
 
+@checked(f"SELECT * FROM ({AUTHORED['c01'](DUCK)})")
+def gov_submit(spark, d):
+    """A query that was tried, submitted: run anew, stored, and read from where it is stored."""
+    register(spark, d)
+    tried = governed.execute(spark, AUTHORED["c01"](SPARK))
+    path = scratch(spark)
+    if governed.submit(spark, AUTHORED["c01"](SPARK), path).ordered_sha256 != tried.ordered_sha256:
+        raise ValueError("a second run differs")
+    return spark.read.parquet(path)
+
+
+@checked("SELECT year(o_orderdate) AS y, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished FROM orders GROUP BY y HAVING n > 1")
+def agg_by_alias(spark, d):
+    """GROUP BY and HAVING name what the select list has made."""
+    register(spark, d, ("orders",))
+    return spark.sql("SELECT year(o_orderdate) AS y, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS finished FROM orders GROUP BY y HAVING n > 1").withColumn("y", F.col("y").cast("long"))
+
+
 @checked("""SELECT n_name AS "a`b", n_nationkey AS "select" FROM nation""")
 def text_quoted(spark, d):
     register(spark, d, ("nation",))
@@ -330,3 +401,22 @@ def traj_verified(spark, d):
     e = read(spark, d, "events").select("event_id", (F.col("event_type") != "error").alias("exec_ok"), (F.col("event_id") % 3 == 0).alias("correct"), F.when(F.col("user_id") % 4 != 0, "s").alias("session_path"))
     return trajectories.verified(e).select("event_id")
 
+
+
+@checked("SELECT o_orderkey AS instance_id, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 4 = 0 ELSE false END AS correct FROM orders")
+def traj_gold_compare(spark, d):
+    """Results against gold: equal hashes, other hashes, none of their own, and none in the gold."""
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders")
+    results = o.select(k.alias("instance_id"), F.when(k % 4 != 2, F.concat(F.lit("h"), F.when(k % 4 == 0, k).otherwise(-k))).alias("res_hash"))
+    gold = o.where("o_orderkey % 4 <> 3").select(k.alias("instance_id"), F.concat(F.lit("h"), k).alias("gold_res_hash"))
+    return trajectories.gold_compared(results, gold).select("instance_id", "correct")
+
+
+@checked(
+    """WITH t AS (SELECT p_brand AS source, p_size AS batch, p_partkey AS task FROM part WHERE p_size > 5), r AS (SELECT *, row_number() OVER (ORDER BY sha256('11' || chr(0) || source || '/' || task)) AS place FROM t) SELECT source, batch, task, place::INT AS place FROM r WHERE place <= 50"""
+)
+def rl_flattened(spark, d):
+    """Tasks of all batches of all sources, in a seeded order, the first fifty."""
+    b = read(spark, d, "part").where("p_size > 5").groupBy(F.col("p_brand").alias("source"), F.col("p_size").alias("batch")).agg(F.collect_list("p_partkey").alias("tasks"))
+    return trajectories.flattened_tasks(b, "11", 50)

@@ -185,3 +185,39 @@ def test_leaks_with_a_common_opening(spark):
     h = spark.createDataFrame([(7, "please look at the following question carefully number7 and answer"), (8, "following question carefully number8 and"), (8, "the following question carefully number9 and answer it"), (9, "look at the following question")], "item_id long, text string")
     got = sorted(tuple(r) for r in validate.leaks(p, h).collect())
     assert got == sorted([(7, 7), (8, 8), (9, 8), *((i, 9) for i in range(50))])
+
+
+def test_databases(spark, tmp_path):
+    """Files with odd names and values: types by affinity, values against them, tables without row ids, empty tables, keys and references; and no write through a reader."""
+    import sqlite3
+
+    import duckdb
+
+    from taskloom.sources import databases
+
+    path = str(tmp_path / "x.sqlite")
+    con = sqlite3.connect(path)
+    con.executescript("""CREATE TABLE "a""b" (id INTEGER PRIMARY KEY, "odd name" VARCHAR(9) UNIQUE, r DECIMAL(3,1), raw BLOB, up INTEGER REFERENCES "a""b");
+        CREATE TABLE bare (k TEXT, n INT, PRIMARY KEY (k, n)) WITHOUT ROWID; CREATE TABLE none (x REAL); CREATE VIEW v AS SELECT n FROM bare""")
+    con.execute('INSERT INTO "a""b" VALUES (1, 5, 2.5, x\'00ff\', NULL), (7, NULL, \'n/a\', \'t\', 1), (900, \'z\', 3, NULL, 1)')
+    con.execute("INSERT INTO bare VALUES ('q', 1), ('q', 2)")
+    con.commit()
+    con.close()
+    got = sorted(tuple(r) for r in databases.read_database(spark, "sqlite", path, 'a"b', 3).collect())
+    assert got == [(1, "5", 2.5, b"\x00\xff", None), (7, None, None, b"t", 1), (900, "z", 3.0, None, 1)]
+    assert sorted(tuple(r) for r in databases.read_database(spark, "sqlite", path, "bare").collect()) == [("q", 1), ("q", 2)]
+    assert databases.read_database(spark, "sqlite", path, "none").count() == 0 and databases.read_database(spark, "sqlite", path, "v").count() == 2
+    keys = {(r.table, r.column): (r.key, r.unique, r.references) for r in databases.introspected(spark, "sqlite", path).collect()}
+    assert keys['a"b', "id"] == (1, True, None) and keys['a"b', "odd name"] == (0, True, None) and keys['a"b', "up"] == (0, False, 'a"b.id') and keys["bare", "n"] == (2, False, None)
+    with pytest.raises(sqlite3.OperationalError):
+        databases.opened("sqlite", path).execute("DROP TABLE bare")
+    with pytest.raises(Exception, match="no table"):
+        databases.read_database(spark, "sqlite", path, "absent").count()
+    path = str(tmp_path / "x.duckdb")
+    con = duckdb.connect(path)
+    con.execute("CREATE TABLE p (id INTEGER PRIMARY KEY, name VARCHAR NOT NULL); CREATE TABLE c (p INTEGER REFERENCES p(id), t TIMESTAMP); INSERT INTO p VALUES (1, 'a'), (2, 'b'); INSERT INTO c VALUES (1, '2024-01-02 03:04:05')")
+    con.close()
+    assert sorted(tuple(r) for r in databases.read_database(spark, "duckdb", path, "p").collect()) == [(1, "a"), (2, "b")]
+    assert [tuple(r) for r in databases.read_database(spark, "duckdb", path, "c").collect()] == [(1, "2024-01-02 03:04:05")]
+    keys = {(r.table, r.column): (r.key, r.unique, r.not_null, r.references) for r in databases.introspected(spark, "duckdb", path).collect()}
+    assert keys["p", "id"][:2] == (1, True) and keys["p", "name"][2] and keys["c", "p"] == (0, False, False, "p.id")

@@ -92,6 +92,24 @@ def src_docs_lookup(spark, d):
     return found.select(F.regexp_replace("name", "^x__", "").alias("name"), "description")
 
 
+@checked(
+    """SELECT 't_' || n_nationkey AS "table", NULL AS "column", CASE n_nationkey % 4 WHEN 0 THEN 'Told by ' || n_name WHEN 1 THEN 'Block of ' || n_nationkey WHEN 2 THEN 'Lines of ' || n_nationkey || ' in two' ELSE 'Late ' || n_nationkey END AS description FROM nation
+    UNION ALL SELECT 't_' || n_nationkey, 'c', 'Column of ' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0"""
+)
+def src_yaml_docs(spark, d):
+    """A YAML file a nation: quoted, by doc(), in a block, or nothing but in a later file; columns of some; models, seeds and sources by turns."""
+    k, key = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    n = read(spark, d, "nation")
+    said = F.when(k % 4 == 0, F.concat(F.lit("description: 'Told by "), "n_name", F.lit("'"))).when(k % 4 == 1, F.concat(F.lit("description: \"{{ doc('b_"), key, F.lit("') }}\""))).when(k % 4 == 2, F.concat(F.lit("description: >\n        Lines of "), key, F.lit("\n        in two"))).otherwise("description: \"{{ doc('missing') }}\"")
+    column = F.when(k % 2 == 0, F.concat(F.lit("\n    columns:\n      - name: c\n        description: Column of "), key)).otherwise("")
+    head = F.when(k % 3 == 0, "models:").otherwise("seeds:")
+    first = F.concat(F.lit("version: 2\n# tables\n"), head, F.lit("\n  - name: t_"), key, F.lit("\n    "), said, column, F.lit("\n"))
+    late = F.concat(F.lit("sources:\n  - name: raw\n    description: of no table\n    tables:\n      - name: t_"), key, F.lit("\n        description: Late "), key)
+    yaml = n.select(F.lit("a.yml").alias("path"), first.alias("text")).unionByName(n.select(F.lit("b.yml").alias("path"), late.alias("text")))
+    docs = files.doc_blocks(n.select(F.lit("c.md").alias("path"), F.concat(F.lit("{% docs b_"), key, F.lit(" %}Block of "), key, F.lit("{% enddocs %}")).alias("text")))
+    return files.harvested(yaml, docs)
+
+
 def _file(spark, d) -> str:
     """A SQLite file of three tables with keys; only in local mode, as scratch folders of a cluster are no mounted ones."""
     folder = scratch(spark).removeprefix("file:")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ def read_zstd_sessions(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of zstd files, in Python, as Hadoop's codec needs native code; a file that does not unpack gives no lines."""
     from collections.abc import Iterator
 
-    import pandas as pd
-
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
@@ -91,6 +90,76 @@ def doc_blocks(texts: DataFrame) -> DataFrame:
     return d.where("description <> ''").groupBy("name").agg(F.min_by("description", F.struct("path", "i")).alias("description"))
 
 
+def described(text: str | None) -> list[tuple[str, str, str | None, str]]:
+    """(kind, table, column, description) of a YAML file of models, seeds, snapshots and sources; column is null for a table's own.
+
+    What is read of YAML is its shape in such files: lists of `- name:` under keys, by
+    indentation, with `description:` as a plain or quoted text on its line, or as a block of
+    deeper lines after > or |. Anything else is passed over. A source's tables count, the source does not.
+    """
+    out: list[tuple[str, str, str | None, str]] = []
+    keys: list[tuple[int, str]] = []  # open keys and names, by indentation
+    lines = (text or "").split("\n")
+    at, early = 0, ""
+    while at < len(lines):
+        raw = lines[at]
+        at += 1
+        line = raw.strip()
+        if not line or line.startswith("#"):
+            continue
+        indent = len(raw) - len(raw.lstrip())
+        while line.startswith("- "):
+            keys = [k for k in keys if k[0] < indent or k[0] == indent and k[1][0] not in "-="] + [(indent, "-")]
+            line, indent, early = line[2:].lstrip(), indent + 2, ""
+        key, sep, value = line.partition(":")
+        if not sep or not key.replace("_", "").isalnum():
+            continue
+        keys = [k for k in keys if k[0] < indent]
+        value = value.strip()
+        if key == "description" and value[:1] in (">", "|"):
+            block = []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > indent):
+                block.append(lines[at].strip())
+                at += 1
+            value = (" " if value[0] == ">" else "\n").join(block).strip()
+        elif value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        item = next((i for i in range(len(keys) - 1, -1, -1) if keys[i][1][0] in "-="), None)
+        if item is None or key not in ("name", "description"):
+            if not value:
+                keys.append((indent, key))
+            continue
+        if key == "name":
+            keys[item] = keys[item][0], f"={value}"
+            value, early = early, ""  # a description before the name
+        elif keys[item][1] == "-":
+            early = value
+            continue
+        chain = [k for _, k in keys]
+        names = [k[1:] for k in chain if k.startswith("=")]
+        tables = names[1:] if chain[0] == "sources" else names
+        if value and chain[0] in ("models", "seeds", "snapshots", "sources") and 1 <= len(tables) <= 2:
+            out.append((chain[0], tables[0], tables[1] if len(tables) == 2 else None, value))
+    return out
+
+
+def harvested(yaml: DataFrame, docs: DataFrame) -> DataFrame:
+    """(table, column, description) of YAML files (path, text) and docs blocks (name, description): the first that says something, in the order of path and place.
+
+    A description that is a call of doc() is that of the block it names; one whose block is
+    not there says nothing.
+    """
+    @F.pandas_udf("array<struct<kind:string,table:string,column:string,description:string>>")
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "table", "column", "description"), d, strict=True)) for d in described(t)] for t in texts])
+
+    d = yaml.select("path", F.posexplode(parsed("text")).alias("i", "d")).select("path", "i", "d.table", "d.column", "d.description")
+    d = d.withColumn("block", F.regexp_extract("description", r"""^\{\{\s*doc\(\s*['"]([^'"]+)['"]\s*\)\s*\}\}$""", 1))
+    d = d.join(docs.select(F.col("name").alias("block"), F.col("description").alias("said")), "block", "left")
+    d = d.withColumn("description", F.when(F.col("block") == "", F.col("description")).otherwise(F.col("said"))).where("trim(description) <> ''")
+    return d.groupBy("table", "column").agg(F.min_by("description", F.struct("path", "i")).alias("description"))
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Parquet, replaced as a whole by the committer."""
     w = df.write.mode("overwrite")

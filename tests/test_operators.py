@@ -221,3 +221,11 @@ def test_databases(spark, tmp_path):
     assert [tuple(r) for r in databases.read_database(spark, "duckdb", path, "c").collect()] == [(1, "2024-01-02 03:04:05")]
     keys = {(r.table, r.column): (r.key, r.unique, r.not_null, r.references) for r in databases.introspected(spark, "duckdb", path).collect()}
     assert keys["p", "id"][:2] == (1, True) and keys["p", "name"][2] and keys["c", "p"] == (0, False, False, "p.id")
+
+
+def test_yaml_descriptions():
+    from taskloom.sources.files import described
+
+    text = "version: 2\nmodels:\n  - name: a\n    description: x\n    columns:\n      - name: id\n        description: \"key: one\"\n      - description: before\n        name: z\n        tests: [unique]\n      - name: w\n        description: |\n          l1\n\n          l2\n  - name: b\n    description: >\n      in\n      two\nother:\n  - name: q\n    description: not read\nsources:\n- name: s\n  description: of no table\n  tables:\n  - name: t\n    description: tt\n    columns:\n    - name: c\n      description: cc\n"
+    assert described(text) == [("models", "a", None, "x"), ("models", "a", "id", "key: one"), ("models", "a", "z", "before"), ("models", "a", "w", "l1\n\nl2"), ("models", "b", None, "in two"), ("sources", "t", None, "tt"), ("sources", "t", "c", "cc")]
+    assert described(None) == described("") == described("- a\n- b\n") == described("description: x") == []

@@ -31,7 +31,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     """(doc_id, rk, n_words, n_hit, items, contaminated): words of each document inside windows of the benchmark.
 
     A window is `n` consecutive words of an item, or all of a shorter item that has any.
-    The tokens of the windows are ordered by how rare they are over all documents, and a
+    The tokens of the windows are ordered by how rare they are over all documents, counted there, and a
     window that must be contained whole needs a prefix of one: its rarest word. Only places
     of documents that hold such a word are candidates; the word's offset in the window and
     the document's length bound where the window can lie, and there it is compared word by
@@ -48,9 +48,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     windows = written(item_windows(benchmark, n))
     rows, n_windows = docs.count(), windows.count()
     d = docs.select("doc_id", "text").withColumn("rk", F.xxhash64("doc_id", "text"))
-    counts = d.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     distinct = windows.select("window").distinct().withColumn("len", F.size(F.split("window", " ")))
     tokens = distinct.select("window", "len", F.posexplode(F.split("window", " ")).alias("off", "word"))
+    asked = written(tokens.select("word").distinct(), 10 * n_windows)  # only these words' counts are of use
+    if (asked.agg(F.sum(F.octet_length("word") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    counts = d.select(F.explode(words(F.col("text"))).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("c"))
     rare = tokens.join(counts, "word", "left").groupBy("window", "len").agg(F.min(F.coalesce("c", F.lit(0))).alias("least"), F.min(F.struct(F.coalesce("c", F.lit(0)), "word", "off")).alias("r"))
     prefix = written(rare.where("least > 0").select("window", "len", F.col("r.word").alias("word"), F.col("r.off").alias("off")), n_windows, 128)
     size = prefix.agg(F.sum(F.octet_length("window") + F.octet_length("word") + 48)).first()[0] or 0

@@ -17,6 +17,8 @@ from ..sources import scratch
 from . import complexity
 from .governed import Deadline, Rejected, Result, audit_text, execute
 
+#: Items of a catalog that are sent to queries at once.
+ITEMS = 10_000
 #: Words, or characters of shorter texts, by which texts that may leak meet prompts; rows of keys a batch.
 KEY_WORDS, KEY_CHARS, KEY_ROWS = 3, 8, 50_000
 
@@ -27,11 +29,19 @@ def search_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     queries: query. items: name, tags (array). The score is .45 times the share of the
     query's words in the item's name and tags, .25 if the name is in the query, .2 times
     the ratio of matching blocks and .1 if a tag is among the words; places go by score, ties
-    by name. Queries meet only items of a catalog, whose number is that of its columns.
+    by name. Where queries have a family that is not null and items have families, only items of that
+    family answer. Every item has a score, so each query meets all of the catalog: items are
+    sent to the queries in blocks of ITEMS at most.
     """
-    q = queries.select("query", identifier_words(F.col("query")).alias("qw"))
-    i = items.select("name", "tags", identifier_words(F.col("name")).alias("iw"))
-    d = q.join(F.broadcast(i), F.lit(True)) if items.count() <= 10_000 else q.crossJoin(i)
+    typed = "family" in queries.columns and "family" in items.columns
+    q = queries.select("query", identifier_words(F.col("query")).alias("qw"), *([F.col("family").alias("qf")] if typed else []))
+    i = items.select("name", "tags", identifier_words(F.col("name")).alias("iw"), *(["family"] if typed else []))
+    blocks = max(1, -(-items.count() // ITEMS))
+    fits = F.col("qf").isNull() | (F.col("qf") == F.col("family")) if typed else F.lit(True)
+    d = None
+    for b in range(blocks):
+        met = q.join(F.broadcast(i.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)), fits)
+        d = met if d is None else d.unionByName(met)
     words = F.array_union(F.col("iw"), F.coalesce("tags", F.array().cast("array<string>")))
     overlap = F.size(F.array_intersect("qw", words)) / F.greatest(F.lit(1), F.size(F.array_distinct("qw")))
     named = F.contains(F.concat_ws(" ", "qw"), F.concat_ws(" ", "iw")).cast("double")

@@ -229,3 +229,33 @@ def test_yaml_descriptions():
     text = "version: 2\nmodels:\n  - name: a\n    description: x\n    columns:\n      - name: id\n        description: \"key: one\"\n      - description: before\n        name: z\n        tests: [unique]\n      - name: w\n        description: |\n          l1\n\n          l2\n  - name: b\n    description: >\n      in\n      two\nother:\n  - name: q\n    description: not read\nsources:\n- name: s\n  description: of no table\n  tables:\n  - name: t\n    description: tt\n    columns:\n    - name: c\n      description: cc\n"
     assert described(text) == [("models", "a", None, "x"), ("models", "a", "id", "key: one"), ("models", "a", "z", "before"), ("models", "a", "w", "l1\n\nl2"), ("models", "b", None, "in two"), ("sources", "t", None, "tt"), ("sources", "t", "c", "cc")]
     assert described(None) == described("") == described("- a\n- b\n") == described("description: x") == []
+
+
+def test_search_scores(spark, monkeypatch):
+    """Scores and places by brute force, in one block of items and in several; families narrow the items."""
+    import difflib
+
+    from taskloom.functions.text import words_of_name
+    from taskloom.operators import validate
+
+    queries = ["customer account balance", "Order Date", "order date of the customer", "nothing alike"]
+    items = [("c_acctbal", ["measure", "account"], "numeric"), ("customerName", ["dimension"], "text"), ("o_orderdate", ["temporal", "date"], "temporal"), ("order_date", None, "temporal"), ("balance", [], "numeric"), ("x", None, "text")]
+    want = {}
+    for q in queries:
+        qw, scored = words_of_name(q), []
+        for name, tags, _ in items:
+            iw = words_of_name(name)
+            hit = {w for w in qw if w in iw or w in (tags or [])}
+            score = 0.45 * len(hit) / len(set(qw)) + 0.25 * (" ".join(iw) in " ".join(qw)) + 0.2 * difflib.SequenceMatcher(None, q.lower(), name.lower()).ratio() + 0.1 * bool(set(qw) & set(tags or []))
+            scored.append((-round(score, 6), name))
+        want |= {(q, name): (round(-s, 6), i + 1) for i, (s, name) in enumerate(sorted(scored))}
+    d, c = spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(items, "name string, tags array<string>, family string")
+    for most in (10_000, 2):
+        monkeypatch.setattr(validate, "ITEMS", most)
+        got = {(r.query, r.name): (r.score, r.place) for r in validate.search_scores(d, c).collect()}
+        assert got == want
+    typed = spark.createDataFrame([("order date", "temporal"), ("order date", None)], "query string, family string")
+    assert sorted({r.name for r in validate.search_scores(typed.limit(1), c).collect()}) == ["o_orderdate", "order_date"]
+    roles = spark.createDataFrame([("a", "Order Date", "order_date"), ("b", "Order Date", "absent"), ("c", "Order Date", "x")], "role string, query string, selected string")
+    errors = {r.role: r.errors for r in validate.role_errors(roles, validate.search_scores(d, c), most=3).collect()}
+    assert errors == {"a": [], "b": ["no such item"], "c": ["too far down"]}

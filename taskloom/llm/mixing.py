@@ -43,15 +43,16 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     return s.select("no_source", "source_key", "source_size", "source_rows", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights=(3.0, 1.0, 2.0), share: float = 1.5, epochs: int = 2, seed: str = "mix", rows_a_bucket: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights=(3.0, 1.0, 2.0), share: float = 1.5, epochs: int = 2, seed: str = "mix", rows_a_bucket: int | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes.
 
     A source's target is met with complete epochs first: each takes every document once.
     What is left of the target is a draw without replacement, by keys -ln(u) / weight in
     ascending order, up to the budget; the document at the budget's end is cut to fit.
-    Keys fall into ranges of about `rows_a_bucket` rows. Sums of the ranges tell the one
-    range of a source in which its budget ends, and only that range is sorted, so a
-    source with a third of all rows is no task of its own.
+    Keys fall into ranges of about `rows_a_bucket` rows, by default as many ranges as each has
+    rows. Sums of the ranges tell the one range of a source in which its budget ends, and
+    only that range is sorted: of a source with a third of all rows no task gets more than
+    about the square root of their number.
 
     docs: doc_id, text, source; other columns are ignored. quality: doc_id, weight; without
     a row, or with a weight that is null or not positive, a document weighs 1; of several
@@ -71,7 +72,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights=(3.0,
     targets = written(source_targets(d, weights, share, epochs), 1)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    buckets = F.ceil(F.col("source_rows") / float(rows_a_bucket))
+    buckets = F.ceil(F.col("source_rows") / float(rows_a_bucket) if rows_a_bucket else F.sqrt("source_rows"))
     bucket = F.floor((1.0 - F.exp(-F.col("key"))) * buckets)
     rows = d.join(targets, at).withColumn("bucket", bucket)
     sums = rows.groupBy(*at, "bucket").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))

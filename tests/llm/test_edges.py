@@ -142,8 +142,8 @@ def test_mixing(spark, odd, empty):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 1
     assert mixing.mix_sources(empty).count() == 0
     some = made(spark, [(i, "a b c d", "en", f"s{i % 3}") for i in range(200)])
-    a, b = (sorted(map(tuple, mixing.mix_sources(some, rows_a_bucket=n).collect())) for n in (10, 10_000))
-    assert a == b
+    a, b, c = (sorted(map(tuple, mixing.mix_sources(some, rows_a_bucket=n).collect())) for n in (10, 10_000, None))
+    assert a == b == c
 
 
 def test_secrets(spark, odd, empty):

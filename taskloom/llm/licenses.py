@@ -155,8 +155,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     joined = F.split(F.regexp_replace("text", WRAP, "$1 "), "\n")
     lines = hits.select("rk", F.posexplode(joined).alias("paragraph", "line")).where(F.col("line").rlike(gate))
     w = F.regexp_extract_all(ascii_lower(F.col("line")), F.lit("[0-9a-z]+"), F.lit(0))
-    # Few rows, but n-grams and shingles of each follow: dealt to all cores by a number, which adaptive execution leaves as it is.
-    lines = written(lines.select("rk", "paragraph", w.alias("w")).repartition(4 * spark.sparkContext.defaultParallelism, "rk", "paragraph"))
+    # Few bytes, but n-grams and shingles of each row follow: read again, they are dealt to many tasks by a number, which adaptive execution leaves as it is.
+    lines = written(lines.select("rk", "paragraph", w.alias("w"))).repartition(8 * spark.sparkContext.defaultParallelism)
 
     def every(n: int):
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,9 +31,11 @@ def scratch(spark: SparkSession) -> str:
     path = f"{top.rstrip('/')}/taskloom-{uuid.uuid4().hex}"
 
     def remove() -> None:
-        if spark.sparkContext._jsc is not None:  # else the session has ended
+        if spark.sparkContext._jsc is not None:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        elif os.path.isdir(path):  # the session has ended; a local folder can go without it
+            shutil.rmtree(path)
 
     atexit.register(remove)
     return path

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,9 +62,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    if path not in MADE or spark.sparkContext._jsc is None:  # gone already, or the session has ended
+    if path not in MADE:
         return
     MADE.remove(path)
+    if spark.sparkContext._jsc is None:  # the session has ended; a local folder can go without it
+        if os.path.isdir(path):
+            shutil.rmtree(path)
+        return
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

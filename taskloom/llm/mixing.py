@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows of sources that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Weights of documents by label: quality 1, quality 0, no label.
 QUALITY = {"good": 2.0, "poor": 0.5, "none": 1.0}
 
@@ -70,15 +72,18 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights=(3.0,
     d = written(d.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), "size", key.alias("key")))
     at = ["no_source", "source_key"]
     targets = written(source_targets(d, weights, share, epochs), 1)
+    few = (targets.agg(F.sum(F.octet_length("source_key") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    sent = F.broadcast if few else (lambda df: df)  # a row a source: so documents stay where they are
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     buckets = F.ceil(F.col("source_rows") / float(rows_a_bucket) if rows_a_bucket else F.sqrt("source_rows"))
     bucket = F.floor((1.0 - F.exp(-F.col("key"))) * buckets)
-    rows = d.join(targets, at).withColumn("bucket", bucket)
+    rows = d.join(sent(targets), at).withColumn("bucket", bucket)
     sums = rows.groupBy(*at, "bucket").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
     before = F.coalesce(F.sum("words").over(W.partitionBy(*at).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = sums.withColumn("before", before).where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("words") >= F.col("budget")))
-    rows = rows.join(ends.select(*at, F.col("bucket").alias("end_bucket"), "before"), at, "left")
+    ends = written(ends.select(*at, F.col("bucket").alias("end_bucket"), "before"))
+    rows = rows.join(sent(ends), at, "left")
     out = ["doc_id", "no_source", "source_key", "size", "source_size", "target", "whole"]
     inside = F.col("end_bucket").isNotNull() & (F.col("bucket") == F.col("end_bucket"))
     plain = rows.where(~inside).select(*out, F.when(F.col("bucket") < F.coalesce("end_bucket", F.lit(-1)), F.col("size")).otherwise(F.lit(0)).alias("part"))

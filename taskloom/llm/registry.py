@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
+from . import bpe, chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_minhash": minhash.op8_minhash,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_language": language.op10_language,
+        "op11_byte_bpe": bpe.op11_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
+from . import alignment, bpe, chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_language": language.op10_language,
         "op11_byte_bpe": bpe.op11_byte_bpe,
+        "op12_token_alignment": alignment.op12_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 

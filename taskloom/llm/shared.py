@@ -73,6 +73,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that goes when the driver's process ends, or with drop_tables()."""
+    path = f"{shared_folder(spark)}/taskloom-{uuid.uuid4().hex}"
+    MADE.append(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost no recomputation.
 
@@ -82,12 +90,10 @@ def written(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> Data
     drop_tables().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/taskloom-{uuid.uuid4().hex}"
+    path = new_path(spark)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows * row_bytes // FILE_BYTES), min(4 * spark.sparkContext.defaultParallelism, rows // 500)))
     df.write.option("compression", "zstd").parquet(path)
-    MADE.append(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,11 +7,13 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from taskloom.llm import bpe, registry
+from taskloom.llm import alignment, bpe, registry
 
 SF = "/root/testdata/sf0.001"
 MADE = [
@@ -104,3 +106,76 @@ def test_op11_words_are_merged_as_by_rescans(words):
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         assert ids.tolist() == bpe.merged_alone(b, v, tokens).tolist() == [v.ranks[p] for p in parts]
+
+
+def by_whole_texts(texts):
+    """Operator 12 by the two libraries on whole texts, and sets of ends."""
+    a = Tokenizer.from_file(public_tokenizers.path(alignment.BYTE_LEVEL))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(alignment.PIECES))
+    chars = {v: k for k, v in alignment.letters().items()}
+    assert {chars[x]: 0 for x in range(256)}.keys() == set("".join(t for t in a.get_vocab() if t != "<|endoftext|>"))
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+
+    per_text, counts = [], {}
+    for t in texts:
+        ids = [a.encode(" " + (t or ""), add_special_tokens=False).ids, b.encode(t or "")] if t else [[], []]
+        raw = [[bytes(alignment.letters()[c] for c in a.id_to_token(i)) for i in ids[0]], [piece(i) for i in ids[1]]]
+        if not t or any(b"".join(r) != b" " + t.encode() for r in raw):
+            per_text.append(None)
+            continue
+        ends = [dict(zip(np.cumsum([len(x) for x in r]).tolist(), range(1, len(r) + 1))) for r in raw]
+        cuts = sorted(ends[0].keys() & ends[1].keys())
+        groups, links, last = [], [], (0, 0)
+        for c in cuts:
+            now = ends[0][c], ends[1][c]
+            groups.append("|".join(",".join(map(str, x[p:q])) for x, p, q in zip(ids, last, now)))
+            links.append((ids[0][now[0] - 1], ids[1][now[1] - 1]))
+            last = now
+        for k in links:
+            counts[k] = counts.get(k, 0) + 1
+        per_text.append((len(ids[0]), len(ids[1]), groups, links))
+    best = {}
+    for (_, y), n in counts.items():
+        best[y] = max(best.get(y, 0), n)
+    out = []
+    for x in per_text:
+        if x is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+        else:
+            n = [counts[k] for k in x[3]]
+            out.append((x[0], x[1], len(x[2]), len(x[3]), sum(c == best[k[1]] for c, k in zip(n, x[3])), sum(n), sha(";".join(x[2]))))
+    return out
+
+
+COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_op12(spark):
+    got, d = registry.queries()["op12_token_alignment"](spark, SF).toPandas().set_index("doc_id"), documents()
+    assert len(got) == len(d)
+    for i, want in zip(d.doc_id, by_whole_texts(d.text)):
+        assert tuple(got.loc[i, COLUMNS]) == want
+
+
+def test_op12_made_texts(spark, tmp_path, monkeypatch):
+    """Nulls, empty texts, repeated rows, clashing columns, texts in pieces, several shards, and an empty table."""
+    texts = [*MADE, *MADE[::2], "x ", "x  ", " x", "a b " * 300, "<s> </s> <unk> <0x41>"]
+    monkeypatch.setattr(alignment, "SHARD_ROWS", 40)
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = alignment.op12_token_alignment(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    assert [tuple(r) for r in got[COLUMNS].itertuples(index=False)] == by_whole_texts(texts)
+    counts = alignment.pair_counts(alignment.align(frame(spark, texts)))
+    assert len(counts.names) > 1 and all(alignment.Counts.shard(counts, i).shape[0] == 2 for i in range(len(counts.names)))
+    frame(spark, texts).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert alignment.op12_token_alignment(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_op12_pieces(monkeypatch):
+    monkeypatch.setattr(alignment, "PIECE", 7)
+    for t in ("a b c d e f g h i j ", "a  b   c    d     e f", "x" * 30 + " y", " " * 20 + "z", "ab cd ef gh "):
+        chunks = [c for part in alignment.chunked(t) for c in part]
+        assert " ".join(chunks) == t and chunks == alignment.CUT.split(t)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import alignment, bpe, chat, decontamination, language, licenses, minhash, mixing, neighbours, secrets, suffix_dedup, url_filters
+from . import alignment, bpe, chat, decontamination, language, licenses, minhash, mixing, neighbours, ranked, secrets, suffix_dedup, url_filters
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_language": language.op10_language,
         "op11_byte_bpe": bpe.op11_byte_bpe,
         "op12_token_alignment": alignment.op12_token_alignment,
+        "op13_ranked_search": ranked.op13_ranked_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict:
         "op4_decontamination": decontamination.SQL,
         "op6_chat_format": chat.SQL,
         "op7_mix_sources": mixing.SQL,
+        "op13_ranked_search": ranked.SQL,
     }

@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -19,11 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Encoder, Vocabulary, strangers, vocabulary_of
 from .shared import give_back, new_path, small_batches, table, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Chunks that a worker keeps with their alignment, and characters that are cut into chunks at once.
-MEMO, PIECE = 150_000, 1 << 20
+MEMO, PIECE = 500_000, 1 << 20
 #: Different pairs that a task counts before it hands them on, and rows of partial counts for which a shard is planned.
 PAIRS, SHARD_ROWS = 1 << 20, 1 << 21
 #: Both tokenizers have a token's end before a blank that follows what is no white space.
@@ -39,100 +40,181 @@ def letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+class Bytes(NamedTuple):
+    """The bytes of each id: a slice of `flat`."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return ragged(self.flat, self.starts[ids], self.sizes[ids])
+
+
+def bytes_of(tokens: list[bytes]) -> Bytes:
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return Bytes(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices values[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def by_byte_level(pairs: list[str]) -> list[bool]:
+    """Whether the tokenizers library's byte-level splitting takes each text for one word."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    return [len(split(p)) == 1 for p in pairs]
+
+
+def byte_level_vocabulary(content: bytes) -> Vocabulary:
+    """The vocabulary and merges of a byte-level BPE file of the tokenizers library."""
+    known = json.loads(content)
+    model, by = known["model"], letters()
+    split = known["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or known["normalizer"] or model.get("ignore_merges"):
+        raise ValueError("no plain byte-level BPE")
+    raw = lambda t: bytes(by[c] for c in t)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    return vocabulary_of({raw(t): i for t, i in model["vocab"].items()}, [(raw(x), raw(y)) for x, y in merges])
+
+
 class Tokenizers:
-    """Ids and bytes of the two tokenizers, from the contents of their files."""
+    """The two tokenizers, and the bytes of their ids. B is given the content of its file."""
 
-    def __init__(self, byte_level: bytes, pieces: bytes):
+    def __init__(self, v: Vocabulary, odd: dict[int, str], pieces: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(byte_level.decode())
-        self.a.encode_special_tokens = True
+        self.a = Encoder(v, odd=odd)
+        named = {i: t for t, i in v.ranks.items()}
+        self.bytes_a = bytes_of([named.get(i, b"") for i in range(max(named) + 1)])
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        by = letters()
-        self.bytes_a = {i: bytes(by[c] for c in t) for t, i in json.loads(byte_level)["model"]["vocab"].items()}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.bytes_b = bytes_of([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
         self.blank = self.b.piece_to_id("▁")
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece goes on after a blank, so texts cannot be cut at blanks")
-
-    def encode(self, chunks: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        b = (x or [self.blank] for x in self.b.encode(chunks, num_threads=1))  # an empty chunk is the blank before it
-        return zip(chunks, (x.ids for x in a), b, strict=True)
-
-    def aligned(self, chunk: str, a: list[int], b: list[int]) -> tuple[int, int, str, list[int], list[int]] | None:
-        """(tokens of A, of B, groups, A's and B's id at each common end); None if a tokenizer does not give back the bytes."""
-        raw = b" " + chunk.encode()
-        x, y = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return None
-        groups, last_a, last_b, i, j, end_a, end_b = [], [], [], 0, 0, 0, 0
-        from_a = from_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += len(x[i])
-                i += 1
-            else:
-                end_b += len(y[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                last_a.append(a[i - 1])
-                last_b.append(b[j - 1])
-                from_a, from_b = i, j
-        return len(a), len(b), ";".join(groups), last_a, last_b
+        most = max(len(self.bytes_a.sizes), len(names))
+        self.written = bytes_of([b"%d " % i for i in range(most)])  # the blank stands for a separator
+
+    def aligned(self, chunks: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(tokens of A and of B by chunk, or -1 where a tokenizer does not give back the bytes; groups by chunk; links by chunk; A's and B's id at each common end)."""
+        raw = [b" " + c.encode() for c in chunks]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        a, n_a = self.a.encode_words(chunks)
+        pieces = [x or [self.blank] for x in self.b.encode(chunks, num_threads=1)]  # an empty chunk is the blank before it
+        n_b = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        b = np.fromiter(chain.from_iterable(pieces), np.int64, int(n_b.sum()))
+        right = np.ones(len(raw), bool)
+        for known, ids, n in ((self.bytes_a, a, n_a), (self.bytes_b, b, n_b)):
+            ends = np.concatenate([[0], np.cumsum(known.sizes[ids])])[np.cumsum(n)]
+            right &= np.diff(ends, prepend=0) == size
+        for known, ids, n in ((self.bytes_a, a, n_a), (self.bytes_b, b, n_b)):
+            rows = np.flatnonzero(right)
+            if len(rows):
+                given = known.of(ids[np.repeat(right, n)]) != np.frombuffer(b"".join(raw[i] for i in rows.tolist()), np.uint8)
+                right[rows] = ~np.logical_or.reduceat(given, np.cumsum(size[rows]) - size[rows])
+        a, b = a[np.repeat(right, n_a)].astype(np.int64), b[np.repeat(right, n_b)]
+        n_a, n_b, size = np.where(right, n_a, 0), np.where(right, n_b, 0), np.where(right, size, 0)
+        ends_a, ends_b = np.cumsum(self.bytes_a.sizes[a]), np.cumsum(self.bytes_b.sizes[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        # the groups as text: of each group A's ids, then B's, each with the sign that follows it
+        at_a = np.arange(len(a)) + np.concatenate([[0], last_b + 1])[of_a]
+        at_b = np.arange(len(b)) + last_a[of_b] + 1
+        ids, sign = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        sign[at_a[last_a]], sign[at_b[last_b]] = ord("|"), ord(";")
+        text, ends = self.written.of(ids), np.cumsum(self.written.sizes[ids])
+        text[ends - 1] = sign
+        text = text.tobytes().decode("ascii")
+        until = np.concatenate([[0], ends])[np.cumsum(n_a + n_b)].tolist()
+        groups = [text[x : y - 1] if y > x else "" for x, y in zip([0, *until], until, strict=False)]
+        links = np.diff(np.searchsorted(common, np.cumsum(size), side="right"), prepend=0)
+        counts = np.where(right[:, None], np.stack([n_a, n_b], axis=1), -1)
+        return counts, groups, links, np.stack([a[last_a], b[last_b]], axis=1).astype(np.int32)
 
 
 class Aligner:
-    """Alignments of texts; keeps those of chunks that it has met, up to MEMO chunks."""
+    """Alignments of texts; keeps those of chunks that it has met, up to MEMO chunks, and of these, when they are too many, the ones met again."""
 
     def __init__(self, t: Tokenizers):
         self.t = t
-        self.clear()
-
-    def clear(self) -> None:
         self.memo: dict[str, int] = {}
         self.groups: list[str] = []
-        self.counts = np.zeros((0, 2), np.int64)  # tokens of A and of B; -1 where bytes are not given back
+        self.counts, self.hits = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         self.starts, self.sizes, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
 
+    def shrink(self) -> None:
+        kept = np.flatnonzero(self.hits > 1)
+        if len(kept) > MEMO // 2:
+            kept = np.sort(kept[np.argpartition(-self.hits[kept], MEMO // 2)[: MEMO // 2]])
+        names = list(self.memo)
+        self.memo = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        self.links = ragged(self.links, self.starts[kept], self.sizes[kept])
+        self.counts, self.sizes, self.hits = self.counts[kept], self.sizes[kept], np.zeros(len(kept), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
     def learn(self, chunks: list[str]) -> None:
-        found = [self.t.aligned(*x) or (-1, -1, "", [], []) for x in self.t.encode(chunks)]
+        counts, groups, sizes, links = self.t.aligned(chunks)
         self.memo.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True))
-        self.groups += [f[2] for f in found]
-        self.counts = np.concatenate([self.counts, np.array([f[:2] for f in found], np.int64)])
-        sizes = np.array([len(f[3]) for f in found], np.int64)
+        self.groups += groups
+        self.counts, self.hits = np.concatenate([self.counts, counts]), np.concatenate([self.hits, np.zeros(len(chunks), np.int64)])
         self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.links = np.concatenate([self.links, np.array([[i for f in found for i in f[k]] for k in (3, 4)], np.int32).T])
+        self.sizes, self.links = np.concatenate([self.sizes, sizes]), np.concatenate([self.links, links])
 
     def places(self, chunks: list[str]) -> np.ndarray:
+        if len(self.memo) > MEMO:
+            self.shrink()
         at = np.fromiter(map(self.memo.get, chunks, repeat(-1)), np.int64, len(chunks))
         lacks = np.flatnonzero(at < 0)
         if len(lacks):
             new = [chunks[i] for i in lacks.tolist()]
             self.learn(list(dict.fromkeys(new)))
             at[lacks] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
+        self.hits += np.bincount(at, minlength=len(self.hits))
         return at
 
-    def of(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
-        """(tokens of A, of B, groups, pairs of ids that end together); zeros and nothing for a text without tokens."""
-        n, groups, links = np.zeros(2, np.int64), [], [np.zeros((0, 2), np.int32)]
-        for chunks in chunked(text or ""):
-            if len(self.memo) > MEMO:
-                self.clear()
-            at = self.places(chunks)
-            counts = self.counts[at]
-            if counts.min() < 0:
-                return 0, 0, "", links[0]
-            n += counts.sum(axis=0)
-            groups += map(self.groups.__getitem__, at.tolist())
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            links.append(self.links[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])])
-        return int(n[0]), int(n[1]), ";".join(groups), np.concatenate(links)
+    def of(self, texts: Iterable[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
+        """(tokens of A, of B, groups, pairs of ids that end together) of each text; zeros and nothing for a text without tokens."""
+        nothing = np.zeros((0, 2), np.int32)
+        n, groups, links, wrong = [], [], [], set()
+        held: list[tuple[int, list[str]]] = []
+
+        def flush() -> None:
+            at = self.places([c for _, chunks in held for c in chunks])
+            pairs = ragged(self.links, self.starts[at], self.sizes[at])
+            ends = np.cumsum([0, *(len(chunks) for _, chunks in held)])
+            link_ends = np.concatenate([[0], np.cumsum(self.sizes[at])])[ends].tolist()
+            for k, (i, _) in enumerate(held):
+                mine = at[ends[k] : ends[k + 1]]
+                counts = self.counts[mine]
+                if counts.min() < 0:
+                    wrong.add(i)
+                n[i] += counts.sum(axis=0)
+                groups[i].append(";".join(map(self.groups.__getitem__, mine.tolist())))
+                links[i].append(pairs[link_ends[k] : link_ends[k + 1]])
+            held.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            n.append(np.zeros(2, np.int64))
+            groups.append([])
+            links.append([nothing])
+            for chunks in chunked(t or ""):
+                held.append((i, chunks))
+                size += len(t)
+                if size > PIECE:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return [(0, 0, "", nothing) if i in wrong else (int(x[0]), int(x[1]), ";".join(groups[i]), np.concatenate(links[i])) for i, x in enumerate(n)]
 
 
 def chunked(text: str) -> Iterator[list[str]]:
@@ -150,8 +232,8 @@ def chunked(text: str) -> Iterator[list[str]]:
 def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
     """(doc_id, n_a, n_b, groups, a, b): each text's tokens by both tokenizers, cut into groups where both end.
 
-    byte_level and pieces are paths to a byte-level BPE for the tokenizers library and to a model for
-    sentencepiece, read by the driver. Each encodes a blank and the text. groups lists the ids of each group as
+    byte_level and pieces are paths to a byte-level BPE of the tokenizers library, whose merges operator 11 makes here,
+    and to a model for sentencepiece, read by the driver. Each encodes a blank and the text. groups lists the ids of each group as
     `a1,a2|b1`, joined by `;`; a and b hold, for each place where tokens of both end, the two ids.
     Texts that are null, empty or not given back byte by byte have no tokens: 0, 0, '' and empty arrays.
     Repeated rows each get a row, other columns of docs are ignored, no rows give no rows.
@@ -160,18 +242,15 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     """
     spark = docs.sparkSession
     small_batches(spark)
-    files = []
-    for path in (byte_level or public_tokenizers.path(BYTE_LEVEL), pieces or public_tokenizers.path(PIECES)):
-        with open(path, "rb") as f:
-            files.append(f.read())
-    sent = spark.sparkContext.broadcast(files)  # 2 MB, whatever the data
+    with open(byte_level or public_tokenizers.path(BYTE_LEVEL), "rb") as f, open(pieces or public_tokenizers.path(PIECES), "rb") as g:
+        sent = spark.sparkContext.broadcast((byte_level_vocabulary(f.read()), strangers(by_byte_level), g.read()))  # a few MB, whatever the data
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(Tokenizers(*sent.value))
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                found = [aligner.of(t.as_py()) for t in part.column("text")]
+                found = aligner.of(t.as_py() for t in part.column("text"))
                 offsets = pa.array(np.cumsum([0, *(len(f[3]) for f in found)]).astype(np.int32))
                 flat = np.concatenate([f[3] for f in found])
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat[:, i]))) for i in (0, 1)]

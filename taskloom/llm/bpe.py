@@ -6,9 +6,9 @@ import base64
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import pairwise, repeat
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -28,17 +28,23 @@ NONE = np.int64(1) << 62
 TOGETHER = 256
 #: Words that a worker keeps with their ids, and characters of a text that are split into words at once.
 MEMO, PIECE = 250_000, 1 << 20
+#: White space that seldom occurs, as a sign between words.
+GAP = "\x0b"
 #: A place in a text where a word always ends.
 CUT = regex.compile(r"(?<=\S)(?=\s)")
 
 
 class Vocabulary(NamedTuple):
-    """ranks: id by bytes; lefts_rights: sorted pairs of ids, left << 32 | right, whose bytes joined are a token, with its id in `joined`."""
+    """ranks: id by bytes; lefts_rights: sorted pairs of ids, left << 32 | right, that may be merged, with the id that comes of it, which is their rank, in `joined`.
+
+    whole: a word that is a token as it stands is that token, whatever merges would make of it.
+    """
 
     ranks: dict[bytes, int]
     lefts_rights: np.ndarray
     joined: np.ndarray
     of_byte: np.ndarray
+    whole: bool = True
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that each pair is merged to, or NONE; a negative id stands for nothing."""
@@ -47,11 +53,17 @@ class Vocabulary(NamedTuple):
         return np.where((self.lefts_rights[at] == key) & (right >= 0), self.joined[at], NONE)
 
 
-def vocabulary_of(ranks: dict[bytes, int]) -> Vocabulary:
-    """Every way to cut a token into two tokens is a pair. All 256 bytes must be tokens."""
-    pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+def vocabulary_of(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]] | None = None) -> Vocabulary:
+    """Every way to cut a token into two tokens is a pair; or only `merges` are, in the order of the ids that they make. All 256 bytes must be tokens."""
+    if merges is None:
+        pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    else:
+        made = [ranks[a + b] for a, b in merges]
+        if made != sorted(set(made)):
+            raise ValueError("merges do not stand in the order of the ids that they make")
+        pairs = {ranks[a] << 32 | ranks[b]: r for (a, b), r in zip(merges, made, strict=True)}
     keys = np.array(sorted(pairs) or [-1], np.int64)
-    return Vocabulary(ranks, keys, np.array([pairs.get(k, 0) for k in keys.tolist()], np.int64), np.array([ranks[bytes([b])] for b in range(256)], np.int64))
+    return Vocabulary(ranks, keys, np.array([pairs.get(k, 0) for k in keys.tolist()], np.int64), np.array([ranks[bytes([b])] for b in range(256)], np.int64), merges is None)
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -109,7 +121,7 @@ def merged_together(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.n
     return token[kept].astype(np.int32), kept.reshape(n, wide).sum(axis=1)
 
 
-def merged_alone(word: bytes, v: Vocabulary, tokens: dict[int, bytes]) -> np.ndarray:
+def merged_alone(word: bytes, v: Vocabulary, pairs: dict[int, int]) -> np.ndarray:
     """The same for one long word; its time is that of n log n steps."""
     n, width = len(word), 1 << (len(word) - 1).bit_length()
     shift, none = width.bit_length() - 1, int(NONE)
@@ -125,7 +137,7 @@ def merged_alone(word: bytes, v: Vocabulary, tokens: dict[int, bytes]) -> np.nda
     after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
 
     def put(at: int, left: int, right: int) -> None:
-        r = v.ranks.get(tokens[token[left]] + tokens[token[right]]) if right < n else None
+        r = pairs.get(token[left] << 32 | token[right]) if right < n else None
         climb(at, none if r is None else (r << shift) + at)
 
     def climb(at: int, key: int) -> None:
@@ -155,22 +167,25 @@ def merged_alone(word: bytes, v: Vocabulary, tokens: dict[int, bytes]) -> np.nda
     return out[out >= 0].astype(np.int32)
 
 
+def by_tiktoken(pairs: list[str]) -> list[bool]:
+    """Whether tiktoken, by the pattern of the rank files, takes each of some texts of two signs, which begin alike, for one word."""
+    ranks = {x: i for i, x in enumerate(dict.fromkeys([*(bytes([b]) for b in range(256)), *(p.encode() for p in pairs)]))}
+    library = tiktoken.Encoding("kinds", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [len(library.encode_ordinary(p)) == 1 for p in pairs]
+
+
 @cache
-def strangers() -> dict[int, str]:
-    """Code points that are a letter, a digit or neither to one edition of Unicode and something else to another, each with a sign that stands for what tiktoken takes it for.
+def strangers(is_word: Callable[[list[str]], list[bool]] = by_tiktoken) -> dict[int, str]:
+    """Code points that are a letter, a digit or neither to one edition of Unicode and something else to another, each with a sign that stands for what a library takes it for.
 
-    The modules here know different editions. Where two of them disagree tiktoken itself is
+    The modules here know different editions. Where two of them disagree the library is
     asked: of a letter and the code point in question it makes one word if that is a letter to it.
     """
-    kinds: dict[str, set[str]] = {"b": set(), "1": set()}
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     known = {"b": set(regex.findall(r"\p{L}", every)), "1": set(regex.findall(r"\p{N}", every))}
     other = {k: {c for c in every if unicodedata.category(c)[0] == x} for k, x in (("b", "L"), ("1", "N"))}
     asked = sorted((known["b"] ^ other["b"]) | (known["1"] ^ other["1"]))
-    for k in kinds:
-        ranks = {x: i for i, x in enumerate([*(bytes([b]) for b in range(256)), *((k + c).encode() for c in asked if c > "\x7f")])}
-        library = tiktoken.Encoding("kinds", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        kinds[k] = {c for c in asked if len(library.encode_ordinary(k + c)) == 1}
+    kinds = {k: {c for c, one in zip(asked, is_word([k + c for c in asked]), strict=True) if one} for k in "b1"}
     return {ord(c): "b" if c in kinds["b"] else "1" if c in kinds["1"] else "!" for c in asked if any((c in kinds[k]) != (c in known[k]) for k in kinds)}
 
 
@@ -182,6 +197,8 @@ class Splitter:
         self.far = re.compile("[\U00010000-\U0010ffff" + "".join(chr(c) for c in odd if c < 0x10000) + "]")
 
     def __call__(self, text: str) -> list[str]:
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return [text]
         if text.isascii() or not self.far.search(text) or self.odd.keys().isdisjoint(map(ord, text)):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.odd))]
@@ -192,7 +209,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary, pattern: str = public_tokenizers.PATTERN, odd: dict[int, str] | None = None):
         self.v, self.split = v, Splitter(pattern, strangers() if odd is None else odd)
-        self.tokens = {r: t for t, r in v.ranks.items()}
+        self.pairs: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -200,24 +217,26 @@ class Encoder:
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        """Words that the memo lacks, each once."""
-        whole: list[str] = []
-        cut: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            b = w.encode()
-            if b in self.v.ranks:
-                whole.append(w)
+        """Words that the memo lacks, each once; those of a few bytes together, by the power of two that holds them."""
+        raw = [w.encode() for w in words]
+        known = [self.v.ranks.get(b, -1) if self.v.whole or len(b) == 1 else -1 for b in raw]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        kind = np.where(size > TOGETHER, 1 << 30, np.ceil(np.log2(size)).astype(np.int64))
+        kind[np.array(known) >= 0] = -1
+        for k in np.unique(kind).tolist():
+            of = np.flatnonzero(kind == k).tolist()
+            if k < 0:
+                self.keep([words[i] for i in of], np.array([known[i] for i in of], np.int32), np.ones(len(of), np.int64))
+            elif k == 1 << 30:
+                self.pairs = self.pairs or dict(zip(self.v.lefts_rights.tolist(), self.v.joined.tolist(), strict=True))
+                for i in of:
+                    ids = merged_alone(raw[i], self.v, self.pairs)
+                    self.keep([words[i]], ids, np.array([len(ids)]))
             else:
-                cut.setdefault(min((len(b) - 1).bit_length(), TOGETHER.bit_length()), []).append((w, b))
-        self.keep(whole, np.array([self.v.ranks[w.encode()] for w in whole], np.int32), np.ones(len(whole), np.int64))
-        for w, b in cut.pop(TOGETHER.bit_length(), []):
-            ids = merged_alone(b, self.v, self.tokens)
-            self.keep([w], ids, np.array([len(ids)]))
-        for bits, of in cut.items():
-            step = max(1, (1 << 19) >> bits)
-            for k in range(0, len(of), step):
-                part = of[k : k + step]
-                self.keep([w for w, _ in part], *merged_together([b for _, b in part], self.v))
+                step = max(1, (1 << 19) >> k)
+                for at in range(0, len(of), step):
+                    part = of[at : at + step]
+                    self.keep([words[i] for i in part], *merged_together([raw[i] for i in part], self.v))
 
     def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.memo.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
@@ -238,26 +257,55 @@ class Encoder:
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and how many each has; of texts that are short and not too many."""
+        words = [self.split(t) for t in texts]
+        flat, sizes = self.of_words([w for of in words for w in of])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
+        return flat, np.diff(ends)
+
+    def encode_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_flat() of a blank and each chunk, for many very short chunks: they are split as one text.
+
+        Those with white space at either end, or the sign put between them, are split by themselves, as a run of
+        white space is cut by what follows it.
+        """
+        plain = [c for c in chunks if c and c[0] > " " and c[-1] > " " and not c[0].isspace() and not c[-1].isspace() and GAP not in c]
+        if len(plain) < len(chunks):
+            own = set(plain)
+            rest = [c for c in chunks if c not in own]
+            at = {c: i for i, c in enumerate([*plain, *rest])}
+            (x, n), (y, m) = self.encode_words(plain), self.encode_flat([" " + c for c in rest])
+            order = np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
+            sizes = np.concatenate([n, m])
+            starts = np.cumsum(sizes) - sizes
+            ends = np.cumsum(sizes[order])
+            return np.concatenate([x, y])[np.repeat(starts[order] - ends + sizes[order], sizes[order]) + np.arange(ends[-1])], sizes[order]
+        words = self.split("".join(f" {c}{GAP}" for c in chunks))
+        flat, sizes = self.of_words(words)
+        gaps = np.flatnonzero(np.fromiter(map(GAP.__eq__, words), bool, len(words)))
+        taken = np.repeat(np.bincount(gaps, minlength=len(words)) == 0, sizes)
+        sizes[gaps] = 0
+        return flat[taken], np.diff(np.cumsum(sizes)[gaps], prepend=0)
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; a null text is empty. Short texts go together to of_words(), long ones in pieces."""
+        """Ids of each text; a null text is empty. Short texts go together to encode_flat(), long ones in pieces."""
         held: list[str] = []
-        counts: list[int] = []
+        size = 0
 
         def flush() -> Iterator[np.ndarray]:
-            flat, sizes = self.of_words(held)
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])].tolist()
-            yield from (flat[a:b] for a, b in pairwise(ends))
+            flat, counts = self.encode_flat(held)
+            yield from np.split(flat, np.cumsum(counts)[:-1]) if held else ()
             held.clear()
-            counts.clear()
 
         for t in texts:
             t = t or ""
             if len(t) <= PIECE:
-                words = self.split(t)
-                held += words
-                counts.append(len(words))
-                if len(held) > PIECE // 4:
+                held.append(t)
+                size += len(t)
+                if size > PIECE:
                     yield from flush()
+                    size = 0
             else:
                 yield from flush()
                 yield np.concatenate([self.of_words(self.split(p))[0] for p in pieces(t)])

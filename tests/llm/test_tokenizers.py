@@ -77,16 +77,13 @@ def test_op11_long(library, vocabulary, monkeypatch):
     assert "".join(bpe.pieces(texts[3])) == texts[3]
 
 
-def test_op11_pattern_classes():
-    """Every code point is of the class, to the splitting pattern here, that it has in the library."""
+@pytest.mark.parametrize("library", [bpe.by_tiktoken, alignment.by_byte_level])
+def test_pattern_classes(library):
+    """Every code point is of the class, to the splitting pattern here, that it has in either library."""
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    split = bpe.Splitter(public_tokenizers.PATTERN, bpe.strangers())
+    split = bpe.Splitter(public_tokenizers.PATTERN, bpe.strangers(library))
     for before in "a1!":
-        ranks = {bytes([b]): b for b in range(256)}
-        for c in points:
-            ranks.setdefault((before + c).encode(), len(ranks))
-        e = tiktoken.Encoding("classes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        differ = [c for c in points if (len(e.encode_ordinary(before + c)) == 1) != (len(split(before + c)) == 1)]
+        differ = [c for c, one in zip(points, library([before + c for c in points])) if one != (len(split(before + c)) == 1)]
         assert not differ
 
 
@@ -97,7 +94,7 @@ def test_op11_words_are_merged_as_by_rescans(words):
     v = test_op11_words_are_merged_as_by_rescans.v = getattr(test_op11_words_are_merged_as_by_rescans, "v", None) or bpe.read_vocabulary(public_tokenizers.path(bpe.VOCABULARY))
     raw = [w.encode() for w in words if len(w) > 1] or [b"the"]
     flat, sizes = bpe.merged_together(raw, v)
-    tokens = {r: t for t, r in v.ranks.items()}
+    pairs = dict(zip(v.lefts_rights.tolist(), v.joined.tolist()))
     for b, ids in zip(raw, np.split(flat, np.cumsum(sizes)[:-1])):
         parts = [bytes([x]) for x in b]
         while len(parts) > 1:
@@ -105,7 +102,7 @@ def test_op11_words_are_merged_as_by_rescans(words):
             if rank == 1 << 60:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert ids.tolist() == bpe.merged_alone(b, v, tokens).tolist() == [v.ranks[p] for p in parts]
+        assert ids.tolist() == bpe.merged_alone(b, v, pairs).tolist() == [v.ranks[p] for p in parts]
 
 
 def by_whole_texts(texts):
@@ -179,3 +176,17 @@ def test_op12_pieces(monkeypatch):
     for t in ("a b c d e f g h i j ", "a  b   c    d     e f", "x" * 30 + " y", " " * 20 + "z", "ab cd ef gh "):
         chunks = [c for part in alignment.chunked(t) for c in part]
         assert " ".join(chunks) == t and chunks == alignment.CUT.split(t)
+
+
+def test_op12_memo(monkeypatch):
+    """A memo that is emptied again and again changes nothing."""
+    with open(public_tokenizers.path(alignment.BYTE_LEVEL), "rb") as f, open(public_tokenizers.path(alignment.PIECES), "rb") as g:
+        t = alignment.Tokenizers(alignment.byte_level_vocabulary(f.read()), bpe.strangers(alignment.by_byte_level), g.read())
+    texts = [*MADE, *documents().text[:40]]
+    want = alignment.Aligner(t).of(texts)
+    monkeypatch.setattr(alignment, "PIECE", 300)
+    monkeypatch.setattr(alignment, "MEMO", 20)
+    small = alignment.Aligner(t)
+    for _ in range(2):
+        got = small.of(texts)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all((g[3] == w[3]).all() for g, w in zip(got, want))

@@ -1,4 +1,4 @@
-"""Read-only execution of SQL: audit, plan check, deadline, caps, null counts and result hashes."""
+"""Read-only execution of SQL: audit, authorizer, deadline, caps, null counts and result hashes."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ import re
 import threading
 import time
 import uuid
+from collections.abc import Collection
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import canonical_json, json_safe, stable_hash
+from .authorizer import Authorizer
 
 # Words that a read-only text must not hold, in the strict audit.
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "ATTACH", "DETACH", "PRAGMA", "VACUUM", "REINDEX")
@@ -23,7 +26,7 @@ def audit(sql: Column, mode: str = "strict") -> Column:
     """Struct (ok, errors) of a text, by looking at the text only.
 
     `strict`: begins with WITH or SELECT, no FORBIDDEN word anywhere, one statement, and no
-    fewer ON than JOIN. `relaxed`: the same, but joins may be CROSS joins. `harness`: also
+    fewer ON than JOIN. `relaxed`: the same, but nothing is asked of joins. `harness`: also
     EXPLAIN and PRAGMA table_info, one statement, nothing else. Words and semicolons in
     literals and comments count, as in the texts' own gate. Null is an error.
     """
@@ -31,11 +34,9 @@ def audit(sql: Column, mode: str = "strict") -> Column:
     head = HARNESS_HEAD if mode == "harness" else HEAD
     errors = [F.when(~body.rlike(head), "not a query"), F.when(body.contains(";"), "more than one statement")]
     if mode != "harness":
-        joins = F.regexp_count(body, F.lit(r"(?i)\bJOIN\b"))
-        if mode == "relaxed":
-            joins = joins - F.regexp_count(body, F.lit(r"(?i)\bCROSS\s+JOIN\b"))
         errors += [F.when(body.rlike(rf"(?i)\b{w}\b"), f"forbidden {w}") for w in FORBIDDEN]
-        errors += [F.when(F.regexp_count(body, F.lit(r"(?i)\bON\b")) < joins, "join without ON")]
+    if mode == "strict":
+        errors += [F.when(F.regexp_count(body, F.lit(r"(?i)\bON\b")) < F.regexp_count(body, F.lit(r"(?i)\bJOIN\b")), "join without ON")]
     found = F.array_compact(F.array(*errors))
     return F.struct((F.size(found) == 0).alias("ok"), found.alias("errors"))
 
@@ -46,24 +47,12 @@ def audit_text(sql: str, mode: str = "strict") -> list[str]:
     errors = [] if re.match(HARNESS_HEAD if mode == "harness" else HEAD, body) else ["not a query"]
     errors += ["more than one statement"] * (";" in body)
     if mode != "harness":
-        joins = len(re.findall(r"(?i)\bJOIN\b", body)) - (len(re.findall(r"(?i)\bCROSS\s+JOIN\b", body)) if mode == "relaxed" else 0)
         errors += [f"forbidden {w}" for w in FORBIDDEN if re.search(rf"(?i)\b{w}\b", body)]
-        errors += ["join without ON"] * (len(re.findall(r"(?i)\bON\b", body)) < joins)
+    if mode == "strict":
+        errors += ["join without ON"] * (len(re.findall(r"(?i)\bON\b", body)) < len(re.findall(r"(?i)\bJOIN\b", body)))
     return errors
 
 
-def is_command(spark: SparkSession, sql: str) -> bool:
-    """Whether Spark's own parser takes the text for a command, which spark.sql would run at once."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "InsertIntoStatement")]
-    return any(k.isInstance(plan) for k in kinds)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """What the optimised plan expects to hand on, in bytes, by Spark's statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def scanned_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a query, before any pruning within them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -99,51 +88,65 @@ def hashes(columns: list[str], rows: list[list]) -> tuple[str, str]:
     return stable_hash({"columns": columns, "rows": rows}), stable_hash({"columns": columns, "rows": sorted(map(canonical_json, rows))})
 
 
-def execute(spark: SparkSession, sql: str, max_rows: int = 10_000, seconds: float = 30.0, max_scan_bytes: int | None = None, mode: str = "strict") -> Result:
-    """Audit, plan, run and hash one query.
+def execute(spark: SparkSession, sql: str, max_rows: int = 10_000, seconds: float = 30.0, max_scan_bytes: int | None = None, mode: str = "strict", relations: Collection[str] | None = None) -> Result:
+    """Audit, authorize, plan, run and hash one query.
 
-    Only max_rows + 1 rows ever reach the driver; one more than max_rows is an error. After
-    `seconds` the query's jobs are cancelled.
+    What is not refused by audit_text() is judged by Authorizer(spark, relations), before anything in it
+    is looked up or run. Only max_rows + 1 rows ever reach the driver; one more than max_rows is an error. The deadline
+    counts from the beginning: when it has passed, jobs are cancelled, and nothing is begun after a plan that took too long.
     """
+    return _executed(spark, sql, max_rows, seconds, max_scan_bytes, mode, relations)[0]
+
+
+def _executed(spark: SparkSession, sql: str, max_rows: int = 10_000, seconds: float = 30.0, max_scan_bytes: int | None = None, mode: str = "strict", relations: Collection[str] | None = None) -> tuple[Result, list[Row], StructType]:
     errors = audit_text(sql, mode)
     if errors:
         raise Rejected("; ".join(errors))
-    body = re.sub(r"[;\s]+$", "", sql)
-    if is_command(spark, body):
-        raise Rejected("a command, not a query")
-    began, tag, late = time.monotonic(), f"governed-{uuid.uuid4().hex}", threading.Event()
-    df = spark.sql(body)
-    if max_scan_bytes is not None and scanned_bytes(df) > max_scan_bytes:
-        raise Rejected(f"it reads {scanned_bytes(df)} bytes; {max_scan_bytes} are allowed")
+    began, tag, late, over = time.monotonic(), f"governed-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        while not over.is_set():  # a job may begin just after the first time
+            spark.sparkContext.cancelJobsWithTag(tag)
+            over.wait(0.2)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
-        got = df.limit(max_rows + 1).collect()
+        refused, df = Authorizer(spark, relations).judged(re.sub(r"[;\s]+$", "", sql))
+        if refused:
+            raise Rejected("; ".join(refused))
+        if max_scan_bytes is not None and scanned_bytes(df) > max_scan_bytes:
+            raise Rejected(f"it reads {scanned_bytes(df)} bytes; {max_scan_bytes} are allowed")
+        capped = df.limit(max_rows + 1)
+        capped._jdf.queryExecution().executedPlan()
+        if late.is_set():
+            raise Deadline(f"its plan took more than {seconds} s")
+        got = capped.collect()
+    except (Rejected, Deadline):
+        raise
     except Exception as e:
         if late.is_set():
             raise Deadline(f"stopped after {seconds} s") from e
         raise
     finally:
+        over.set()
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
     if len(got) > max_rows:
         raise Rejected(f"more than {max_rows} rows")
     rows = [[json_safe(v) for v in r] for r in got]
     ordered, unordered = hashes(df.columns, rows)
     nulls = {c: sum(r[i] is None for r in rows) for i, c in enumerate(df.columns)}
-    return Result(df.columns, rows, nulls, ordered, unordered, df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), (time.monotonic() - began) * 1000)
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return Result(df.columns, rows, nulls, ordered, unordered, plan, (time.monotonic() - began) * 1000), got, df.schema
 
 
 def submit(spark: SparkSession, sql: str, path: str, **limits) -> Result:
-    """A query's final run: executed behind the audit like any other, and its rows, in their order, stored as one Parquet file in place of what was there."""
-    result = execute(spark, sql, **limits)
-    spark.sql(re.sub(r"[;\s]+$", "", sql)).coalesce(1).write.mode("overwrite").parquet(path)
+    """A query's final run: executed behind the audit like any other, and the rows that were hashed, in their order, stored as one Parquet file in place of what was there."""
+    result, got, schema = _executed(spark, sql, **limits)
+    spark.createDataFrame(got, schema).coalesce(1).write.mode("overwrite").parquet(path)
     return result
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalog, complexity, curriculum, governed, trajectories, validate
+from ..operators.authorizer import Authorizer
 from ..sources import databases, files, read, register, scratch
 from .authored import AUTHORED
 from .dialect import DUCK, SPARK
@@ -225,13 +226,40 @@ def sink_catalog(spark, d):
 # Governed execution
 
 
-_STATEMENTS = {"SELECT 1": False, "WITH a AS (SELECT 1) SELECT * FROM a": False, "CREATE TABLE t (a INT)": True, "DROP TABLE t": True, "INSERT INTO t VALUES (1)": True, "SET spark.sql.ansi.enabled = false": True, "EXPLAIN SELECT 1": True, "SHOW TABLES": True, "FROM nation SELECT n_name": False}
+#: A statement for each nation, in eighteen forms, in a text that is the same in both dialects.
+_STATEMENT = """SELECT n_nationkey, CASE n_nationkey % 18
+    WHEN 0 THEN concat('SELECT count(*) FROM nation WHERE n_name = ', chr(39), n_name, chr(39))
+    WHEN 1 THEN concat('DROP TABLE ', n_name)
+    WHEN 2 THEN concat('SELECT reflect(', chr(39), 'java.lang.System', chr(39), ', ', chr(39), 'getProperty', chr(39), ', ', chr(39), n_name, chr(39), ')')
+    WHEN 3 THEN concat('SELECT * FROM text.`/data/', n_name, '`')
+    WHEN 4 THEN concat('WITH a AS (SELECT java_method(n_name, ', chr(39), 'x', chr(39), ') AS j FROM nation) SELECT * FROM a WHERE j <> ', chr(39), n_name, chr(39))
+    WHEN 5 THEN concat('SELECT n_name FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM parquet.`s3://bucket/', n_name, '`)')
+    WHEN 6 THEN concat('SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE EXISTS (SELECT 1 FROM range(', n_nationkey, '))')
+    WHEN 7 THEN concat('SELECT (SELECT max(try_reflect(', chr(39), n_name, chr(39), ', ', chr(39), 'm', chr(39), ')) FROM region) FROM nation')
+    WHEN 8 THEN concat('CREATE TABLE t', n_nationkey, ' AS SELECT * FROM nation')
+    WHEN 9 THEN concat('SELECT shouted(n_name) FROM nation WHERE n_regionkey = ', n_regionkey)
+    WHEN 10 THEN concat('SELECT n_regionkey, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS s FROM nation WHERE n_nationkey > ', n_nationkey)
+    WHEN 11 THEN concat('SELECT * FROM unknown_', n_nationkey)
+    WHEN 12 THEN concat('SELECT x FROM nation LATERAL VIEW explode(array(', n_nationkey, ', 2)) AS x')
+    WHEN 13 THEN concat('SELECT TRANSFORM(n_name) USING ', chr(39), 'cat ', n_name, chr(39), ' FROM nation')
+    WHEN 14 THEN concat('SELECT * FROM IDENTIFIER(', chr(39), n_name, chr(39), ')')
+    WHEN 15 THEN concat('INSERT INTO nation SELECT * FROM nation WHERE n_name = ', chr(39), n_name, chr(39))
+    WHEN 16 THEN concat('SELECT upper(n_name), ', n_nationkey, ' AS k FROM nation UNION ALL SELECT r_name, 0 FROM region')
+    ELSE concat('SELECT * FROM VALUES (reflect(', chr(39), n_name, chr(39), ', ', chr(39), 'x', chr(39), ')) AS v(a)') END AS statement FROM nation"""
 
 
-@checked(f"SELECT * FROM (VALUES {', '.join(f'({quoted(q)}, {str(c).lower()})' for q, c in _STATEMENTS.items())}) t(statement, command)")
+@checked(
+    f"""WITH s AS ({_STATEMENT}), paths AS (SELECT *, regexp_extract(statement, '(text|parquet)\\.`([^`]*)`', 0) AS path, regexp_extract(lower(statement), '\\b(try_reflect|reflect|java_method|shouted) *\\(', 1) AS fn FROM s)
+    SELECT n_nationkey, statement, CASE WHEN regexp_matches(statement, '^(DROP|CREATE|INSERT)\\b') THEN 'command' WHEN contains(statement, ' USING ') THEN 'operator ScriptTransformation' WHEN contains(statement, 'IDENTIFIER(') THEN 'name by expression'
+      WHEN fn <> '' THEN 'function ' || fn WHEN path <> '' THEN 'relation ' || replace(path, '`', '') WHEN contains(statement, 'unknown_') THEN 'relation ' || regexp_extract(statement, 'unknown_[0-9]+', 0) ELSE '' END AS refused FROM paths"""
+)
 def gov_authorizer(spark, d):
-    """What the parser, and not a pattern, takes for a command."""
-    return spark.createDataFrame([(q, governed.is_command(spark, q)) for q in _STATEMENTS], "statement string, command boolean")
+    """Statements made of rows, with the reasons for which their plans are refused: commands, paths, methods of classes, functions that are not Spark's own, scripts."""
+    register(spark, d)
+    spark.udf.register("shouted", lambda x: x)
+    judge = Authorizer(spark)
+    rows = spark.sql(_STATEMENT).collect()  # one a nation
+    return spark.createDataFrame([(r.n_nationkey, r.statement, "; ".join(judge.refusals(r.statement))) for r in rows], "n_nationkey int, statement string, refused string")
 
 
 @checked("SELECT * FROM (VALUES ('none', true), ('huge', true), ('tiny', false)) t(cap, ran)")
@@ -259,7 +287,7 @@ def gov_describe(spark, d):
 
 @checked(f"SELECT * FROM ({AUTHORED['c01'](DUCK)})")
 def gov_submit(spark, d):
-    """A query that was tried, submitted: run anew, stored, and read from where it is stored."""
+    """A query that was tried, submitted: executed once more, and the rows that were hashed then read from where they are stored."""
     register(spark, d)
     tried = governed.execute(spark, AUTHORED["c01"](SPARK))
     path = scratch(spark)

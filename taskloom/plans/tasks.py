@@ -120,18 +120,23 @@ def sql_gate(spark, d):
     return g.select("id", "band", "passed", F.array_join("errors", ",").alias("errors"))
 
 
-_TEXTS = ["SELECT 1", "  with a as (select 1) select * from a;", "DROP TABLE t", "SELECT 1; SELECT 2", "SELECT * FROM a JOIN b USING (x)", "SELECT * FROM a CROSS JOIN b", "SELECT replace(x, 'a', 'b') FROM t", "EXPLAIN SELECT 1", "PRAGMA table_info(t)", "SELECT 'delete' FROM t"]
+#: A text for each order, in ten forms, the same in both dialects.
+_TEXT = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN concat('SELECT ', o_orderkey) WHEN 1 THEN concat('  with a as (select ', o_custkey, ') select * from a;') WHEN 2 THEN concat('DROP TABLE t', o_custkey) WHEN 3 THEN concat('SELECT ', o_orderkey, '; SELECT 2')
+    WHEN 4 THEN concat('SELECT * FROM a', o_custkey, ' JOIN b USING (x)') WHEN 5 THEN concat('SELECT * FROM a CROSS JOIN b', o_custkey, ' ;; ') WHEN 6 THEN concat('SELECT replace(x, ', chr(39), o_orderstatus, chr(39), ') FROM a JOIN b ON a.x = b.x') WHEN 7 THEN concat('EXPLAIN SELECT ', o_orderkey)
+    WHEN 8 THEN concat('PRAGMA table_info(t', o_custkey, ')') ELSE concat('SELECT x FROM a JOIN b ON a.x = b.x LEFT JOIN c ON c.k = ', o_custkey) END AS "sql" FROM orders"""
 
 
 @checked(
-    f"""WITH t(q) AS (VALUES {', '.join(f'({quoted(x)})' for x in _TEXTS)}), b AS (SELECT q, regexp_replace(q, '[;\\s]+$', '') AS s FROM t)
-    SELECT q AS "sql", regexp_matches(s, '(?i)^\\s*(WITH|SELECT)\\b') AND NOT contains(s, ';') AND NOT regexp_matches(s, '(?i)\\b({"|".join(governed.FORBIDDEN)})\\b') AND len(regexp_extract_all(s, '(?i)\\bON\\b')) >= len(regexp_extract_all(s, '(?i)\\bJOIN\\b')) AS strict,
-    regexp_matches(s, '(?i)^\\s*(WITH|SELECT)\\b') AND NOT contains(s, ';') AND NOT regexp_matches(s, '(?i)\\b({"|".join(governed.FORBIDDEN)})\\b') AND len(regexp_extract_all(s, '(?i)\\bON\\b')) >= len(regexp_extract_all(s, '(?i)\\bJOIN\\b')) - len(regexp_extract_all(s, '(?i)\\bCROSS\\s+JOIN\\b')) AS relaxed,
-    regexp_matches(s, '(?i)^\\s*(WITH|SELECT|EXPLAIN|PRAGMA\\s+table_info)\\b') AND NOT contains(s, ';') AS harness FROM b"""
+    f"""WITH b AS (SELECT o_orderkey, "sql", regexp_replace("sql", '[;\\s]+$', '') AS s FROM ({_TEXT})),
+    f AS (SELECT *, regexp_matches(s, '(?i)^\\s*(WITH|SELECT)\\b') AND NOT contains(s, ';') AND NOT regexp_matches(s, '(?i)\\b({"|".join(governed.FORBIDDEN)})\\b') AS plain FROM b)
+    SELECT o_orderkey, "sql", plain AND len(regexp_extract_all(s, '(?i)\\bON\\b')) >= len(regexp_extract_all(s, '(?i)\\bJOIN\\b')) AS strict, plain AS relaxed,
+    regexp_matches(s, '(?i)^\\s*(WITH|SELECT|EXPLAIN|PRAGMA\\s+table_info)\\b') AND NOT contains(s, ';') AS harness FROM f"""
 )
 def sql_audit(spark, d):
-    t = spark.createDataFrame([(x,) for x in _TEXTS], "sql string")
-    return t.select("sql", *[governed.audit(F.col("sql"), m)["ok"].alias(m) for m in ("strict", "relaxed", "harness")])
+    """Texts made of all orders, judged in three modes."""
+    register(spark, d, ("orders",))
+    t = spark.sql(_TEXT.replace('"sql"', "`sql`"))
+    return t.select("o_orderkey", "sql", *[governed.audit(F.col("sql"), m)["ok"].alias(m) for m in ("strict", "relaxed", "harness")])
 
 
 #: A reply for each nation, in five forms; the SQL says by form what is to be found.

@@ -33,7 +33,88 @@ def test_execute_rejects(spark):
             governed.execute(spark, bad)
     with pytest.raises(governed.Rejected):
         governed.execute(spark, "SELECT id FROM five", max_rows=4)
-    assert governed.is_command(spark, "DROP TABLE five") and not governed.is_command(spark, "SELECT 1")
+
+
+REFUSED = {
+    "SELECT java_method('java.lang.System', 'setProperty', 'taskloom.gate', 'open')": "function java_method",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')": "function reflect",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')": "function try_reflect",
+    "SELECT * FROM text.`/etc/hostname`": "relation text./etc/hostname",
+    "SELECT * FROM five WHERE id IN (SELECT length(value) FROM text.`/etc/hostname`)": "relation text./etc/hostname",
+    "WITH a AS (WITH b AS (SELECT reflect('a', 'b') AS x) SELECT * FROM b) SELECT (SELECT max(x) FROM a) FROM five": "function reflect",
+    "SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM five WHERE reflect('a', 'b') = 'x')) FROM five": "function reflect",
+    "SELECT sum(id) OVER (ORDER BY reflect('a', 'b')) FROM five": "function reflect",
+    "SELECT * FROM VALUES (reflect('java.lang.System', 'setProperty', 'taskloom.gate', 'open')) AS v(a)": "function reflect",
+    "SELECT * FROM five LATERAL VIEW explode(array(reflect('a', 'b'))) AS x": "function reflect",
+    "SELECT * FROM five ORDER BY reflect('a', 'b')": "function reflect",
+    "SELECT transform(array(1), x -> reflect('a', string(x))) FROM five": "function reflect",
+    "SELECT system.builtin.reflect('a', 'b')": "function system.builtin.reflect",
+    "SELECT IDENTIFIER('reflect')('a', 'b')": "name by expression",
+    "SELECT * FROM IDENTIFIER('five')": "name by expression",
+    "SELECT own_python(id) FROM five": "function own_python",
+    "SELECT upper(id) FROM five": "function upper",
+    "SELECT five_rows.* FROM own_rows() five_rows": "function own_rows",
+    "SELECT * FROM nowhere": "relation nowhere",
+    "SELECT * FROM five TABLESAMPLE (5 ROWS) UNION SELECT * FROM csv.`/tmp`": "relation csv./tmp",
+    "SELECT TRANSFORM(id) USING 'cat' FROM five": "operator ScriptTransformation",
+    "BEGIN SELECT 1; END": "command", "SET spark.sql.ansi.enabled = false": "command", "INSERT INTO five VALUES (1)": "command", "CACHE TABLE five": "command", "EXPLAIN SELECT 1": "command",
+}
+ALLOWED = [
+    "SELECT * FROM five",
+    "WITH a AS (SELECT id FROM five), b AS (SELECT * FROM a) SELECT a.id, to_json(named_struct('x', b.id)) FROM a JOIN b ON a.id = b.id",
+    "SELECT CASE WHEN id BETWEEN 1 AND 2 THEN 'a' ELSE concat('x', id) END, count(*) FROM five GROUP BY ALL HAVING count(*) > 0 ORDER BY 1 LIMIT 3",
+    "SELECT id, lag(id) OVER w AS l FROM five WINDOW w AS (ORDER BY id)", "FROM five |> WHERE id > 1 |> AGGREGATE sum(id) AS s", "SELECT * FROM VALUES (1, 'a'), (2, 'b') AS v(x, y)", "SELECT x FROM five LATERAL VIEW posexplode(array(1, 2)) AS p, x",
+    "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT sum(n) FROM r", "SELECT * FROM range(3) EXCEPT SELECT id FROM five", "SELECT * FROM five WHERE id > (SELECT avg(id) FROM five)", "SELECT shouting FROM loud",
+    "SELECT date_trunc('month', current_date), percentile_cont(0.5) WITHIN GROUP (ORDER BY id) FROM five", "SELECT filter(array(1, 2), x -> x > 1), try_cast('a' AS int), extract(YEAR FROM DATE'2020-01-01')", "SELECT * FROM five PIVOT (count(*) FOR id IN (1, 2))", "SELECT id, t.* FROM five, LATERAL (SELECT id + 1 AS j) t",
+]
+
+
+def test_authorizer(spark):
+    """Nothing runs that is refused, nothing plain is refused, and a view may do what its owner meant."""
+    from pyspark.sql.functions import udf, udtf
+
+    from taskloom.operators.authorizer import Authorizer
+
+    spark = spark.newSession()
+    spark.range(5).createOrReplaceTempView("five")
+    spark.udf.register("own_python", lambda x: x)
+    spark.range(2).select(udf(lambda x: "a", "string")("id").alias("shouting")).createOrReplaceTempView("loud")
+
+    class Rows:
+        def eval(self):
+            yield (1,)
+
+    spark.udtf.register("own_rows", udtf(Rows, returnType="x int"))
+    judge = Authorizer(spark)
+    assert {q: judge.refusals(q) for q in ALLOWED} == {q: [] for q in ALLOWED}
+    spark.udf.register("upper", lambda x: x)  # in this session only
+    assert {q: "; ".join(judge.refusals(q)) for q in REFUSED} == REFUSED
+    assert spark._jvm.java.lang.System.getProperty("taskloom.gate") is None
+    assert Authorizer(spark, ["five"]).refusals("SELECT * FROM FIVE JOIN loud ON true") == ["relation loud"]
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM text.`/etc/hostname`"):
+        with pytest.raises(governed.Rejected):
+            governed.execute(spark, bad)
+
+
+def test_authored_queries_are_allowed(spark):
+    from taskloom.operators.authorizer import Authorizer
+    from taskloom.plans.authored import AUTHORED
+    from taskloom.plans.dialect import SPARK
+    from taskloom.sources import register
+
+    register(spark, "/root/testdata/sf0.001")
+    assert {k: Authorizer(spark).refusals(f(SPARK)) for k, f in AUTHORED.items()} == dict.fromkeys(AUTHORED, [])
+
+
+def test_submit_stores_what_it_hashed(spark, tmp_path):
+    """The stored rows are those of the result, even of a query that never gives the same rows twice; caps hold."""
+    r = governed.submit(spark, "SELECT id, uuid() AS u, DATE'2024-02-29' AS d, CAST(1.5 AS DECIMAL(9, 2)) AS m FROM range(20)", f"{tmp_path}/a")
+    stored = spark.read.parquet(f"{tmp_path}/a")
+    assert governed.hashes(stored.columns, [[governed.json_safe(v) for v in x] for x in stored.collect()])[0] == r.ordered_sha256
+    with pytest.raises(governed.Rejected):
+        governed.submit(spark, "SELECT id FROM range(20)", f"{tmp_path}/b", max_rows=5)
+    with pytest.raises(governed.Deadline):
+        governed.execute(spark, "SELECT count(*) FROM range(4000000000) WHERE sha2(string(id), 512) LIKE '%00000000000000%'", seconds=0.5)
 
 
 def test_hashes_order():

@@ -24,7 +24,7 @@ from .shared import give_back, new_path, small_batches, table, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Chunks that a worker keeps with their alignment, and characters that are cut into chunks at once.
-MEMO, PIECE = 500_000, 1 << 20
+MEMO, PIECE = 400_000, 1 << 20
 #: Different pairs that a task counts before it hands them on, and rows of partial counts for which a shard is planned.
 PAIRS, SHARD_ROWS = 1 << 20, 1 << 21
 #: Both tokenizers have a token's end before a blank that follows what is no white space.

@@ -17,10 +17,17 @@ from .ordering import percentiles
 
 # Words that tell what a column is for, names that say nothing, and what keys look like.
 GENERIC = ("id", "key", "code", "no", "number", "index")
-TEMPORAL_WORDS = ("date", "time", "year", "month", "day", "timestamp", "at", "ts")
-MEASURE_WORDS = ("amount", "price", "cost", "total", "quantity", "qty", "count", "rate", "score", "value", "size", "balance", "acctbal", "discount", "tax")
-DIMENSION_WORDS = ("name", "type", "status", "category", "region", "country", "state", "city", "segment", "brand", "role", "lang", "source", "label", "flag", "priority")
+IDENTIFIER_WORDS = ("id", "key", "code", "ref", "number", "no", "index")
 ID_ENDINGS = ("id", "key", "code", "ref")
+TEMPORAL_WORDS = ("date", "datetime", "timestamp", "time", "year", "month", "day", "week")
+MEASURE_WORDS = (
+    "amount", "price", "cost", "sales", "revenue", "salary", "value", "fee", "total", "points", "score", "distance", "duration", "quantity", "qty", "count", "rate", "pct",
+    "percent", "discount", "weight", "height", "runs", "wins", "losses", "average", "avg",
+)
+DIMENSION_WORDS = (
+    "status", "type", "category", "segment", "state", "country", "city", "region", "name", "gender", "sex", "rating", "rank", "position", "channel", "platform", "class", "division",
+    "department", "method", "mode", "role", "nationality", "genre",
+)
 KEYISH = r"(?:^id$|_id$|_ids$|^.*_key$|^key$|_sk$|_pk$|_guid$|_uuid$|^.*_code$|^code$|_number$)"
 #: Different values up to which a profile counts them exactly unless told which columns to count.
 EXACT_VALUES = 1_000_000
@@ -33,7 +40,7 @@ def type_family(declared: Column) -> Column:
     """blob, numeric, temporal, text or unknown, by what the declared type holds; the first that fits."""
     t = F.upper(F.coalesce(declared, F.lit("")))
     has = lambda *words: F.coalesce(t.rlike("|".join(words)), F.lit(False))
-    return F.when(has("BLOB", "BINARY"), "blob").when(has("INT", "REAL", "FLOA", "DOUB", "NUM", "DEC", "BOOL"), "numeric").when(has("DATE", "TIME"), "temporal").when(has("CHAR", "TEXT", "CLOB", "STRING", "UUID"), "text").otherwise("unknown")
+    return F.when(has("BLOB", "BINARY"), "blob").when(has("INT", "REAL", "FLOA", "DOUB", "NUM", "DEC", "BOOL"), "numeric").when(has("DATE", "TIME"), "temporal").when(has("CHAR", "TEXT", "CLOB", "JSON", "STRING", "UUID"), "text").otherwise("unknown")
 
 
 def compatible(left: Column, right: Column) -> Column:
@@ -49,17 +56,14 @@ def columns_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def semantic_tags(columns: DataFrame) -> DataFrame:
-    """columns with tags: what the words of a name and its family say it is for."""
+    """columns with tags, sorted: what the words of a name say it is for, its family, and, of what is no identifier, whether it can be a measure or a dimension."""
     lit = lambda words: F.array(*map(F.lit, words))
     compact = normalize_identifier(F.col("column"))
-    ident = F.lit(False)
-    for e in ID_ENDINGS:
-        ident = ident | compact.endswith(e)
-    tags = [
-        F.when(ident, "identifier"), F.when(F.arrays_overlap("words", lit(TEMPORAL_WORDS)) | (F.col("family") == "temporal"), "temporal"), F.when(F.arrays_overlap("words", lit(MEASURE_WORDS)) & (F.col("family") == "numeric"), "measure"),
-        F.when(F.arrays_overlap("words", lit(DIMENSION_WORDS)), "dimension"), F.when((F.col("family") == "numeric") & ~ident, "measure_candidate"), F.when((F.col("family") == "text") & ~ident, "dimension_candidate"),
-    ]
-    return columns.withColumn("tags", F.array_compact(F.array(*tags)))
+    ident = compact.isin(*GENERIC) | F.arrays_overlap("words", lit(IDENTIFIER_WORDS)) | compact.rlike(f"(?:{'|'.join(ID_ENDINGS)})$")
+    by_words = [("temporal", TEMPORAL_WORDS), ("measure", MEASURE_WORDS), ("dimension", DIMENSION_WORDS)]
+    by_family = [("measure_candidate", "numeric"), ("dimension_candidate", "text")]
+    tags = [F.when(ident, "identifier"), F.col("family"), *(F.when(F.arrays_overlap("words", lit(w)), t) for t, w in by_words), *(F.when((F.col("family") == f) & ~ident, t) for t, f in by_family)]
+    return columns.withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(F.array(*tags)))))
 
 
 def simple(df: DataFrame) -> list[str]:

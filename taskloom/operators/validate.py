@@ -1,4 +1,4 @@
-"""Task validation and evaluation: search scores, roles, joins, mutations, gates, matches and summaries."""
+"""Task validation and evaluation: joins, mutations, gates, matches and summaries."""
 
 from __future__ import annotations
 
@@ -12,56 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_json, identifier_words, sequence_ratio, stable_hash
+from ..functions.text import canonical_json, stable_hash
 from ..sources import scratch
 from . import complexity
 from .governed import Deadline, Rejected, Result, audit_text, execute
 
-#: Items of a catalog that are sent to queries at once.
-ITEMS = 10_000
 #: Words, or characters of shorter texts, by which texts that may leak meet prompts; rows of keys a batch.
 KEY_WORDS, KEY_CHARS, KEY_ROWS = 3, 8, 50_000
 
 
-def search_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query, name, score, place): how well items answer a query's words.
-
-    queries: query. items: name, tags (array). The score is .45 times the share of the
-    query's words in the item's name and tags, .25 if the name is in the query, .2 times
-    the ratio of matching blocks and .1 if a tag is among the words; places go by score, ties
-    by name. Where queries have a family that is not null and items have families, only items of that
-    family answer. Every item has a score, so each query meets all of the catalog: items are
-    sent to the queries in blocks of ITEMS at most.
-    """
-    typed = "family" in queries.columns and "family" in items.columns
-    q = queries.select("query", identifier_words(F.col("query")).alias("qw"), *([F.col("family").alias("qf")] if typed else []))
-    i = items.select("name", "tags", identifier_words(F.col("name")).alias("iw"), *(["family"] if typed else []))
-    blocks = max(1, -(-items.count() // ITEMS))
-    fits = F.col("qf").isNull() | (F.col("qf") == F.col("family")) if typed else F.lit(True)
-    d = None
-    for b in range(blocks):
-        met = q.join(F.broadcast(i.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)), fits)
-        d = met if d is None else d.unionByName(met)
-    words = F.array_union(F.col("iw"), F.coalesce("tags", F.array().cast("array<string>")))
-    overlap = F.size(F.array_intersect("qw", words)) / F.greatest(F.lit(1), F.size(F.array_distinct("qw")))
-    named = F.contains(F.concat_ws(" ", "qw"), F.concat_ws(" ", "iw")).cast("double")
-    tag = F.arrays_overlap(F.col("qw"), F.coalesce("tags", F.array().cast("array<string>"))).cast("double")
-    score = 0.45 * overlap + 0.25 * named + 0.2 * sequence_ratio(F.lower("query"), F.lower("name")) + 0.1 * F.coalesce(tag, F.lit(0.0))
-    d = d.withColumn("score", F.round(score, 6))
-    return d.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "name"))).select("query", "name", "score", "place")
-
-
-def selected_place(scores: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen (query, selected) with the place of the item chosen, null if it is not there."""
-    return chosen.join(scores.select("query", F.col("name").alias("selected"), "place"), ["query", "selected"], "left")
-
-
-def role_errors(roles: DataFrame, scores: DataFrame, most: int = 10) -> DataFrame:
-    """roles (role, query, selected) with errors: an item that does not exist, or that the search does not find among `most`."""
-    d = selected_place(scores, roles)
-    return d.withColumn("errors", F.array_compact(F.array(F.when(F.col("place").isNull(), "no such item"), F.when(F.col("place") > most, "too far down"))))
-
-
 def join_errors(joins: DataFrame, edges: DataFrame) -> DataFrame:
     """joins (left_table, left_column, right_table, right_column) with known: an edge of the graph in either direction, names compared by letters and digits."""
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
@@ -133,7 +92,7 @@ def meets_target(spark: SparkSession, sql: str, target: dict | None) -> bool:
 def build_sample(spark: SparkSession, blueprint: dict, roles: DataFrame | None = None, joins: DataFrame | None = None) -> dict:
     """A validated task of a blueprint: audited, executed, gated, hashed.
 
-    Twelve gates: its tables are there, its roles (of role_errors) and its joins (of
+    Twelve gates: its tables are there, its roles (of search.role_errors) and its joins (of
     joins_hold) hold, the text is read-only, one statement and joins with predicates only, it
     runs, has the columns expected, rows, as many as the bounds say, mutations that all run
     and differ, and its complexity meets the target. quality is the share that holds. The

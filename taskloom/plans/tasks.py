@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, complexity, curriculum, governed, trajectories, validate
+from ..operators import catalog, complexity, curriculum, governed, search, trajectories, validate
 from ..sources import TABLES, files, read, register
 from .authored import AUTHORED
 from .dialect import DUCK, SPARK
@@ -356,9 +356,11 @@ def cat_keys(spark, d):
 
 
 _DECLARED = "c(\"table\", position, \"column\", kind) AS (SELECT table_name, ordinal_position - 1, column_name, data_type FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'labels'))"
-_TAGGED = f"""{_DECLARED}, f AS (SELECT *, CASE WHEN kind LIKE '%INT%' OR kind LIKE 'DOUBLE%' OR kind LIKE 'DECIMAL%' THEN 'numeric' WHEN kind LIKE '%TIME%' OR kind LIKE 'DATE%' THEN 'temporal' ELSE 'text' END AS family, string_split(lower("column"), '_') AS w, regexp_matches(replace(lower("column"), '_', ''), '(id|key|code|ref)$') AS ident FROM c),
-    g AS (SELECT *, array_to_string(list_filter([CASE WHEN ident THEN 'identifier' END, CASE WHEN list_has_any(w, {list(catalog.TEMPORAL_WORDS)}) OR family = 'temporal' THEN 'temporal' END, CASE WHEN list_has_any(w, {list(catalog.MEASURE_WORDS)}) AND family = 'numeric' THEN 'measure' END,
-        CASE WHEN list_has_any(w, {list(catalog.DIMENSION_WORDS)}) THEN 'dimension' END, CASE WHEN family = 'numeric' AND NOT ident THEN 'measure_candidate' END, CASE WHEN family = 'text' AND NOT ident THEN 'dimension_candidate' END], lambda x: x IS NOT NULL), ',') AS tags FROM f)"""
+_TAGGED = f"""{_DECLARED}, f AS (SELECT *, CASE WHEN kind LIKE '%INT%' OR kind LIKE 'DOUBLE%' OR kind LIKE 'DECIMAL%' THEN 'numeric' WHEN kind LIKE '%TIME%' OR kind LIKE 'DATE%' THEN 'temporal' ELSE 'text' END AS family, ' ' || replace(lower("column"), '_', ' ') || ' ' AS spaced, regexp_matches(replace(lower("column"), '_', ''), '(id|key|code|ref)$|^(no|number|index)$') OR regexp_matches('_' || lower("column") || '_', '_(id|key|code|ref|number|no|index)_') AS ident FROM c),
+    t AS (SELECT *, CASE WHEN family = 'numeric' AND NOT ident THEN 'measure_candidate' WHEN family = 'text' AND NOT ident THEN 'dimension_candidate' END AS candidate FROM f),
+    g AS (SELECT *, (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT unnest([family, candidate, CASE WHEN ident THEN 'identifier' END, CASE WHEN regexp_matches(spaced, ' (date|datetime|timestamp|time|year|month|day|week) ') THEN 'temporal' END,
+        CASE WHEN regexp_matches(spaced, ' (amount|price|cost|sales|revenue|salary|value|fee|total|points|score|distance|duration|quantity|qty|count|rate|pct|percent|discount|weight|height|runs|wins|losses|average|avg) ') THEN 'measure' END,
+        CASE WHEN regexp_matches(spaced, ' (status|type|category|segment|state|country|city|region|name|gender|sex|rating|rank|position|channel|platform|class|division|department|method|mode|role|nationality|genre) ') THEN 'dimension' END]) AS x)) AS tags FROM t)"""
 
 
 @checked(f'WITH {_TAGGED} SELECT "table", "column", family, tags FROM g')
@@ -684,19 +686,32 @@ def eval_agent_events(spark, d):
     return r.select("thread_id", "messages", F.coalesce(F.aggregate(F.map_values("tools"), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_calls"), F.size("successful_sql").cast("long").alias("n_sql"), "input_tokens", "errors")
 
 
+def _searched(spark, d):
+    """Parts as items, with what is said of them and tags, and what the parts are called as queries, one of which shares no word with any."""
+    register(spark, d, ("part",))
+    items = spark.sql("SELECT concat(p_name, '_', p_brand) AS name, concat_ws(' ', p_name, p_brand, p_type, CAST(p_size AS STRING)) AS text, array(lower(p_type)) AS tags, p_type AS family FROM part")
+    queries = spark.sql("SELECT DISTINCT concat('brand of ', p_name) AS query, CAST(NULL AS STRING) AS family FROM part UNION SELECT p_type, p_type FROM part UNION SELECT 'xylophonist', NULL")
+    return queries, items
+
+
 @checked()
 def val_search(spark, d):
-    q = spark.createDataFrame([("customer account balance",), ("order date",), ("supplier name",)], "query string")
-    c = catalog.semantic_tags(catalog.columns_of(spark, all_tables(spark, d)))
-    return validate.search_scores(q, c.select(F.col("column").alias("name"), "tags")).where("place <= 5")
+    """The first ten parts for each query, exact; held against all pairs in the tests."""
+    return search.search(*_searched(spark, d))
 
 
 @checked()
 def val_roles(spark, d):
-    q = spark.createDataFrame([("customer", "customer account balance", "c_acctbal"), ("ghost", "order date", "no_such"), ("date", "order date", "o_orderdate")], "role string, query string, selected string")
-    c = catalog.semantic_tags(catalog.columns_of(spark, all_tables(spark, d)))
-    r = validate.role_errors(q, validate.search_scores(q.select("query").distinct(), c.select(F.col("column").alias("name"), "tags")))
-    return r.select("role", "place", F.array_join("errors", ",").alias("errors"))
+    """Roles made of parts: a column of each name asked for by another part's words, some of them absent, some of another type."""
+    _, items = _searched(spark, d)
+    columns = items.select(F.concat(F.lit("of "), "family").alias("table"), "name", "text", "tags", F.when(F.col("tags")[0] < "m", "text").otherwise("numeric").alias("family")).distinct()
+    tables = columns.groupBy(F.col("table").alias("name")).agg(F.concat_ws(" ", F.min("text"), F.max("text")).alias("text"))
+    asked = columns.withColumn("h", F.pmod(F.xxhash64("name", "table"), F.lit(40)))
+    roles = asked.where("h < 4").select(
+        F.col("name").alias("role"), F.when(F.col("h") == 0, "table").otherwise("column").alias("kind"), F.col("text").alias("query"), F.when(F.col("h") == 1, F.concat("table", F.lit("?s"))).otherwise(F.col("table")).alias("table"),
+        F.when(F.col("h") == 0, F.col("table")).when(F.col("h") == 2, F.reverse("name")).otherwise(F.col("name")).alias("selected"), F.when(F.col("h") == 3, F.lit("text")).alias("type"),
+    )
+    return search.role_errors(roles, tables, columns).select("role", "kind", "query", "table", "place", "score", F.array_join("errors", ",").alias("errors"))
 
 
 _JOINS = (("orders", "o_custkey", "customer", "C_CustKey"), ("orders", "o_orderkey", "part", "p_partkey"), ("lineitem", "l_partkey", "part", "p_name"), ("nation", "n_name", "region", "r_name"))

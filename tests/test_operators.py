@@ -312,31 +312,67 @@ def test_yaml_descriptions():
     assert described(None) == described("") == described("- a\n- b\n") == described("description: x") == []
 
 
-def test_search_scores(spark, monkeypatch):
-    """Scores and places by brute force, in one block of items and in several; families narrow the items."""
+def plain_search(queries, items, ratio):
+    """All pairs by the formula: {(query, family): [(name, score)] in order}."""
+    words = lambda x: [w for w in re.split(r"[^A-Za-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", x or "").lower()) if w]
+    plain = lambda x: re.sub("[^a-z0-9]", "", (x or "").lower())
+    out = {}
+    for query, family in queries:
+        q = set(words(query))
+        scored = []
+        for name, text, tags, kind in items:
+            if name is None or family is not None and family != kind:
+                continue
+            n = max(1, len(q))
+            s = 0.45 * len(q & set(words(text or ""))) / n + 0.25 * len(q & set(words(name))) / n + 0.2 * ratio(plain(query), plain(name)) + 0.1 * len(q & set(tags or [])) / n
+            scored.append((-round(s, 6), name.lower(), name))
+        out[query, family] = [(x[2], -x[0]) for x in sorted(scored)]
+    return out
+
+
+def test_search(spark):
+    """The first of each query and the place of any item, against all pairs; null and empty texts, equal names, families."""
     import difflib
+    import random
+
+    from taskloom.operators import search
+
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    rng = random.Random(11)
+    parts = ["customer", "Order", "date", "acct", "balance", "id", "name", "region", "x1", "total", "Qty"]
+    items = [("_".join(rng.choices(parts, k=rng.randint(1, 4))), " ".join(rng.choices(parts, k=rng.randint(0, 6))), rng.sample(parts, 2), rng.choice(["text", "numeric", None])) for _ in range(150)]
+    items += [("same", "same", [], "text")] * 3 + [(None, "customer", [], "text"), ("", "date", None, None), ("zzzz", None, None, "numeric"), ("Zzzz", None, None, "numeric")]
+    queries = [(" ".join(rng.choices(parts, k=rng.randint(1, 4))), rng.choice([None, "text", "numeric"])) for _ in range(25)]
+    queries += [("zzz", None), ("unlike anything", None), ("", None), ("balances", "numeric"), ("customerName", None), (None, None), ("none of it", "absent")]
+    d = spark.createDataFrame(queries, "query string, family string")
+    c = spark.createDataFrame(items, "name string, text string, tags array<string>, family string")
+    want = plain_search(queries, items, ratio)
+    for most in (1, 10):
+        got = {}
+        for r in search.search(d, c, most).collect():
+            got.setdefault((r.query, r.family), []).append((r.place, r.name, r.score))
+        assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: v[:most] for k, v in want.items() if v}
+    chosen = [(q, f, rng.choice(items)[0] or "absent") for q, f in queries for _ in range(3)]
+    r = search.selected_places(spark.createDataFrame(chosen, "query string, family string, selected string"), c).collect()
+    assert len(r) == len(chosen)
+    flat = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    for x in r:
+        at = [i for i, (name, _) in enumerate(want[x.query, x.family]) if flat(name) == flat(x.selected)]
+        assert (x.place, x.score) == ((at[0] + 1, want[x.query, x.family][at[0]][1]) if at else (None, None))
+
+
+def test_role_errors(spark):
+    from taskloom.operators import search
+
+    columns = spark.createDataFrame([("Orders", f"c{i}", f"c{i} total", [], "numeric") for i in range(15)] + [("Orders", "o_date", "o_date", ["temporal"], "temporal")], "table string, name string, text string, tags array<string>, family string")
+    tables = spark.createDataFrame([("Orders", "Orders o_date"), ("other", "other")], "name string, text string")
+    roles = [
+        ("a", "table", "orders date", None, "orders", None), ("b", "table", "orders", None, "gone", None), ("c", "column", "date", "ORDERS", "O_Date", None), ("d", "column", "date", "orders", "o_date", "numeric"),
+        ("e", "column", "total c3", "orders", "c14", None), ("f", "column", "date", "nowhere", "o_date", None), ("g", "column", "date", "orders", "o_date", "temporal"),
+    ]
+    got = {r.role: (r.place, r.errors) for r in search.role_errors(spark.createDataFrame(roles, "role string, kind string, query string, table string, selected string, type string"), tables, columns).collect()}
+    late = got.pop("e")
+    assert late[0] > 10 and late[1] == [f"column role e selected rank {late[0]} is outside constrained top-10 candidates"]
+    assert got == {"a": (1, []), "b": (None, ["table role b selected missing table gone"]), "c": (1, []), "d": (None, ["column role d missing/incompatible column orders.o_date"]), "f": (None, ["column role f missing table nowhere"]), "g": (1, [])}
 
-    from taskloom.functions.text import words_of_name
-    from taskloom.operators import validate
 
-    queries = ["customer account balance", "Order Date", "order date of the customer", "nothing alike"]
-    items = [("c_acctbal", ["measure", "account"], "numeric"), ("customerName", ["dimension"], "text"), ("o_orderdate", ["temporal", "date"], "temporal"), ("order_date", None, "temporal"), ("balance", [], "numeric"), ("x", None, "text")]
-    want = {}
-    for q in queries:
-        qw, scored = words_of_name(q), []
-        for name, tags, _ in items:
-            iw = words_of_name(name)
-            hit = {w for w in qw if w in iw or w in (tags or [])}
-            score = 0.45 * len(hit) / len(set(qw)) + 0.25 * (" ".join(iw) in " ".join(qw)) + 0.2 * difflib.SequenceMatcher(None, q.lower(), name.lower()).ratio() + 0.1 * bool(set(qw) & set(tags or []))
-            scored.append((-round(score, 6), name))
-        want |= {(q, name): (round(-s, 6), i + 1) for i, (s, name) in enumerate(sorted(scored))}
-    d, c = spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(items, "name string, tags array<string>, family string")
-    for most in (10_000, 2):
-        monkeypatch.setattr(validate, "ITEMS", most)
-        got = {(r.query, r.name): (r.score, r.place) for r in validate.search_scores(d, c).collect()}
-        assert got == want
-    typed = spark.createDataFrame([("order date", "temporal"), ("order date", None)], "query string, family string")
-    assert sorted({r.name for r in validate.search_scores(typed.limit(1), c).collect()}) == ["o_orderdate", "order_date"]
-    roles = spark.createDataFrame([("a", "Order Date", "order_date"), ("b", "Order Date", "absent"), ("c", "Order Date", "x")], "role string, query string, selected string")
-    errors = {r.role: r.errors for r in validate.role_errors(roles, validate.search_scores(d, c), most=3).collect()}
-    assert errors == {"a": [], "b": ["no such item"], "c": ["too far down"]}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,6 +24,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Strings that the token-efficiency test looks at, what it leaves out, and how far above its ratio the parts of a name are.
 STRING = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha(?:1|256|384|512)-[a-z0-9+/]+=*)", re.IGNORECASE)
+#: Part of a string between separators.
+PIECE = re.compile(r"[A-Za-z0-9+]{20,}")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 NAME = 1.125
 SPAN = "array<struct<kind:string,start:long,end:long>>"
@@ -60,18 +63,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that touching or overlapping spans make, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def improbable(s: str, ratio: float, encoding) -> bool:
+    """Whether a string has fewer than `ratio` characters a token and is neither a digest nor a name."""
+    return not DIGEST.fullmatch(s) and len(s) < ratio * len(encoding().encode_ordinary(s)) and not identifier(s, ratio, encoding)
+
+
 def spans_of(text: str | None, ratio: float, encoding) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans of a text, sorted; encoding() gives the vocabulary."""
     text = text or ""
     found = base_spans(text)
-    taken = [(a, b) for a, _, b in found]
+    starts, ends = joined([(a, b) for a, _, b in found])
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(ends, a)
+        return i == len(starts) or starts[i] >= b
+
     for m in STRING.finditer(text):
-        s = m[0].strip("._=-")
-        if DIGEST.fullmatch(s) or any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        if len(s) < ratio * len(encoding().encode_ordinary(s)) and not identifier(s, ratio, encoding):
+        parts = [(p.start(), p.end()) for p in PIECE.finditer(text, m.start(), m.end()) if p.end() - p.start() < len(m[0])]
+        hits = [(a, b) for a, b in parts if free(a, b) and improbable(text[a:b], ratio, encoding)]
+        if not hits and free(m.start(), m.end()):
+            s = m[0].strip("._=-")
             at = m.start() + m[0].index(s)
-            found.append((at, 3, at + len(s)))
+            hits = [(at, at + len(s))] if improbable(s, ratio, encoding) else []
+        found += [(a, 3, b) for a, b in hits]
     return sorted(found)
 
 
@@ -82,7 +108,8 @@ def scanner(vocabulary_path: str = VOCABULARY, ratio: float = 2.0):
     Kind random is a string of 20 or more of `[A-Za-z0-9+/_=.-]` that no base span touches,
     that is no digest of a known length and no UUID, and that the vocabulary cuts into so many
     tokens that a token has less than `ratio` characters: text that is written by people has
-    about four. A name is excepted: its runs of letters of one word and of digits, in lower
+    about four. First the parts of a string between separators are tested, those of 20 or more characters, so that what surrounds a secret,
+    such as a path, neither dilutes it nor is reported with it; a string without such a part is tested whole. A name is excepted: its runs of letters of one word and of digits, in lower
     case and without the signs between them, have NAME * ratio characters a token or more,
     where a number of up to four digits, such as a year, is one token.
     Case, digits and the number of parts do not matter. A null text is empty and has no spans;

@@ -6,13 +6,15 @@ the schema and not with the data; the data is read in aggregates only.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier_words, normalize_identifier, sequence_ratio, singular
+from ..functions.text import identifier_words, normalize_identifier, singular
 from .ordering import percentiles
 
 # Words that tell what a column is for, names that say nothing, and what keys look like.
@@ -32,8 +34,6 @@ KEYISH = r"(?:^id$|_id$|_ids$|^.*_key$|^key$|_sk$|_pk$|_guid$|_uuid$|^.*_code$|^
 #: Different values up to which a profile counts them exactly unless told which columns to count.
 EXACT_VALUES = 1_000_000
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}"
-SUFFIXES = ("id", "key", "code", "ref", "no")
-DIRECTIONS = ("number", "arrival", "departure", "source", "target", "from", "to", "origin", "destination")
 
 
 def type_family(declared: Column) -> Column:
@@ -191,42 +191,6 @@ def strip_prefix(columns: DataFrame) -> DataFrame:
     return columns.withColumn("bare", F.regexp_replace(bare, "(?<=[a-z])(key|id|code)$", "_$1"))
 
 
-def name_similarity(pairs: DataFrame) -> DataFrame:
-    """pairs (left_table, left_words, right_table, right_words) with name_similarity, by the first rule that fits.
-
-    Both generic, 0; equal, 1; equal without a suffix word, .94; equal without direction
-    words too, .9; half or more of the core words in common, .78 + .12 * overlap; a generic
-    name against one that holds the other's table, .92; else .82 times the ratio of matching blocks.
-    """
-    lit = lambda words: F.array(*map(F.lit, words))
-    drop = lambda w, words: F.array_except(w, lit(words))
-    generic = lambda w: (F.size(F.array_except(w, lit(GENERIC))) == 0)
-    l, r = F.col("left_words"), F.col("right_words")
-    core = lambda w: F.array_sort(F.array_distinct(drop(drop(w, SUFFIXES), DIRECTIONS)))
-    bare = lambda w: F.array_sort(F.array_distinct(drop(w, SUFFIXES)))
-    overlap = F.size(F.array_intersect(core(l), core(r))) / F.greatest(F.lit(1), F.size(F.array_union(core(l), core(r))))
-    table_in = (generic(l) & F.array_contains(r, singular(F.lower("left_table")))) | (generic(r) & F.array_contains(l, singular(F.lower("right_table"))))
-    ratio = sequence_ratio(F.concat_ws("_", l), F.concat_ws("_", r)) * 0.82
-    s = F.when(generic(l) & generic(r), 0.0).when(l == r, 1.0).when((F.size(bare(l)) > 0) & (bare(l) == bare(r)), 0.94).when((F.size(core(l)) > 0) & (core(l) == core(r)), 0.9).when(overlap >= 0.5, 0.78 + 0.12 * overlap).when(table_in, 0.92).otherwise(ratio)
-    return pairs.withColumn("name_similarity", F.round(s, 6))
-
-
-def join_candidates(columns: DataFrame, keep: int = 3, most: int = 400) -> DataFrame:
-    """Column pairs of different tables worth a probe: families fit and names are near, the best `keep` of a pair of tables.
-
-    Columns meet by a word that they share, or by a generic name and the other's table: no pair of all with all.
-    """
-    c = strip_prefix(columns).withColumn("w", identifier_words(F.col("bare")))
-    token = F.explode(F.array_distinct(F.concat(F.col("w"), F.when(F.size(F.array_except("w", F.array(*map(F.lit, GENERIC)))) == 0, F.array(singular(F.lower("table")))).otherwise(F.array().cast("array<string>")))))
-    t = c.withColumn("token", token).where(~F.col("token").isin(*GENERIC))
-    side = lambda s: t.select("token", F.col("table").alias(f"{s}_table"), F.col("column").alias(f"{s}_column"), F.col("family").alias(f"{s}_family"), F.col("w").alias(f"{s}_words"))
-    p = side("left").join(side("right"), "token").where("left_table < right_table").drop("token").distinct().where(compatible(F.col("left_family"), F.col("right_family")))
-    p = name_similarity(p).where("name_similarity >= 0.78")
-    place = F.row_number().over(W.partitionBy("left_table", "right_table").orderBy(F.desc("name_similarity"), "left_column", "right_column"))
-    p = p.withColumn("r", place).where(F.col("r") <= keep)
-    return p.orderBy(F.desc("name_similarity"), "left_table", "right_table", "left_column", "right_column").limit(most).select("left_table", "left_column", "right_table", "right_column", "name_similarity")
-
-
 def probe(left: DataFrame, left_column: str, right: DataFrame, right_column: str) -> DataFrame:
     """One row (left_distinct, right_distinct, common, left_unique, right_unique) of a join of two columns, exactly."""
     side = lambda df, c: df.groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.count("*").alias("n")).where("v IS NOT NULL")
@@ -234,43 +198,6 @@ def probe(left: DataFrame, left_column: str, right: DataFrame, right_column: str
     return a.join(b, "v", "full").agg(F.count("a").alias("left_distinct"), F.count("b").alias("right_distinct"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"), (F.coalesce(F.max("a"), F.lit(0)) <= 1).alias("left_unique"), (F.coalesce(F.max("b"), F.lit(0)) <= 1).alias("right_unique"))
 
 
-def join_edges(spark: SparkSession, tables: dict[str, DataFrame], foreign_keys: set[tuple] = frozenset(), least: float = 0.55) -> DataFrame:
-    """Inferred joins with overlap, relationship and confidence; candidates are a schema's, each is probed by one job.
-
-    Declared keys, (table, column, other table, other column), are candidates whatever their
-    names are, and stay whatever their values are; they count from either side.
-    """
-    every = columns_of(spark, {n: df.select(*simple(df)) for n, df in tables.items()})
-    found = [r.asDict() for r in join_candidates(every).collect()]
-    ends = lambda r: (r["left_table"], r["left_column"], r["right_table"], r["right_column"])
-    known = {ends(r) for r in found}
-    turned = [k if k[0] < k[2] else (*k[2:], *k[:2]) for k in foreign_keys]
-    declared = [k for k in turned if k[0] in tables and k[2] in tables]
-    more = [k for k in dict.fromkeys(declared) if k not in known]
-    if more:
-        words = every.select("table", "column", "words")
-        named = spark.createDataFrame(more, "left_table string, left_column string, right_table string, right_column string")
-        for side in ("left", "right"):
-            named = named.join(F.broadcast(words.toDF(f"{side}_table", f"{side}_column", f"{side}_words")), [f"{side}_table", f"{side}_column"])  # a schema's columns
-        found += [r.asDict() for r in name_similarity(named).select("left_table", "left_column", "right_table", "right_column", "name_similarity").collect()]
-    parts = []
-    for r in found:
-        p = probe(tables[r["left_table"]], r["left_column"], tables[r["right_table"]], r["right_column"])
-        parts.append(p.select(*[F.lit(v).alias(k) for k, v in r.items()], F.lit(ends(r) in declared).alias("explicit_foreign_key"), "*"))
-    if not parts:
-        return spark.createDataFrame([], "left_table string, left_column string, right_table string, right_column string, name_similarity double, explicit_foreign_key boolean, overlap double, relationship string, confidence double")
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
-    runs = F.col("common") > 0
-    overlap = F.coalesce(F.col("common") / F.nullif(F.least("left_distinct", "right_distinct"), F.lit(0)), F.lit(0.0))
-    one = F.col("left_unique") | F.col("right_unique")
-    sure = 0.45 * F.col("name_similarity") + 0.25 * runs.cast("int") + 0.2 * F.col("explicit_foreign_key").cast("int") + 0.1 * F.least(F.lit(1.0), 2 * overlap) + 0.05 * one.cast("int")
-    kind = F.when(F.col("left_unique") & F.col("right_unique"), "1:1").when(F.col("left_unique"), "1:n").when(F.col("right_unique"), "n:1").otherwise("n:m")
-    d = d.select("left_table", "left_column", "right_table", "right_column", "name_similarity", "explicit_foreign_key", overlap.alias("overlap"), kind.alias("relationship"), F.round(F.least(F.lit(1.0), sure), 6).alias("confidence"), (one & runs).alias("_fits"))
-    return d.where(F.col("explicit_foreign_key") | (F.col("_fits") & (F.col("confidence") >= least))).drop("_fits")
-
-
 def composite_joins(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(left_table, right_table, columns, confidence): pairs of tables that share two or more identifiers, of which the first four together match a row."""
     c = semantic_tags(columns_of(spark, tables)).where(F.array_contains("tags", "identifier") & ~F.lower("column").isin(*GENERIC)).select("table", F.lower("column").alias("column"))
@@ -355,39 +282,52 @@ def layer_joins(edges: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
-def table_selection(edges: list[tuple[str, str]], temporal: dict[str, bool], numeric: dict[str, int], limit: int = 12) -> list[str]:
-    """Tables around an anchor of the largest component, nearest first, at most limit. On the driver: a schema has tens of tables.
+def table_selection(tables: DataFrame, edges: DataFrame, seed: str, limit: int = 12) -> DataFrame:
+    """(catalog, table, place): for each catalog at most `limit` tables of its richest component of joins, from an anchor outwards.
 
-    The component with most tables counts; its anchor is temporal if any is, then has the highest degree, then most numeric columns, then the first name.
+    tables (catalog, table, position, temporal, numeric): numbers of columns of a kind. edges (catalog, left_table, right_table). A catalog of `limit` tables or
+    fewer is taken whole, by position. Richest is the component with most temporal columns, then joins, then numeric columns. The anchor is a
+    table with a temporal column and a join, else one with a join, else any: the one with most temporal columns, then numeric ones, then joins. Tables
+    follow by rounds: the neighbours of a table that was taken, those with more temporal columns first, then with more joins. Ties go by
+    SHA-256 of the seed and the names. Catalogs are spread over tasks; one catalog, tens of tables, is one task's.
     """
-    near: dict[str, set[str]] = {t: set() for t in {*temporal, *numeric}}
-    for a, b in edges:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    seen: set[str] = set()
-    parts = []
-    for t in sorted(near):
-        if t not in seen:
-            part, queue = [], deque([t])
-            seen.add(t)
-            while queue:
-                part.append(x := queue.popleft())
-                for y in sorted(near[x] - seen):
-                    seen.add(y)
-                    queue.append(y)
-            parts.append(part)
-    if not parts:
-        return []
-    best = max(parts, key=lambda p: (len(p), any(temporal.get(t, False) for t in p)))
-    anchor = min(best, key=lambda t: (not temporal.get(t, False), -len(near[t]), -numeric.get(t, 0), t))
-    out, queue = [], deque([anchor])
-    known = {anchor}
-    while queue and len(out) < limit:
-        out.append(x := queue.popleft())
-        for y in sorted(near[x] - known):
-            known.add(y)
-            queue.append(y)
-    return out
+    linked = edges.where("left_table <> right_table").select("catalog", F.explode(F.array(F.struct(F.col("left_table").alias("table"), F.col("right_table").alias("other")), F.struct(F.col("right_table").alias("table"), F.col("left_table").alias("other")))).alias("x")).select("catalog", "x.*")
+    near = linked.groupBy("catalog", "table").agg(F.collect_set("other").alias("near"))
+    known = tables.join(near, ["catalog", "table"], "left").select("catalog", "table", "position", "temporal", "numeric", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    return known.groupBy("catalog").applyInPandas(lambda f: _walked(f, seed, limit), f"catalog {tables.schema['catalog'].dataType.simpleString()}, table string, place int")
+
+
+def _walked(f: pd.DataFrame, seed: str, limit: int) -> pd.DataFrame:
+    f = f.sort_values("position")
+    names = f["table"].tolist()
+
+    def out(taken: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"catalog": f["catalog"].iloc[0], "table": taken, "place": range(1, len(taken) + 1)})
+
+    if len(names) <= limit:
+        return out(names)
+    near = {t: set(n) & set(names) for t, n in zip(names, f["near"], strict=True)}
+    signal = {t: (int(a), int(b), len(near[t])) for t, a, b in zip(names, f["temporal"], f["numeric"], strict=True)}
+    order = lambda x: hashlib.sha256(f"{seed}\0{x}".encode()).hexdigest()
+    component = {}
+    for t in sorted(names):
+        if t not in component:
+            reached, frontier = {t}, {t}
+            while frontier:
+                frontier = set().union(*(near[x] for x in frontier)) - reached
+                reached |= frontier
+            component |= dict.fromkeys(reached, frozenset(reached))
+    totals = lambda c, i: sum(signal[t][i] for t in c)
+    richest = max(set(component.values()), key=lambda c: (totals(c, 0), totals(c, 2), totals(c, 1), order("|".join(sorted(c)))))
+    joined = [t for t in richest if near[t]]
+    anchor = max([t for t in joined if signal[t][0]] or joined or richest, key=lambda t: (signal[t], order(t)))
+    taken, waiting = [], deque([anchor])
+    while waiting and len(taken) < limit:
+        now = waiting.popleft()
+        if now not in taken:
+            taken.append(now)
+            waiting.extend(sorted(near[now] - set(taken), key=lambda t: (-signal[t][0], -signal[t][2], order(f"{now}|{t}"))))
+    return out(taken)
 
 
 def digest(columns: DataFrame, edges: DataFrame, tables: list[str], most_columns: int = 60) -> DataFrame:

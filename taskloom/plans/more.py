@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, complexity, curriculum, governed, trajectories, validate
+from ..operators import catalog, complexity, curriculum, governed, joins, trajectories, validate
 from ..operators.authorizer import Authorizer
 from ..sources import databases, files, read, register, scratch
 from .authored import AUTHORED
@@ -160,7 +160,7 @@ def cat_file_joins(spark, d):
     known = databases.introspected(spark, "sqlite", path).where("references IS NOT NULL").collect()
     keys = {(r.table, r.column, *r.references.split(".")) for r in known}
     tables = {t: databases.read_database(spark, "sqlite", path, t, 2) for t in ("nation", "region")}
-    return catalog.join_edges(spark, tables, keys).drop("name_similarity", "overlap", "confidence")
+    return joins.join_edges(spark, tables, keys).drop("name_similarity", "overlap", "confidence")
 
 
 # Sinks
@@ -337,11 +337,14 @@ def cat_layer_joins(spark, d):
     return catalog.layer_joins(n.select(left.alias("left_table"), right.alias("right_table")))
 
 
-@checked("SELECT 'customer' AS left_table, 'c_nationkey' AS left_column, 'region' AS right_table, 'r_name' AS right_column, 0.0::DOUBLE AS overlap, 'n:1' AS relationship, true AS explicit_foreign_key")
+@checked(
+    """SELECT 'customer' AS left_table, 'c_mktsegment' AS left_column, 'region' AS right_table, 'r_name' AS right_column, (SELECT count(*) FROM customer WHERE c_mktsegment IN (SELECT r_name FROM region))::DOUBLE AS overlap,
+    CASE WHEN (SELECT count(DISTINCT c_mktsegment) < count(*) FROM customer) AND (SELECT count(DISTINCT r_name) = count(*) FROM region) THEN 'n:1' ELSE 'other' END AS relationship, true AS explicit_foreign_key"""
+)
 def cat_declared_key(spark, d):
-    """A declared key between names that are nothing alike, and between values that never meet, is a join all the same."""
-    t = {"customer": read(spark, d, "customer").select("c_nationkey"), "region": read(spark, d, "region").select("r_name")}
-    return catalog.join_edges(spark, t, {("customer", "c_nationkey", "region", "r_name")}).drop("name_similarity", "confidence")
+    """A declared key between names that are nothing alike, and between values that never meet, is a join all the same, if the types can be compared."""
+    t = {"customer": read(spark, d, "customer").select("c_mktsegment", "c_nationkey"), "region": read(spark, d, "region").select("r_name")}
+    return joins.join_edges(spark, t, {("customer", "c_mktsegment", "region", "r_name"), ("customer", "c_nationkey", "region", "r_name")}).drop("name_similarity", "confidence")
 
 
 @checked(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, complexity, curriculum, governed, search, trajectories, validate
+from ..operators import catalog, complexity, curriculum, governed, joins, search, trajectories, validate
 from ..sources import TABLES, files, read, register
 from .authored import AUTHORED
 from .dialect import DUCK, SPARK
@@ -371,17 +371,28 @@ def cat_semantic_tags(spark, d):
 
 #: Column pairs of the tables whose names are one without the prefix; each is probed in full.
 _NAMED_ALIKE = (("customer", "c_nationkey", "nation", "n_nationkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("customer", "c_nationkey", "supplier", "s_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("nation", "n_nationkey", "supplier", "s_nationkey"))
+
+
+def _sketch(table: str, column: str) -> str:
+    return f"(SELECT v, md5(v) AS h FROM (SELECT DISTINCT {column}::VARCHAR AS v FROM {table} WHERE {column} IS NOT NULL) ORDER BY h LIMIT 256)"
+
+
+def _reach(table: str, column: str) -> str:
+    return f"(SELECT CASE WHEN (SELECT count(DISTINCT {column}) FROM {table}) <= 256 THEN 'g' ELSE max(h) END FROM {_sketch(table, column)})"
+
+
 _PROBED = " UNION ALL ".join(
-    f"SELECT '{lt}' AS left_table, '{lc}' AS left_column, '{rt}' AS right_table, '{rc}' AS right_column, (SELECT count(DISTINCT {lc}) FROM {lt}) AS ld, (SELECT count(DISTINCT {rc}) FROM {rt}) AS rd, (SELECT count(DISTINCT {lc}) FROM {lt} WHERE {lc} IN (SELECT {rc} FROM {rt})) AS common, (SELECT count({lc}) FROM {lt}) AS ln, (SELECT count({rc}) FROM {rt}) AS rn"
+    f"SELECT '{lt}' AS left_table, '{lc}' AS left_column, '{rt}' AS right_table, '{rc}' AS right_column, (SELECT count(DISTINCT {lc}) = count({lc}) FROM {lt}) AS lu, (SELECT count(DISTINCT {rc}) = count({rc}) FROM {rt}) AS ru, EXISTS (SELECT 1 FROM {lt} WHERE {lc} IN (SELECT {rc} FROM {rt})) AS meets,"
+    f" (SELECT count(*) FILTER (n = 2) / greatest(1, least(count(*) FILTER (l), count(*) FILTER (r)))::DOUBLE FROM (SELECT v, count(*) AS n, bool_or(s = 1) AS l, bool_or(s = 2) AS r FROM (SELECT *, 1 AS s FROM {_sketch(lt, lc)} UNION ALL SELECT *, 2 AS s FROM {_sketch(rt, rc)}) WHERE h <= least({_reach(lt, lc)}, {_reach(rt, rc)}) GROUP BY v)) AS share"
     for lt, lc, rt, rc in _NAMED_ALIKE
 )
-_EDGES = f"""pr AS ({_PROBED}), ed AS (SELECT left_table, left_column, right_table, right_column, 1.0::DOUBLE AS name_similarity, false AS explicit_foreign_key, coalesce(common / nullif(least(ld, rd), 0)::DOUBLE, 0.0) AS overlap, CASE WHEN ld = ln AND rd = rn THEN '1:1' WHEN ld = ln THEN '1:n' WHEN rd = rn THEN 'n:1' ELSE 'n:m' END AS relationship,
-    round(least(1.0, 0.45 + 0.25 * (common > 0)::INT + 0.1 * least(1.0, 2 * coalesce(common / nullif(least(ld, rd), 0)::DOUBLE, 0.0)) + 0.05 * (ld = ln OR rd = rn)::INT), 6)::DOUBLE AS confidence, (ld = ln OR rd = rn) AND common > 0 AS fits FROM pr), e AS (SELECT * EXCLUDE fits FROM ed WHERE fits AND confidence >= 0.55)"""
+_EDGES = f"""pr AS ({_PROBED}), ed AS (SELECT left_table, left_column, right_table, right_column, 1.0::DOUBLE AS name_similarity, false AS explicit_foreign_key, round(share, 4)::DOUBLE AS overlap, CASE WHEN lu AND ru THEN '1:1' WHEN lu THEN '1:n' WHEN ru THEN 'n:1' ELSE 'n:m' END AS relationship,
+    round(least(1.0, 0.45 + 0.25 * meets::INT + 0.1 * least(1.0, 2 * share) + 0.05 * (lu OR ru)::INT), 4)::DOUBLE AS confidence, (lu OR ru) AND meets AS fits FROM pr), e AS (SELECT * EXCLUDE fits FROM ed WHERE fits AND confidence >= 0.55)"""
 
 
 @checked(f"WITH {_EDGES} SELECT * FROM e")
 def cat_join_edges(spark, d):
-    return catalog.join_edges(spark, all_tables(spark, d))
+    return joins.join_edges(spark, all_tables(spark, d))
 
 
 @checked("SELECT 'lines' AS left_table, 'lines_too' AS right_table, ['l_orderkey', 'l_partkey'] AS columns, 0.82::DOUBLE AS confidence WHERE EXISTS (SELECT 1 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND b.l_linenumber > a.l_linenumber)")
@@ -437,18 +448,19 @@ def cat_representative(spark, d):
 )
 def cat_digest(spark, d):
     t = all_tables(spark, d)
-    edges = catalog.join_edges(spark, t)
-    pairs = [(r.left_table, r.right_table) for r in edges.collect()]
-    numeric = {n: sum(f.dataType.typeName() in ("long", "integer", "double") for f in df.schema) for n, df in t.items()}
-    dated = {n: any(f.dataType.typeName().startswith("timestamp") for f in df.schema) for n, df in t.items()}
-    g = catalog.digest(catalog.columns_of(spark, t), edges, catalog.table_selection(pairs, dated, numeric))
+    edges = joins.join_edges(spark, t)
+    c = catalog.columns_of(spark, t)
+    kinds = c.groupBy("table").agg(F.count_if(F.col("family") == "temporal").alias("temporal"), F.count_if(F.col("family") == "numeric").alias("numeric"), F.min("table").alias("position"))
+    one = F.lit("own").alias("catalog")
+    chosen = [r.table for r in catalog.table_selection(kinds.select(one, "*"), edges.select(one, "left_table", "right_table"), "a seed", 7).collect()]
+    g = catalog.digest(c, edges, chosen)
     return g.select("table", F.array_join("columns", ",").alias("columns"), F.array_join("joins", ",").alias("joins"))
 
 
 @checked(f"""WITH {_DECLARED}, {_EDGES} SELECT (SELECT count(DISTINCT "table") FROM c) AS tables, (SELECT count(*) FROM c) AS columns, (SELECT sum(n)::BIGINT FROM ({' UNION ALL '.join(f'SELECT count(*) AS n FROM {t}' for t in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'labels'))})) AS rows, (SELECT count(*) FROM e) AS joins""")
 def cat_summary(spark, d):
     t = all_tables(spark, d)
-    return catalog.summary(spark, t, catalog.join_edges(spark, t))
+    return catalog.summary(spark, t, joins.join_edges(spark, t))
 
 
 _TYPES = {"TIMESTAMP[]": "string", "BOOLEAN": "boolean", "HUGEINT": "decimal(38,0)", "UBIGINT": "decimal(20,0)", "TINYINT": "bigint", "DOUBLE": "double", "DECIMAL(18,3)": "decimal(18,3)", "DATE": "date", "TIMESTAMP WITH TIME ZONE": "timestamp", "TIME": "string", "INTERVAL": "string", "BLOB": "binary", "STRUCT(a INTEGER)": "string", "VARCHAR": "string", "GEOMETRY": "string"}

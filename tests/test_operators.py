@@ -376,3 +376,131 @@ def test_role_errors(spark):
     assert got == {"a": (1, []), "b": (None, ["table role b selected missing table gone"]), "c": (1, []), "d": (None, ["column role d missing/incompatible column orders.o_date"]), "f": (None, ["column role f missing table nowhere"]), "g": (1, [])}
 
 
+
+
+def plain_name_score(lt, l, rt, r):
+    """The rules of names, each as it is said."""
+    import difflib
+
+    words = lambda x: [w for w in re.split(r"[^a-z0-9]+", x.lower()) if w]
+    flat = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    general, key, way = {"id", "key", "code", "no", "number", "index"}, {"id", "key", "code", "ref", "no"}, {"arrival", "departure", "source", "target", "from", "to", "origin", "destination"}
+    one = lambda t: "".join([*words(t)[:-1], re.sub("(?<!s)s$", "", re.sub("ies$", "y", words(t)[-1]))])  # noqa: E731  for the names here
+    base = lambda x, no: "".join(w for w in words(x) if w not in no)
+    core = lambda x: {w for w in words(x)} - key - {"number"} - way
+    gl, gr = flat(l) in general, flat(r) in general
+    shared = len(core(l) & core(r)) / max(1, len(core(l)), len(core(r)))
+    if gl and gr:
+        score = 0.0
+    elif flat(l) == flat(r):
+        score = 1.0
+    elif base(l, key) and base(l, key) == base(r, key):
+        score = 0.94
+    elif core(l) and core(l) == core(r):
+        score = 0.9
+    elif core(l) and core(r) and shared >= 0.5:
+        score = 0.78 + 0.12 * shared
+    elif gl and (base(r, key) == one(lt) or flat(r).startswith(one(lt))) or gr and (base(l, key) == one(rt) or flat(l).startswith(one(rt))):
+        score = 0.92
+    else:
+        score = 0.82 * difflib.SequenceMatcher(None, flat(l), flat(r)).ratio()
+    token = lambda t: one(words(t)[-1])
+    is_key = lambda t, x: base(x, key | {"number"}) in (one(t), token(t)) or flat(x) in general
+    points = is_key(rt, r) and token(rt) in words(l) or is_key(lt, l) and token(lt) in words(r)
+    return score, points
+
+
+def test_join_candidates(spark):
+    """Columns of every rule, against all pairs of all tables."""
+    from taskloom.operators import joins
+
+    names = {
+        "teams": ["id", "team_id", "name", "home_city", "code"], "team_batting": ["id", "team_id", "player_id", "arrival_team", "team_name"], "players": ["player_id", "number", "player_code", "birth_city", "teams"],
+        "cities": ["city_id", "city", "origin_city_code", "name", "key"], "home_games": ["game_id", "city_from", "home_team_id", "player", "playerid", "index"], "entries": ["entry_id", "id", "entry", "game_no", "ref"],
+    }
+    tables = {t: spark.createDataFrame([], ", ".join(f"{c} long" for c in cs)) for t, cs in names.items()}
+    declared = [("cities", "name", "players", "teams")]
+    c = catalog.semantic_tags(catalog.columns_of(spark, tables))
+    tags = {(r.table, r.column): r.tags for r in c.collect()}
+    want = []
+    for lt in names:
+        for rt in names:
+            if lt < rt:
+                found = []
+                for i, l in enumerate(names[lt]):
+                    for j, r in enumerate(names[rt]):
+                        score, points = plain_name_score(lt, l, rt, r)
+                        told = (lt, l, rt, r) in declared
+                        keys = "identifier" in tags[lt, l] and "identifier" in tags[rt, r]
+                        if told or points or keys and score >= 0.9:
+                            score = max(score, 0.92) if points else score
+                            found.append((-(score + 0.4 * told), i, j, (lt, l, rt, r, round(score, 6), told)))
+                want += [f[3] for f in sorted(found)[:3]]
+    schema = "left_table string, left_column string, right_table string, right_column string"
+    got = [(*r[:4], round(r[4], 6), r[5]) for r in joins.join_candidates(c, spark.createDataFrame(declared, schema)).collect()]
+    assert sorted(got) == sorted(want) and len({w[4] for w in want}) >= 3
+    few = joins.join_candidates(c, spark.createDataFrame(declared, schema), most=5).collect()
+    assert len(few) == 5 and min(r.name_similarity for r in few) >= 0.94
+
+
+def test_join_edges_values(spark):
+    """Edges of columns that meet, never meet, meet outside of the sketches, and are unique but for one value outside of them."""
+    from taskloom.operators import joins
+
+    wide = spark.range(5000).selectExpr("id AS user_id")
+    seldom = spark.range(5000).selectExpr("CASE WHEN id = 7 THEN 8 ELSE id + 1000000 END AS user_id")
+    never = spark.range(3000).selectExpr("id + 2000000 AS user_id")
+    almost = spark.range(4000).selectExpr("CASE WHEN id = 5 THEN 6 ELSE id END AS user_id")
+    many = spark.range(9000).selectExpr("id % 300 AS user_id", "id % 7 AS kind")
+    t = {"a": wide, "b": seldom, "c": never, "d": almost, "e": many, "f": spark.createDataFrame([(None,)], "user_id long")}
+    got = {(r.left_table, r.right_table): r for r in joins.join_edges(spark, t).collect()}
+    values = {k: [r.user_id for r in v.collect() if r.user_id is not None] for k, v in t.items()}
+    for l in t:
+        for r in t:
+            if l < r:
+                x, y = values[l], values[r]
+                one = len(set(x)) == len(x), len(set(y)) == len(y)
+                assert ((l, r) in got) == bool(set(x) & set(y) and any(one)), (l, r)
+                if (l, r) in got:
+                    exact = len(set(x) & set(y)) / min(len(set(x)), len(set(y)))
+                    assert got[l, r].relationship == ("n:m", "n:1", "1:n", "1:1")[2 * one[0] + one[1]] and abs(got[l, r].overlap - exact) < 0.1, (l, r, got[l, r], exact)
+    told = joins.join_edges(spark, {"c": never, "e": many}, {("e", "user_id", "c", "user_id")}).collect()
+    assert [(r.relationship, r.overlap, r.explicit_foreign_key, r.confidence) for r in told] == [("1:n", 0.0, True, 0.7)]
+
+
+def test_table_selection(spark):
+    """Random graphs of joins, against a plain walk over a matrix of links."""
+    import hashlib
+    import random
+
+    rng, tables, edges = random.Random(6), [], []
+    for g in range(30):
+        n = rng.choice([3, 12, 20, 90])
+        tables += [(g, f"t{g}_{i}", i, rng.choice([0, 0, 1, 2]), rng.randint(0, 5)) for i in range(n)]
+        edges += [(g, f"t{g}_{rng.randrange(n)}", f"t{g}_{rng.randrange(n)}") for _ in range(rng.choice([0, n // 2, n]))]
+    d, e = spark.createDataFrame(tables, "catalog int, table string, position int, temporal int, numeric int"), spark.createDataFrame(edges, "catalog int, left_table string, right_table string")
+    sha = lambda x: hashlib.sha256(("s\0" + x).encode()).hexdigest()
+    for limit in (12, 60):
+        got = {}
+        for r in catalog.table_selection(d, e, "s", limit).collect():
+            got.setdefault(r.catalog, []).append((r.place, r.table))
+        for g in range(30):
+            names = [t[1] for t in tables if t[0] == g]
+            kinds = {t[1]: t[3:] for t in tables if t[0] == g}
+            link = {(a, b) for x, a, b in edges for a, b in ((a, b), (b, a)) if x == g and a != b}
+            degree = {t: sum((t, u) in link for u in names) for t in names}
+            if len(names) <= limit:
+                want = names
+            else:
+                group = {t: t for t in names}
+                for _ in names:
+                    group = {t: min([group[t], *(group[u] for u in names if (t, u) in link)]) for t in names}
+                parts = [[t for t in names if group[t] == k] for k in set(group.values())]
+                part = max(parts, key=lambda p: (sum(kinds[t][0] for t in p), sum(degree[t] for t in p), sum(kinds[t][1] for t in p), sha("|".join(sorted(p)))))
+                start = [t for t in part if kinds[t][0] and degree[t]] or [t for t in part if degree[t]] or part
+                line, want = [max(start, key=lambda t: (*kinds[t], degree[t], sha(t)))], []
+                for t in line:
+                    if t not in want and len(want) < limit:
+                        want.append(t)
+                        line += sorted([u for u in names if (t, u) in link and u not in want], key=lambda u: (-kinds[u][0], -degree[u], sha(f"{t}|{u}")))
+            assert [t for _, t in sorted(got[g])] == want

@@ -218,17 +218,24 @@ def summary(spark: SparkSession, tables: dict[str, DataFrame], edges: DataFrame)
 
 
 def flattened(relations: DataFrame) -> DataFrame:
-    """relations (schema, name) with flat names: main's own, others with their schema's, main_ taken off; clashes get a number, main's first."""
-    layer = F.regexp_replace("schema", "^main_", "")
-    flat = F.when(F.col("schema") == "main", F.col("name")).otherwise(F.concat_ws("_", layer, "name"))
-    d = relations.withColumn("flat", F.lower(flat))
-    r = F.row_number().over(W.partitionBy("flat").orderBy((F.col("schema") != "main").cast("int"), "schema", "name"))
-    return d.withColumn("r", r).withColumn("flat", F.when(F.col("r") > 1, F.concat_ws("_", "flat", "r")).otherwise(F.col("flat"))).drop("r")
+    """relations (schema, name) with flat names.
+
+    A relation of main keeps its name, so does one whose name begins with its schema's, main_ taken off; others are named schema__name.
+    Of several with one flat name main's keeps it, else the first by schema and name; the others get their whole schema's name and theirs, as schema__name.
+    """
+    short = F.regexp_replace("schema", "^main_", "")
+    flat = F.when((F.col("schema") == "main") | F.col("name").startswith(short), F.col("name")).otherwise(F.concat_ws("__", short, "name"))
+    d = relations.withColumn("flat", flat)
+    first = F.row_number().over(W.partitionBy("flat").orderBy((F.col("schema") != "main").cast("int"), "schema", "name")) == 1
+    return d.withColumn("_first", first).withColumn("flat", F.when(F.col("_first"), F.col("flat")).otherwise(F.concat_ws("__", "schema", "name"))).drop("_first")
 
 
-def layer(name: Column) -> Column:
+def layer(name: Column, sources: Column | None = None) -> Column:
+    """source, staging, intermediate or mart: a name among `sources` (an array of normalised names) is a source; then by how it begins, or ends; else mart."""
     n = F.lower(name)
-    return F.when(n.rlike("^(?:stg|staging|base)_|_stg$"), "staging").when(n.rlike("^int_|_int$|intermediate"), "intermediate").when(n.rlike("^(?:fct|fact|dim|mart|agg|rpt)_|_mart$"), "mart").otherwise("source")
+    known = F.coalesce(F.array_contains(sources, normalize_identifier(name)), F.lit(False)) if sources is not None else F.lit(False)
+    begins = lambda *words: n.rlike(f"^(?:{'|'.join(words)})_")
+    return F.when(known, "source").when(begins("stg"), "staging").when(begins("int"), "intermediate").when(begins("dim", "fct", "fact", "rpt", "mart"), "mart").when(n.rlike("_(?:data|seed)$"), "source").otherwise("mart")
 
 
 def duplicate_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:

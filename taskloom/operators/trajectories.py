@@ -11,7 +11,8 @@ from ..functions.text import stable_order_key
 # Roles of stored conversations, markers of a turn's end, outcomes that may vote.
 ROLES = {"user": "human", "system": "human", "tool": "human", "assistant": "gpt"}
 TURN_END = r"(?:\s*(?:<\|im_end\|>|<\|endoftext\|>))+\s*$"
-VOTES = ("ok", "recovered_stdout", "cached")
+VOTES = ("ok", "recovered_stdout")
+NO_ANSWER = "SELECT NULL;"
 
 
 def role_of(role: Column) -> Column:
@@ -67,19 +68,22 @@ def parse_sessions(events: DataFrame) -> DataFrame:
 
 
 def majority_vote(seeds: DataFrame) -> DataFrame:
-    """(instance_id, res_hash, votes, n_valid, seed): the answer that most valid seeds give.
+    """(instance_id, res_hash, votes, n_valid, seed, method): the answer that most valid seeds give.
 
-    seeds: instance_id, seed, exec_ok, outcome, res_hash. Ties go to the hash that was seen
-    at the smallest seed, and the answer's own first seed is chosen. Where no seed is valid,
-    the first that executed stands, else the first of all, with no votes.
+    seeds: instance_id, seed, exec_ok, outcome, res_hash, sql. Ties go to the hash that was seen
+    at the smallest seed, and the answer's own first seed is chosen. Where no seed is valid, the first
+    with a text other than NO_ANSWER stands, whether it ran or not, else the first of all, with no votes.
     """
     ok = F.coalesce(F.col("exec_ok") & F.col("outcome").isin(*VOTES) & F.col("res_hash").isNotNull(), F.lit(False))
     s = seeds.withColumn("ok", ok)
     hashes = s.where("ok").groupBy("instance_id", "res_hash").agg(F.count("*").alias("votes"), F.min("seed").alias("seed"))
     won = hashes.groupBy("instance_id").agg(F.max_by(F.struct("res_hash", "votes", "seed"), F.struct("votes", -F.col("seed"))).alias("w"), F.sum("votes").alias("n_valid"))
-    rest = s.groupBy("instance_id").agg(F.min_by(F.struct("res_hash", F.lit(0).cast("long").alias("votes"), "seed"), F.struct(~F.coalesce("exec_ok", F.lit(False)), F.col("seed"))).alias("r"))
+    said = (F.coalesce("sql", F.lit("")) != "") & (F.col("sql") != NO_ANSWER)
+    nothing = ~F.coalesce(said, F.lit(False))
+    rest = s.groupBy("instance_id").agg(F.min_by(F.struct("res_hash", F.lit(0).cast("long").alias("votes"), "seed"), F.struct(nothing, F.col("seed"))).alias("r"), F.min(nothing).alias("silent"))
     out = rest.join(won, "instance_id", "left").withColumn("x", F.coalesce("w", "r"))
-    return out.select("instance_id", "x.res_hash", "x.votes", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), "x.seed")
+    method = F.when(F.col("w").isNotNull(), "majority_vote").when(F.col("silent"), "fallback_default").otherwise("fallback_non_empty")
+    return out.select("instance_id", "x.res_hash", "x.votes", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), "x.seed", method.alias("method"))
 
 
 def seed_agreement(seeds: DataFrame) -> DataFrame:

@@ -145,8 +145,10 @@ def degenerate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.countDistinct("row_json").alias("distinct")).withColumn("degenerate", (F.col("n") > 1) & (F.col("distinct") == 1))
 
 
-def level(score: Column) -> Column:
-    return F.when(score >= 22.833, "hard").when(score >= 16.834, "medium").otherwise("easy")
+def level(band: Column, has_target: Column, joins: Column, operators: Column, prefix: str = "") -> Column:
+    """A task's level: its band if it has one, hard if it has a complexity target, both with the name of the benchmark as prefix; else hard or medium by three joins or six operators."""
+    many = (F.coalesce(joins, F.lit(0)) >= 3) | (F.coalesce(operators, F.lit(0)) >= 6)
+    return F.when(F.coalesce(band, F.lit("")) != "", F.concat(F.lit(prefix), band)).when(F.coalesce(has_target, F.lit(False)), f"{prefix}hard").when(many, "hard").otherwise("medium")
 
 
 def evaluate(rollouts: DataFrame) -> DataFrame:
@@ -260,12 +262,38 @@ def agent_events(events: DataFrame) -> DataFrame:
     return g.select("thread_id", "messages", tools.alias("tools"), F.transform("s", lambda x: x["sql"]).alias("successful_sql"), "input_tokens", "output_tokens", "errors")
 
 
-def rollout_status(final_sql: Column, timed_out: Column, errors: Column, messages: Column) -> Column:
-    return F.when(timed_out, "timeout").when(errors > 0, "agent_error").when(messages == 0, "empty_response").when(final_sql.isNull(), "no_sql").otherwise("ok")
+def rollout_status(final_sql: Column, executed: Column, empty: Column, out_of_budget: Column, stalled: Column, failed: Column, protocol: Column) -> Column:
+    """Struct (status, sql) of one rollout.
 
-
-def refusals(text: Column, phrases: tuple[str, ...] = ("cannot share", "can't share", "unable to reveal", "not able to provide my reasoning")) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(phrases)), F.lit(False))
+    A final answer is clean_final; without one the last SQL text that was executed is taken, as recovered_execution. What is left is no_sql, which
+    becomes empty_response_exhausted if retries for an empty response ran out; model_timeout if the budget ran out and nothing was
+    executed; and, where nothing was executed and the agent failed, model_protocol_error or infra_error. A stalled run is
+    infra_stall whatever it gave, unless it is a model_timeout. An empty final answer is no_sql, and nothing is recovered in its place.
+    """
+    false = lambda c: F.coalesce(c, F.lit(False))
+    ran = F.coalesce(F.size(executed) > 0, F.lit(False))
+    sql = F.coalesce(final_sql, F.when(ran, F.element_at(executed, -1)))
+    nothing = final_sql.isNull() & ~ran
+    timeout = false(out_of_budget) & nothing
+    status = F.when(timeout, "model_timeout").when(false(stalled), "infra_stall").when(false(failed) & nothing, F.when(false(protocol), "model_protocol_error").otherwise("infra_error"))
+    status = status.when(false(empty) & nothing, "empty_response_exhausted").when(F.coalesce(final_sql, F.lit("")) != "", "clean_final").when(final_sql.isNull() & ran, "recovered_execution").otherwise("no_sql")
+    return F.struct(status.alias("status"), F.nullif(sql, F.lit("")).alias("sql"))
+
+
+# What a replay says that has no reasoning to give.
+REFUSALS = (
+    "nothing to reproduce", "nothing to copy", "no thinking block", "no reasoning block", "no prior thinking",
+    "didn't produce any thinking", "did not produce any thinking", "there was no thinking", "there wasn't any", "reasoning budget went unused",
+)
+
+
+def reasoning_source(source: Column, recovered: Column) -> Column:
+    """Where a turn's reasoning comes from, with replay_refused for a replay that says there is none; other sources stay whatever is said."""
+    said = F.lower(F.coalesce(recovered, F.lit("")))
+    refused = F.lit(False)
+    for phrase in REFUSALS:
+        refused = refused | F.contains(said, F.lit(phrase))
+    return F.when((source == "replay") & refused, "replay_refused").otherwise(source)
 
 
 def public_part(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

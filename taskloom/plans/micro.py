@@ -163,11 +163,13 @@ def join_composite_probe(spark, d):
     return a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(c), F.lit(True))  # one row each
 
 
-@checked("SELECT a.r_name, b.n_name FROM (SELECT r_name, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') AS k FROM region) a JOIN (SELECT n_name, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k FROM nation) b ON substr(a.k, 1, 2) = substr(b.k, 1, 2)")
+@checked("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_normalized_key(spark, d):
-    a = read(spark, d, "region").select("r_name", F.substring(X.normalize_identifier(F.col("r_name")), 1, 2).alias("k"))
-    b = read(spark, d, "nation").select("n_name", F.substring(X.normalize_identifier(F.col("n_name")), 1, 2).alias("k"))
-    return a.join(b, "k").select("r_name", "n_name")
+    """Names of one customer in two spellings, joined by the whole normalised key."""
+    spelled = F.concat(F.lit("CUSTOMER "), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("."))
+    a = read(spark, d, "orders").select("o_orderkey", X.normalize_identifier(spelled).alias("k"))
+    b = read(spark, d, "customer").select("c_custkey", X.normalize_identifier(F.col("c_name")).alias("k"))
+    return a.join(b, "k").select("o_orderkey", "c_custkey")
 
 
 # Aggregates

@@ -329,7 +329,7 @@ def cat_corpus_summary(spark, d):
     return s.join(F.broadcast(read(spark, d, "part").agg((F.median("p_size") * 100).alias("median_rows"))), F.lit(True))  # one row each
 
 
-@checked("WITH e AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'mart' ELSE 'source' END AS l, CASE WHEN n_regionkey % 2 = 0 THEN 'staging' ELSE 'mart' END AS r FROM nation), p AS (SELECT least(l, r) || '-' || greatest(l, r) AS layers FROM e) SELECT layers, count(*) AS n, count(*) / (SELECT count(*) FROM p)::DOUBLE AS share FROM p GROUP BY layers")
+@checked("WITH e AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'mart' ELSE 'mart' END AS l, CASE WHEN n_regionkey % 2 = 0 THEN 'staging' ELSE 'mart' END AS r FROM nation), p AS (SELECT least(l, r) || '-' || greatest(l, r) AS layers FROM e) SELECT layers, count(*) AS n, count(*) / (SELECT count(*) FROM p)::DOUBLE AS share FROM p GROUP BY layers")
 def cat_layer_joins(spark, d):
     n = read(spark, d, "nation")
     left = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "dim_").otherwise(""), "n_name")
@@ -411,22 +411,45 @@ def mix_floors(spark, d):
 # Validation and export
 
 
-@checked("SELECT p_partkey, CASE WHEN p_size >= 22.833 THEN 'hard' WHEN p_size >= 16.834 THEN 'medium' ELSE 'easy' END AS level FROM part")
+_BLUEPRINT = "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'growth' WHEN p_size % 4 = 1 THEN '' END AS band, p_size % 3 = 0 AS target, p_partkey % 5 AS joins, p_partkey % 8 AS operators FROM part"
+
+
+@checked(f"SELECT p_partkey, CASE WHEN band <> '' THEN 'bench_' || band ELSE CASE WHEN target THEN 'bench_hard' ELSE CASE WHEN NOT (joins < 3 AND operators < 6) THEN 'hard' ELSE 'medium' END END END AS level FROM ({_BLUEPRINT})")
 def val_level(spark, d):
-    return read(spark, d, "part").select("p_partkey", validate.level(F.col("p_size")).alias("level"))
+    register(spark, d, ("part",))
+    return spark.sql(_BLUEPRINT).select("p_partkey", validate.level(F.col("band"), F.col("target"), F.col("joins"), F.col("operators"), "bench_").alias("level"))
+
 
+#: What is known of a rollout, of each event: every mix of the seven signs.
+_ROLLOUT = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('SELECT ', CAST(event_id AS STRING)) WHEN event_id % 10 = 1 THEN '' END AS final_sql, user_id % 3 AS n_executed, event_id % 5 < 2 AS empty_response, event_id % 7 < 2 AS out_of_budget, event_id % 11 < 2 AS stalled, event_id % 13 < 5 AS failed, event_type = 'error' AS protocol FROM events"""
 
-@checked("SELECT event_id, CASE WHEN event_type = 'signup' THEN 'timeout' WHEN event_type = 'error' THEN 'agent_error' WHEN event_id % 7 = 0 THEN 'empty_response' WHEN event_type = 'view' THEN 'no_sql' ELSE 'ok' END AS status FROM events")
+
+@checked(
+    f"""WITH r AS ({_ROLLOUT.replace('AS STRING', 'AS VARCHAR')}), f AS (SELECT *, CASE WHEN final_sql IS NULL AND n_executed > 0 THEN 'SELECT run ' || n_executed ELSE final_sql END AS sql,
+      CASE WHEN final_sql <> '' THEN 'clean_final' WHEN final_sql IS NULL AND n_executed > 0 THEN 'recovered_execution' ELSE 'no_sql' END AS s0 FROM r),
+    e AS (SELECT *, CASE WHEN empty_response AND sql IS NULL THEN 'empty_response_exhausted' ELSE s0 END AS s1 FROM f)
+    SELECT event_id, nullif(sql, '') AS sql, CASE WHEN out_of_budget AND sql IS NULL AND n_executed = 0 THEN 'model_timeout' WHEN stalled THEN 'infra_stall' WHEN failed AND sql IS NULL AND n_executed = 0 THEN if(protocol, 'model_protocol_error', 'infra_error') ELSE s1 END AS status FROM e"""
+)
 def val_rollout_status(spark, d):
-    t = F.col("event_type")
-    status = validate.rollout_status(F.when(t != "view", t), t == "signup", (t == "error").cast("int"), F.col("event_id") % 7)
-    return read(spark, d, "events").select("event_id", status.alias("status"))
+    """All eight statuses, from every mix of signs."""
+    register(spark, d, ("events",))
+    r = spark.sql(_ROLLOUT).withColumn("executed", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_executed").cast("int"))), lambda i: F.concat(F.lit("SELECT run "), i.cast("string"))))
+    r = r.withColumn("executed", F.slice("executed", F.lit(1), F.col("n_executed").cast("int")))
+    s = validate.rollout_status(*[F.col(c) for c in ("final_sql", "executed", "empty_response", "out_of_budget", "stalled", "failed", "protocol")])
+    return r.select("event_id", s.alias("s")).select("event_id", "s.sql", "s.status")
+
+
+_REPLAY = """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'replay' WHEN 1 THEN 'stream' END AS source, CASE conv_id % 6 WHEN 0 THEN concat('Well: There Was NO thinking. ', text) WHEN 1 THEN concat(text, ' I didn''t produce any thinking here') WHEN 2 THEN 'There is nothing to copy, nothing to reproduce' WHEN 3 THEN concat('I cannot share my thinking. ', text)
+    WHEN 4 THEN text END AS recovered FROM conversations"""
 
 
-@checked("SELECT conv_id, turn, turn % 3 = 0 AS refused FROM conversations")
+@checked(
+    f"""SELECT conv_id, turn, CASE WHEN source = 'replay' AND regexp_matches(lower(coalesce(recovered, '')), 'nothing to (reproduce|copy)|no (thinking|reasoning) block|no prior thinking|(didn.t|did not) produce any thinking|there was no thinking|there wasn.t any|reasoning budget went unused') THEN 'replay_refused' ELSE source END AS source FROM ({_REPLAY})"""
+)
 def val_refusals(spark, d):
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("I am UNABLE TO REVEAL it. "), F.coalesce("text", F.lit("")))).when(F.col("turn") % 3 == 1, F.regexp_replace("text", "(?i)cannot|can't|unable|reasoning", ""))
-    return read(spark, d, "conversations").select("conv_id", "turn", validate.refusals(said).alias("refused"))
+    """Replayed turns that say there is no reasoning, and turns of other sources that say the same."""
+    register(spark, d, ("conversations",))
+    return spark.sql(_REPLAY.replace("didn''t", "didn\\'t")).select("conv_id", "turn", validate.reasoning_source(F.col("source"), F.col("recovered")).alias("source"))
 
 
 @checked("SELECT p_partkey AS sample_id, p_name AS instruction, 'SELECT ' || p_size AS oracle_sql, p_size AS gold_rows FROM part")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, complexity, curriculum, governed, joins, search, trajectories, validate
-from ..sources import TABLES, files, read, register
+from ..operators import catalog, complexity, curriculum, governed, joins, replay, search, trajectories, validate
+from ..sources import TABLES, files, read, register, scratch
 from .authored import AUTHORED
 from .dialect import DUCK, SPARK
 
@@ -23,8 +23,8 @@ SQL: dict[str, str] = {}
 
 INPUTS = {
     "seeds": """SELECT user_id AS instance_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seed, event_type <> 'error' AS exec_ok,
-        CASE event_type WHEN 'purchase' THEN 'recovered_stdout' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS outcome,
-        CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR(8)) AS res_hash, CAST(user_id % 4 AS VARCHAR(8)) AS gold_res_hash, event_id, value FROM events""",
+        CASE event_type WHEN 'purchase' THEN 'recovered_stdout' WHEN 'view' THEN 'cached' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS outcome,
+        CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR(8)) AS res_hash, CAST(user_id % 4 AS VARCHAR(8)) AS gold_res_hash, event_id, value, CASE event_id % 3 WHEN 0 THEN 'SELECT NULL;' WHEN 1 THEN '' ELSE 'SELECT 1' END AS "sql" FROM events""",
     "usage": "SELECT user_id % 50 AS task, user_id AS session, CAST(floor(value * 10) AS BIGINT) AS input_tokens, event_id % 97 AS output_tokens, CASE WHEN event_type = 'click' THEN 'sql_exec' END AS tool FROM events",
     "answers": """SELECT event_id, CASE WHEN event_type = 'signup' THEN '' ELSE event_type END AS "sql", CASE WHEN event_type = 'error' THEN 'failed' END AS error, event_id % 3 = 0 AS ordered_equal, event_id % 2 = 0 AS values_equal, event_id % 5 < 2 AS aliases_public FROM events""",
     "samples": """SELECT user_id AS "group", event_id AS trajectory, CASE WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'ABORTED' ELSE 'DONE' END AS status, CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE CAST(event_id % 2 AS DOUBLE) END AS reward FROM events""",
@@ -419,18 +419,26 @@ def cat_overflow_census(spark, d):
     return catalog.overflow_census(read(spark, d, "lineitem").select("l_orderkey", "l_quantity"))
 
 
-@checked("SELECT n_name, CASE WHEN starts_with(lower(n_name), 'stg_') THEN 'staging' WHEN starts_with(lower(n_name), 'dim_') THEN 'mart' ELSE 'source' END AS layer FROM (SELECT CASE n_nationkey % 3 WHEN 0 THEN 'stg_' WHEN 1 THEN 'dim_' ELSE '' END || n_name AS n_name FROM nation)")
+#: Names of every layer, made of nations and regions; regions are known sources.
+_LAYERED = "SELECT n_nationkey, concat(CASE n_nationkey % 9 WHEN 0 THEN 'stg_' WHEN 1 THEN 'dim_' WHEN 2 THEN 'int__' WHEN 3 THEN 'Fact_' WHEN 4 THEN 'staging_' WHEN 5 THEN 'mart_' ELSE '' END, CASE n_nationkey % 5 WHEN 0 THEN r_name ELSE n_name END, CASE n_nationkey % 4 WHEN 0 THEN '_data' WHEN 1 THEN '_SEED' WHEN 2 THEN '_agg' ELSE '' END) AS name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 100 + r_regionkey, concat('', r_name) FROM region"
+
+
+@checked(
+    f"""SELECT n_nationkey, name, CASE WHEN EXISTS (SELECT 1 FROM region WHERE regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) THEN 'source' WHEN lower(name) LIKE 'stg\\_%' ESCAPE '\\' THEN 'staging' WHEN lower(name) LIKE 'int\\_%' ESCAPE '\\' THEN 'intermediate'
+    WHEN split_part(lower(name), '_', 1) IN ('dim', 'fct', 'fact', 'rpt', 'mart') AND contains(name, '_') THEN 'mart' WHEN right(lower(name), 5) IN ('_data', '_seed') THEN 'source' ELSE 'mart' END AS layer FROM ({_LAYERED})"""
+)
 def cat_layers(spark, d):
-    n = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "stg_").when(F.col("n_nationkey") % 3 == 1, "dim_").otherwise(""), "n_name")
-    return read(spark, d, "nation").select(n.alias("n_name"), catalog.layer(n).alias("layer"))
+    register(spark, d, ("nation", "region"))
+    known = read(spark, d, "region").agg(F.collect_set(X.normalize_identifier(F.col("r_name"))).alias("known"))  # a catalog's sources
+    return spark.sql(_LAYERED).join(F.broadcast(known), F.lit(True)).select("n_nationkey", "name", catalog.layer(F.col("name"), F.col("known")).alias("layer"))
 
 
-_RELATIONS = "SELECT CASE n_nationkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'main_stg' ELSE 'stg' END AS schema, concat(CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 THEN 'stg_' ELSE '' END, 'Sales_', CAST(n_regionkey AS VARCHAR(8))) AS name FROM nation"
+_RELATIONS = "SELECT CASE n_nationkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'main_stg' WHEN 2 THEN 'stg' ELSE 'main_Sales' END AS schema, concat(CASE WHEN n_nationkey % 3 = 0 THEN 'stg__' WHEN n_nationkey % 3 = 1 THEN 'stg' ELSE '' END, 'Sales_', CAST(n_regionkey AS VARCHAR(8))) AS name FROM nation"
 
 
 @checked(
-    f"""WITH r AS (SELECT DISTINCT * FROM ({_RELATIONS})), f AS (SELECT *, lower(CASE WHEN schema = 'main' THEN name ELSE regexp_replace(schema, '^main_', '') || '_' || name END) AS flat FROM r)
-    SELECT schema, name, flat || CASE WHEN rn > 1 THEN '_' || rn ELSE '' END AS flat FROM (SELECT *, row_number() OVER (PARTITION BY flat ORDER BY schema <> 'main', schema, name) AS rn FROM f)"""
+    f"""WITH r AS (SELECT DISTINCT * FROM ({_RELATIONS})), s AS (SELECT *, CASE WHEN schema LIKE 'main\\_%' ESCAPE '\\' THEN substr(schema, 6) ELSE schema END AS short FROM r), f AS (SELECT *, CASE WHEN schema <> 'main' AND NOT starts_with(name, short) THEN short || '__' || name ELSE name END AS flat FROM s)
+    SELECT schema, name, CASE WHEN (schema <> 'main', schema, name) = min((schema <> 'main', schema, name)) OVER (PARTITION BY flat) THEN flat ELSE schema || '__' || name END AS flat FROM f"""
 )
 def cat_flattened(spark, d):
     register(spark, d, ("nation",))
@@ -523,10 +531,10 @@ def traj_sessions(spark, d):
 @checked(
     over(
         "seeds",
-        """, s AS (SELECT *, exec_ok AND outcome IN ('ok', 'recovered_stdout', 'cached') AS ok FROM seeds), h AS (SELECT instance_id, res_hash, count(*) AS votes, min(seed) AS seed FROM s WHERE ok GROUP BY ALL),
+        """, s AS (SELECT *, exec_ok AND outcome IN ('ok', 'recovered_stdout') AS ok FROM seeds), h AS (SELECT instance_id, res_hash, count(*) AS votes, min(seed) AS seed FROM s WHERE ok GROUP BY ALL),
     w AS (SELECT *, sum(votes) OVER (PARTITION BY instance_id) AS n_valid, row_number() OVER (PARTITION BY instance_id ORDER BY votes DESC, seed) AS rn FROM h),
-    f AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY NOT exec_ok, seed) AS rn FROM s)
-    SELECT f.instance_id, CASE WHEN w.instance_id IS NULL THEN f.res_hash ELSE w.res_hash END AS res_hash, coalesce(w.votes, 0) AS votes, coalesce(w.n_valid, 0)::BIGINT AS n_valid, coalesce(w.seed, f.seed)::INT AS seed
+    f AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY coalesce("sql" NOT IN ('', 'SELECT NULL;'), false) DESC, seed) AS rn FROM s)
+    SELECT f.instance_id, CASE WHEN w.instance_id IS NULL THEN f.res_hash ELSE w.res_hash END AS res_hash, coalesce(w.votes, 0) AS votes, coalesce(w.n_valid, 0)::BIGINT AS n_valid, coalesce(w.seed, f.seed)::INT AS seed, CASE WHEN w.instance_id IS NOT NULL THEN 'majority_vote' WHEN coalesce(f."sql", '') IN ('', 'SELECT NULL;') THEN 'fallback_default' ELSE 'fallback_non_empty' END AS method
     FROM f LEFT JOIN w ON f.instance_id = w.instance_id AND w.rn = 1 WHERE f.rn = 1""",
     )
 )
@@ -587,6 +595,28 @@ def rl_replay(spark, d):
     return trajectories.replay_summary(s).withColumn("ids", F.array_join("ids", ","))
 
 
+@checked(
+    """WITH t AS (SELECT n_nationkey AS k, n_regionkey AS r, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation), s AS (SELECT *, CASE WHEN k % 7 = 3 THEN 'rejected' WHEN k % 7 = 4 THEN 'error' WHEN k % 7 = 5 THEN 'mismatch' WHEN k % 7 = 6 AND n > 1 THEN 'rejected' ELSE 'ok' END AS status FROM t), c AS (SELECT r, status, count(*) AS n FROM s GROUP BY r, status)
+    SELECT 'region ' || r AS database, count(*) AS tasks, count(*) FILTER (status = 'ok') AS reproducible, round(count(*) FILTER (status = 'ok') / count(*)::DOUBLE, 4) AS share, (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM c WHERE c.r = s.r) AS statuses,
+      coalesce(string_agg('task ' || k, ',' ORDER BY 'task ' || k) FILTER (status <> 'ok'), '') AS excluded FROM s GROUP BY r"""
+)
+def rl_batch_replay(spark, d):
+    """A task for each nation, what it must give computed apart: some are commands, some name no column, some must give another number, some give too many rows. Run twice, the second time from the checkpoint."""
+    register(spark, d, ("nation", "supplier"))
+    n = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    counted = read(spark, d, "nation").join(n, "n_nationkey", "left").select("n_nationkey", "n_regionkey", F.coalesce("n", F.lit(0)).alias("n")).collect()  # nations
+    tasks = []
+    for k, region, n in counted:
+        where = f"FROM supplier WHERE s_nationkey = {k}"
+        sql = {3: f"DROP TABLE nation_{k}", 4: f"SELECT no_such_column AS n {where}", 6: f"SELECT s_nationkey AS n {where}"}.get(k % 7, f"SELECT count(*) AS n {where}")
+        rows = [[k]] * n if k % 7 == 6 else [[n + (k % 7 == 5)]]
+        tasks.append((f"task {k}", f"region {region}", sql, True, governed.hashes(["n"], rows)[0], ["n"]))
+    t = spark.createDataFrame(tasks, "slot string, database string, sql string, ordered boolean, sha256 string, columns array<string>")
+    path = scratch(spark)
+    replay.replay(spark, t.limit(11), path, workers=4, batch=4, max_rows=1)
+    return replay.replay_report(replay.replay(spark, t, path, workers=4, batch=4, max_rows=1))
+
+
 @checked(over("samples", """SELECT "group", trajectory FROM samples WHERE "group" NOT IN (SELECT "group" FROM samples WHERE status = 'ABORTED')"""))
 def rl_group_filter(spark, d):
     return trajectories.whole_groups(given(spark, d, "samples")).select("group", "trajectory")

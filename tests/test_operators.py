@@ -152,9 +152,9 @@ def test_depth_and_families(spark):
 
 
 def test_vote_fallbacks(spark):
-    rows = [("t", 1, False, "error", "z"), ("t", 2, True, "timeout", "y"), ("u", 1, True, "ok", "b"), ("u", 2, True, "ok", "a"), ("v", 1, None, None, None)]
-    got = {r.instance_id: (r.res_hash, r.votes, r.seed) for r in trajectories.majority_vote(spark.createDataFrame(rows, "instance_id string, seed long, exec_ok boolean, outcome string, res_hash string")).collect()}
-    assert got == {"t": ("y", 0, 2), "u": ("b", 1, 1), "v": (None, 0, 1)}
+    rows = [("t", 1, False, "error", "z", "SELECT NULL;"), ("t", 2, False, "timeout", "y", "SELECT x"), ("t", 3, True, "timeout", "w", "SELECT 3"), ("u", 1, True, "ok", "b", "a"), ("u", 2, True, "ok", "a", "a"), ("u", 3, True, "cached", "a", "a"), ("v", 1, None, None, None, None), ("v", 2, True, "no_sql", "q", "")]
+    got = {r.instance_id: (r.res_hash, r.votes, r.seed, r.method) for r in trajectories.majority_vote(spark.createDataFrame(rows, "instance_id string, seed long, exec_ok boolean, outcome string, res_hash string, sql string")).collect()}
+    assert got == {"t": ("y", 0, 2, "fallback_non_empty"), "u": ("b", 1, 1, "majority_vote"), "v": (None, 0, 1, "fallback_default")}
 
 
 def test_leaks(spark):
@@ -504,3 +504,52 @@ def test_table_selection(spark):
                         want.append(t)
                         line += sorted([u for u in names if (t, u) in link and u not in want], key=lambda u: (-kinds[u][0], -degree[u], sha(f"{t}|{u}")))
             assert [t for _, t in sorted(got[g])] == want
+
+
+def test_replay_goes_on(spark, tmp_path, monkeypatch):
+    """Hundreds of tasks; a run that is stopped between and within commits goes on without a lost, doubled or repeated slot."""
+    import collections
+
+    from taskloom.operators import replay
+
+    spark.range(50).createOrReplaceTempView("fifty")
+    tasks = []
+    for i in range(240):
+        sql = {0: "DROP TABLE fifty", 1: "SELECT nothing FROM fifty", 2: "SELECT id FROM fifty", 3: "SELECT CAST('x' AS int) AS n"}.get(i % 12, f"SELECT max(id) + {i} AS n FROM fifty")
+        tasks.append((f"s{i:03d}", f"db{i % 3}", sql, i % 2 == 0, governed.hashes(["n"], [[49 + i + (i % 12 == 5)]])[i % 2], ["n"]))
+    t = spark.createDataFrame(tasks, "slot string, database string, sql string, ordered boolean, sha256 string, columns array<string>").repartition(3)
+    ran = collections.Counter()
+    own = replay.execute
+
+    def counting(s, sql, **limits):
+        ran[sql] += 1
+        return own(s, sql, **limits)
+
+    commits = []
+    commit = replay.Slots.commit
+
+    def failing(self, rows):
+        commits.append(len(rows))
+        if len(commits) == 3:
+            raise OSError("stopped")
+        if len(commits) == 5:  # between the write and the rename
+            monkeypatch.setattr(self, "fs", type("Fs", (), {"rename": lambda *_: False})(), raising=False)
+        return commit(self, rows)
+
+    monkeypatch.setattr(replay, "execute", counting)
+    monkeypatch.setattr(replay.Slots, "commit", failing)
+    path = str(tmp_path / "slots")
+    for _ in range(2):
+        with pytest.raises(OSError):
+            replay.replay(spark, t, path, workers=8, batch=40, max_rows=10)
+    kept = {r.slot for r in replay.Slots(spark, path, replay.REPLAYED).rows().collect()}
+    assert 0 < len(kept) < 240
+    before = sum(ran.values())
+    got = {r.slot: r for r in replay.replay(spark, t, path, workers=8, batch=40, max_rows=10).collect()}
+    assert sum(ran.values()) - before == 240 - len(kept)
+    assert replay.Slots(spark, path, replay.REPLAYED).rows().count() == len(got) == 240
+    want = {0: "rejected", 1: "error", 2: "rejected", 3: "error", 5: "mismatch"}
+    assert {s: r.status for s, r in got.items()} == {f"s{i:03d}": want.get(i % 12, "ok") for i in range(240)}
+    report = {r.database: r for r in replay.replay_report(replay.Slots(spark, path, replay.REPLAYED).rows()).collect()}
+    assert sum(r.reproducible for r in report.values()) == 140 and report["db0"].excluded.split(",")[0] == "s000" and "ok:" in report["db1"].statuses
+    assert replay.replay(spark, t.limit(0), str(tmp_path / "none")).count() == 0

@@ -190,11 +190,6 @@ def collapse(runs: DataFrame, after: int = 2, initial: int = 5) -> DataFrame:
     return d.where(alarm).groupBy("run").agg(F.min("rollout_id").alias("first_alarm"))
 
 
-def label_mask(tokens: Column, roles: Column, ignore: int = -100) -> Column:
-    """Token ids where a token's role is assistant, `ignore` elsewhere; the token that ends a turn has the turn's role."""
-    return F.zip_with(tokens, roles, lambda t, r: F.when(r == "assistant", t).otherwise(F.lit(ignore)))
-
-
 def hoisted(messages: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, text) with system and developer texts in one leading message, joined by blank lines."""
     lead = F.col("role").isin("system", "developer")

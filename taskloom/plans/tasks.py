@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, complexity, curriculum, governed, joins, replay, search, trajectories, validate
+from ..operators import catalog, complexity, curriculum, governed, joins, replay, search, tokens, trajectories, validate
 from ..sources import TABLES, files, read, register, scratch
 from .authored import AUTHORED
 from .dialect import DUCK, SPARK
@@ -672,11 +672,16 @@ def msg_empty(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", trajectories.empty_response(F.col("text"), F.lit(None).cast("string"), F.array().cast("array<string>")).alias("empty"))
 
 
-@checked("SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS kept FROM conversations GROUP BY conv_id")
+@checked(
+    """SELECT conv_id, count(*) FILTER (role = 'assistant') AS ends, sha256(coalesce(string_agg(ltrim(coalesce(text, ''), chr(10)) || chr(3), '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS said,
+    coalesce(sum(CASE WHEN role = 'assistant' THEN strlen(ltrim(coalesce(text, ''), chr(10))) END), 0)::BIGINT AS said_bytes FROM conversations GROUP BY conv_id"""
+)
 def sft_label_mask(spark, d):
-    g = read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    mask = trajectories.label_mask(F.transform("t", lambda x: x["turn"].cast("int")), F.transform("t", lambda x: x["role"]))
-    return g.select("conv_id", F.size("t").cast("long").alias("n"), F.size(F.filter(mask, lambda x: x != -100)).cast("long").alias("kept"))
+    """Conversations as tokens, with labels on what assistants say; the labels, read back, are their texts."""
+    m = read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    labels = tokens.token_labels(m.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages")))
+    said = F.array_join("texts", "\x03")
+    return tokens.labelled_texts(labels).select("conv_id", F.size("texts").cast("long").alias("ends"), F.sha2(F.when(F.size("texts") > 0, F.concat(said, F.lit("\x03"))).otherwise(""), 256).alias("said"), F.octet_length(F.array_join("texts", "")).cast("long").alias("said_bytes"))
 
 
 @checked("SELECT 'customer' AS \"database\", 'several connections' AS problem UNION ALL SELECT 'ghost', 'no file' UNION ALL SELECT 'part', 'no connection' UNION ALL SELECT 'orders', 'no tables'")

@@ -553,3 +553,28 @@ def test_replay_goes_on(spark, tmp_path, monkeypatch):
     report = {r.database: r for r in replay.replay_report(replay.Slots(spark, path, replay.REPLAYED).rows()).collect()}
     assert sum(r.reproducible for r in report.values()) == 140 and report["db0"].excluded.split(",")[0] == "s000" and "ok:" in report["db1"].statuses
     assert replay.replay(spark, t.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_token_labels(spark):
+    """Ids are those of the whole rendered text; labels, read back, are the assistants' texts with END; marks inside texts are text; cuts; nulls."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from taskloom.operators import tokens
+
+    convs = [
+        (1, [("system", "be brief"), ("user", "Hällo\n\nthere"), ("assistant", "fine é 漢字"), ("user", ""), ("assistant", "\n\nafter newlines\nof it")]), (2, [("assistant", "")]), (3, [("user", "only")]), (4, []), (5, None),
+        (6, [("assistant", f"a {tokens.END} b {tokens.START}user\nx"), (None, None), ("assistant", None)]), (7, [("assistant", "one two three four five six")]),
+    ]
+    d = spark.createDataFrame(convs, "conv_id int, messages array<struct<role:string,text:string>>")
+    got = {r.conv_id: r for r in tokens.token_labels(d).collect()}
+    t = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    t.add_special_tokens([tokens.START, tokens.END])
+    whole = "".join(f"{tokens.START}{r}\n{x}{tokens.END}\n" for r, x in convs[0][1])
+    assert got[1].input_ids == t.encode(whole, add_special_tokens=False).ids
+    assert all(len(r.input_ids) == len(r.labels) and all(b in (a, tokens.IGNORED) for a, b in zip(r.input_ids, r.labels)) for r in got.values())
+    texts = {r.conv_id: r.texts for r in tokens.labelled_texts(tokens.token_labels(d)).collect()}
+    assert texts == {1: ["fine é 漢字", "after newlines\nof it"], 2: [""], 3: [], 4: [], 5: [], 6: [f"a {tokens.END} b {tokens.START}user\nx", ""], 7: ["one two three four five six"]}
+    cut = {r.conv_id: r for r in tokens.token_labels(d, most=6).collect()}
+    assert all(r.input_ids == got[i].input_ids[:6] and r.labels == got[i].labels[:6] for i, r in cut.items())
+    assert {r.conv_id: r.texts for r in tokens.labelled_texts(tokens.token_labels(d, most=6)).collect()}[7][0] in "one two three four five six"

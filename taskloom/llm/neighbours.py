@@ -145,6 +145,7 @@ def nearest(rows: DataFrame, kind: str, k: int) -> DataFrame:
                 if x is None:
                     keys, ids = (np.concatenate([p[i] for p in parts]) for i in range(2))
                     x = np.frombuffer(b"".join(p[2] for p in parts), kind).reshape(len(keys), -1).astype(float)
+                    longest = np.sqrt(np.einsum("ij,ij->i", x, x).max())
                 for cid, prefixes, low, shift, vec in zip(part["cid"], part["prefixes"], part["low"], part["shift"], part["vec"], strict=True):
                     p = np.asarray(prefixes, np.int64)
                     lo, hi = np.searchsorted(keys, p << shift), np.searchsorted(keys, ((p + 1) << shift) - 1, "right")
@@ -152,9 +153,11 @@ def nearest(rows: DataFrame, kind: str, k: int) -> DataFrame:
                     if not full.any():
                         continue
                     rows_ = np.concatenate([np.arange(i, j) for i, j in zip(lo[full], hi[full], strict=True)])
-                    s = x[rows_] @ np.frombuffer(vec, kind).astype(float)
+                    q = np.frombuffer(vec, kind).astype(float)
+                    s = x[rows_] @ q
                     c = ids[rows_]
-                    fit = (s >= low - 1e-6) & (c != cid)
+                    # the bound was summed in another order: rounding goes with the vectors' lengths
+                    fit = (s >= low - 1e-6 - 1e-12 * longest * np.sqrt(q @ q)) & (c != cid)
                     s, c = s[fit], c[fit]
                     if len(s) > k + 4:
                         best = np.partition(s, len(s) - k - 4)[len(s) - k - 4]

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, stable_hash

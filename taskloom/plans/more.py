@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, complexity, curriculum, governed, joins, trajectories, validate
+from ..operators import catalog, complexity, curriculum, governed, joins, messages, trajectories, validate
 from ..operators.authorizer import Authorizer
 from ..sources import databases, files, read, register, scratch
 from .authored import AUTHORED
@@ -411,6 +411,52 @@ def mix_floors(spark, d):
 # Validation and export
 
 
+#: Items of a log, made of turns: users' and developers' messages, an assistant's message, calls with and without one before them, their outputs, and reasoning.
+_ITEMS = """SELECT conv_id, turn * 4 + k AS seq, CASE WHEN k = 1 THEN 'function_call' WHEN k = 2 THEN CASE WHEN turn % 5 = 0 THEN 'reasoning' ELSE 'function_call_output' END WHEN k = 3 THEN 'function_call' ELSE 'message' END AS type, CASE WHEN k = 0 THEN CASE WHEN turn % 4 = 0 THEN 'developer' ELSE role END END AS role,
+    CASE WHEN k = 0 THEN text END AS text, CASE WHEN k > 0 THEN concat('c', CAST(turn * 4 + CASE WHEN k = 2 THEN 1 ELSE k END AS VARCHAR(20))) END AS call_id, CASE WHEN k IN (1, 3) AND turn % 2 = 0 THEN 'db' END AS namespace, CASE WHEN k = 1 THEN 'exec' WHEN k = 3 THEN 'db__list' END AS name,
+    CASE WHEN k = 1 THEN concat('{"t":', CAST(turn AS VARCHAR(20)), '}') END AS arguments, CASE WHEN k = 2 THEN text END AS output
+    FROM conversations CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks WHERE k = 0 OR (role = 'assistant' AND (k < 3 OR turn % 3 = 0))"""
+
+
+@checked(
+    f"""WITH i AS ({_ITEMS}), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS n FROM i WHERE type <> 'reasoning'),
+    m AS (SELECT c.*, p.n IS NOT NULL AS joins FROM k c LEFT JOIN k p ON p.conv_id = c.conv_id AND p.n = c.n - 1 AND p.type = 'message' AND p.role = 'assistant' AND c.type = 'function_call'),
+    j AS (SELECT a.*, CASE WHEN a.type = 'function_call' THEN a.call_id WHEN a.role = 'assistant' THEN b.call_id END AS call, CASE WHEN a.type = 'function_call' THEN a.name WHEN a.role = 'assistant' THEN b.name END AS called, CASE WHEN a.type = 'function_call' THEN a.namespace WHEN a.role = 'assistant' THEN b.namespace END AS space,
+      CASE WHEN a.type = 'function_call' THEN coalesce(a.arguments, '{{}}') WHEN a.role = 'assistant' AND b.n IS NOT NULL THEN coalesce(b.arguments, '{{}}') END AS args FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.n = a.n + 1 AND b.joins WHERE NOT a.joins)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seq)::INT AS place, CASE type WHEN 'function_call' THEN 'assistant' WHEN 'function_call_output' THEN 'tool' ELSE if(role = 'developer', 'system', role) END AS role,
+      CASE type WHEN 'function_call_output' THEN CASE WHEN length(coalesce(output, '')) > 40 THEN left(output, 40) || chr(10) || '... [truncated ' || (length(output) - 40) || ' chars]' ELSE coalesce(output, '') END WHEN 'message' THEN coalesce(text, '') END AS content,
+      CASE WHEN call IS NOT NULL THEN call || ' ' || CASE WHEN space IS NULL OR starts_with(called, space || '__') THEN called ELSE space || '__' || called END || ' ' || args END AS tool_call, CASE WHEN type = 'function_call_output' THEN call_id END AS tool_call_id FROM j"""
+)
+def msg_to_chat(spark, d):
+    """Items folded into chat messages: calls join the message before them, names are flat, long outputs are cut."""
+    register(spark, d, ("conversations",))
+    c = messages.to_chat(spark.sql(_ITEMS), 40)
+    call = F.when(F.size("tool_calls") == 1, F.concat_ws(" ", F.col("tool_calls")[0]["id"], F.col("tool_calls")[0]["name"], F.col("tool_calls")[0]["arguments"]))
+    return c.withColumn("tool_call", call).drop("tool_calls")
+
+
+@checked(
+    f"""WITH i AS ({_ITEMS}), k AS (SELECT *, lead(type) OVER (PARTITION BY conv_id ORDER BY seq) AS following FROM i WHERE type <> 'reasoning'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq)::INT AS n FROM k WHERE type <> 'message' OR role <> 'assistant' OR (coalesce(following, '') <> 'function_call' AND trim(coalesce(text, '')) <> ''))
+    SELECT conv_id, n AS seq, type, if(role = 'developer', 'system', role) AS role, CASE WHEN type = 'message' THEN coalesce(text, '') END AS text, call_id, CASE WHEN type = 'function_call' AND (namespace = 'db' OR name = 'db__list') THEN 'db' END AS namespace,
+      CASE WHEN name = 'db__list' THEN 'list' ELSE name END AS name, CASE WHEN type = 'function_call' THEN coalesce(arguments, '{{}}') END AS arguments, CASE WHEN type = 'function_call_output' THEN coalesce(output, '') END AS output FROM r"""
+)
+def msg_round_trip(spark, d):
+    """Items to chat messages and back: what an assistant says beside its calls goes, names get their namespace back."""
+    register(spark, d, ("conversations",))
+    tools = spark.createDataFrame([("db__exec", "db", "exec"), ("db__list", "db", "list")], "flat string, namespace string, name string")
+    return messages.to_items(messages.to_chat(spark.sql(_ITEMS)), tools)
+
+
+@checked(
+    f"""WITH i AS ({_ITEMS}), c AS (SELECT conv_id, call_id, CASE WHEN namespace = 'db' AND name = 'exec' THEN 'db__exec' ELSE name END AS name, arguments FROM i WHERE type = 'function_call'), o AS (SELECT conv_id, call_id, coalesce(output, '') AS output FROM i WHERE type = 'function_call_output' AND seq % 7 <> 0)
+    SELECT conv_id, call_id, name, arguments, output, CASE WHEN output IS NULL THEN 'unanswered' ELSE 'paired' END AS state FROM c LEFT JOIN o USING (conv_id, call_id)"""
+)
+def msg_paired_calls(spark, d):
+    register(spark, d, ("conversations",))
+    return messages.paired_calls(spark.sql(_ITEMS).where("type <> 'function_call_output' OR seq % 7 <> 0"))
+
+
 _BLUEPRINT = "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'growth' WHEN p_size % 4 = 1 THEN '' END AS band, p_size % 3 = 0 AS target, p_partkey % 5 AS joins, p_partkey % 8 AS operators FROM part"
 
 

@@ -119,10 +119,23 @@ def tokens_by_outcome(stats: DataFrame, correct: DataFrame) -> DataFrame:
     return g.join(F.broadcast(total), F.lit(True))  # total is one row
 
 
-def holdout(rows: DataFrame, stratum: str, key: str, quota: int, seed: str) -> DataFrame:
-    """rows with held_out: exactly `quota` of each stratum, or all of a smaller one, by a seeded hash of the key."""
+def holdout(rows: DataFrame, stratum: str, key: str, quota: int, seed: str, buckets: int = 1 << 16) -> DataFrame:
+    """rows with held_out: exactly `quota` of each stratum, or all of a smaller one, by a seeded hash of the key; null is a stratum.
+
+    Rows are counted by stratum and leading digits of the hash. The bucket in which a stratum's quota ends is its edge: buckets before it
+    are held out whole and those behind it not at all, where the rows are; only rows of the edge, one of `buckets` if keys are different, are
+    ordered. So a stratum that has nearly all rows is spread over as many tasks as its rows are.
+    """
     order = F.sha2(F.concat(F.lit(seed.encode() + b"\0"), F.col(key).cast("string").cast("binary")), 256)
-    return rows.withColumn("held_out", F.row_number().over(W.partitionBy(stratum).orderBy(order, key)) <= quota)
+    d = rows.withColumn("_order", order).withColumn("_bucket", F.coalesce(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % buckets, F.lit(-1)))
+    counts = d.groupBy(F.col(stratum).alias("_stratum"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy("_stratum").orderBy("_b")))
+    edge = upto.where(F.col("_upto") - F.col("_n") < quota).groupBy("_stratum").agg(F.max("_b").alias("_edge"), (F.lit(quota) - F.max(F.struct("_b", F.col("_upto") - F.col("_n")))["col2"]).alias("_open"))
+    d = d.join(edge, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    on_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
+    clear = d.where(~on_edge).withColumn("held_out", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
+    close = d.where(on_edge).withColumn("held_out", F.row_number().over(W.partitionBy("_stratum").orderBy("_order", key)) <= F.col("_open"))
+    return clear.unionByName(close).select(*rows.columns, "held_out")
 
 
 def partition_errors(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:

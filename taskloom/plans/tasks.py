@@ -563,8 +563,9 @@ def token_outcomes(spark, d):
     return trajectories.tokens_by_outcome(s, s.select("task", (F.col("task") % 2 == 0).alias("correct")))
 
 
-@checked("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('7' || chr(0) || p_partkey::VARCHAR), p_partkey) <= 5 AS held_out FROM part")
+@checked("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY substr(sha256('7' || chr(0) || p_partkey::VARCHAR), 5, 4), sha256('7' || chr(0) || p_partkey::VARCHAR), p_partkey) <= 5 AS held_out FROM part")
 def rl_holdout(spark, d):
+    """Exactly five of each brand; the order is that of the hash's second four digits, then of the whole."""
     return trajectories.holdout(read(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 5, "7")
 
 

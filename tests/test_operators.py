@@ -578,3 +578,22 @@ def test_token_labels(spark):
     cut = {r.conv_id: r for r in tokens.token_labels(d, most=6).collect()}
     assert all(r.input_ids == got[i].input_ids[:6] and r.labels == got[i].labels[:6] for i, r in cut.items())
     assert {r.conv_id: r.texts for r in tokens.labelled_texts(tokens.token_labels(d, most=6)).collect()}[7][0] in "one two three four five six"
+
+
+def test_holdout(spark):
+    """Exact quotas where one stratum has nearly all rows, others fewer than the quota, one none but nulls; the same rows whatever the partitions."""
+    import collections
+    import hashlib
+
+    rows = [(i, "hot") for i in range(4000)] + [(4000 + i, "small") for i in range(5)] + [(5000 + i, None) for i in range(60)] + [(None, "hot")]
+    d = spark.createDataFrame(rows, "k long, s string")
+    for quota, buckets in ((0, 1 << 16), (37, 1 << 16), (37, 4), (5000, 16)):
+        got = trajectories.holdout(d.repartition(5), "s", "k", quota, "seed", buckets).collect()
+        assert sorted((r.k or -1, r.s or "") for r in got) == sorted((k or -1, s or "") for k, s in rows)
+        held = collections.Counter(r.s for r in got if r.held_out)
+        assert {s: held[s] for s in ("hot", "small", None)} == {"hot": min(quota, 4001), "small": min(quota, 5), None: min(quota, 60)}
+        if quota == 37:
+            sha = lambda k: hashlib.sha256(f"seed\0{k}".encode()).hexdigest()
+            at = lambda k: (int(sha(k)[:8], 16) % buckets, sha(k), k)
+            want = sorted((k for k, s in rows if s == "hot" and k is not None), key=at)[:36]
+            assert {r.k for r in got if r.held_out and r.s == "hot"} == {None, *want}

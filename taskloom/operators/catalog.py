@@ -31,6 +31,8 @@ DIMENSION_WORDS = (
     "department", "method", "mode", "role", "nationality", "genre",
 )
 KEYISH = r"(?:^id$|_id$|_ids$|^.*_key$|^key$|_sk$|_pk$|_guid$|_uuid$|^.*_code$|^code$|_number$)"
+#: Rows up to which all columns of a table may be keys, and how many columns of a table are counted.
+SMALL_TABLE, KEY_CANDIDATES = 100_000, 32
 #: Different values up to which a profile counts them exactly unless told which columns to count.
 EXACT_VALUES = 1_000_000
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}"
@@ -162,24 +164,37 @@ def exact_distinct(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
     return first.withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "value"))).withColumn("truncated", F.count("*").over(W.partitionBy()) > limit).where(F.col("r") <= limit).drop("r")
 
 
-def unique_columns(df: DataFrame, name: str) -> DataFrame:
-    """(table, column, rows, unique): columns whose non-null values are all rows, more than one, and all different.
+def looks_like_key(column: Column) -> Column:
+    """Names of keys, and names that end in one without a sign before it, as those of tables do whose columns have a prefix (c_custkey)."""
+    c = F.lower(column)
+    return c.rlike(KEYISH) | normalize_identifier(c).rlike(f"(?:{'|'.join(ID_ENDINGS)})$")
 
-    A sketch rules out what is far from unique; the rest is counted exactly, so of a large
-    table only columns that may be keys are moved.
+
+def unique_columns(df: DataFrame, name: str, small: int = SMALL_TABLE, most: int = KEY_CANDIDATES) -> DataFrame:
+    """(table, position, column, rows, unique): the columns that may be keys, and whether their values are all rows, more than one, and all different, by an exact count.
+
+    Whole numbers, texts, dates and times may be: all of a table of up to `small` rows, of a larger one those with a key's name; the first `most`. A column with a
+    null, or of which two of a few rows are equal, is not counted.
     """
-    p = profile(df, name, top=1, exact=[])
-    likely = [r.column for r in p.where((F.col("nulls") == 0) & (F.col("rows") > 1) & (F.col("distinct") >= 0.8 * F.col("rows"))).select("column").collect()]
-    p = profile(df, name, top=1, exact=likely)
-    return p.select("table", "column", "rows", (F.col("column").isin(likely) & (F.col("distinct") == F.col("rows"))).alias("unique"))
+    kinds = ("byte", "short", "integer", "long", "string", "date", "timestamp", "timestamp_ntz")
+    spark, rows = df.sparkSession, df.count()
+    fields = [(i, f.name) for i, f in enumerate(df.schema) if f.dataType.typeName().split("(")[0] in kinds]
+    known = spark.createDataFrame(fields, "position int, column string").withColumn("key", looks_like_key(F.col("column")))
+    chosen = [(r.position, r.column) for r in known.orderBy("position").collect() if rows <= small or r.key][:most]
+    few = df.limit(1000).select(*[F.col(f"`{c}`") for _, c in chosen]).toPandas() if chosen else None
+    open_ = [(i, c) for k, (i, c) in enumerate(chosen) if rows > 1 and few.iloc[:, k].notna().all() and few.iloc[:, k].is_unique]
+    found = {}
+    if open_:
+        counts = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in open_], *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in open_]).first()
+        found = {i: counts[f"d{i}"] == counts[f"n{i}"] == rows for i, _ in open_}
+    return spark.createDataFrame([(name, i, c, rows, found.get(i, False)) for i, c in chosen], "table string, position int, column string, rows long, unique boolean")
 
 
 def key_choice(uniques: DataFrame) -> DataFrame:
-    """(table, primary_key): of the unique columns that look like a key the best: id, then <table>_id, then any _id, then other keys, then names that end in one."""
-    c, t = F.lower("column"), F.lower("table")
-    looks = c.rlike(KEYISH) | normalize_identifier(c).rlike("(?:id|key|code|ref)$")
-    grade = F.when(c == "id", 0).when((c == F.concat(t, F.lit("_id"))) | (c == F.concat(singular(t), F.lit("_id"))), 1).when(c.endswith("_id"), 2).when(c.rlike("_(?:key|sk|pk)$"), 3).when(c.rlike(KEYISH), 4).otherwise(5)
-    return uniques.where(F.col("unique") & looks).groupBy("table").agg(F.min_by("column", F.struct(grade, F.length("column"), "column")).alias("primary_key"))
+    """(table, primary_key): of the unique columns that look like a key the best: id, then <table>_id, then any _id, then _key, _sk and _pk, then other names of keys, then names that only end in one; of equal ones the first of the table."""
+    c = F.lower("column")
+    grade = F.when(c == "id", 0).when(c == F.concat(F.lower("table"), F.lit("_id")), 1).when(c.endswith("_id"), 2).when(c.rlike("_(?:key|sk|pk)$"), 3).when(c.rlike(KEYISH), 4).otherwise(5)
+    return uniques.where(F.col("unique") & looks_like_key(F.col("column"))).groupBy("table").agg(F.min_by("column", F.struct(grade, "position")).alias("primary_key"))
 
 
 def strip_prefix(columns: DataFrame) -> DataFrame:

@@ -341,12 +341,19 @@ def cat_distinct_candidates(spark, d):
     return catalog.distinct_candidates(p, catalog.semantic_tags(catalog.columns_of(spark, t)))
 
 
-@checked("SELECT 'labels' AS \"table\", 'doc_id' AS \"column\", count(*) AS rows, count(DISTINCT doc_id) = count(*) AND count(*) > 1 AS \"unique\" FROM labels UNION ALL SELECT 'labels', 'quality', count(*), count(DISTINCT quality) = count(*) FROM labels UNION ALL SELECT 'labels', 'toxic', count(*), count(DISTINCT toxic) = count(*) FROM labels")
+@checked(" UNION ALL ".join(f"SELECT 'labels' AS \"table\", {i} AS position, '{c}' AS \"column\", count(*) AS rows, NOT EXISTS (SELECT 1 FROM labels GROUP BY {c} HAVING count(*) > 1) AND count({c}) = count(*) AND count(*) > 1 AS \"unique\" FROM labels HAVING {i} = 0 OR count(*) <= {catalog.SMALL_TABLE}" for i, c in enumerate(("doc_id", "quality", "toxic"))))
 def cat_unique_cols(spark, d):
     return catalog.unique_columns(read(spark, d, "labels"), "labels")
 
 
-@checked("SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey'), ('orders', 'o_orderkey'), ('labels', 'doc_id')) t(\"table\", primary_key)")
+#: Columns with a key's name, in the order of their tables.
+_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "labels": ["doc_id"]}
+
+
+@checked(
+    "WITH k AS (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {i} AS place, '{c}' AS c, (SELECT count(DISTINCT {c}) = count(*) AND count(*) > 1 FROM {t}) AS ok" for t, cs in _KEYS.items() for i, c in enumerate(cs))
+    + """) SELECT "table", arg_min(c, place + CASE WHEN c LIKE '%\\_id' ESCAPE '\\' THEN 0 ELSE 100 END) AS primary_key FROM k WHERE ok GROUP BY "table" """
+)
 def cat_keys(spark, d):
     out = None
     for name, df in all_tables(spark, d).items():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalog, complexity, curriculum, governed, joins, replay, search, tokens, trajectories, validate
 from ..sources import TABLES, files, read, register, scratch
+from ..streaming import guard
 from .authored import AUTHORED
 from .dialect import DUCK, SPARK
 
@@ -635,12 +636,28 @@ def rl_zero_variance(spark, d):
     return trajectories.varied_groups(given(spark, d, "samples")).withColumn("std", F.round("std", 9))
 
 
-@checked(over("runs", """, i AS (SELECT *, sum(CASE WHEN mean_reward = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY rollout_id ROWS UNBOUNDED PRECEDING) AS island FROM runs), z AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY rollout_id) AS streak FROM i WHERE mean_reward = 0)
-    SELECT run, min(rollout_id) AS first_alarm FROM z WHERE (island > 0 AND streak >= 2) OR (island = 0 AND streak >= 5) GROUP BY run"""))
+_COLLAPSE = over("runs", """, i AS (SELECT *, sum(CASE WHEN mean_reward = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY rollout_id ROWS UNBOUNDED PRECEDING) AS island FROM runs), z AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY rollout_id) AS streak FROM i WHERE mean_reward = 0)
+    SELECT run, min(rollout_id) AS first_alarm FROM z WHERE (island > 0 AND streak >= 2) OR (island = 0 AND streak >= 5) GROUP BY run""")
+
+
+@checked(_COLLAPSE)
 def rl_collapse(spark, d):
     return trajectories.collapse(given(spark, d, "runs"))
 
 
+@checked(_COLLAPSE)
+def rl_collapse_stream(spark, d):
+    """The same alarms from files of rollouts as they come: the second half is there only after the stream has ended once, and goes on from its checkpoint."""
+    runs = given(spark, d, "runs").select("run", "rollout_id", "mean_reward")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
+    half = runs.agg(F.percentile_approx("rollout_id", 0.5)).first()[0]
+    folder, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    for part in (runs.where(F.col("rollout_id") <= half), runs.where(F.col("rollout_id") > half)):
+        part.write.mode("append").json(folder)
+        guard.watch(spark, folder, out, checkpoint, schema)
+    return spark.read.schema(f"run {runs.schema['run'].dataType.simpleString()}, first_alarm long").parquet(out)
+
+
 @checked("WITH s AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'system' AND trim(text) <> '' GROUP BY conv_id) SELECT conv_id, -1::BIGINT AS turn, 'system' AS role, sha256(text) AS digest FROM s UNION ALL SELECT conv_id, turn, role, sha256(text) FROM conversations WHERE role <> 'system'")
 def msg_hoisted(spark, d):
     return trajectories.hoisted(read(spark, d, "conversations")).select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"))

@@ -597,3 +597,22 @@ def test_holdout(spark):
             at = lambda k: (int(sha(k)[:8], 16) % buckets, sha(k), k)
             want = sorted((k for k, s in rows if s == "hot" and k is not None), key=at)[:36]
             assert {r.k for r in got if r.held_out and r.s == "hot"} == {None, *want}
+
+
+def test_stream_restarts(spark, tmp_path):
+    """Alarms after several restarts are those of the batch, each once; a file that comes twice, and one after the alarm, change nothing."""
+    import json
+    import random
+
+    from taskloom.streaming import guard
+
+    rng = random.Random(1)
+    rows = [{"run": f"r{r}", "rollout_id": i, "mean_reward": rng.choice([0.0, 0.0, 0.0, 0.5]) if r % 3 else 0.0} for r in range(12) for i in range(1 + 2 * r)]
+    folder, out, checkpoint, schema = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "run string, rollout_id long, mean_reward double"
+    (tmp_path / "in").mkdir()
+    for n, (a, b) in enumerate([(0, 3), (3, 4), (4, 9), (3, 9), (9, 30)]):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(x) for x in rows if a <= x["rollout_id"] < b))
+        guard.watch(spark, folder, out, checkpoint, schema)
+    got = sorted((r.run, r.first_alarm) for r in spark.read.parquet(out).collect())
+    want = trajectories.collapse(spark.createDataFrame([(x["run"], x["rollout_id"], x["mean_reward"]) for x in rows], schema)).collect()
+    assert got == sorted((r.run, r.first_alarm) for r in want) and len(got) > 3

@@ -23,13 +23,20 @@ def role_of(role: Column) -> Column:
 
 
 def packed(turns: DataFrame) -> DataFrame:
-    """(id, system, conversations): one row a conversation of turns (conv_id, turn, role, text).
+    """(id, system, conversations): one row a conversation of turns (conv_id, turn, role, text, and tool_calls, an array of structs with name and arguments, if there are any).
 
     System texts are hoisted into one, joined by blank lines; tool texts are wrapped as
-    responses; conversations of fewer than two turns are left out.
+    responses; an assistant's calls follow its text, each wrapped as a call, without white space at either end of the whole; a null text is
+    empty; conversations of fewer than two turns are left out.
     """
-    tool = F.concat(F.lit("<tool_response>\n"), "text", F.lit("\n</tool_response>"))
-    item = F.struct("turn", F.struct(role_of(F.col("role")).alias("from"), F.when(F.col("role") == "tool", tool).otherwise(F.col("text")).alias("value")).alias("m"))
+    text = F.coalesce("text", F.lit(""))
+    tool = F.concat(F.lit("<tool_response>\n"), text, F.lit("\n</tool_response>"))
+    said = text
+    if "tool_calls" in turns.columns:
+        call = lambda c: F.concat(F.lit('\n<tool_call>\n{"name": "'), c["name"], F.lit('", "arguments": '), c["arguments"], F.lit("}\n</tool_call>"))
+        said = F.concat(text, F.array_join(F.transform(F.coalesce("tool_calls", F.array().cast(turns.schema["tool_calls"].dataType)), call), ""))
+    value = F.when(F.col("role") == "tool", tool).when(F.col("role") == "assistant", F.regexp_replace(said, r"^\s+|\s+$", "")).otherwise(text)
+    item = F.struct("turn", F.struct(role_of(F.col("role")).alias("from"), value.alias("value")).alias("m"))
     g = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text")))).alias("s"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "system", item))).alias("c"),

@@ -503,11 +503,16 @@ def src_doc_blocks(spark, d):
 
 
 @checked(
-    """SELECT conv_id AS id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system' AND trim(text) <> ''), '') AS system, count(*) FILTER (role <> 'system') AS n,
-    sha256(string_agg(CASE role WHEN 'assistant' THEN 'gpt' ELSE 'human' END || ':' || text, chr(10) ORDER BY turn) FILTER (role <> 'system')) AS digest FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role <> 'system') >= 2"""
+    """WITH t AS (SELECT *, CASE WHEN role = 'assistant' AND turn % 3 > 0 THEN chr(10) || '<tool_call>' || chr(10) || '{"name": "exec", "arguments": {"turn": ' || turn || '}}' || chr(10) || '</tool_call>' ELSE '' END AS one FROM conversations),
+    v AS (SELECT *, CASE role WHEN 'assistant' THEN 'gpt:' || trim(coalesce(text, '') || one || CASE WHEN turn % 3 = 2 THEN one ELSE '' END, chr(32) || chr(10) || chr(9) || chr(13)) WHEN 'tool' THEN 'human:<tool_response>' || chr(10) || coalesce(text, '') || chr(10) || '</tool_response>' ELSE 'human:' || coalesce(text, '') END AS value FROM t)
+    SELECT conv_id AS id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system' AND trim(text) <> ''), '') AS system, count(*) FILTER (role <> 'system') AS n, sha256(string_agg(value, chr(10) ORDER BY turn) FILTER (role <> 'system')) AS digest
+    FROM v GROUP BY conv_id HAVING count(*) FILTER (role <> 'system') >= 2"""
 )
 def traj_packed(spark, d):
-    p = trajectories.packed(read(spark, d, "conversations"))
+    """Conversations with one call, two or none beside what the assistant says."""
+    call = F.struct(F.lit("exec").alias("name"), F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")).alias("arguments"))
+    calls = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 > 0), F.array_repeat(call, (F.col("turn") % 3).cast("int")))
+    p = trajectories.packed(read(spark, d, "conversations").withColumn("tool_calls", calls))
     line = F.array_join(F.transform("conversations", lambda m: F.concat(m["from"], F.lit(":"), m["value"])), "\n")
     return p.select("id", "system", F.size("conversations").cast("long").alias("n"), F.sha2(line, 256).alias("digest"))
 

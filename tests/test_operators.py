@@ -616,3 +616,19 @@ def test_stream_restarts(spark, tmp_path):
     got = sorted((r.run, r.first_alarm) for r in spark.read.parquet(out).collect())
     want = trajectories.collapse(spark.createDataFrame([(x["run"], x["rollout_id"], x["mean_reward"]) for x in rows], schema)).collect()
     assert got == sorted((r.run, r.first_alarm) for r in want) and len(got) > 3
+
+
+def test_search_copies(spark):
+    """Equal items are scored as one and counted as many: in the first ones, in bounds, and before another's place."""
+    from taskloom.operators import search
+
+    c = spark.createDataFrame([("red bolt", "red bolt of steel", ["bolt"], None)] * 700 + [("red nut", "red nut", [], None)] * 4 + [("ring", "blue", [], None)] * 900, "name string, text string, tags array<string>, family string")
+    d = spark.createDataFrame([("red nut",), ("steel bolt",), ("xyz",)], "query string")
+    assert search._items(c).count() == 3
+    got = {}
+    for r in search.search(d, c, 10).collect():
+        got.setdefault(r.query, []).append((r.place, r.name))
+    assert {q: [n for _, n in sorted(v)] for q, v in got.items()} == {"red nut": ["red nut"] * 4 + ["red bolt"] * 6, "steel bolt": ["red bolt"] * 10, "xyz": ["red bolt"] * 10}
+    chosen = spark.createDataFrame([("red nut", "red bolt"), ("steel bolt", "red nut"), ("steel bolt", "ring")], "query string, selected string")
+    places = {(r.query, r.selected): r.place for r in search.selected_places(chosen, c).collect()}
+    assert places["red nut", "red bolt"] == 5 and places["steel bolt", "red nut"] == 701

@@ -650,3 +650,13 @@ def test_leak_audit_odd_rows(spark, tmp_path):
     want = sorted(con.execute(tasks.SQL["leak_audit"]).fetchall(), key=str)
     got = sorted((tuple(r) for r in tasks.QUERIES["leak_audit"](spark, str(tmp_path)).collect()), key=str)
     assert got == want and len(want) > 8
+
+
+def test_unique_columns_of_a_large_table(spark):
+    """Every column that may be a key is counted, however many rows or columns there are."""
+    n = 100_001
+    d = spark.range(n).select("id", *[(F.col("id") + i).cast("string").alias(f"text{i}") for i in range(33)], (F.col("id") % (n - 1)).alias("almost"))
+    got = {r.column: r.unique for r in catalog.unique_columns(d.select("id", "text0", "almost"), "t").collect()}
+    assert got == {"id": True, "text0": True, "almost": False}
+    wide = {r.column: r.unique for r in catalog.unique_columns(d.limit(50), "t").collect()}
+    assert len(wide) == 35 and all(wide.values())

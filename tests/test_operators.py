@@ -660,3 +660,18 @@ def test_unique_columns_of_a_large_table(spark):
     assert got == {"id": True, "text0": True, "almost": False}
     wide = {r.column: r.unique for r in catalog.unique_columns(d.limit(50), "t").collect()}
     assert len(wide) == 35 and all(wide.values())
+
+
+def test_sqlite_parts(spark, tmp_path):
+    """A table in files that tasks write: rows, keys and types are as in one file, and nothing passes through the driver."""
+    from taskloom.sources import databases
+
+    d = spark.range(500, numPartitions=3).select((F.col("id") % 250).alias("k"), F.when(F.col("id") < 250, F.lit("a")).otherwise("b").alias("half"), (F.col("id") / 2).alias("x"), F.current_date().alias("at"))
+    assert databases.write_sqlite_parts(d, str(tmp_path), "t", ("k", "half")) == 500
+    databases.write_sqlite(d.limit(2), f"{tmp_path}/other.sqlite", "other")
+    read = databases.read_database(spark, "sqlite", str(tmp_path), "t", 4)
+    assert sorted(map(tuple, read.select("k", "half", "x").collect())) == sorted(map(tuple, d.select("k", "half", "x").collect()))
+    found = databases.introspected(spark, "sqlite", str(tmp_path)).where("table = 't'").orderBy("position").collect()
+    assert [(r.column, r.declared, r.key) for r in found] == [("k", "INTEGER", 1), ("half", "TEXT", 2), ("x", "REAL", 0), ("at", "TEXT", 0)]
+    with pytest.raises(Exception, match="UNIQUE"):
+        databases.write_sqlite_parts(d.unionByName(d.limit(1)), str(tmp_path), "again", ("k", "half"))

@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import percentiles
 from .shared import give_back, small_batches, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Training takes about so many labelled documents, by a hash of their id; letters that are summed over at a time; runs whose scores a worker keeps.
-TRAIN_DOCS, RUN, CACHE = 8_000, 32, 120_000
+#: Letters that are summed over at a time; runs whose scores a worker keeps.
+RUN, CACHE = 32, 120_000
 #: Added to every piece's count; the probability of a character that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 #: A floor is calibrated on so many training documents at least, and lies so many times as far under the median as the 5th percentile, or so far at least;
@@ -108,6 +109,7 @@ class Scorer:
         self.base, self.salt = np.uint64(int(rng.integers(1 << 40, 1 << 62)) | 1), np.uint64(int(rng.integers(1 << 40, 1 << 62)))
         self.width, self.longest = len(model.langs), model.longest
         names = list(model.table)
+        self.place = {name: i for i, name in enumerate(names)}
         self.chance = np.array([model.table[p] for p in names]).reshape(len(names), self.width)
         prefixes: dict[int, int] = {}
         for n, name in enumerate(names):
@@ -183,6 +185,33 @@ class Scorer:
             live, logs, tail = live[~done], logs[~done] + np.log(largest), tail / largest
         return out
 
+    def counts(self, runs: list[str], n: list[int], lang: int, first: bool) -> np.ndarray:
+        """By piece its expected count in runs, each n times, under one language, over all segmentations, or, if `first`, how often it occurs; runs of RUN letters at most."""
+        out = np.zeros(len(self.chance))
+        chance = np.append(self.chance[:, lang], UNKNOWN)  # place -1
+        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)), kind="stable")
+        for lo in range(0, len(order), 20_000):
+            part = order[lo : lo + 20_000].tolist()
+            words, times = [START + runs[i] for i in part], np.array([n[i] for i in part], np.float64)
+            hits, lengths = self.hits(words), np.fromiter(map(len, words), np.int64, len(words))
+            most, each = int(lengths.max()), np.arange(len(words))
+            alpha, beta = np.zeros((most + 1, len(words))), np.zeros((most + 1, len(words)))
+            alpha[0], beta[lengths, each] = 1.0, 1.0
+            steps = [(e, size, *hits[e, size]) for e in range(1, most + 1) for size in range(1, min(e, self.longest) + 1) if (e, size) in hits]
+            for e, size, w, piece in steps if not first else ():
+                alpha[e, w] += alpha[e - size, w] * chance[piece]
+            whole = np.maximum(alpha[lengths, each], 1e-300)
+            for e, size, w, piece in reversed(steps):
+                known = piece >= 0
+                if first:
+                    share = times[w]
+                else:
+                    after = chance[piece] * beta[e, w]
+                    beta[e - size, w] += after
+                    share = alpha[e - size, w] * after / whole[w] * times[w]
+                out += np.bincount(piece[known], share[known], len(out))
+        return out
+
     def log_probabilities(self, runs: list[str]) -> np.ndarray:
         """Log probabilities of runs of letters, each with a START before it, a row each; runs of like length are summed together."""
         out = np.zeros((len(runs), self.width))
@@ -206,23 +235,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """About train_docs labelled documents that are not held out, by a hash of their id."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = known.count()
-    if total > train_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(1e6 * train_docs / total))
-    return known
+def training(docs: DataFrame) -> DataFrame:
+    """The labelled documents that are not held out, all of them."""
+    return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS, rounds: int = 1) -> Unigrams:
-    """Piece probabilities by language from about train_docs labelled documents that are not held out.
+def train(docs: DataFrame, path: str = VOCABULARY, rounds: int = 1) -> Unigrams:
+    """Piece probabilities by language from the labelled documents that are not held out, all of them.
 
     Counts start from every occurrence of every piece and are sharpened by `rounds` rounds of
     expectation over all segmentations. The driver gets one number a piece and language.
     """
     small_batches(docs.sparkSession)
-    known = training(docs, train_docs)
+    known = training(docs)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -241,21 +266,24 @@ def train(docs: DataFrame, path: str = VOCABULARY, train_docs: int = TRAIN_DOCS,
     for step in range(rounds + 1):
 
         def counts(batches: Iterator[pd.DataFrame], model: Unigrams = model, first: bool = step == 0) -> Iterator[pd.DataFrame]:
-            place = {lang: i for i, lang in enumerate(model.langs)}
-            got: dict = {}
+            names, scorer = list(model.table), Scorer(model)
+            sums: dict = {}
             for f in batches:
-                for lang, run, n in zip(f["lang"], f["run"], f["n"], strict=True):
-                    at = place[lang]
-                    if first:
-                        for ends in model.edges(START + run):
-                            for _, piece, _ in ends:
-                                if piece:
-                                    got[lang, piece] = got.get((lang, piece), 0.0) + n
-                    else:
-                        for piece, e in model.expected(run, at).items():
-                            got[lang, piece] = got.get((lang, piece), 0.0) + n * e
-            if got:
-                yield pd.DataFrame([(a, b, n) for (a, b), n in got.items()], columns=["lang", "piece", "n"])
+                for lang, g in f.groupby("lang", sort=False):
+                    at, got = model.langs.index(lang), sums.setdefault(lang, np.zeros(len(names)))
+                    short = g["run"].str.len() <= RUN
+                    if short.any():
+                        got += scorer.counts(g["run"][short].tolist(), g["n"][short].tolist(), at, first)
+                    for run, n in zip(g["run"][~short], g["n"][~short], strict=True):
+                        if first:
+                            found = Counter(piece for ends in model.edges(START + run) for _, piece, _ in ends if piece)
+                        else:
+                            found = model.expected(run, at)
+                        for piece, e in found.items():
+                            got[scorer.place[piece]] += n * e
+            for lang, got in sums.items():
+                some = np.flatnonzero(got)
+                yield pd.DataFrame({"lang": lang, "piece": [names[i] for i in some], "n": got[some]})
 
         sums = seen.repartition("run").mapInPandas(counts, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
         counted = {p: np.full(len(langs), SMOOTH) for p in table}
@@ -325,16 +353,21 @@ def predictor(spark: SparkSession, model: Unigrams):
     return predict.asNondeterministic()  # else a condition on its result would be evaluated by a second run of it
 
 
-def floors(docs: DataFrame, predict) -> dict[str, tuple[float, float]]:
-    """By language (median, slack) of mean of its training documents; languages with few have those of all, and with few in all none.
+def floors(judged: DataFrame) -> dict[str, tuple[float, float]]:
+    """By language (median, slack) of mean of its training documents, all of them; languages with few have those of all, and with few in all none.
 
-    A text of a language has a mean of median - slack or more, see likely().
+    judged: documents with predictor()'s struct as _taskloom_judged. A text of a language has a mean of median - slack or more, see likely().
     """
-    judged = training(docs).select("lang", predict("text").alias("p")).where("p.letters > 0").select("lang", "p.mean")
-    stats = {r[0]: r[1:] for r in judged.rollup("lang").agg(F.percentile("mean", F.lit(0.5)), F.percentile("mean", F.lit(0.05)), F.count("*")).collect()}
-    whole = stats.pop(None, (0.0, 0.0, 0))
-    used = {lang: s if s[2] >= CALIBRATE else whole for lang, s in stats.items()}
-    return {lang: (mid, max(LEAST_SLACK, SLACK * (mid - low))) for lang, (mid, low, n) in used.items() if n >= CALIBRATE}
+    p = F.col("_taskloom_judged")
+    means = training(judged).where(p["letters"] > 0).select("lang", p["mean"].alias("mean"))
+    n = {r[0]: r[1] for r in means.groupBy("lang").agg(F.count("*")).collect()}
+    if sum(n.values()) < CALIBRATE:
+        return {}
+    at = (0.5, 0.05)
+    stats = {r[0]: r[1] for r in percentiles(means, "lang", "mean", at).collect()}
+    whole = percentiles(means.withColumn("lang", F.lit("")), "lang", "mean", at).first()[1]
+    used = {lang: stats[lang] if n[lang] >= CALIBRATE else whole for lang in n}
+    return {lang: (mid, max(LEAST_SLACK, SLACK * (mid - low))) for lang, (mid, low) in used.items()}
 
 
 def likely(judged: Column, by_lang: dict[str, tuple[float, float]]) -> Column:

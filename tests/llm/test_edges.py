@@ -297,3 +297,23 @@ def test_pipeline_run(spark):
     for c in ("size", "source_size", "taken"):
         assert (got[c] == want[c]).all()
     assert np.allclose(got.target, want.target)
+
+
+def test_language_learns_from_all_documents(spark):
+    """No sample: every labelled document that is not held out trains; counts of many runs at once are those of each."""
+    import numpy as np
+
+    from taskloom.llm import language
+
+    n = 15_000
+    d = spark.range(n).selectExpr("id AS doc_id", "concat('word ', id) AS text", "if(id % 5 = 0, null, 'en') AS lang")
+    assert language.training(d).count() == d.where("lang IS NOT NULL").where(~language.held_out(d.doc_id)).count() > 8_500
+    names = language.pieces(language.VOCABULARY)[:9000]
+    model = language.Unigrams(["a", "b"], {p: np.array([1e-5 * (i % 7 + 1), 1e-5 * (i % 11 + 1)]) for i, p in enumerate(names)})
+    runs, times = ["banana", "x", "ñandú", "Ж", "abcabcabcabc" * 2], [3, 1, 2, 5, 1]
+    scorer, want = language.Scorer(model), {}
+    for run, k in zip(runs, times, strict=True):
+        for piece, e in model.expected(run, 1).items():
+            want[piece] = want.get(piece, 0) + k * e
+    got = scorer.counts(runs, times, 1, False)
+    assert {names[i] for i in np.flatnonzero(got)} == set(want) and all(np.isclose(got[scorer.place[p]], e) for p, e in want.items())

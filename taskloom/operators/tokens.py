@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Marks of a turn's begin and end, and the label of a token that counts in no loss.
@@ -45,12 +46,20 @@ def labelled(messages: list[tuple[str, str]], tokenizer, most: int | None = None
     return ids[:most], labels[:most]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Python workers get Arrow batches of 2 MB at most, where the session has Spark's own default of 64 MB; the setting stays, as results are computed later."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, "2m")
+
+
 def token_labels(conversations: DataFrame, tokenizer_path: str | None = None, most: int | None = None) -> DataFrame:
     """(conv_id, input_ids, labels): labelled() of conversations (conv_id, messages array<struct<role, text>>), in the order of the array.
 
     Null roles and texts are empty; a conversation without messages has no tokens. The driver reads the tokenizer's file and sends it to the
     executors. A conversation is one row, and is worked on whole.
     """
+    _small_batches(conversations.sparkSession)
     with open(tokenizer_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         sent = conversations.sparkSession.sparkContext.broadcast(f.read())
 
@@ -58,7 +67,8 @@ def token_labels(conversations: DataFrame, tokenizer_path: str | None = None, mo
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = cache(lambda: tokenizer_of(sent.value))
         for rows in batches:
-            found = [labelled([(m["role"] or "", m["text"] or "") for m in (r if r is not None else ())], tokenizer(), most) for r in rows]
+            # numbers of four bytes, a conversation at a time: lists of Python's numbers take some twenty times as much
+            found = [[np.array(x, np.int32) for x in labelled([(m["role"] or "", m["text"] or "") for m in (r if r is not None else ())], tokenizer(), most)] for r in rows]
             yield pd.DataFrame({"input_ids": [f[0] for f in found], "labels": [f[1] for f in found]})
 
     return conversations.select("conv_id", label("messages").alias("x")).select("conv_id", "x.input_ids", "x.labels")
@@ -66,6 +76,7 @@ def token_labels(conversations: DataFrame, tokenizer_path: str | None = None, mo
 
 def labelled_texts(labels: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """(conv_id, texts): what the labels of token_labels() say, one text for each END among them; tokens behind the last END make a text that was cut."""
+    _small_batches(labels.sparkSession)
     with open(tokenizer_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         sent = labels.sparkSession.sparkContext.broadcast(f.read())
 

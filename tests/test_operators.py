@@ -675,3 +675,18 @@ def test_sqlite_parts(spark, tmp_path):
     assert [(r.column, r.declared, r.key) for r in found] == [("k", "INTEGER", 1), ("half", "TEXT", 2), ("x", "REAL", 0), ("at", "TEXT", 0)]
     with pytest.raises(Exception, match="UNIQUE"):
         databases.write_sqlite_parts(d.unionByName(d.limit(1)), str(tmp_path), "again", ("k", "half"))
+
+
+def test_token_labels_in_small_batches(spark):
+    """Workers get batches of 2 MB, not of 64 MB, and the labels are the same."""
+    from taskloom.operators import tokens
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        d = spark.range(300).selectExpr("id AS conv_id", "array(struct('user' AS role, 'ask' AS text), struct('assistant' AS role, concat('\nsay ', id) AS text)) AS messages")
+        got = {r.conv_id: r.texts for r in tokens.labelled_texts(tokens.token_labels(d)).collect()}
+        assert spark.conf.get(key) in ("2m", "2097152b") and got == {i: [f"say {i}"] for i in range(300)}
+    finally:
+        spark.conf.set(key, before)

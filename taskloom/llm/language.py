@@ -16,8 +16,8 @@ from ..operators.ordering import percentiles
 from .shared import give_back, small_batches, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Letters that are summed over at a time; runs whose scores a worker keeps.
-RUN, CACHE = 32, 120_000
+#: Letters that are summed over at a time; runs that are summed together; words, and characters of them, that a worker keeps with the scores of their runs.
+RUN, TOGETHER, CACHE, CACHE_CHARS = 32, 8_000, 120_000, 8 << 20
 #: Added to every piece's count; the probability of a character that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 #: A floor is calibrated on so many training documents at least, and lies so many times as far under the median as the 5th percentile, or so far at least;
@@ -112,16 +112,18 @@ class Scorer:
         self.place = {name: i for i, name in enumerate(names)}
         self.chance = np.array([model.table[p] for p in names]).reshape(len(names), self.width)
         prefixes: dict[int, int] = {}
+        base, salt, whole = int(self.base), int(self.salt), (1 << 64) - 1
         for n, name in enumerate(names):
-            h = np.uint64(0)
-            for at, c in enumerate(np.frombuffer(name.encode("utf-32-le"), np.uint32)):
-                h = self.step(h, c)
+            h = 0
+            for at, c in enumerate(name):  # step() in Python's numbers: single ones of numpy's are slow
+                h = ((h + ord(c) + salt) * base) & whole
+                h ^= h >> 31
                 if at == len(name) - 1:
-                    prefixes[int(h)] = n
+                    prefixes[h] = n
                 else:
-                    prefixes.setdefault(int(h), -1)
+                    prefixes.setdefault(h, -1)
         self.known = np.array(sorted(prefixes), np.uint64)
-        self.piece = np.array([prefixes[int(h)] for h in self.known], np.int64)
+        self.piece = np.array([prefixes[h] for h in sorted(prefixes)], np.int64)
 
     def step(self, h, c):
         with np.errstate(over="ignore"):
@@ -135,11 +137,13 @@ class Scorer:
         first = np.cumsum(n) - n
         word = np.repeat(np.arange(len(texts)), n)
         place = np.arange(len(flat)) - first[word]
-        alive, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
+        # by place, then by text: what ends at one place stands together
+        alive = np.argsort(place.astype(np.min_scalar_type(int(n.max(initial=0)))), kind="stable")
+        word, place, rest, h = word[alive], place[alive], (n[word] - place)[alive], np.zeros(len(flat), np.uint64)
         found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for size in range(1, self.longest + 1):
-            inside = place[alive] + size <= n[word[alive]]
-            alive, h = alive[inside], h[inside]
+            inside = rest >= size
+            alive, word, place, rest, h = alive[inside], word[inside], place[inside], rest[inside], h[inside]
             if not len(alive):
                 break
             h = self.step(h, flat[alive + size - 1])
@@ -147,12 +151,11 @@ class Scorer:
             prefix = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
             got = np.where(prefix, self.piece[at], -1) if len(self.known) else np.full(len(h), -1)
             use = got >= 0 if size > 1 else np.ones(len(got), bool)  # a single letter without a piece is unknown
-            end = place[alive[use]] + size
-            order = np.argsort(end, kind="stable")
-            ends, cuts = np.unique(end[order], return_index=True)
-            for e, rows in zip(ends, np.split(order, cuts[1:]) if len(ends) else [], strict=True):
-                found[int(e), size] = word[alive[use][rows]], got[use][rows]
-            alive, h = alive[prefix], h[prefix]
+            end, words, pieces_there = place[use] + size, word[use], got[use]
+            cuts = [0, *(np.flatnonzero(end[1:] != end[:-1]) + 1).tolist(), len(end)] if len(end) else [0]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                found[int(end[lo]), size] = words[lo:hi], pieces_there[lo:hi]
+            alive, word, place, rest, h = alive[prefix], word[prefix], place[prefix], rest[prefix], h[prefix]
         return found
 
     def summed(self, texts: list[str]) -> np.ndarray:
@@ -213,20 +216,28 @@ class Scorer:
         return out
 
     def log_probabilities(self, runs: list[str]) -> np.ndarray:
-        """Log probabilities of runs of letters, each with a START before it, a row each; runs of like length are summed together."""
+        """Log probabilities of runs of letters, each with a START before it, a row each; runs of like length are summed together, so few that their sums stay in a processor's cache."""
         out = np.zeros((len(runs), self.width))
-        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)) // RUN, kind="stable")
-        for lo in range(0, len(order), 20_000):
-            part = order[lo : lo + 20_000]
+        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)), kind="stable")
+        for lo in range(0, len(order), TOGETHER):
+            part = order[lo : lo + TOGETHER]
             out[part] = self.summed([START + runs[i] for i in part.tolist()])
         return out
 
 
-def runs_of(text: str | None) -> Counter:
-    """Runs of letters of a lower-cased text, counted."""
+class Places(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def runs_of(words: Counter) -> Counter:
+    """Runs of letters of counted words, counted."""
     found: Counter = Counter()
-    for token, n in Counter((text or "").lower().split()).items():
-        for run in LETTERS.findall(token):
+    for word, n in words.items():
+        for run in LETTERS.findall(word):
             found[run] += n
     return found
 
@@ -250,13 +261,21 @@ def train(docs: DataFrame, path: str = VOCABULARY, rounds: int = 1) -> Unigrams:
     known = training(docs)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted: dict[str, Counter] = {}  # words first: a run is looked for once in each
+
+        def found() -> Iterator[pd.DataFrame]:
+            for lang, c in counted.items():
+                runs = runs_of(c)
+                if runs:
+                    yield pd.DataFrame({"lang": lang, "run": list(runs), "n": list(runs.values())})
+            counted.clear()
+
         for f in batches:
-            found: Counter = Counter()
             for lang, text in zip(f["lang"], f["text"], strict=True):
-                for run, n in runs_of(text).items():
-                    found[lang, run] += n
-            if found:
-                yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["lang", "run", "n"])
+                counted.setdefault(lang, Counter()).update(text.lower().split())
+            if sum(map(len, counted.values())) > CACHE:
+                yield from found()
+        yield from found()
 
     seen = written(known.select("lang", "text").mapInPandas(words, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in seen.select("lang").distinct().collect())
@@ -265,9 +284,11 @@ def train(docs: DataFrame, path: str = VOCABULARY, rounds: int = 1) -> Unigrams:
     model = Unigrams(langs, flat)
     for step in range(rounds + 1):
 
-        def counts(batches: Iterator[pd.DataFrame], model: Unigrams = model, first: bool = step == 0) -> Iterator[pd.DataFrame]:
-            names, scorer = list(model.table), Scorer(model)
-            sums: dict = {}
+        shared = docs.sparkSession.sparkContext.broadcast((model, Scorer(model)))
+
+        def counts(batches: Iterator[pd.DataFrame], shared=shared, first: bool = step == 0) -> Iterator[pd.DataFrame]:
+            model, scorer = shared.value
+            names, sums = list(scorer.place), {}
             for f in batches:
                 for lang, g in f.groupby("lang", sort=False):
                     at, got = model.langs.index(lang), sums.setdefault(lang, np.zeros(len(names)))
@@ -306,37 +327,51 @@ def predictor(spark: SparkSession, model: Unigrams):
     with texts of none of the languages. letters is their number.
     """
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model.langs, model.table))
+    shared = spark.sparkContext.broadcast((model.langs, Scorer(model) if model.langs else None))
 
     @F.pandas_udf("lang_pred string, score double, mean double, letters long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, probabilities = shared.value
-        scorer = Scorer(Unigrams(langs, probabilities)) if langs else None
-        rows: dict[str, int] = {}
+        langs, scorer = shared.value
+        words, runs, chars = Places(), Places(), 0
         values, sizes = np.zeros((0, len(langs))), np.zeros(0, np.int64)
+        in_word, run_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by word its number of runs; their places, word after word
         for texts in batches:
             preds, scores, means, letters, at = [], [], [], [], 0
             while at < len(texts):
-                if len(rows) > CACHE:
-                    rows, values, sizes = {}, np.zeros((0, len(langs))), np.zeros(0, np.int64)
-                ids: list[int] = []
-                ends: list[int] = []
-                while at < len(texts) and len(ids) < 300_000:
-                    ids += [rows.setdefault(r, len(rows)) for r in LETTERS.findall((texts.iat[at] or "").lower())]
-                    ends.append(len(ids))
+                if len(words) > CACHE or chars > CACHE_CHARS:
+                    words, runs, chars = Places(), Places(), 0
+                    values, sizes = np.zeros((0, len(langs))), np.zeros(0, np.int64)
+                    in_word, run_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                said: list[int] = []
+                stops: list[int] = []
+                while at < len(texts) and len(said) < 300_000:
+                    said += map(words.__getitem__, (texts.iat[at] or "").lower().split())
+                    stops.append(len(said))
                     at += 1
-                if scorer is None or not ids:
+                new = list(islice(words, len(in_word), None))
+                chars += sum(map(len, new))
+                found = [LETTERS.findall(w) for w in new]
+                in_word = np.append(in_word, np.fromiter(map(len, found), np.int64, len(found)))
+                run_ids = np.append(run_ids, np.fromiter((runs[r] for w in found for r in w), np.int64))
+                # each word's runs in its place: all runs of the texts, in order
+                which = np.array(said, np.int64)
+                n_runs = in_word[which]
+                upto = np.cumsum(n_runs)
+                ids = run_ids[np.repeat((np.cumsum(in_word) - in_word)[which] - (upto - n_runs), n_runs) + np.arange(n_runs.sum())]
+                ends = np.append(0, upto)[stops]
+                if scorer is None or not len(ids):
                     preds += ["und"] * len(ends)
                     scores += [0.0] * len(ends)
                     means += [0.0] * len(ends)
                     letters += [0] * len(ends)
                     continue
-                sizes = np.append(sizes, np.fromiter(map(len, islice(rows, len(values), None)), np.int64))
-                values = np.vstack([values, scorer.log_probabilities(list(islice(rows, len(values), None)))])
+                fresh = list(islice(runs, len(values), None))
+                sizes = np.append(sizes, np.fromiter(map(len, fresh), np.int64, len(fresh)))
+                values = np.vstack([values, scorer.log_probabilities(fresh)])
                 lengths = np.diff([0, *ends])
                 some = np.flatnonzero(lengths)
                 totals = np.zeros((len(ends), scorer.width))
-                starts = (np.array(ends) - lengths)[some]
+                starts = (ends - lengths)[some]
                 totals[some] = np.add.reduceat(values[ids], starts, axis=0)
                 n_letters = np.zeros(len(ends), np.int64)
                 n_letters[some] = np.add.reduceat(sizes[ids], starts)
@@ -347,7 +382,8 @@ def predictor(spark: SparkSession, model: Unigrams):
                 means += (totals.max(axis=1) / np.maximum(n_letters, 1)).tolist()
                 letters += n_letters.tolist()
             yield pd.DataFrame({"lang_pred": preds, "score": scores, "mean": means, "letters": letters})
-        rows.clear()
+        words.clear()
+        runs.clear()
         give_back()
 
     return predict.asNondeterministic()  # else a condition on its result would be evaluated by a second run of it

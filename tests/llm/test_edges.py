@@ -317,3 +317,36 @@ def test_language_learns_from_all_documents(spark):
             want[piece] = want.get(piece, 0) + k * e
     got = scorer.counts(runs, times, 1, False)
     assert {names[i] for i in np.flatnonzero(got)} == set(want) and all(np.isclose(got[scorer.place[p]], e) for p, e in want.items())
+
+
+def test_language_words_are_looked_at_once(spark, monkeypatch):
+    """Runs are looked for once in each word that a worker keeps, in training and in prediction, and are those of whole texts, also where what is kept is given up."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+    import pandas as pd
+
+    class Counting:
+        asked = 0
+
+        def findall(self, x):
+            Counting.asked += 1
+            return re.findall(r"[^\W\d_]+", x)
+
+    text = "Ab-c d_e ab-C f1g ΣΑΣ x²y 漢字。漢 " * 40
+    monkeypatch.setattr(language, "LETTERS", Counting())
+    got = language.runs_of(Counter(text.lower().split()))
+    assert got == Counter(re.findall(r"[^\W\d_]+", text.lower())) and Counting.asked == len(set(text.lower().split()))
+    model = language.Unigrams(["x", "y"], {p: np.array(v) for p, v in {"▁ab": (0.3, 0.1), "c": (0.1, 0.2), "d": (0.2, 0.1), "漢": (0.1, 0.3)}.items()})
+    batches = [pd.Series([text, None, "12 _ !", "c d"]), pd.Series(["d c", "", text[:60]])]
+    judged = []
+    for kept in (10**6, 3):
+        monkeypatch.setattr(language, "CACHE", kept)
+        Counting.asked = 0
+        judged.append(pd.concat(language.predictor(spark, model).func(iter(batches)), ignore_index=True))
+        if kept > 3:
+            assert Counting.asked == len(set(" ".join(x or "" for b in batches for x in b).lower().split()))
+    assert judged[0].equals(judged[1])
+    scores = language.Scorer(model).log_probabilities([r for r in re.findall(r"[^\W\d_]+", text.lower())]).sum(axis=0)
+    assert judged[0].lang_pred.tolist()[:3] == ["xy"[int(scores.argmax())], "und", "und"] and np.isclose(judged[0]["mean"][0], scores.max() / len("".join(re.findall(r"[^\W\d_]+", text.lower()))))

@@ -117,6 +117,52 @@ def test_suffix_dedup_random(spark, seed):
     assert [got[i] for i in range(len(texts))] == [w[0] for w in want]
 
 
+def equal_hashes(places, size=2048):
+    """For each of 128 places a byte for either text, so that both texts have the same polynomial hash: pairs of lists are joined on their lowest bits, 10 more each time."""
+    rng = np.random.default_rng(5)
+    factor = suffix_dedup.Rolling().table, np.cumprod(np.r_[np.uint64(1), np.full(places[-1], suffix_dedup.BASE, np.uint64)], dtype=np.uint64)
+    lists = []
+    for i in places:
+        a, more = rng.integers(0, [[94], [93]], (2, size))
+        a, b = 33 + a, 33 + (a + 1 + more) % 94
+        lists.append(((factor[0][a] - factor[0][b]) * factor[1][i], np.stack([a, b], 1)[:, None]))
+    bits = 0
+    while len(lists) > 1:
+        bits, joined = min(bits + 10, 64), []
+        for (x, u), (y, v) in zip(lists[::2], lists[1::2], strict=True):
+            low = np.uint64((1 << bits) - 1)
+            order = np.argsort(-y & low)
+            first, last = (np.searchsorted((-y & low)[order], x & low, side) for side in ("left", "right"))
+            own = np.repeat(np.arange(len(x)), last - first)
+            other = order[np.arange(len(own)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[own]]
+            some = rng.permutation(len(own))[:size]
+            joined.append((x[own[some]] + y[other[some]], np.concatenate([u[own[some]], v[other[some]]], 1)))
+        lists = joined
+    return lists[0][1][0].T
+
+
+def test_suffix_dedup_texts_of_equal_hashes(spark):
+    """Texts of one polynomial hash are no repeats, whether a run's context or a single window has that hash; real repeats beside them still go."""
+    places = np.arange(230, 358)
+    pair = equal_hashes(places)
+    texts = []
+    for seed in range(60):  # where the synchronising position falls depends on what is before; in some the hash covers all places or none
+        head = np.random.default_rng(seed).integers(97, 123, 400)
+        for x in (0, 1):
+            head[places] = pair[x]
+            texts.append(bytes(head.astype(np.uint8)).decode() + str(x) * (seed % 3))
+        texts += [f"{seed} {seed} " + texts[-1][::-1]] * (seed % 2 + 1)
+    roll, hashes = suffix_dedup.Rolling(), []
+    for t in texts[:2]:
+        roll.load(np.frombuffer(t.encode(), np.uint8))
+        hashes.append(roll.of(np.array([0]), np.array([400]))[0])
+    assert hashes[0] == hashes[1] and texts[0] != texts[1]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.a, s.b) for s in r.spans] for r in suffix_dedup.remove_repeats(d).collect()}
+    want = suffix_dedup.brute_force([t.encode() for t in texts], 400)
+    assert [got[i] for i in range(len(texts))] == [w[0] for w in want]
+
+
 def test_contamination(spark, odd, empty):
     b = spark.createDataFrame([(1, "w1 W2 w3"), (2, None), (3, " ".join(f"w{i}" for i in range(20))), (3, "absent words only"), (None, "one")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): r for r in decontamination.find_contamination(odd, b).collect()}
